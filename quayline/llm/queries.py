@@ -8,14 +8,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontamination import decontaminate
+from .quality import assess
+from .token_counts import count_tokens
+from .token_files import token_digest
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_token_files": op5_token_files,
+    "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
+    "op9_quality": op9_quality,
 }
 
 _WORDS7 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -37,6 +62,59 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(it
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+_METRICS9 = """
+SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines,
+       1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 100 * word_chars // greatest(n_words, 1) AS word_length
+FROM base9
+"""
+
+
+def _quality_ctes(documents: str) -> str:
+    """Common table expressions up to judged9(doc_id, counts, base_failed, kept) over a relation of documents."""
+    metrics = ("symbols", "dup_lines", "repeats", "word_length")
+    values = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM metrics9 WHERE NOT base_failed" for m in metrics)
+    levels = (("1", "lang, source"), ("2", "lang"), ("3", ""))
+    fences = []
+    for level, by in levels:
+        keys, sep = by, ", " if by else ""
+        fences.append(f"""
+run9_{level} AS (SELECT {keys}{sep}metric, low, sum(n) OVER (PARTITION BY {keys}{sep}metric ORDER BY low) AS up_to, sum(n) OVER (PARTITION BY {keys}{sep}metric) AS docs
+  FROM (SELECT {keys}{sep}metric, low, sum(n) AS n FROM sketch9 GROUP BY {keys}{sep}metric, low)),
+q9_{level} AS (SELECT {keys}{sep}metric, max(docs) AS docs, min(low) FILTER (up_to * 100 >= docs * 10) AS a, min(low) FILTER (up_to * 100 >= docs * 50) AS b,
+  min(low) FILTER (up_to * 100 >= docs * 90) AS c FROM run9_{level} GROUP BY {keys}{sep}metric),
+f9_{level} AS (SELECT {keys}{sep}max(docs) AS docs, max(c + 2 * (c - b) + 30) FILTER (metric = 'symbols') AS hi_symbols,
+  max(c + 2 * (c - b) + 100) FILTER (metric = 'dup_lines') AS hi_dup_lines, max(c + 2 * (c - b) + 100) FILTER (metric = 'repeats') AS hi_repeats,
+  max(c + 2 * (c - b) + 100) FILTER (metric = 'word_length') AS hi_word_length, max(a - 2 * (b - a) - 100) FILTER (metric = 'word_length') AS lo_word_length
+  FROM q9_{level}{f' GROUP BY {keys}' if keys else ''})""")
+    pick = lambda c: f"CASE WHEN f1.docs >= 50 THEN f1.{c} WHEN f2.docs >= 50 THEN f2.{c} ELSE f3.{c} END"
+    inside = " AND ".join([f"m.{c} <= {pick('hi_' + c)}" for c in metrics] + [f"m.word_length >= {pick('lo_word_length')}"])
+    return rf"""
+text9 AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM {documents}),
+words9 AS (SELECT doc_id, lang, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM text9),
+base9 AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM words9 LEFT JOIN (
+    SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (
+      SELECT doc_id, unnest(generate_series(p, p + 7)) AS q FROM (
+        SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, win) AS n FROM (
+          SELECT doc_id, p, array_to_string(w[p : p + 7], ' ') AS win FROM (
+            SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS p FROM words9 WHERE len(w) >= 8))) WHERE n > 1) GROUP BY doc_id) USING (doc_id)),
+metrics9 AS ({_METRICS9}),
+values9 AS ({values}),
+sketch9 AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) AS low, count(*) AS n FROM values9 GROUP BY ALL),
+{','.join(fences)},
+judged9 AS (SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {inside}, false) AS kept
+  FROM metrics9 m LEFT JOIN f9_1 f1 ON m.lang IS NOT DISTINCT FROM f1.lang AND m.source IS NOT DISTINCT FROM f1.source
+  LEFT JOIN f9_2 f2 ON m.lang IS NOT DISTINCT FROM f2.lang, f9_3 f3)"""
+
+
+OP9_SQL = f"WITH {_quality_ctes('documents')} SELECT * FROM judged9"
+
 ORACLE_SQL: dict[str, str] = {
     "op7_decontamination": OP7_SQL,
+    "op9_quality": OP9_SQL,
 }
