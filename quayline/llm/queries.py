@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import decontaminate
 from .quality import assess
+from .similarity_join import similar_groups
 from .token_counts import count_tokens
 from .token_files import token_digest
 
@@ -20,6 +21,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -37,6 +42,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_token_files": op5_token_files,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
@@ -112,9 +118,26 @@ judged9 AS (SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repe
   LEFT JOIN f9_2 f2 ON m.lang IS NOT DISTINCT FROM f2.lang, f9_3 f3)"""
 
 
+
+
+def _groups_ctes(documents: str, k: int, percent: int) -> str:
+    """Common table expressions up to labels3(doc_id, n_shingles, component_id) over a relation of documents."""
+    return rf"""
+words3 AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {documents}),
+shingles3 AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + {k - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - {k - 1}, 1))) AS p FROM words3 WHERE len(w) > 0)),
+sizes3 AS (SELECT doc_id, count(*) AS n FROM shingles3 GROUP BY doc_id),
+both3 AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM shingles3 a JOIN shingles3 b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links3 AS (SELECT u, v FROM both3 JOIN sizes3 x ON u = x.doc_id JOIN sizes3 y ON v = y.doc_id WHERE 100 * i >= {percent} * (x.n + y.n - i)),
+reach3 AS (SELECT doc_id AS u, doc_id AS v FROM words3 UNION SELECT reach3.u, links3.v FROM reach3 JOIN links3 ON reach3.v = links3.u),
+labels3 AS (SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM words3 w LEFT JOIN sizes3 USING (doc_id) JOIN (SELECT u AS doc_id, min(v) AS component_id FROM reach3 GROUP BY u) USING (doc_id))"""
+
+
+OP3_SQL = f"WITH RECURSIVE {_groups_ctes('documents', 3, 90)} SELECT * FROM labels3"
+
 OP9_SQL = f"WITH {_quality_ctes('documents')} SELECT * FROM judged9"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": OP3_SQL,
     "op7_decontamination": OP7_SQL,
     "op9_quality": OP9_SQL,
 }
