@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontamination import decontaminate
+from .line_dedup import dedup_lines
 from .quality import assess
 from .similarity_join import similar_groups
 from .token_counts import count_tokens
@@ -21,6 +22,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", out["_n_lines"].alias("n_lines"), out["_n_removed"].alias("n_removed"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -42,6 +48,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_token_files": op5_token_files,
     "op6_token_counts": op6_token_counts,
@@ -120,6 +127,25 @@ judged9 AS (SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repe
 
 
 
+def _lines_ctes(documents: str) -> str:
+    """Common table expressions up to lines_done2(doc_id, text, n_lines, n_removed) over a relation of documents."""
+    return rf"""
+raw2 AS (SELECT doc_id, p, l[p] AS line FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {documents} WHERE text IS NOT NULL))),
+full2 AS (SELECT doc_id, p, line, len(regexp_extract_all(line, '[^ 	-]+')) AS n FROM raw2 WHERE regexp_matches(line, '[^ 	-]')),
+ahead2 AS (SELECT doc_id, p, line, n, lead(p) OVER o AS p2, lead(line) OVER o AS line2, lead(n) OVER o AS n2, lead(p, 2) OVER o AS p3, lead(line, 2) OVER o AS line3
+  FROM full2 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+runs2 AS (SELECT doc_id, p, CASE WHEN n >= 50 THEN [p] WHEN n + n2 >= 50 THEN [p, p2] WHEN p3 IS NOT NULL THEN [p, p2, p3] END AS places,
+  CASE WHEN n >= 50 THEN [line] WHEN n + n2 >= 50 THEN [line, line2] WHEN p3 IS NOT NULL THEN [line, line2, line3] END AS run FROM ahead2),
+later2 AS (SELECT doc_id, places, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS nth FROM runs2 WHERE run IS NOT NULL),
+gone2 AS (SELECT DISTINCT doc_id, unnest(places) AS p FROM later2 WHERE nth > 1),
+text2 AS (SELECT raw2.doc_id, count(*) AS n_lines, count(gone2.p) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY raw2.p) FILTER (gone2.p IS NULL), '') AS text
+  FROM raw2 LEFT JOIN gone2 ON raw2.doc_id = gone2.doc_id AND raw2.p = gone2.p GROUP BY raw2.doc_id),
+lines_done2 AS (SELECT d.doc_id, text2.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM {documents} d LEFT JOIN text2 USING (doc_id))"""
+
+
+OP2_SQL = f"WITH {_lines_ctes('documents')} SELECT * FROM lines_done2"
+
+
 def _groups_ctes(documents: str, k: int, percent: int) -> str:
     """Common table expressions up to labels3(doc_id, n_shingles, component_id) over a relation of documents."""
     return rf"""
@@ -137,6 +163,7 @@ OP3_SQL = f"WITH RECURSIVE {_groups_ctes('documents', 3, 90)} SELECT * FROM labe
 OP9_SQL = f"WITH {_quality_ctes('documents')} SELECT * FROM judged9"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
     "op3_ngram_jaccard_join": OP3_SQL,
     "op7_decontamination": OP7_SQL,
     "op9_quality": OP9_SQL,
