@@ -13,6 +13,7 @@ from .quality import assess
 from .similarity_join import similar_groups
 from .token_counts import count_tokens
 from .token_files import token_digest
+from .toxicity import score_toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +32,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -50,6 +55,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
@@ -131,7 +137,9 @@ def _lines_ctes(documents: str) -> str:
     """Common table expressions up to lines_done2(doc_id, text, n_lines, n_removed) over a relation of documents."""
     return rf"""
 raw2 AS (SELECT doc_id, p, l[p] AS line FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {documents} WHERE text IS NOT NULL))),
-full2 AS (SELECT doc_id, p, line, len(regexp_extract_all(line, '[^ 	-]+')) AS n FROM raw2 WHERE regexp_matches(line, '[^ 	-]')),
+full2 AS (SELECT doc_id, p, line, len(regexp_extract_all(line, '[^ 	-
+]+')) AS n FROM raw2 WHERE regexp_matches(line, '[^ 	-
+]')),
 ahead2 AS (SELECT doc_id, p, line, n, lead(p) OVER o AS p2, lead(line) OVER o AS line2, lead(n) OVER o AS n2, lead(p, 2) OVER o AS p3, lead(line, 2) OVER o AS line3
   FROM full2 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
 runs2 AS (SELECT doc_id, p, CASE WHEN n >= 50 THEN [p] WHEN n + n2 >= 50 THEN [p, p2] WHEN p3 IS NOT NULL THEN [p, p2, p3] END AS places,
