@@ -10,6 +10,7 @@ from .common import table
 from .decontamination import decontaminate
 from .line_dedup import dedup_lines
 from .quality import assess
+from .segmentation import sample_digest
 from .similarity_join import similar_groups
 from .token_counts import count_tokens
 from .token_files import token_digest
@@ -23,6 +24,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", out["_n_lines"].alias("n_lines"), out["_n_removed"].alias("n_removed"))
@@ -53,6 +58,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
