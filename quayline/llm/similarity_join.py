@@ -30,7 +30,7 @@ from .graph import components
 #: Counters of the sketch as a power of two, its chunks, and how many ways a chunk's parts are added up at first.
 SKETCH_BITS, CHUNKS, WAYS = 22, 256, 16
 #: Minimum hashes by which nodes are grouped, and prefix tokens that a query and a group must share.
-STARS, LEAST = 3, 3
+STARS, LEAST = 3, 2
 
 
 def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,15 +170,21 @@ def _star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a query and a member of a group that qualifies; nodes: doc_id, n, grp, prefix."""
+    """Pairs of a query and a member of a group that qualifies; nodes: doc_id, n, grp, prefix.
+
+    Sets of sizes n and m link if they share alike = ceil(percent * (n + m) / (100 + percent)) shingles or more. Then they
+    share LEAST within the first n - alike + LEAST of one and m - alike + LEAST of the other.
+    """
     rows = nodes.select("doc_id", "n", "grp", F.posexplode("prefix").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 <> g2").select("token")
     rows = cut(rows.join(shared, "token"))
-    matrix = rows.select("token", F.col("grp").alias("g"), F.col("n").alias("m")).distinct()
-    met = rows.join(matrix, "token").where((F.col("grp") > F.col("g")) & _sizes_fit("n", "m", percent))
-    bound = F.least(F.col("n") - F.col("first"), F.col("m"))
-    need = F.least(F.lit(LEAST), F.ceil(F.lit(percent) * F.greatest("n", "m") / 100))
-    groups = met.groupBy("doc_id", "n", "g", "m").agg(F.count("*").alias("shared"), F.min("pos").alias("first")).where((F.col("shared") >= need) & (100 * bound >= percent * (F.col("n") + F.col("m") - bound))).select(F.col("doc_id").alias("a"), "g", "m")
+    matrix = rows.groupBy("token", F.col("grp").alias("g"), F.col("n").alias("m")).agg(F.min("pos").alias("g_pos"))
+    alike = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
+    near = (F.col("pos") < F.col("n") - alike + LEAST) & (F.col("g_pos") < F.col("m") - alike + LEAST)
+    met = rows.join(matrix, "token").where((F.col("grp") > F.col("g")) & _sizes_fit("n", "m", percent) & near)
+    found = met.groupBy("doc_id", "n", "g", "m").agg(F.count("*").alias("shared"), F.min("pos").alias("first"), F.min("g_pos").alias("g_first"))
+    most = F.least(F.col("n") - F.col("first"), F.col("m") - F.col("g_first"))
+    groups = found.where((F.col("shared") >= F.least(F.lit(LEAST), alike)) & (most >= alike)).select(F.col("doc_id").alias("a"), "g", "m")
     members = nodes.select(F.col("doc_id").alias("b"), F.col("grp").alias("g"), F.col("n").alias("m"))
     return groups.join(members, ["g", "m"]).select("a", "b")
 
