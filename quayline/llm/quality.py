@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, small_side
+from .common import BROADCAST_ROWS, cut, same_row, small_side
 
 BLANK = r"[\x20\x09-\x0D]+"
 SHORT_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
@@ -23,17 +23,15 @@ METRICS = {"symbols": (30, False), "dup_lines": (100, False), "repeats": (100, F
 OUTER, REACH = 90, 2
 
 
-def measured(documents: DataFrame, keep: bool = False) -> DataFrame:
-    """doc_id, lang, source, the base counts and the metrics of each row; with keep the row itself as _row.
+def measured(documents: DataFrame) -> DataFrame:
+    """doc_id, lang, source, _h (a hash of lang, source and text), the base counts and the metrics of each row.
 
     Words are runs of other characters than blanks. A null text has no words. 8-word windows are compared by
     their 64-bit hashes within one text.
     """
-    row = [F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row")] if keep else []
     text = F.coalesce("text", F.lit(""))
-    names = ["doc_id", "lang", "source"]
-    carried = [*names, *(["_row"] if keep else [])]
-    a = documents.select(*names, *row, text.alias("_text"), F.array_remove(F.split(text, BLANK), "").alias("_words"), F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
+    carried = ["doc_id", "lang", "source", "_h"]
+    a = documents.select("doc_id", "lang", "source", F.xxhash64("lang", "source", "text").alias("_h"), text.alias("_text"), F.array_remove(F.split(text, BLANK), "").alias("_words"), F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
     n = F.size("_words").cast("bigint")
     windows = F.when(n >= REPEAT_WINDOW, F.transform(F.sequence(F.lit(1), F.size("_words") - (REPEAT_WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, REPEAT_WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     b = a.select(
@@ -120,5 +118,8 @@ def assess(documents: DataFrame) -> DataFrame:
 
 def kept_documents(documents: DataFrame) -> DataFrame:
     """The rows of documents that assess() keeps, with all their columns."""
-    rows = measured(documents, keep=True)
-    return judged(rows, thresholds(measured(documents))).where("kept").select("_row.*")
+    rows = cut(measured(documents))
+    out = cut(judged(rows, thresholds(rows)).where(~F.col("kept")).select("doc_id", "_h").distinct())
+    own = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row")
+    all_rows = documents.select(own, "doc_id", F.xxhash64("lang", "source", "text").alias("_h"))
+    return all_rows.alias("d").join(small_side(out, out.count()).alias("o"), same_row("d", "o"), "left_anti").select("_row.*")
