@@ -18,9 +18,9 @@ BLANK = r"[\x20\x09-\x0D]+"
 SHORT_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 MIN_GROUP = 50
 #: Metric: least slack beyond the quantiles; whether there is a lower fence too. Parts in a thousand; hundredths of a character for word length.
-METRICS = {"symbols": (30, False), "dup_lines": (100, False), "repeats": (100, False), "word_length": (100, True)}
+METRICS = {"symbols": (30, False), "dup_lines": (400, False), "repeats": (300, False), "word_length": (100, True)}
 #: A fence is this many times the spread between the outer quantile (percent) and the median beyond that quantile.
-OUTER, REACH = 90, 2
+OUTER, REACH = 75, 3
 
 
 def measured(documents: DataFrame) -> DataFrame:

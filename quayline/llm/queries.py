@@ -119,11 +119,11 @@ def _quality_ctes(documents: str) -> str:
         fences.append(f"""
 run9_{level} AS (SELECT {keys}{sep}metric, low, sum(n) OVER (PARTITION BY {keys}{sep}metric ORDER BY low) AS up_to, sum(n) OVER (PARTITION BY {keys}{sep}metric) AS docs
   FROM (SELECT {keys}{sep}metric, low, sum(n) AS n FROM sketch9 GROUP BY {keys}{sep}metric, low)),
-q9_{level} AS (SELECT {keys}{sep}metric, max(docs) AS docs, min(low) FILTER (up_to * 100 >= docs * 10) AS a, min(low) FILTER (up_to * 100 >= docs * 50) AS b,
-  min(low) FILTER (up_to * 100 >= docs * 90) AS c FROM run9_{level} GROUP BY {keys}{sep}metric),
-f9_{level} AS (SELECT {keys}{sep}max(docs) AS docs, max(c + 2 * (c - b) + 30) FILTER (metric = 'symbols') AS hi_symbols,
-  max(c + 2 * (c - b) + 100) FILTER (metric = 'dup_lines') AS hi_dup_lines, max(c + 2 * (c - b) + 100) FILTER (metric = 'repeats') AS hi_repeats,
-  max(c + 2 * (c - b) + 100) FILTER (metric = 'word_length') AS hi_word_length, max(a - 2 * (b - a) - 100) FILTER (metric = 'word_length') AS lo_word_length
+q9_{level} AS (SELECT {keys}{sep}metric, max(docs) AS docs, min(low) FILTER (up_to * 100 >= docs * 25) AS a, min(low) FILTER (up_to * 100 >= docs * 50) AS b,
+  min(low) FILTER (up_to * 100 >= docs * 75) AS c FROM run9_{level} GROUP BY {keys}{sep}metric),
+f9_{level} AS (SELECT {keys}{sep}max(docs) AS docs, max(c + 3 * (c - b) + 30) FILTER (metric = 'symbols') AS hi_symbols,
+  max(c + 3 * (c - b) + 400) FILTER (metric = 'dup_lines') AS hi_dup_lines, max(c + 3 * (c - b) + 300) FILTER (metric = 'repeats') AS hi_repeats,
+  max(c + 3 * (c - b) + 100) FILTER (metric = 'word_length') AS hi_word_length, max(a - 3 * (b - a) - 100) FILTER (metric = 'word_length') AS lo_word_length
   FROM q9_{level}{f' GROUP BY {keys}' if keys else ''})""")
     pick = lambda c: f"CASE WHEN f1.docs >= 50 THEN f1.{c} WHEN f2.docs >= 50 THEN f2.{c} ELSE f3.{c} END"
     inside = " AND ".join([f"m.{c} <= {pick('hi_' + c)}" for c in metrics] + [f"m.word_length >= {pick('lo_word_length')}"])
