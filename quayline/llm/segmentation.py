@@ -15,6 +15,7 @@ The vocabulary file has merge ranks, not probabilities; Zipf's law makes them lo
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -31,7 +32,7 @@ from .pretokens import Table
 
 SAMPLES, ALPHA = 3, 1.0
 #: Bytes of text whose lattice is held at once.
-LATTICE_BYTES = 1_500_000
+LATTICE_BYTES = 600_000
 BLANK, LITERAL = 0x2581, 0x10FFFF  # the vocabulary's blank; what a blank sign in a text itself is taken for
 
 
@@ -327,6 +328,10 @@ def _sampled(batch: pa.RecordBatch, path: str, k: int, alpha: float) -> Iterator
         yield pa.RecordBatch.from_arrays([column(part, "doc_id").take(row), column(part, "text_crc").take(row), rank, ids, *(pa.array([x[c] for x in flat], pa.float64()) for c in (1, 2, 3))], ["doc_id", "text_crc", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
 
 
+def _seeded(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text", F.xxhash64("doc_id").alias("seed"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc"))
+
+
 def encode(documents: DataFrame, path: str, k: int = SAMPLES, alpha: float = ALPHA) -> DataFrame:
     """doc_id, text_crc, sample (0 the best), ids (little-endian unsigned 32-bit), log_prob, perturbed, log_inclusion.
 
@@ -336,9 +341,7 @@ def encode(documents: DataFrame, path: str, k: int = SAMPLES, alpha: float = ALP
     probability that a segmentation's perturbed value passes the (k+1)-th. path names a SentencePiece file.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    text = F.coalesce("text", F.lit(""))
-    rows = documents.select("doc_id", "text", F.xxhash64("doc_id").alias("seed"), F.crc32(text).alias("text_crc"))
-    return arrow_map(rows, lambda b: _sampled(b, path, k, alpha), f"doc_id {kind}, text_crc bigint, sample int, ids binary, log_prob double, perturbed double, log_inclusion double")
+    return arrow_map(_seeded(documents), lambda b: _sampled(b, path, k, alpha), f"doc_id {kind}, text_crc bigint, sample int, ids binary, log_prob double, perturbed double, log_inclusion double")
 
 
 def _decoded(batch: pa.RecordBatch, path: str, carried: list[str]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +359,21 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return arrow_map(rows, lambda b: _decoded(b, path, carried), f"{schema}, decoded string")
 
 
+def _digested(batch: pa.RecordBatch, path: str, k: int, alpha: float) -> Iterator[pa.RecordBatch]:
+    """The samples of a batch, decoded again by the same worker, with checksums in place of their ids."""
+    v = vocabulary(path)
+    for rows in _sampled(batch, path, k, alpha):
+        ids = column(rows, "ids").to_pylist()
+        back = [zlib.crc32(v.decode(np.frombuffer(x, "<u4")).encode()) for x in ids]
+        same = pa.array(np.array(back, np.int64) == column(rows, "text_crc").to_numpy())
+        kept = [column(rows, c) for c in ("doc_id", "sample")]
+        digests = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+        names = ["log_prob", "perturbed", "log_inclusion"]
+        yield pa.RecordBatch.from_arrays([*kept, *digests, *(column(rows, c) for c in names), same], ["doc_id", "sample", "n_tokens", "ids_crc32", *names, "round_trip"])
+
+
 def sample_digest(documents: DataFrame, path: str, k: int = SAMPLES, alpha: float = ALPHA) -> DataFrame:
     """doc_id, sample, n_tokens, ids_crc32, log_prob, perturbed, log_inclusion, and whether decoding gives the text back."""
-    out = decode(encode(documents, path, k, alpha), path)
-    return out.select("doc_id", "sample", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion", (F.crc32("decoded") == F.col("text_crc")).alias("round_trip"))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, sample int, n_tokens bigint, ids_crc32 bigint, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
+    return arrow_map(_seeded(documents), lambda b: _digested(b, path, k, alpha), schema)
