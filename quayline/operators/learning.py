@@ -76,7 +76,7 @@ def classification_metrics(scores: DataFrame, threshold: float = THRESHOLD) -> D
     return d.select(
         precision.alias("precision"), recall.alias("recall"), ratio(2 * c("tp"), c("pred") + c("pos")).alias("f1"),
         (c("area") / F.nullif(c("all_pos") * c("all_neg"), F.lit(0))).alias("roc_auc"), (c("ap") / F.nullif(c("all_pos"), F.lit(0))).alias("average_precision"),
-        "brier", (c("pos") / c("n")).alias("positive_rate"), (c("pred") / c("n")).alias("predicted_rate"),
+        "brier", F.try_divide("pos", "n").alias("positive_rate"), F.try_divide("pred", "n").alias("predicted_rate"),
     )
 
 
@@ -90,7 +90,7 @@ def threshold_table(scores: DataFrame, thresholds: tuple[float, ...] = tuple(rou
     each = F.explode(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"pred{i}").alias("pred"), F.col(f"tp{i}").alias("tp")) for i, t in enumerate(thresholds))))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     c = F.col
-    return one.select("n", "pos", each.alias("x")).select("n", "pos", "x.*").select("threshold", ratio(c("tp"), c("pred")).alias("precision"), ratio(c("tp"), c("pos")).alias("recall"), ratio(2 * c("tp"), c("pred") + c("pos")).alias("f1"), (c("pred") / c("n")).alias("predicted_rate"))
+    return one.select("n", "pos", each.alias("x")).select("n", "pos", "x.*").select("threshold", ratio(c("tp"), c("pred")).alias("precision"), ratio(c("tp"), c("pos")).alias("recall"), ratio(2 * c("tp"), c("pred") + c("pos")).alias("f1"), F.try_divide("pred", "n").alias("predicted_rate"))
 
 
 def calibration_bins(scores: DataFrame, bins: int = 10) -> DataFrame:
