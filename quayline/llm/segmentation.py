@@ -15,6 +15,7 @@ The vocabulary file has merge ranks, not probabilities; Zipf's law makes them lo
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ from .pretokens import Table
 
 SAMPLES, ALPHA = 3, 1.0
 #: Bytes of text whose lattice is held at once.
-LATTICE_BYTES = 600_000
+LATTICE_BYTES = 1_500_000
 BLANK, LITERAL = 0x2581, 0x10FFFF  # the vocabulary's blank; what a blank sign in a text itself is taken for
 
 
@@ -130,10 +131,17 @@ def _edges(flat: np.ndarray, last: np.ndarray, longest: int, v: Vocabulary) -> t
         piece = v.table.get(tv.mix((total[live + k] - total[live]) * down[live] + tv.U(k)))
         has = piece >= 0
         found.append((live[has], k, piece[has]))
-    state, piece = np.concatenate([f[0] for f in found]), np.concatenate([f[2] for f in found])
-    length = np.concatenate([np.full(len(f[0]), f[1]) for f in found])
-    order = np.argsort(state * 32 + length, kind="stable")
-    return state[order], length[order], piece[order]
+    counts = np.zeros(s + 1, np.int64)
+    for state, _, _ in found:
+        counts[state + 1] += 1
+    offset = np.cumsum(counts)
+    out = np.empty((3, offset[-1]), np.int64)
+    free = offset[:-1].copy()
+    for state, k, piece in found:
+        at = free[state]
+        out[0, at], out[1, at], out[2, at] = state, k, piece
+        free[state] += 1
+    return out[0], out[1], out[2]
 
 
 def lattice(texts: list[str], v: Vocabulary, alpha: float) -> Lattice:
@@ -152,7 +160,7 @@ def lattice(texts: list[str], v: Vocabulary, alpha: float) -> Lattice:
     after = state + length
     inside = after < last[state]
     left = (last - np.arange(s))[state]
-    order = np.argsort(left, kind="stable")  # backward sums: the states nearest to their words' ends first
+    order = np.argsort(left.astype(np.uint16) if longest < 1 << 16 else left, kind="stable")  # backward sums: the states nearest to their words' ends first
     cuts = np.searchsorted(left[order], np.arange(1, longest + 2))
     mass = np.zeros(s)
     for r in range(longest):
@@ -174,14 +182,32 @@ def lattice(texts: list[str], v: Vocabulary, alpha: float) -> Lattice:
     return Lattice(offset, state, length, piece, share, log_share, upto, last, base[of], np.searchsorted(ends, start, side="right"))
 
 
-def draws(seed: np.ndarray | int, path: int, at: np.ndarray, step: int) -> np.ndarray:
-    """Uniform numbers in (0, 1) fixed by a row's key, a path, a place and a step."""
-    with np.errstate(over="ignore"):
-        x = tv.mix(np.asarray(seed).astype(tv.U) + tv.U(path * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        x = tv.mix(x + at.astype(tv.U) * tv.U(0xD1342543DE82EF95) + tv.U(step))
+_PATH, _PLACE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA24BAED4963EE407
+_MASK = (1 << 64) - 1
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> tv.U(12)).astype(np.float64) + 0.5) / (1 << 52)
 
 
+def _key(seed: int, path: int) -> int:
+    """What all draws of a row's path start from."""
+    x = (seed + path * _PATH) & _MASK
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
+    return x ^ (x >> 31)
+
+
+def draw(key: int, place: int, step: int) -> float:
+    """A uniform number in (0, 1) fixed by a row's key and path, a place and a step."""
+    return ((_key(key + place * _PLACE + step * _STEP, 0) >> 12) + 0.5) / (1 << 52)
+
+
+def draws(key: int, places: np.ndarray, step: int) -> np.ndarray:
+    """draw() for many places."""
+    return _uniform(tv.mix(places.astype(tv.U) * tv.U(_PLACE) + tv.U((key + step * _STEP) & _MASK)))
+
+
 def _edge(lat: Lattice, state: np.ndarray, u: np.ndarray) -> np.ndarray:
     """The edge of each state that a uniform number falls on."""
     edge, more = lat.offset[state], np.arange(len(state))
@@ -191,12 +217,23 @@ def _edge(lat: Lattice, state: np.ndarray, u: np.ndarray) -> np.ndarray:
     return edge
 
 
-def _walk(lat: Lattice, seeds: np.ndarray, place: np.ndarray, path: int) -> tuple[np.ndarray, np.ndarray]:
-    """An independent segmentation of every word: the edges taken, and where each word's begin."""
+@dataclass
+class _Walk:
+    """An independent segmentation of every word: the edges taken, their pieces and log probabilities, and where each word's begin."""
+
+    edges: np.ndarray
+    first: np.ndarray
+    pieces: np.ndarray
+    logs: np.ndarray
+    upto: np.ndarray
+
+
+def _walk(lat: Lattice, keys: np.ndarray, place: np.ndarray) -> _Walk:
     live, state, step = np.arange(len(lat.word)), lat.word.copy(), 0
+    base = keys[lat.doc] + place.astype(tv.U) * tv.U(_PLACE)
     whose, edges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(live):
-        edge = _edge(lat, state, draws(seeds[live], path, place[live], step))
+        edge = _edge(lat, state, _uniform(tv.mix(base[live] + tv.U(step * _STEP & _MASK))))
         whose.append(live)
         edges.append(edge)
         state = state + lat.length[edge]
@@ -206,90 +243,103 @@ def _walk(lat: Lattice, seeds: np.ndarray, place: np.ndarray, path: int) -> tupl
     first = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(lat.word)))])
     out = np.empty(len(who), np.int64)
     out[first[who] + np.repeat(np.arange(len(whose)) - 1, list(map(len, whose)))] = np.concatenate(edges)
-    return out, first
+    logs = lat.log_share[out]
+    return _Walk(out, first, lat.piece[out], logs, np.concatenate([[0.0], np.cumsum(logs)]))
 
 
 def _cut_gumbel(mass: np.ndarray, most: float, u: np.ndarray) -> np.ndarray:
     """Gumbel variables around log masses, given that they are below most."""
-    with np.errstate(divide="ignore", over="ignore"):
-        g = mass - np.log(-np.log(u))
-        return np.where(np.isneginf(mass), -np.inf, -np.logaddexp(-most, -g))
+    return np.where(np.isneginf(mass), -np.inf, -np.logaddexp(-most, np.log(-np.log(u)) - mass))
 
 
 @dataclass
 class _Path:
-    """Edges of a segmentation: those of its parent up to a step, its own through that step's word, then a walk's."""
+    """Edges of a segmentation: a head (its parent's up to a step, then its own through that step's word), then a walk's."""
 
-    edges: np.ndarray
+    head: np.ndarray
     parent: _Path | None
     step: int
-    own: int
     word: int  # of the step
-    first: np.ndarray  # the walk's, of the words after that
+    walk: _Walk
+    begin: int  # in the walk
+    stop: int
     value: float
-    before: np.ndarray  # log probability of what comes before each of the first steps
-    bound: np.ndarray  # of the sets that the path passes by at the first steps
+    near: np.ndarray  # the first edges, and the log probability of what comes before each
+    before: np.ndarray
+    bound: np.ndarray  # of the sets that the path passes by at these edges
     log_prob: float
 
     def word_of(self, i: int) -> int:
         if i < self.step:
             return self.parent.word_of(i)
-        if i < self.step + self.own:
+        if i < len(self.head):
             return self.word
-        return int(np.searchsorted(self.first, self.first[self.word + 1] + i - self.step - self.own, side="right")) - 1
+        return int(np.searchsorted(self.walk.first, self.begin + i - len(self.head), side="right")) - 1
 
 
 #: Sets whose log mass is below this are not in the agenda: all others hold 1 - exp(FAINT) of the mass, which is 1 in doubles.
 FAINT = -60.0
+#: Edges after the head that are looked at at first; more follow while what comes before them is not faint.
+NEAR = 128
 
 
-def _search(lat: Lattice, walks: list, lo: int, hi: int, seed: int, k: int) -> tuple[list[_Path], float]:
+def _path(lat: Lattice, walk: _Walk, hi: int, key: int, parent: _Path | None, step: int, own: list[int], word: int, value: float) -> _Path:
+    head = np.concatenate([parent.near[:step], np.array(own, np.int64)]) if parent else np.zeros(0, np.int64)
+    begin, stop, more = int(walk.first[word + 1]), int(walk.first[hi]), NEAR
+    logs = lat.log_share[head]
+    while True:
+        some = np.concatenate([logs, walk.logs[begin : min(begin + more, stop)]])
+        before = np.concatenate([[0.0], np.cumsum(some)])
+        if before[-1] < FAINT or begin + more >= stop:
+            break
+        more *= 2
+    before = before[:-1][before[:-1] >= FAINT]
+    near = np.concatenate([head, walk.edges[begin : min(begin + more, stop)]])[: len(before)]
+    q = lat.share[near]
+    bound = _cut_gumbel(before + np.log(np.maximum(1 - q, 0.0) * (q < 1)), value, draws(key, np.arange(len(near)), 1))
+    bound[: step + 1 if parent else 0] = -np.inf
+    return _Path(head, parent, step, word, walk, begin, stop, value, near, before, bound, float(logs.sum() + walk.upto[stop] - walk.upto[begin]))
+
+
+def _search(lat: Lattice, walks: list[_Walk], lo: int, hi: int, seed: int, k: int) -> tuple[list[_Path], float]:
     """The k best paths of the text whose words are lo to hi, and the next perturbed value."""
-    paths: list[_Path] = []
     taken: dict[tuple[int, int], set[int]] = {}  # edges that are gone at a step of a path, its own too
-
-    def add(parent: _Path | None, step: int, own: list[int], word: int, value: float) -> None:
-        walk, first = walks[len(paths)]
-        edges = np.concatenate([parent.edges[:step] if parent else walk[:0], np.array(own, np.int64), walk[first[word + 1] : first[hi]]])
-        logs = lat.log_share[edges]
-        before = np.concatenate([[0.0], np.cumsum(logs)])
-        near = before[:-1] if before[-1] >= FAINT else before[: int(np.argmax(before < FAINT))]
-        q = lat.share[edges[: len(near)]]
-        with np.errstate(divide="ignore"):
-            rest = near + np.log(np.maximum(1 - q, 0.0) * (q < 1))
-        bound = _cut_gumbel(rest, value, draws(seed, k + 1 + len(paths), np.arange(len(near)), 1))
-        bound[: step + 1 if parent else 0] = -np.inf
-        paths.append(_Path(edges, parent, step, len(own), word, first, value, near, bound, float(before[-1])))
-
-    add(None, 0, [], lo - 1, float(-np.log(-np.log(draws(seed, 0, np.zeros(1), 9)[0]))))
+    top = -math.log(-math.log(draw(_key(seed, 3 * k), 0, 0)))
+    paths = [_path(lat, walks[0], hi, _key(seed, k), None, 0, [], lo - 1, top)]
     while True:
         tops = [(p.bound.max() if len(p.bound) else -np.inf) for p in paths]
         j = int(np.argmax(tops))
         if len(paths) == k or tops[j] == -np.inf:
             return paths, tops[j]
         p, n, value = paths[j], len(paths), float(tops[j])
+        key = _key(seed, 2 * k + n)
         i = int(np.argmax(p.bound))
-        gone = taken.setdefault((j, i), {int(p.edges[i])})
-        here = int(lat.state[p.edges[i]])
-        share = lat.share[lat.offset[here] : lat.offset[here + 1]].copy()
-        share[np.array(list(gone)) - lat.offset[here]] = 0
-        u = draws(seed, 2 * k + 2 + n, np.arange(2), 2)
-        edge = int(np.searchsorted(np.cumsum(share), u[0] * share.sum()))
-        edge = edge if share[edge] > 0 else int(np.argmax(share))
-        share[edge] = 0
-        edge += int(lat.offset[here])
+        gone = taken.setdefault((j, i), {int(p.near[i])})
+        here = int(lat.state[p.near[i]])
+        low, high = int(lat.offset[here]), int(lat.offset[here + 1])
+        left = [e for e in range(low, high) if e not in gone]
+        shares = [float(lat.share[e]) for e in left]
+        x, edge = draw(key, 0, 0) * sum(shares), left[-1]
+        for e, share in zip(left, shares, strict=True):
+            x -= share
+            if x <= 0 and share > 0:
+                edge = e
+                break
         gone.add(edge)
-        rest = np.log(share.sum()) if share.any() else -np.inf
-        p.bound[i] = _cut_gumbel(np.array([p.before[i] + rest]), value, u[1:2])[0]
+        rest = sum(share for e, share in zip(left, shares, strict=True) if e != edge)
+        p.bound[i] = _cut_gumbel(np.array([p.before[i] + math.log(rest)]), value, np.array([draw(key, 0, 1)]))[0] if rest else -np.inf
         own, state = [edge], here + int(lat.length[edge])
         while state < lat.stop[here]:
-            own.append(int(_edge(lat, np.array([state]), draws(seed, 2 * k + 2 + n, np.array([len(own) + 1]), 3))[0]))
-            state += int(lat.length[own[-1]])
-        add(p, i, own, p.word_of(i), value)
+            u, e = draw(key, len(own), 2), int(lat.offset[state])
+            while lat.upto[e] < u:
+                e += 1
+            own.append(e)
+            state += int(lat.length[e])
+        paths.append(_path(lat, walks[n], hi, _key(seed, k + n), p, i, own, p.word_of(i), value))
 
 
 def _ids(lat: Lattice, p: _Path, v: Vocabulary) -> np.ndarray:
-    ids = lat.piece[p.edges]
+    ids = np.concatenate([lat.piece[p.head], p.walk.pieces[p.begin : p.stop]])
     odd = np.flatnonzero(ids < -1)
     if not len(odd):
         return ids
@@ -307,11 +357,11 @@ def sample(texts: list[str], seeds: np.ndarray, v: Vocabulary, k: int = SAMPLES,
     lat = lattice(texts, v, alpha)
     first = np.searchsorted(lat.doc, np.arange(len(texts) + 1))
     place = np.arange(len(lat.word)) - first[lat.doc]
-    walks = [_walk(lat, seeds[lat.doc], place, j) for j in range(k)]
     out = []
-    for d in range(len(texts)):
-        paths, threshold = _search(lat, walks, int(first[d]), int(first[d + 1]), int(seeds[d]), k)
-        with np.errstate(over="ignore", divide="ignore"):
+    with np.errstate(over="ignore", divide="ignore"):
+        walks = [_walk(lat, tv.mix(seeds + tv.U(j * _PATH & _MASK)), place) for j in range(k)]
+        for d in range(len(texts)):
+            paths, threshold = _search(lat, walks, int(first[d]), int(first[d + 1]), int(seeds[d]), k)
             out.append([(_ids(lat, p, v), p.log_prob, p.value, float(np.log(-np.expm1(-np.exp(p.log_prob - threshold))))) for p in paths])
     return out
 
