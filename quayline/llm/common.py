@@ -62,12 +62,6 @@ def same_row(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}._h") == F.col(f"{b}._h"))
 
 
-def spread(df: DataFrame, least: int = 2) -> DataFrame:
-    """df in at least a few partitions a core if it came in fewer than the cluster's default parallelism."""
-    n = df.sparkSession.sparkContext.defaultParallelism * least
-    return df.repartition(n) if df.rdd.getNumPartitions() < n // least else df
-
-
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch, in batches of ARROW_ROWS rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
