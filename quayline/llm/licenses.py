@@ -22,6 +22,8 @@ from . import textvec as tv
 from .common import arrow_map, column, pieces
 
 SHINGLE, BANDS, CONTAINED = 5, 32, 0.8
+#: Bytes of text whose bands are taken at once: their arrays stay in a core's cache.
+SCAN_BYTES = 300_000
 
 #: Fixed values: (license, text) of notices as they are commonly written.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -50,6 +52,11 @@ def _shingles(w: tv.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, there
 
 
+def _band(hashes: np.ndarray, b: int) -> np.ndarray:
+    """A band's order of shingles: hashes are mixed already, so a product with an odd number (one for each band) will do."""
+    return hashes * (tv.mix(np.full(1, b + 1, tv.U)) | tv.U(1))
+
+
 class Matcher:
     """Templates by shingle size and size class, with the minimum hashes of each."""
 
@@ -62,7 +69,7 @@ class Matcher:
                 k = min(SHINGLE, n)
                 s = np.unique(tv.grams(w.hash[a : a + n], k) ^ tv.U(k))
                 self.classes.setdefault((k, len(s).bit_length() - 1), []).append((i, s))
-        self.least = {key: [np.stack([tv.mix(s ^ tv.U(b + 1)).min() for b in range(bands)]) for _, s in ts] for key, ts in self.classes.items()}
+        self.least = {key: [np.stack([_band(s, b).min() for b in range(bands)]) for _, s in ts] for key, ts in self.classes.items()}
 
     def find(self, w: tv.Words) -> list[tuple[int, int, int, int, int]]:
         """(text, template, shingles found, first word, last word + 1) of each window that holds CONTAINED of a template."""
@@ -70,18 +77,23 @@ class Matcher:
         first, counts = w.first, w.counts
         for k in sorted({k for k, _ in self.classes}):
             hashes, there = _shingles(w, k)
-            kinds = [c for size, c in self.classes if size == k]
+            kinds = sorted(c for size, c in self.classes if size == k)
+            none = np.flatnonzero(~there)
             begins = {c: _begins(first, np.maximum(counts - k + 1, 0), 1 << c) for c in kinds}
+            steps, same = {}, {}
+            for c, finer in zip(kinds, [None, *kinds], strict=False):  # blocks are made of the next finer class's
+                steps[c] = begins[c] if finer is None else np.searchsorted(begins[finer], begins[c])
+                doc = w.doc[begins[c]]
+                same[c] = [doc[far:] == doc[: max(len(doc) - far, 0)] for far in (1, 2)]  # windows of three blocks of the same text
             met: dict[int, set[tuple[int, int]]] = {c: set() for c in kinds}
-            for b in range(self.bands if len(hashes) else 0):
-                least = np.where(there, tv.mix(hashes ^ tv.U(b + 1)), ~tv.U(0))
+            for b in range(self.bands if len(begins[kinds[0]]) else 0):
+                block = _band(hashes, b)
+                block[none] = ~tv.U(0)
                 for c in kinds:
-                    begin = begins[c]
-                    block = least[begin] if c == 0 else np.minimum.reduceat(least, begin) if len(begin) else least[:0]
+                    block = np.minimum.reduceat(block, steps[c])
                     window = block.copy()
-                    for far in (1, 2):  # windows of three blocks of the same text
-                        same = w.doc[begin[far:]] == w.doc[begin[: len(begin) - far]]
-                        window[: len(same)] = np.where(same, np.minimum(window[: len(same)], block[far:]), window[: len(same)])
+                    for far, one in enumerate(same[c], 1):
+                        np.minimum(window[: len(one)], block[far:], out=window[: len(one)], where=one)
                     for j, mins in enumerate(self.least[k, c]):
                         met[c].update((int(i), j) for i in np.flatnonzero(window == mins[b]))
             for c in kinds:
@@ -114,7 +126,7 @@ _FOUND = pa.list_(pa.struct([("template", pa.int32()), ("shingles", pa.int32()),
 
 def _scanned(batch: pa.RecordBatch, templates: tuple[tuple[str, str], ...], bands: int) -> Iterator[pa.RecordBatch]:
     m = matcher(templates, bands)
-    for part in pieces(batch, "text"):
+    for part in pieces(batch, "text", SCAN_BYTES):
         rows: list[list[dict]] = [[] for _ in range(part.num_rows)]
         for d, t, n, a, z in m.find(tv.words(column(part, "text"), tv.ALNUM)):
             rows[d].append({"template": t, "shingles": n, "start": a, "stop": z})
