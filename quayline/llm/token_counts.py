@@ -1,7 +1,7 @@
 """Token counts by a two-tier look-up on the map side, without a shuffle of pre-tokens.
 
 Tier one is a compact hash table, broadcast once, from the hashes of frequent pre-tokens to their numbers of
-tokens. It is fitted on a bounded sample of rows and only saves time. What it misses goes through a cache in
+tokens. It is fitted on the first SAMPLE_ROWS rows of each partition and only saves time. What it misses goes through a cache in
 each Python worker, which encodes a pre-token with the tokenizers library when it first sees it.
 """
 
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from . import pretokens as pt
 from .common import arrow_map, column, pieces
 
-#: Rows on which tier one is fitted, and the pre-tokens that it holds at most.
-SAMPLE_ROWS, FREQUENT = 2_000, 65_536
+#: Rows of each partition on which tier one is fitted, and the pre-tokens that it holds at most.
+SAMPLE_ROWS, FREQUENT = 64, 65_536
 
 
 def _texts(part: pa.RecordBatch) -> list[str]:
@@ -37,8 +37,9 @@ def _fit(batch: pa.RecordBatch, path: str) -> Iterator[pa.RecordBatch]:
 
 
 def frequent(documents: DataFrame, path: str) -> pt.Table:
-    """Tier one; at most FREQUENT rows come to the driver."""
-    found = arrow_map(documents.select("text").limit(SAMPLE_ROWS), lambda b: _fit(b, path), "hash bigint, tokens bigint, n bigint").groupBy("hash").agg(F.first("tokens").alias("tokens"), F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
+    """Tier one; at most FREQUENT rows come to the driver. The sample's rows stay where they are: a limit would bring all partitions' first rows to one task."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    found = arrow_map(documents.select("text", place.alias("_place")).where(F.col("_place") < SAMPLE_ROWS).select("text"), lambda b: _fit(b, path), "hash bigint, tokens bigint, n bigint").groupBy("hash").agg(F.first("tokens").alias("tokens"), F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
     out = pt.Table(18)
     out.put(np.array([r.hash for r in found], np.int64).view(np.uint64), np.array([r.tokens for r in found], np.int64))
     return out
