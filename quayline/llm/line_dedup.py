@@ -6,8 +6,9 @@ deleted where it occurs again.
 
 Fingerprints are the minima of all windows of two line hashes, and every line of WORDS words: each qualifying run
 holds one. Fingerprints that occur once are done with. Around the others a match is extended both ways by the
-shortest qualifying runs that hold the fingerprint: the first occurrence of each such run stays, later ones go, and
-as these runs overlap, together they cover a longer match to its ends.
+shortest qualifying runs that hold the fingerprint, from each line on and up to each line: the first occurrence of
+each such run stays, later ones go. Those from a line on cover a longer match from its left end, those up to a line
+cover what is left at its right end. Without both_ends only the former are taken, as the SQL of op2_line_dedup has it.
 """
 
 from __future__ import annotations
@@ -65,32 +66,34 @@ def _fingerprints(batch: pa.RecordBatch, words: int) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), column(batch, "doc_id").take(of), column(batch, "_h").take(of), pa.array((at - first[doc[at]]).astype(np.int32))], ["fp", "doc_id", "_h", "line"])
 
 
-def _runs(batch: pa.RecordBatch, lines: int, words: int) -> Iterator[pa.RecordBatch]:
-    """The shortest qualifying run from each line on, where it holds a line of hits."""
+def _runs(batch: pa.RecordBatch, lines: int, words: int, both_ends: bool) -> Iterator[pa.RecordBatch]:
+    """The shortest qualifying run from each line on, and with both_ends up to each line, where it holds a line of hits."""
     hashes, n, doc, places = _flat(batch, "hashes").view(tv.U), _flat(batch, "words").astype(np.int64), _owners(batch), _flat(batch, "places")
     m = len(hashes)
     first = np.searchsorted(doc, np.arange(batch.num_rows))
     hit = np.zeros(m + lines, np.int64)
     hit[first[_owners(batch, "hits")] + _flat(batch, "hits")] = 1
     upto, hits = np.concatenate([[0], np.cumsum(n), np.zeros(lines, np.int64)]), np.concatenate([[0], np.cumsum(hit)])
-    length, key = np.zeros(m, np.int64), np.zeros(m, tv.U)
+    begun, ended, found = np.zeros(m, bool), np.zeros(m, bool), []
     for size in range(1, lines + 1):
         k = m - size + 1
         if k <= 0:
             break
         i = np.arange(k)
-        enough = tv.together(doc, size) & (length[:k] == 0) & ((upto[i + size] - upto[i] >= words) | (size == lines))
-        got = np.flatnonzero(enough)
-        length[got] = size
-        key[got] = tv.mix(tv.grams(hashes, size)[got] ^ tv.U(size))
-    at = np.flatnonzero(length)
-    at = at[hits[at + length[at]] > hits[at]]
+        enough = tv.together(doc, size) & ((upto[i + size] - upto[i] >= words) | (size == lines))
+        got = np.flatnonzero(enough & (~begun[:k] | (~ended[size - 1 :] if both_ends else False)))
+        found.append((got, np.full(len(got), size), tv.mix(tv.grams(hashes, size)[got] ^ tv.U(size))))
+        begun[:k] |= enough
+        ended[size - 1 :] |= enough
+    at, length, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    near = hits[at + length] > hits[at]
+    at, length, key = at[near], length[near], key[near]
     of = pa.array(doc[at])
-    covered = ragged(places[np.repeat(at - np.cumsum(length[at]) + length[at], length[at]) + np.arange(length[at].sum())], length[at], pa.int32())
-    yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), column(batch, "doc_id").take(of), column(batch, "_h").take(of), pa.array(places[at]), covered], ["key", "doc_id", "_h", "place", "covered"])
+    covered = ragged(places[np.repeat(at - np.cumsum(length) + length, length) + np.arange(length.sum())], length, pa.int32())
+    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), column(batch, "doc_id").take(of), column(batch, "_h").take(of), pa.array(places[at]), covered], ["key", "doc_id", "_h", "place", "covered"])
 
 
-def repeated_lines(documents: DataFrame, lines: int = LINES, words: int = WORDS) -> DataFrame:
+def repeated_lines(documents: DataFrame, lines: int = LINES, words: int = WORDS, both_ends: bool = True) -> DataFrame:
     """doc_id, _h (of the text), gone: the places of the lines to delete, for each text that has any.
 
     Null texts and texts without words have no lines. Rows with the same doc_id and text are one document. Null ids
@@ -103,7 +106,7 @@ def repeated_lines(documents: DataFrame, lines: int = LINES, words: int = WORDS)
     again = prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     hits = prints.join(again, "fp").groupBy("doc_id", "_h").agg(F.array_sort(F.collect_set("line")).alias("hits"))
     near = rows.alias("r").join(hits.alias("x"), same_row("r", "x")).select("r.*", "x.hits").dropDuplicates(["doc_id", "_h"])
-    runs = written(arrow_map(near, lambda b: _runs(b, lines, words), f"key bigint, doc_id {kind}, _h bigint, place int, covered array<int>"), "runs")
+    runs = written(arrow_map(near, lambda b: _runs(b, lines, words, both_ends), f"key bigint, doc_id {kind}, _h bigint, place int, covered array<int>"), "runs")
     where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h", "place")
     first = runs.groupBy("key").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     later = runs.join(first, "key").where(where != F.col("first"))
@@ -121,13 +124,13 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([cut(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
 
-def dedup_lines(documents: DataFrame, lines: int = LINES, words: int = WORDS) -> DataFrame:
+def dedup_lines(documents: DataFrame, lines: int = LINES, words: int = WORDS, both_ends: bool = True) -> DataFrame:
     """documents with all their columns, text without later repeated runs, and _n_lines and _n_removed.
 
     Every row stays, with an empty text if all its lines went; a null text stays null, with no lines. An n_chars
     column, if there is one, follows the new text. An empty table stays empty. See repeated_lines.
     """
-    gone = written(repeated_lines(documents, lines, words), "repeated")
+    gone = written(repeated_lines(documents, lines, words, both_ends), "repeated")
     rows = keyed(documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row"), "doc_id", "text"), "text").alias("d")
     out = rows.join(small_side(gone, gone.count(), FEW_DOCS).alias("g"), same_row("d", "g"), "left")
     text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(_without(F.when(F.col("g.gone").isNotNull(), F.col("d.text")), F.col("g.gone")))

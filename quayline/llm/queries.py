@@ -31,7 +31,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents"), both_ends=False)  # as OP2_SQL, which takes the shortest run from each line on only
     return out.select("doc_id", "text", out["_n_lines"].alias("n_lines"), out["_n_removed"].alias("n_removed"))
 
 
