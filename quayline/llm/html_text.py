@@ -46,6 +46,7 @@ ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "a": (frozenset(["a"]), frozenset("td th table".split())),
     "body": (frozenset(["head"]), frozenset()),
 }
+_GRID = frozenset("tr td th thead tbody tfoot".split())
 _P_SCOPE = frozenset("button td th caption table object".split())
 _END_SCOPE = frozenset("table td th caption".split())
 _P_ENDERS = SPACED | frozenset("div section article aside nav header footer main address form details center figcaption li dt dd".split())
@@ -218,50 +219,89 @@ class _Lines:
         self.margin |= spaced
 
 
-def _rows(table: Node, hidden: frozenset[str]) -> list[list[Node]]:
-    """The rows of a table, not of tables in it."""
-    out, todo = [], [table]
-    while todo:
-        node = todo.pop(0)
-        for c in node.children:
-            if isinstance(c, Node) and seen(c, hidden):
-                if c.tag == "tr":
-                    out.append([x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th") and seen(x, hidden)])
-                elif c.tag in ("thead", "tbody", "tfoot"):
-                    out += _rows(c, hidden)
-    return out
+def _has_cells(node: Node) -> bool:
+    """Whether an element holds rows or cells of the table around it."""
+    return node.tag != "table" and any(isinstance(c, Node) and (c.tag in _GRID or _has_cells(c)) for c in node.children)
+
+
+def _grid(node: Node, hidden: frozenset[str], rows: list[tuple[int, list[Node]]], row: list[Node] | None = None, group: int = 0) -> list[Node | str]:
+    """Adds the rows below a table, with their groups, to rows; returns what is misplaced around the cells.
+
+    Elements such as forms that stand between a table and its cells are looked through. Nested tables are not.
+    """
+    loose: list[Node | str] = []
+    for c in node.children:
+        if isinstance(c, str):
+            loose.append(c)
+        elif not seen(c, hidden):
+            continue
+        elif c.tag in ("td", "th"):
+            if row is None:
+                rows.append((group, row := []))
+            row.append(c)
+        elif c.tag == "tr":
+            rows.append((group, new := []))
+            loose += _grid(c, hidden, rows, new, group)
+        elif c.tag in _GRID:
+            loose += _grid(c, hidden, rows, None, id(c))
+        elif _has_cells(c):
+            rest = _grid(c, hidden, rows, row, group)
+            if any(isinstance(x, Node) or x.strip() for x in rest):
+                loose.append(Node(c.tag, c.attributes, rest))
+        else:
+            loose.append(c)
+    return loose
+
+
+def _span(cell: Node, name: str) -> int:
+    """A cell's colspan or rowspan; a rowspan of 0 reaches to the end of its group."""
+    n = re.match(r"\s*(\d{1,9})", cell.attributes.get(name, ""))
+    return max(0 if name == "rowspan" else 1, min(int(n[1]), 1000)) if n else 1
 
 
 def _table(out: _Lines, table: Node, hidden: frozenset[str]) -> None:
-    for c in table.children:  # captions, and what is misplaced between rows
+    rows: list[tuple[int, list[Node]]] = []
+    for c in _grid(table, hidden, rows):  # captions, and what is misplaced around cells
         if not isinstance(c, Node):
             out.text(c, False)
-        elif c.tag not in ("tr", "thead", "tbody", "tfoot"):
+        else:
             out.block(False)
             _render(out, c, hidden, False)
     out.block(False)
-    cells = [[(cell, render(cell, hidden)) for cell in row] for row in _rows(table, hidden)]
-    if any(len(t) > CELL or "\n\n" in t for row in cells for _, t in row):
-        for row in cells:
+    cells = [(group, [(cell, render(cell, hidden)) for cell in row]) for group, row in rows]
+    if any(len(t) > CELL or "\n\n" in t for _, row in cells for _, t in row):
+        for _, row in cells:
             for _, t in row:
                 for line in t.split("\n"):
                     out.text(line, True)
                     out.line()
         return
-    flat = [[(t.replace("\n", " "), int(c.attributes.get("colspan", "1")) if c.attributes.get("colspan", "1").isdecimal() else 1) for c, t in row] for row in cells]
+    placed: list[list[tuple[int, int, str]]] = []
     widths: dict[int, int] = {}
-    for row in flat:
-        at = 0
-        for t, span in row:
+    taken: dict[int, float] = {}  # columns that a cell from above reaches into, and for how many rows
+    last = None
+    for group, row in cells:
+        if group != last:
+            taken, last = {}, group
+        new, at = {}, 0
+        placed.append([])
+        for cell, t in row:
+            while at in taken:
+                at += 1
+            span, down = _span(cell, "colspan"), _span(cell, "rowspan") or float("inf")
             if span == 1:
-                widths[at] = max(widths.get(at, 0), len(t))
-            at += max(1, min(span, 1000))
-    for row in flat:
-        at, line = 0, []
-        for t, span in row:
-            span = max(1, min(span, 1000))
-            line.append(t.ljust(sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)))
+                widths[at] = max(widths.get(at, 0), len(t.replace("\n", " ")))
+            placed[-1].append((at, span, t.replace("\n", " ")))
+            if down > 1:
+                new |= dict.fromkeys(range(at, at + span), down)
             at += span
+        taken = {c: n - 1 for c, n in (taken | new).items() if n > 1}
+    for row in placed:
+        to, line = 0, []
+        for at, span, t in row:
+            line += [" " * widths.get(i, 0) for i in range(to, at)]
+            line.append(t.ljust(sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)))
+            to = at + span
         out.text("  ".join(line), True)
         out.line()
 

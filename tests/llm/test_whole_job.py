@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+from quayline.llm import html_text
 from quayline.llm.line_dedup import dedup_lines
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,3 +33,26 @@ def test_line_dedup_reaches_both_ends_of_a_match(spark):
     out = {x.doc_id: (x.text, x["_n_removed"]) for x in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert out == {d: ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())), len(gone.get(d, ()))) for d, t in rows}
     assert [out[d][1] for d in (1, 2, 11, 12)] == [3, 3, 3, 3]
+
+
+def test_html_tables_keep_misplaced_text():
+    text = html_text.visible_text
+    assert text("<table><tr>stray<td>a</table>") == "stray\na"
+    assert text("<table><tr><form><td>x</td><td>y</td></form></tr></table>") == "x  y"
+    assert text("<table><form><tr><td>x<td>y</tr></form></table>") == "x  y"
+    assert text("<table><tbody>in body<tr><td>a</td><b>bold</b></tr></table>") == "in body\nbold\na"
+    assert text("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert text("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert text("<table><tr><td colspan=" + "9" * 5000 + ">a</table>") == "a"
+    r = random.Random(4)
+    tags = ["table", "tr", "td", "th", "tbody", "thead", "form", "div", "b", "caption", "p", "li", "ul"]
+    for _ in range(3000):
+        page, words = ["<table>"], []
+        for i in range(r.randint(1, 25)):
+            tag = r.choice(tags)
+            page.append(r.choice([f"<{tag}>", f"<{tag}>", f"</{tag}>"]))
+            if r.random() < 0.5:
+                words.append(f"q{i}z")
+                page.append(f" q{i}z ")
+        got = text("".join(page))
+        assert sorted(re.findall(r"q\d+z", got)) == sorted(words), page
