@@ -3,7 +3,7 @@
 The tree builder closes elements that another start tag ends (paragraphs, list items, cells, rows, options), keeps
 raw text out of the tree, and lets end tags without a start pass. What a browser does not show is left out: the
 head, scripts, templates and the like, the hidden attribute, display:none or visibility:hidden in a style attribute
-or a simple rule of the page's own style sheet, and closed details but for their summary. Blocks begin on lines of
+or a simple rule, for all screens, of the page's own style sheets, and closed details but for their summary. Blocks begin on lines of
 their own, with a blank line around those that have margins; list items are marked and indented; cells of a table
 are padded to columns, unless a cell is longer than CELL, when each cell is a block. Preformatted text keeps blanks.
 """
@@ -54,7 +54,10 @@ _P_ENDERS = SPACED | frozenset("div section article aside nav header footer main
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS_SKIPPED = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')""", re.S)
+_CSS_MARK = re.compile(r"[{};]")
+_CSS_NESTED = re.compile(r"[^;{}]*\{[^{}]*\}")
+_SCREEN = frozenset(["all", "screen", "only all", "only screen"])
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -126,8 +129,8 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 at = found = shut.start() if shut else len(page)
 
 
-def parse(page: str) -> tuple[Node, str]:
-    """The tree of a page, and the text of its style sheets."""
+def parse(page: str) -> tuple[Node, list[str]]:
+    """The tree of a page, and the texts of its style sheets for screens."""
     root, styles = Node("#root"), []
     stack = [root]
 
@@ -152,25 +155,64 @@ def parse(page: str) -> tuple[Node, str]:
             if i and stack[i].tag == tag:
                 del stack[i:]
 
-    opened = ""
+    opened, media = "", ""
     for kind, what, attributes in _tokens(page):
         if kind == "text":
             stack[-1].children.append(html.unescape(what))
         elif kind == "start":
-            opened = what
-            start(what, _attributes(attributes))
+            opened, own = what, _attributes(attributes)
+            media = own.get("media", "")
+            start(what, own)
         elif kind == "end":
             end(what)
         elif opened == "style":
-            styles.append(what)
+            if _on_screen(media):
+                styles.append(what)
         elif opened in ("textarea", "title", "xmp"):
             stack[-1].children.append(what if opened == "xmp" else html.unescape(what))
-    return root, "\n".join(styles)
+    return root, styles
+
+
+def _on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on every screen; one with a condition on its size or the like doesn't count."""
+    return not media.strip() or any(" ".join(q.lower().split()) in _SCREEN for q in media.split(","))
+
+
+def _css_blocks(css: str) -> Iterator[tuple[str, str]]:
+    """(what stands before, what is in) the outer blocks of a style sheet without comments and strings."""
+    depth, start, opened = 0, 0, 0
+    for m in _CSS_MARK.finditer(css):
+        if m[0] == "{":
+            if not depth:
+                opened = m.start()
+            depth += 1
+        elif m[0] == "}":
+            depth = max(depth - 1, 0)
+            if not depth:
+                if opened >= start:
+                    yield css[start:opened].strip(), css[opened + 1 : m.start()]
+                start, opened = m.end(), -1
+        elif not depth:
+            start, opened = m.end(), -1
+    if depth:
+        yield css[start:opened].strip(), css[opened + 1 :]
 
 
 def hiding_rules(styles: str) -> frozenset[str]:
-    """Simple selectors (tag, .class, #id) that a style sheet hides."""
-    return frozenset(s.strip() for selectors, body in _RULE.findall(styles) if _HIDES.search(body) for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip()))
+    """Simple selectors (tag, .class, #id) that a style sheet hides on any screen; rules under conditions are passed over."""
+    out, todo = set(), [_CSS_SKIPPED.sub(lambda m: '""' if m[1] else " ", styles)]
+    while todo:
+        for before, inside in _css_blocks(todo.pop()):
+            if before.startswith("@"):
+                at = re.fullmatch(r"@(media|layer)\b(.*)", before, re.S | re.I)
+                if at and (at[1].lower() == "layer" or _on_screen(at[2])):
+                    todo.append(inside)
+                continue
+            while (own := _CSS_NESTED.sub("", inside)) != inside:
+                inside = own
+            if _HIDES.search(inside):
+                out |= {s.strip() for s in before.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
+    return frozenset(out)
 
 
 def seen(node: Node, hidden: frozenset[str]) -> bool:
@@ -361,7 +403,7 @@ def render(node: Node, hidden: frozenset[str] = frozenset()) -> str:
 
 def visible_text(page: str) -> str:
     root, styles = parse(page)
-    return render(root, hiding_rules(styles))
+    return render(root, frozenset().union(*map(hiding_rules, styles)))
 
 
 def _extracted(batch: pa.RecordBatch, carried: list[str]) -> Iterator[pa.RecordBatch]:

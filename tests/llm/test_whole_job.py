@@ -56,3 +56,19 @@ def test_html_tables_keep_misplaced_text():
                 page.append(f" q{i}z ")
         got = text("".join(page))
         assert sorted(re.findall(r"q\d+z", got)) == sorted(words), page
+
+
+def test_html_hides_only_what_every_screen_hides():
+    shown = lambda css, attributes="": html_text.visible_text(f"<style{attributes}>{css}</style><p class=a>one<p id=b>two<table><tr><td>three</table>").split()
+    assert shown("@media print{.a{display:none}}") == ["one", "two", "three"]
+    assert shown("@media (max-width:600px){table{display:none} .a{color:red}} #b{display:none}") == ["one", "three"]
+    assert shown("/* .a{display:none} */ #b{display:none}") == ["one", "three"]
+    assert shown("@media only screen, print {.a{display:none}}") == ["two", "three"]
+    assert shown("@supports (x:y){@media screen{.a{display:none}}}") == ["one", "two", "three"]
+    assert shown("@import 'x.css'; .a{display:none}") == ["two", "three"]
+    assert shown("<!-- .a{display:none} -->") == ["two", "three"]
+    assert shown(".x::before{content:'}/*'} .a,#b{display:none}") == ["three"]
+    assert shown(".a{color:red; .c{display:none}} #b{visibility:hidden") == ["one", "three"]
+    assert shown(".a{display:none}", " media=print") == ["one", "two", "three"]
+    assert shown(".a{display:none}", " media='screen, print'") == ["two", "three"]
+    assert shown("}}{} ;{ .a{display:none}") == ["one", "two", "three"]
