@@ -10,12 +10,13 @@ template's shingles within the window; only the exact containment decides.
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -25,7 +26,10 @@ SHINGLE, BANDS, CONTAINED = 5, 32, 0.8
 #: Bytes of text whose bands are taken at once: their arrays stay in a core's cache.
 SCAN_BYTES = 300_000
 
-#: Fixed values: (license, text) of notices as they are commonly written.
+#: Licenses of which the whole text, or BSD's clauses and disclaimer, is a file beside this one.
+WHOLE = ("Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-1.1", "MPL-2.0", "EPL-1.0", "CC0-1.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause")
+
+#: Fixed values: (license, text) of notices as they are commonly written, and whole texts.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
@@ -41,6 +45,26 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("reserved", "All rights reserved."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    *((name, pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()) for name in WHOLE),
 )
 
 
@@ -63,6 +87,7 @@ class Matcher:
     def __init__(self, templates: tuple[tuple[str, str], ...], bands: int) -> None:
         w = tv.words(pa.array([t for _, t in templates], pa.string()), tv.ALNUM)
         self.bands = bands
+        self.most = [max(n - SHINGLE + 1, 1) * 5 // 4 for n in w.counts.tolist()]  # places of an occurrence with some words put in
         self.classes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for i, (n, a) in enumerate(zip(w.counts.tolist(), w.first.tolist(), strict=True)):
             if n:
@@ -72,7 +97,7 @@ class Matcher:
         self.least = {key: [np.stack([_band(s, b).min() for b in range(bands)]) for _, s in ts] for key, ts in self.classes.items()}
 
     def find(self, w: tv.Words) -> list[tuple[int, int, int, int, int]]:
-        """(text, template, shingles found, first word, last word + 1) of each window that holds CONTAINED of a template."""
+        """(text, template, shingles at the best place, first word, last word + 1) of each window that holds CONTAINED of a template."""
         out = []
         first, counts = w.first, w.counts
         for k in sorted({k for k, _ in self.classes}):
@@ -105,10 +130,28 @@ class Matcher:
                     here = np.flatnonzero(np.isin(hashes[a:z], s))
                     n = len(np.unique(hashes[a:z][here]))
                     if n >= CONTAINED * len(s):
-                        out.append((d, t, n, a + int(here[0]) - int(first[d]), a + int(here[-1]) + k - int(first[d])))
+                        n, i, j = _tightest(hashes[a:z][here], here, self.most[t])
+                        out.append((d, t, n, a + i - int(first[d]), a + j + k - int(first[d])))
         return out
 
 
+def _tightest(hashes: np.ndarray, at: np.ndarray, most: int) -> tuple[int, int, int]:
+    """The stretch of up to most places with the most distinct hashes, the shortest of these: their number, its first and last place."""
+    _, kinds = np.unique(hashes, return_inverse=True)
+    have, left, n, best = [0] * len(kinds), 0, 0, (0, 0, 0)
+    kinds, places = kinds.tolist(), at.tolist()
+    for right, kind in enumerate(kinds):
+        n += not have[kind]
+        have[kind] += 1
+        while places[right] - places[left] >= most or have[kinds[left]] > 1:
+            have[kinds[left]] -= 1
+            n -= not have[kinds[left]]
+            left += 1
+        if (n, places[left] - places[right]) > (best[0], best[1] - best[2]):
+            best = n, places[left], places[right]
+    return best
+
+
 def _begins(first: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
     """Where windows begin: every step shingles from each text's first on."""
     blocks = -(-n // step)
@@ -145,7 +188,7 @@ def scan_licenses(documents: DataFrame, templates: tuple[tuple[str, str], ...] =
     """doc_id, found for each row of documents (doc_id, text; other columns are ignored).
 
     found has, for each template of which a window of the text holds a share CONTAINED of the shingles or more, its
-    number, the distinct shingles found at its best place, and that place in words (digits, letters and all beyond
+    number, the distinct shingles found at its best place (a stretch of up to 5/4 of the template), and that place in words (digits, letters and all beyond
     ASCII, A-Z lower-cased). Null and empty texts find nothing; templates without words are left out. Rows come back
     one for one. Templates go to every worker; they are a parameter, not data.
     """
@@ -153,9 +196,28 @@ def scan_licenses(documents: DataFrame, templates: tuple[tuple[str, str], ...] =
     return arrow_map(documents.select("doc_id", "text"), lambda b: _scanned(b, templates, bands), f"doc_id {kind}, found array<struct<template:int,shingles:int,start:int,stop:int>>")
 
 
+def _sizes(templates: tuple[tuple[str, str], ...]) -> list[int]:
+    """The distinct shingles of each template."""
+    sizes = dict.fromkeys(range(len(templates)), 1)
+    for ts in Matcher(templates, 1).classes.values():
+        sizes |= {i: len(s) for i, s in ts}
+    return list(sizes.values())
+
+
 def license_report(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, bands: int = BANDS) -> DataFrame:
-    """doc_id, licenses (sorted, comma-joined), n_matches, first_word (of the first match, null without) of each row."""
-    names = F.array(*(F.lit(name) for name, _ in templates))
-    found = scan_licenses(documents, templates, bands)
-    licenses = F.array_sort(F.array_distinct(F.transform("found", lambda f: F.get(names, f["template"]))))
+    """doc_id, licenses (sorted, comma-joined), n_matches, first_word (of the first match, null without) of each row.
+
+    Licenses word much alike. A match gives way to one of another license over half of its place or more that holds a
+    larger share of its template's shingles, or with equal shares more shingles.
+    """
+    names, sizes = F.array(*(F.lit(name) for name, _ in templates)), F.array(*(F.lit(n) for n in _sizes(templates)))
+    name, size = (lambda f: F.get(names, f["template"])), (lambda f: F.get(sizes, f["template"]))
+
+    def gives_way(f: Column, g: Column) -> Column:
+        shared = F.least(f["stop"], g["stop"]) - F.greatest(f["start"], g["start"])
+        ours, theirs = f["shingles"].cast("bigint") * size(g), g["shingles"].cast("bigint") * size(f)
+        return (name(f) != name(g)) & (2 * shared >= f["stop"] - f["start"]) & ((theirs > ours) | ((theirs == ours) & (g["shingles"] > f["shingles"])))
+
+    found = scan_licenses(documents, templates, bands).select("doc_id", F.filter("found", lambda f: ~F.exists("found", lambda g: gives_way(f, g))).alias("found"))
+    licenses = F.array_sort(F.array_distinct(F.transform("found", name)))
     return found.select("doc_id", F.array_join(licenses, ",").alias("licenses"), F.size("found").cast("bigint").alias("n_matches"), F.array_min(F.transform("found", lambda f: f["start"])).cast("bigint").alias("first_word"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-from quayline.llm import html_text
+from quayline.llm import html_text, licenses
 from quayline.llm.line_dedup import dedup_lines
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,3 +72,21 @@ def test_html_hides_only_what_every_screen_hides():
     assert shown(".a{display:none}", " media=print") == ["one", "two", "three"]
     assert shown(".a{display:none}", " media='screen, print'") == ["two", "three"]
     assert shown("}}{} ;{ .a{display:none}") == ["one", "two", "three"]
+
+
+def test_licenses_that_word_alike(spark):
+    notice = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    cases = {
+        "GPL-2.0": notice.format("program", ";", "", ";", "2"),
+        "GPL-3.0": notice.format("program", ":", "", ",", "3"),
+        "LGPL-2.1": notice.format("library", ";", "Lesser ", ";", "2.1"),
+        "LGPL-3.0": notice.format("program", ":", "Lesser ", ",", "3"),
+        "AGPL-3.0": notice.format("program", ":", "Affero ", ",", "3"),
+    }
+    rows = [(f"pad words before {t} and some words after it", name) for name, t in cases.items()]
+    rows += [(f"{a} {b}", ",".join(sorted((x, y)))) for x, a in cases.items() for y, b in cases.items() if x < y]
+    rows += [(t, name) for name, t in licenses.TEMPLATES]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r.licenses for r in licenses.license_report(docs).collect()}
+    wrong = [(t[:60], name, got[i]) for i, (t, name) in enumerate(rows) if got[i] != name]
+    assert not wrong
