@@ -4,7 +4,8 @@ Each metric is a whole number. Its values go into a mergeable quantile sketch: a
 leading 8 bits of a value, so a quantile is right to within 1/128 of itself, and sketches merge by adding counts.
 Thresholds are fences around the quantiles of the documents that pass the base rules, for each (language, source)
 of at least MIN_GROUP such documents, else for the language, else for all. A document is kept if it passes the
-base rules and lies within its fences.
+base rules and lies within its fences. Repeated words have the base rule only: their fence in OP9_SQL, with a slack
+of 300, lies at or beyond its 30 percent for any group, so it is left out here.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ BLANK = r"[\x20\x09-\x0D]+"
 SHORT_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 MIN_GROUP = 50
 #: Metric: least slack beyond the quantiles; whether there is a lower fence too. Parts in a thousand; hundredths of a character for word length.
-METRICS = {"symbols": (30, False), "dup_lines": (400, False), "repeats": (300, False), "word_length": (100, True)}
+METRICS = {"symbols": (30, False), "dup_lines": (400, False), "word_length": (100, True)}
 #: A fence is this many times the spread between the outer quantile (percent) and the median beyond that quantile.
 OUTER, REACH = 75, 3
 
@@ -57,7 +58,6 @@ def measured(documents: DataFrame) -> DataFrame:
         F.expr(f"n_words < {SHORT_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words").alias("base_failed"),
         F.expr("1000 * n_symbols div greatest(word_chars, 1)").alias("symbols"),
         F.expr("1000 * n_dup_lines div greatest(n_lines, 1)").alias("dup_lines"),
-        F.expr("1000 * n_repeat_words div greatest(n_words, 1)").alias("repeats"),
         F.expr("100 * word_chars div greatest(n_words, 1)").alias("word_length"),
     )
 

@@ -7,6 +7,7 @@ import re
 
 from quayline.llm import html_text, licenses
 from quayline.llm.line_dedup import dedup_lines
+from quayline.llm.quality import METRICS, assess
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -90,3 +91,15 @@ def test_licenses_that_word_alike(spark):
     got = {r.doc_id: r.licenses for r in licenses.license_report(docs).collect()}
     wrong = [(t[:60], name, got[i]) for i, (t, name) in enumerate(rows) if got[i] != name]
     assert not wrong
+
+
+def test_each_quality_metric_can_reject(spark):
+    words = lambda tag, n, size: " ".join(f"{tag}{i:0{size}d}" for i in range(n))
+    clean = [(i, words(f"c{i}x", 60, 4)) for i in range(100)]
+    repeats = words("c50x", 86, 4) + " " + " ".join(f"c50x{i:04d}" for i in range(14))  # 28 of 100 words twice: the most that the base rule leaves is 30
+    odd = {"symbols": words("s", 40, 4) + " " + "#" * 200, "dup_lines": "\n".join(f"same\n{words(f'd{i}', 3, 4)}" for i in range(20)), "repeats": repeats, "word_length": words("w", 40, 40)}
+    rows = clean + [(1000 + i, t) for i, t in enumerate(odd.values())]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id bigint, text string, lang string, source string")
+    out = {r.doc_id: r for r in assess(docs).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert {m for i, m in enumerate(odd) if not out[1000 + i].kept} == set(METRICS)
