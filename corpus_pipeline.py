@@ -12,8 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayline.llm.common import cut, shared_dir, small_side, table
-from quayline.llm.decontamination import decontaminate
+from quayline.llm.common import shared_dir, table
+from quayline.llm.decontamination import clean_documents
 from quayline.llm.line_dedup import dedup_lines
 from quayline.llm.quality import kept_documents
 from quayline.llm.queries import vocabulary
@@ -38,8 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that share a window of words with a benchmark item."""
-    found = cut(decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct())
-    return docs.join(small_side(found, found.count()), "doc_id", "left_anti").select(docs.columns)
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import arrow_map, column, cut, keyed, pieces, same_row
+from .common import arrow_map, column, cut, keyed, pieces, same_row, small_side
 
 #: Words of a window, words of a k-gram, and the bitmap's size as a power of two.
 WINDOW, GRAM, BITS = 10, 5, 22
@@ -117,3 +117,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     out = rows.alias("r").join(words.alias("w"), same_row("r", "w"), "left").join(items.alias("i"), same_row("r", "i"), "left")
     n = F.coalesce("w.n_hit", F.lit(0).cast("bigint"))
     return out.select("r.doc_id", "r.n_words", n.alias("n_hit"), F.coalesce(F.size("i.items"), F.lit(0)).cast("bigint").alias("n_items"), F.sha2(F.coalesce(F.array_join("i.items", ","), F.lit("")), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of documents without any run, with all their columns; rows are told apart by doc_id, null or not, and text."""
+    _, runs = find_overlaps(documents, benchmark, window, gram)
+    found = cut(runs.select("doc_id", "_h").distinct())
+    rows = keyed(documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row"), "doc_id", "text"), "text")
+    return rows.alias("d").join(small_side(found, found.count()).alias("o"), same_row("d", "o"), "left_anti").select("_row.*")

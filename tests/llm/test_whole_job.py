@@ -6,6 +6,7 @@ import random
 import re
 
 from quayline.llm import html_text, licenses
+from quayline.llm.decontamination import clean_documents
 from quayline.llm.line_dedup import dedup_lines
 from quayline.llm.quality import METRICS, assess
 
@@ -103,3 +104,16 @@ def test_each_quality_metric_can_reject(spark):
     out = {r.doc_id: r for r in assess(docs).collect()}
     assert not any(r.base_failed for r in out.values())
     assert {m for i, m in enumerate(odd) if not out[1000 + i].kept} == set(METRICS)
+
+
+def test_decontamination_tells_rows_apart(spark, tmp_path):
+    import corpus_pipeline
+
+    leak = " ".join(f"leak{i}" for i in range(12))
+    rows = [(None, leak, "a"), (None, "fine", "b"), (1, leak, "c"), (1, "fine too", "d"), (2, None, "e"), (3, "fine", "f")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, item_id string")
+    items = spark.createDataFrame([(1, leak)], "item_id bigint, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for out in (clean_documents(docs, items), corpus_pipeline.decontamination(spark, docs, str(tmp_path))):
+        assert out.columns == docs.columns
+        assert sorted(r.item_id for r in out.collect()) == ["b", "d", "e", "f"]
