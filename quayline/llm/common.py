@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that go to a Python worker at once, and bytes of text that numpy code handles at once.
-ARROW_ROWS = 1000
+#: Bytes of text that numpy code handles at once. Spark bounds the Arrow batches themselves (spark.sql.execution.arrow.maxBytesPerBatch).
 CHUNK_BYTES = 2_000_000
-#: Rows up to which a side of a join, counted first, is broadcast; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a side of a join, its rows counted first, is broadcast; beyond it Spark shuffles both sides.
+BROADCAST_BYTES = 8_000_000
+#: A join key is heavy if it has more than one part in so many of a shuffle partition's rows.
+HEAVY = 4
+
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the context was given as checkpoint folder.
+
+    Where neither is set, a local master (tests) gets a folder of its own; on a cluster there is none to fall back to.
+    """
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir")
-    if conf is None:
-        conf = "/tmp/quayline-checkpoints"
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(conf)
-    return conf.rstrip("/")
+    own = sc._jsc.sc().getCheckpointDir()
+    if conf is None and own.isDefined():
+        return own.get().rstrip("/")
+    if conf is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if own.isEmpty():
+        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="spark-"))
+    return (conf or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,17 +50,57 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; release() removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """The same rows after a round through Parquet files in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in the sequence of folders written so far, for release()."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Removes the folders written since a mark. Frames that still read them can't be used any more."""
+    jvm = spark._jvm
+    for path in _written[since:]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _written[since:]
+
+
+def small_side(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
+    """df with a broadcast hint if its counted rows, of about width bytes each, are within the bound; as it is otherwise."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
+
 
+def salted_join(rows: DataFrame, side: DataFrame, *keys: str, counted: DataFrame | None = None) -> DataFrame:
+    """rows joined with side on keys, where some keys may have a large share of all rows.
 
-def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the bound; as it is otherwise."""
-    return F.broadcast(df) if rows <= most else df
+    A key is heavy if it has more than a HEAVY-th of a shuffle partition's even share of rows: there are at most HEAVY
+    times the partitions of them, so they are broadcast. Their rows are dealt to several tasks by a salt, and side's rows
+    of these keys go to each; all other rows are joined as they are. Null keys meet nothing. counted is a cheaper frame,
+    with some of rows' columns, that has its keys as often.
+    """
+    spark, counted = rows.sparkSession, rows if counted is None else counted
+    share = max(counted.count() // (HEAVY * int(spark.conf.get("spark.sql.shuffle.partitions"))), 1)
+    heavy = cut(counted.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > share).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.ceil(F.col("_n") / share).cast("int").alias("_salts")))
+    if heavy.isEmpty():
+        return rows.join(side, list(keys))
+    same = lambda: reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)])
+    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*(F.col(c) for c in counted.columns)), F.col("_salts")).cast("int"))
+    ours = rows.join(F.broadcast(heavy), same(), "left").select(*rows.columns, salt.alias("_salt"))
+    theirs = side.join(F.broadcast(heavy), same(), "left").select(*side.columns, F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt"))
+    return ours.join(theirs, [*keys, "_salt"]).drop("_salt")
 
 
 def keyed(df: DataFrame, *columns: str) -> DataFrame:
@@ -63,8 +114,7 @@ def same_row(a: str, b: str) -> Column:
 
 
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch, in batches of ARROW_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """mapInArrow with a function of one batch."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

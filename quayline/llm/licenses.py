@@ -5,18 +5,19 @@ shingles m is between 2**c and 2**(c+1) are looked for in windows of 3 * 2**c sh
 window covers any occurrence whole. A window that holds a share CONTAINED of a template's shingles has a Jaccard
 similarity of CONTAINED / (4 - CONTAINED) or more with it, whatever m; with BANDS bands of one minimum hash each
 the chance that all bands miss is below (1 - 0.25) ** BANDS, 1e-4. What the bands bring up is compared with the
-template's shingles within the window; only the exact containment decides.
+template's shingles within the window, word by word; only the exact containment decides. Every occurrence is told.
 """
 
 from __future__ import annotations
 
 import pkgutil
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -86,13 +87,15 @@ class Matcher:
 
     def __init__(self, templates: tuple[tuple[str, str], ...], bands: int) -> None:
         w = tv.words(pa.array([t for _, t in templates], pa.string()), tv.ALNUM)
-        self.bands = bands
+        self.bands, self.words = bands, w
         self.most = [max(n - SHINGLE + 1, 1) * 5 // 4 for n in w.counts.tolist()]  # places of an occurrence with some words put in
         self.classes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        self.at: dict[int, np.ndarray] = {}  # for each template the first word of each of its shingles
         for i, (n, a) in enumerate(zip(w.counts.tolist(), w.first.tolist(), strict=True)):
             if n:
                 k = min(SHINGLE, n)
-                s = np.unique(tv.grams(w.hash[a : a + n], k) ^ tv.U(k))
+                s, first = np.unique(tv.grams(w.hash[a : a + n], k) ^ tv.U(k), return_index=True)
+                self.at[i] = a + first
                 self.classes.setdefault((k, len(s).bit_length() - 1), []).append((i, s))
         self.least = {key: [np.stack([_band(s, b).min() for b in range(bands)]) for _, s in ts] for key, ts in self.classes.items()}
 
@@ -127,13 +130,29 @@ class Matcher:
                     a = int(begins[c][i])
                     d = int(w.doc[a])
                     z = min(a + (3 << c), int(first[d] + counts[d]) - k + 1)
-                    here = np.flatnonzero(np.isin(hashes[a:z], s))
-                    n = len(np.unique(hashes[a:z][here]))
-                    if n >= CONTAINED * len(s):
-                        n, i, j = _tightest(hashes[a:z][here], here, self.most[t])
+                    here = self._same(w, a, hashes[a:z], t, s, k)
+                    todo = [here]
+                    while todo:  # the best stretch, then what lies on both sides of it
+                        here = todo.pop()
+                        if len(here) < CONTAINED * len(s) or len(np.unique(hashes[a + here])) < CONTAINED * len(s):
+                            continue
+                        n, i, j = _tightest(hashes[a + here], here, self.most[t])
+                        if n < CONTAINED * len(s):
+                            continue
                         out.append((d, t, n, a + i - int(first[d]), a + j + k - int(first[d])))
+                        todo += [here[here < i], here[here > j]]
         return out
 
+    def _same(self, w: tv.Words, a: int, hashes: np.ndarray, t: int, s: np.ndarray, k: int) -> np.ndarray:
+        """The places from word a on whose shingles are the template's."""
+        place = np.minimum(np.searchsorted(s, hashes), len(s) - 1)
+        here = np.flatnonzero(s[place] == hashes)
+        same, own = np.ones(len(here), bool), self.words
+        for x in range(k):
+            p, q = a + here + x, self.at[t][place[here]] + x
+            same &= tv.same_spans(w.data, w.start[p], w.end[p], own.data, own.start[q], own.end[q])
+        return here[same]
+
 
 def _tightest(hashes: np.ndarray, at: np.ndarray, most: int) -> tuple[int, int, int]:
     """The stretch of up to most places with the most distinct hashes, the shortest of these: their number, its first and last place."""
@@ -164,7 +183,7 @@ def matcher(templates: tuple[tuple[str, str], ...], bands: int) -> Matcher:
     return Matcher(templates, bands)
 
 
-_FOUND = pa.list_(pa.struct([("template", pa.int32()), ("shingles", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
+_FOUND = pa.list_(pa.struct([("template", pa.int32()), ("shingles", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("kept", pa.bool_())]))
 
 
 def _scanned(batch: pa.RecordBatch, templates: tuple[tuple[str, str], ...], bands: int) -> Iterator[pa.RecordBatch]:
@@ -173,29 +192,59 @@ def _scanned(batch: pa.RecordBatch, templates: tuple[tuple[str, str], ...], band
         rows: list[list[dict]] = [[] for _ in range(part.num_rows)]
         for d, t, n, a, z in m.find(tv.words(column(part, "text"), tv.ALNUM)):
             rows[d].append({"template": t, "shingles": n, "start": a, "stop": z})
-        yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([_best(r) for r in rows], _FOUND)], ["doc_id", "found"])
+        yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([_judged(_occurrences(r), templates) for r in rows], _FOUND)], ["doc_id", "found"])
+
+
+def _occurrences(found: list[dict]) -> list[dict]:
+    """Each occurrence of a template once: of those that overlap the one of the most shingles, the shortest of these."""
+    out: list[dict] = []
+    for f in sorted(found, key=lambda f: (f["template"], f["start"], f["stop"])):
+        if out and out[-1]["template"] == f["template"] and f["start"] < out[-1]["stop"]:
+            if (f["shingles"], f["start"] - f["stop"]) > (out[-1]["shingles"], out[-1]["start"] - out[-1]["stop"]):
+                out[-1] = f
+        else:
+            out.append(f)
+    return out
+
 
+def _judged(found: list[dict], templates: tuple[tuple[str, str], ...]) -> list[dict]:
+    """found with kept: whether no match of another license over half of its place or more is the better one.
 
-def _best(found: list[dict]) -> list[dict]:
-    """For each template the occurrence of the most shingles, the first of these."""
-    best: dict[int, dict] = {}
-    for f in sorted(found, key=lambda f: (-f["shingles"], f["start"])):
-        best.setdefault(f["template"], f)
-    return [best[t] for t in sorted(best)]
+    The better one holds a larger share of its template's shingles, or with equal shares more of them. Occurrences of one
+    template don't overlap, and one over half of a place holds its middle or what is next to it.
+    """
+    sizes = _sizes(templates)
+    own: dict[int, list[dict]] = {}
+    for f in found:
+        own.setdefault(f["template"], []).append(f)
+    starts = {t: [f["start"] for f in fs] for t, fs in own.items()}
+    for f in found:
+        f["kept"] = True
+        for t, fs in own.items():
+            if templates[t][0] == templates[f["template"]][0]:
+                continue
+            i = bisect_right(starts[t], (f["start"] + f["stop"]) // 2)
+            for g in fs[max(i - 2, 0) : i + 1]:
+                shared = min(f["stop"], g["stop"]) - max(f["start"], g["start"])
+                ours, theirs = f["shingles"] * sizes[t], g["shingles"] * sizes[f["template"]]
+                if 2 * shared >= f["stop"] - f["start"] and (theirs, g["shingles"]) > (ours, f["shingles"]):
+                    f["kept"] = False
+    return found
 
 
 def scan_licenses(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, bands: int = BANDS) -> DataFrame:
     """doc_id, found for each row of documents (doc_id, text; other columns are ignored).
 
-    found has, for each template of which a window of the text holds a share CONTAINED of the shingles or more, its
-    number, the distinct shingles found at its best place (a stretch of up to 5/4 of the template), and that place in words (digits, letters and all beyond
-    ASCII, A-Z lower-cased). Null and empty texts find nothing; templates without words are left out. Rows come back
+    found has, for each occurrence of a template (a stretch of up to 5/4 of it that holds a share CONTAINED of its
+    shingles or more), the template's number, the distinct shingles found, the place in words (digits, letters and all
+    beyond ASCII, A-Z lower-cased), and whether it is kept beside the other licenses found there. Null and empty texts find nothing; templates without words are left out. Rows come back
     one for one. Templates go to every worker; they are a parameter, not data.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return arrow_map(documents.select("doc_id", "text"), lambda b: _scanned(b, templates, bands), f"doc_id {kind}, found array<struct<template:int,shingles:int,start:int,stop:int>>")
+    return arrow_map(documents.select("doc_id", "text"), lambda b: _scanned(b, templates, bands), f"doc_id {kind}, found array<struct<template:int,shingles:int,start:int,stop:int,kept:boolean>>")
 
 
+@cache
 def _sizes(templates: tuple[tuple[str, str], ...]) -> list[int]:
     """The distinct shingles of each template."""
     sizes = dict.fromkeys(range(len(templates)), 1)
@@ -207,17 +256,9 @@ def _sizes(templates: tuple[tuple[str, str], ...]) -> list[int]:
 def license_report(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, bands: int = BANDS) -> DataFrame:
     """doc_id, licenses (sorted, comma-joined), n_matches, first_word (of the first match, null without) of each row.
 
-    Licenses word much alike. A match gives way to one of another license over half of its place or more that holds a
-    larger share of its template's shingles, or with equal shares more shingles.
+    Licenses word much alike: matches that give way to a better one of another license at their place don't count.
     """
-    names, sizes = F.array(*(F.lit(name) for name, _ in templates)), F.array(*(F.lit(n) for n in _sizes(templates)))
-    name, size = (lambda f: F.get(names, f["template"])), (lambda f: F.get(sizes, f["template"]))
-
-    def gives_way(f: Column, g: Column) -> Column:
-        shared = F.least(f["stop"], g["stop"]) - F.greatest(f["start"], g["start"])
-        ours, theirs = f["shingles"].cast("bigint") * size(g), g["shingles"].cast("bigint") * size(f)
-        return (name(f) != name(g)) & (2 * shared >= f["stop"] - f["start"]) & ((theirs > ours) | ((theirs == ours) & (g["shingles"] > f["shingles"])))
-
-    found = scan_licenses(documents, templates, bands).select("doc_id", F.filter("found", lambda f: ~F.exists("found", lambda g: gives_way(f, g))).alias("found"))
-    licenses = F.array_sort(F.array_distinct(F.transform("found", name)))
+    names = F.array(*(F.lit(name) for name, _ in templates))
+    found = scan_licenses(documents, templates, bands).select("doc_id", F.filter("found", lambda f: f["kept"]).alias("found"))
+    licenses = F.array_sort(F.array_distinct(F.transform("found", lambda f: F.get(names, f["template"]))))
     return found.select("doc_id", F.array_join(licenses, ",").alias("licenses"), F.size("found").cast("bigint").alias("n_matches"), F.array_min(F.transform("found", lambda f: f["start"])).cast("bigint").alias("first_word"))

@@ -1,4 +1,4 @@
-r"""Pre-tokens of the byte-level BPE pattern, of many texts at once, and tables from a pre-token's hash to a value.
+r"""Pre-tokens of the byte-level BPE pattern, of many texts at once, and their token ids, remembered by content.
 
 The pattern is 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+. A token starts where
 the class of characters changes, with three additions: the last blank before a visible character leaves its run of
@@ -7,6 +7,7 @@ blanks; that blank joins what follows if it is U+0020; an apostrophe at a token'
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -31,25 +32,36 @@ def classes() -> np.ndarray:
 
 @dataclass
 class PreTokens:
-    """Pre-tokens of some texts, in order: spans of code points, hashes, the text's number of each."""
+    """Pre-tokens of some texts, in order: spans of UTF-8 bytes, hashes, the text's number of each."""
 
-    points: np.ndarray
+    data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     doc: np.ndarray
 
     def text(self, i: int) -> str:
-        return self.points[self.start[i] : self.end[i]].tobytes().decode("utf-32-le", "surrogatepass")
+        return self.data[self.start[i] : self.end[i]].tobytes().decode()
+
+
+def byte_places(points: np.ndarray) -> np.ndarray:
+    """Where each code point begins in UTF-8, and where the last one ends."""
+    size = np.ones(len(points), np.int64)
+    if len(points) and points.max() >= 0x80:
+        size += points >= 0x80
+        size += points >= 0x800
+        size += points >= 0x10000
+    return np.concatenate([[0], np.cumsum(size)])
 
 
 def split(texts: list[str]) -> PreTokens:
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    whole = "".join(texts)
+    points, data = np.frombuffer(whole.encode("utf-32-le"), np.uint32), np.frombuffer(whole.encode(), np.uint8)
     n = len(points)
     ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0, np.int64)
     if not n:
         none = np.zeros(0, np.int64)
-        return PreTokens(points, none, none, np.zeros(0, tv.U), none)
+        return PreTokens(data, none, none, np.zeros(0, tv.U), none)
     kind = classes()[points]
     opens = np.zeros(n + 1, bool)  # the first character of a text
     opens[0] = True
@@ -74,44 +86,8 @@ def split(texts: list[str]) -> PreTokens:
         start[quote[long] + 3] = True
     start[n] = False
     at = np.flatnonzero(start)
-    stop = np.append(at[1:], n)
-    return PreTokens(points, at, stop, np.maximum(tv.span_hash(points, at, stop), tv.U(1)), np.searchsorted(ends, at, side="right"))
-
-
-class Table:
-    """A hash table in numpy arrays, open addressing, from 64-bit hashes to small whole numbers."""
-
-    def __init__(self, bits: int) -> None:
-        self.bits, self.n = bits, 0
-        self.keys, self.values = np.zeros(1 << bits, tv.U), np.zeros(1 << bits, np.int64)
-
-    def _slots(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> tv.U(64 - self.bits)).astype(np.int64)
-
-    def get(self, hashes: np.ndarray) -> np.ndarray:
-        """The value of each hash, -1 where there is none."""
-        out = np.full(len(hashes), -1, np.int64)
-        slot, left = self._slots(hashes), np.arange(len(hashes))
-        while len(left):
-            here = self.keys[slot]
-            hit = here == hashes[left]
-            out[left[hit]] = self.values[slot[hit]]
-            on = ~hit & (here != 0)
-            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-        return out
-
-    def put(self, hashes: np.ndarray, values: np.ndarray) -> None:
-        """Adds hashes that are distinct, not 0 and not there yet."""
-        slot = self._slots(hashes)
-        self.n += len(hashes)
-        while len(hashes):
-            free = np.flatnonzero(self.keys[slot] == 0)
-            _, first = np.unique(slot[free], return_index=True)
-            own = free[first]
-            self.keys[slot[own]], self.values[slot[own]] = hashes[own], values[own]
-            rest = np.ones(len(hashes), bool)
-            rest[own] = False
-            hashes, values, slot = hashes[rest], values[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+    edge = byte_places(points)[np.append(at, n)]
+    return PreTokens(data, edge[:-1], edge[1:], tv.span_hash(data, edge[:-1], edge[1:]), np.searchsorted(ends, at, side="right"))
 
 
 @cache
@@ -122,47 +98,57 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in visible else next(hidden)) for b in range(256)}
 
 
+def _fits(path: str) -> None:
+    """Refuses tokenizer files that cut or rewrite texts in another way than this module."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    parts = [file.get("pre_tokenizer") or {}]
+    parts = [x for p in parts for x in (p.get("pretokenizers", [p]))]
+    byte_level = [p for p in parts if p.get("type") == "ByteLevel"]
+    if file.get("normalizer") or file.get("model", {}).get("type") != "BPE" or len(byte_level) != 1 or len(parts) != 1 or byte_level[0].get("add_prefix_space") or not byte_level[0].get("use_regex", True):
+        raise ValueError(f"{path}: only byte-level BPE with its own pattern, no prefix space and no normalizer is understood")
+    if odd := [t["content"] for t in file.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]:
+        raise ValueError(f"{path}: options of added tokens {odd} are not understood")
+
+
 class Encoder:
-    """Token ids of pre-tokens by the tokenizers library, remembered by hash up to most pre-tokens, then forgotten."""
+    """Token ids of pre-tokens by the tokenizers library, remembered by content up to most pre-tokens, then forgotten."""
 
     def __init__(self, path: str, most: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        _fits(path)
         self.model, self.most = tokenizer.model, most
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.width = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.forget()
 
     def forget(self) -> None:
-        self.table, self.pool, self.used = Table(21), np.zeros(1 << 20, self.width), 0
-        self.offset, self.count = np.zeros(self.most + 1, np.int64), np.zeros(self.most + 1, np.int64)
+        self.known, self.pool, self.used = tv.Interner(20), np.zeros(1 << 20, self.width), 0
+        self.offset, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    @property
+    def full(self) -> bool:
+        """Whether the next look-up starts anew."""
+        return self.known.n > self.most
 
     def entries(self, pre: PreTokens, which: np.ndarray) -> np.ndarray:
         """For the chosen pre-tokens their numbers in offset and count; new ones are encoded."""
-        hashes = pre.hash[which]
-        found = self.table.get(hashes)
-        if (found < 0).any():
-            missed = which[found < 0]
-            fresh, first = np.unique(pre.hash[missed], return_index=True)
-            if self.table.n + len(fresh) > self.most:
-                self.forget()
-                if len(fresh) > self.most:
-                    self.most = len(fresh)
-                    self.forget()
-                return self.entries(pre, which)
+        if self.full:
+            self.forget()
+        a = self.known.n
+        found, fresh = self.known.number(pre.data, pre.start[which], pre.end[which], pre.hash[which])
+        if len(fresh):
             letters = _byte_letters()
-            ids = [[t.id for t in self.model.tokenize(pre.text(i).encode("utf-8", "replace").decode("latin-1").translate(letters))] for i in missed[first].tolist()]
+            ids = [[t.id for t in self.model.tokenize(pre.data[i:j].tobytes().decode("latin-1").translate(letters))] for i, j in zip(pre.start[which[fresh]].tolist(), pre.end[which[fresh]].tolist(), strict=True)]
             flat = np.array([x for one in ids for x in one], self.width)
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            n = np.array([len(x) for x in ids], np.int64)
+            self.pool, self.offset, self.count = tv.room(self.pool, self.used + len(flat)), tv.room(self.offset, a + len(n)), tv.room(self.count, a + len(n))
             self.pool[self.used : self.used + len(flat)] = flat
-            n, a = np.array([len(x) for x in ids], np.int64), self.table.n
             self.count[a : a + len(n)] = n
             self.offset[a : a + len(n)] = self.used + np.cumsum(n) - n
             self.used += len(flat)
-            self.table.put(fresh, np.arange(a, a + len(n)))
-            found = self.table.get(hashes)
         return found
 
     def sections(self, texts: list[str]) -> tuple[list[str], list[tuple[int, int]]]:
@@ -180,9 +166,8 @@ class Encoder:
     def ids(self, pre: PreTokens) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each pre-token."""
         found = self.entries(pre, np.arange(len(pre.hash)))
-        counts, offset = self.count[found], self.offset[found]
-        stop = np.cumsum(counts)
-        return self.pool[np.repeat(offset - stop + counts, counts) + np.arange(stop[-1] if len(stop) else 0)], counts
+        counts = self.count[found]
+        return self.pool[tv.spread(self.offset[found], counts)], counts
 
 
 @cache

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, same_row, small_side
+from .common import cut, same_row, small_side
 
 BLANK = r"[\x20\x09-\x0D]+"
 SHORT_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
@@ -97,7 +97,7 @@ def thresholds(rows: DataFrame) -> DataFrame:
 
 def judged(rows: DataFrame, fences: DataFrame) -> DataFrame:
     """rows with kept. Groups whose documents all fail the base rules have no fences and keep nothing."""
-    fences = small_side(fences.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fence"), fences.count(), BROADCAST_ROWS)
+    fences = small_side(fences.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fence"), fences.count(), 128)
     inside = ~F.col("base_failed")
     for m, (_, two) in METRICS.items():
         inside &= F.col(m) <= F.col(f"fence.hi_{m}")

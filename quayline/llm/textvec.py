@@ -1,7 +1,8 @@
 """Words, word hashes and k-gram hashes of many texts at once, by numpy over their UTF-8 bytes.
 
-A hash of a span is a polynomial over its bytes modulo 2**64, taken from prefix sums and then mixed. Equal
-spans have equal hashes everywhere; operators that must be exact compare what the hashes stand for.
+A span's hash takes its bytes eight at a time, each time mixed into all that went before, so that no pattern inside a
+text makes hashes meet; two spans share one by chance alone (2**-64). Hashes only bring candidates together: what
+deletes lines, links documents or takes over token ids compares the spans themselves, by same_spans or an Interner.
 """
 
 from __future__ import annotations
@@ -10,33 +11,173 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_SEED = 0x9E3779B97F4A7C15
 _GRAM = U(0xD6E8FEB86659FD93)
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U), np.ones(1, U))
-
-
-def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, for n positions at least; they grow by doubling."""
-    global _powers
-    up, down = _powers
-    while len(up) < n:
-        k = len(up)
-        up = np.concatenate([up, up * U(pow(_BASE, k, 1 << 64))])
-        down = np.concatenate([down, down * U(pow(_INVERSE, k, 1 << 64))])
-    _powers = up, down
-    return up, down
+#: Spans of more bytes are hashed and compared one by one; shorter ones eight bytes of all at a time.
+LONG = 64
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A finaliser over 64 bits: every bit of the input moves every bit of the output."""
+    """A finaliser over 64 bits: every bit of the input moves every bit of the output, and no two inputs meet."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
     return x ^ (x >> U(31))
 
 
+def _eights(raw: np.ndarray, slack: bool = False) -> np.ndarray:
+    """For each place the eight bytes from it on; zeros are put beyond the end, unless raw has eight bytes of slack there."""
+    whole = raw if slack else np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(whole) - 7, "<u8", whole, 0, (1,))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the spans [start, end) of some bytes; another seed gives hashes that are independent of these."""
+    size = end - start
+    key = (_SEED * (2 * seed + 1)) & 0xFFFFFFFFFFFFFFFF
+    out = mix(size.astype(U) ^ U(key))
+    short = size <= LONG
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]], seed=key)
+    live = np.flatnonzero(short & (size > 0))
+    at, left, eights = start[live], size[live], _eights(data)
+    while len(live):
+        out[live] = mix(out[live] ^ (eights[at] & _FIRST_BYTES[np.minimum(left, 8)]))
+        on = left > 8
+        live, at, left = live[on], at[on] + 8, left[on] - 8
+    return out
+
+
+def same_spans(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray, slack: bool = False) -> np.ndarray:
+    """Whether spans of some bytes a equal those of b, byte by byte; slack tells that b has eight bytes beyond all spans."""
+    size = a_end - a_start
+    out = size == b_end - b_start
+    for i in np.flatnonzero(out & (size > LONG)).tolist():
+        out[i] = np.array_equal(a[a_start[i] : a_end[i]], b[b_start[i] : b_end[i]])
+    live = np.flatnonzero(out & (size <= LONG) & (size > 0))
+    at, to, left = a_start[live], b_start[live], size[live]
+    ours, theirs = _eights(a), _eights(b, slack)
+    while len(live):
+        same = ((ours[at] ^ theirs[to]) & _FIRST_BYTES[np.minimum(left, 8)]) == 0
+        out[live[~same]] = False
+        on = same & (left > 8)
+        live, at, to, left = live[on], at[on] + 8, to[on] + 8, left[on] - 8
+    return out
+
+
+class Table:
+    """A hash table in numpy arrays, open addressing, from 64-bit hashes to small whole numbers."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, U), np.zeros(1 << bits, np.int64)
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> U(64 - self.bits)).astype(np.int64)
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """The value of each hash, -1 where there is none."""
+        hashes = np.maximum(hashes, U(1))
+        out = np.full(len(hashes), -1, np.int64)
+        slot, left = self._slots(hashes), np.arange(len(hashes))
+        while len(left):
+            here = self.keys[slot]
+            hit = here == hashes[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (here != 0)
+            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def put(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Adds hashes that are distinct and not there yet (0 counts as 1)."""
+        hashes = np.maximum(hashes, U(1))
+        self.n += len(hashes)
+        while 2 * self.n > 1 << self.bits:
+            self.bits += 1
+            had = np.flatnonzero(self.keys)
+            hashes, values = np.concatenate([hashes, self.keys[had]]), np.concatenate([values, self.values[had]])
+            self.keys, self.values = np.zeros(1 << self.bits, U), np.zeros(1 << self.bits, np.int64)
+        slot = self._slots(hashes)
+        while len(hashes):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            own = free[first]
+            self.keys[slot[own]], self.values[slot[own]] = hashes[own], values[own]
+            rest = np.ones(len(hashes), bool)
+            rest[own] = False
+            hashes, values, slot = hashes[rest], values[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+
+class Interner:
+    """Numbers for spans by their content, from 0 on: equal spans have one number, in every call, and others another."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.table, self.n, self.used = Table(bits), 0, 0
+        self.data, self.ends = np.zeros(1 << 16, np.uint8), np.zeros(1 << 12, np.int64)
+
+    def span(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the spans of numbers begin and end in data."""
+        return np.where(numbers > 0, self.ends[numbers - 1], 0), self.ends[numbers]
+
+    def _add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        size = end - start
+        more = int(size.sum())
+        self.data, self.ends = room(self.data, self.used + more + 8), room(self.ends, self.n + len(size))
+        self.data[self.used : self.used + more] = data[spread(start, size)]
+        self.ends[self.n : self.n + len(size)] = self.used + np.cumsum(size)
+        self.n, self.used = self.n + len(size), self.used + more
+
+    def number(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the number of each span, the places of those spans that got new numbers, in the order of these)."""
+        out, fresh = np.empty(len(start), np.int64), []
+        todo, key = np.arange(len(start)), hashes
+        while len(todo):
+            found = self.table.get(key)
+            missed = np.flatnonzero(found < 0)
+            if len(missed):
+                new, first, of = np.unique(key[missed], return_index=True, return_inverse=True)
+                first = todo[missed[first]]
+                self.table.put(new, np.arange(self.n, self.n + len(new)))
+                found[missed] = self.n + of
+                fresh.append(first)
+                self._add(data, start[first], end[first])
+            same = same_spans(data, start[todo], end[todo], self.data, *self.span(found), slack=True)
+            out[todo[same]] = found[same]
+            todo, key = todo[~same], mix(key[~same] ^ U(_SEED))  # spans that share a hash go on to another one
+        return out, np.concatenate(fresh) if fresh else np.zeros(0, np.int64)
+
+
+    def find(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each span, -1 where it has none."""
+        out = np.full(len(start), -1, np.int64)
+        todo, key = np.arange(len(start)), hashes
+        while len(todo):
+            found = self.table.get(key)
+            todo, key, found = (x[found >= 0] for x in (todo, key, found))
+            same = same_spans(data, start[todo], end[todo], self.data, *self.span(found), slack=True)
+            out[todo[same]] = found[same]
+            todo, key = todo[~same], mix(key[~same] ^ U(_SEED))
+        return out
+
+
+def room(values: np.ndarray, n: int) -> np.ndarray:
+    """values, or a copy with room for n that is at least twice as long."""
+    if n <= len(values):
+        return values
+    out = np.zeros(max(n, 2 * len(values)), values.dtype)
+    out[: len(values)] = values
+    return out
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after the other."""
+    stop = np.cumsum(size)
+    return np.repeat(start - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)
+
+
 def byte_table(separators: bytes | set[int], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """For each byte whether it belongs to a word, and the byte that it counts as."""
     inside = np.ones(256, bool)
@@ -88,15 +229,8 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the spans [start, end) of data (bytes or code points)."""
-    up, down = power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
-
-
 def words(texts: pa.Array, kind: tuple[np.ndarray, np.ndarray]) -> Words:
+    """The words of texts by a kind of byte table, with hashes of the first seed."""
     inside_table, fold = kind
     raw, at = bytes_of(texts)
     inside = inside_table[raw]
@@ -124,7 +258,8 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, U)
     out = np.zeros(n, U)
     for i in range(k):
-        out = out * _GRAM + hashes[i : i + n]
+        out = (out ^ hashes[i : i + n]) * _GRAM
+        out ^= out >> U(29)
     return mix(out + U(k))
 
 

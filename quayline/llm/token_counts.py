@@ -1,13 +1,16 @@
 """Token counts by a two-tier look-up on the map side, without a shuffle of pre-tokens.
 
-Tier one is a compact hash table, broadcast once, from the hashes of frequent pre-tokens to their numbers of
-tokens. It is fitted on the first SAMPLE_ROWS rows of each partition and only saves time. What it misses goes through a cache in
-each Python worker, which encodes a pre-token with the tokenizers library when it first sees it.
+Tier one is a compact hash table, broadcast once, of frequent pre-tokens and their numbers of tokens. All documents
+are counted for it: each task keeps the counts of its pre-tokens in its worker and hands on those of its TASK_TOP most
+frequent ones, of which the FREQUENT most frequent ones in all make the table. What it misses goes through a cache in
+each Python worker, which encodes a pre-token with the tokenizers library when it first sees it. Both compare the
+pre-tokens' bytes, so no hash decides a count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,42 +19,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens as pt
+from . import textvec as tv
 from .common import arrow_map, column, pieces
 
-#: Rows of each partition on which tier one is fitted, and the pre-tokens that it holds at most.
-SAMPLE_ROWS, FREQUENT = 64, 65_536
+#: Pre-tokens that a task hands on, and that tier one holds, at most; both only save time.
+TASK_TOP, FREQUENT = 4096, 65_536
 
 
 def _texts(part: pa.RecordBatch) -> list[str]:
     return pc.fill_null(column(part, "text"), "").to_pylist()
 
 
-def _fit(batch: pa.RecordBatch, path: str) -> Iterator[pa.RecordBatch]:
-    for part in pieces(batch, "text"):
-        enc = pt.encoder(path)
-        pre = pt.split(enc.sections(_texts(part))[0])
-        _, first, n = np.unique(pre.hash, return_index=True, return_counts=True)
-        first, n = first[n > 1], n[n > 1]
-        tokens = enc.count[enc.entries(pre, first)]
-        yield pa.RecordBatch.from_arrays([pa.array(pre.hash[first].view(np.int64)), pa.array(tokens), pa.array(n.astype(np.int64))], ["hash", "tokens", "n"])
-
-
-def frequent(documents: DataFrame, path: str) -> pt.Table:
-    """Tier one; at most FREQUENT rows come to the driver. The sample's rows stay where they are: a limit would bring all partitions' first rows to one task."""
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    found = arrow_map(documents.select("text", place.alias("_place")).where(F.col("_place") < SAMPLE_ROWS).select("text"), lambda b: _fit(b, path), "hash bigint, tokens bigint, n bigint").groupBy("hash").agg(F.first("tokens").alias("tokens"), F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
-    out = pt.Table(18)
-    out.put(np.array([r.hash for r in found], np.int64).view(np.uint64), np.array([r.tokens for r in found], np.int64))
-    return out
-
-
-def _counted(batch: pa.RecordBatch, path: str, tier: pt.Table, limit: int) -> Iterator[pa.RecordBatch]:
+def _top(enc: pt.Encoder, n: np.ndarray) -> pa.RecordBatch:
+    """The most frequent pre-tokens of a worker's numbers n of them."""
+    some = np.flatnonzero(n > 1)
+    if len(some) > TASK_TOP:
+        some = some[np.argpartition(-n[some], TASK_TOP)[:TASK_TOP]]
+    start, end = enc.known.span(some)
+    data = [enc.known.data[a:z].tobytes() for a, z in zip(start.tolist(), end.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), pa.array(enc.count[some]), pa.array(n[some])], ["word", "tokens", "n"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    enc, n = pt.encoder(path), np.zeros(0, np.int64)
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            if enc.full:
+                yield _top(enc, n)
+                n = n[:0]
+            pre = pt.split(enc.sections(_texts(part))[0])
+            found = np.bincount(enc.entries(pre, np.arange(len(pre.hash))), minlength=len(n))
+            found[: len(n)] += n
+            n = found
+    yield _top(enc, n)
+
+
+@dataclass
+class Tier:
+    """Numbers of tokens by pre-token."""
+
+    known: tv.Interner
+    tokens: np.ndarray
+
+
+def frequent(documents: DataFrame, path: str) -> Tier:
+    """Tier one; at most FREQUENT rows come to the driver."""
+    found = documents.select("text").mapInArrow(lambda it: _fit(it, path), "word binary, tokens bigint, n bigint").groupBy("word").agg(F.first("tokens").alias("tokens"), F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    data = np.frombuffer(b"".join(r.word for r in found), np.uint8)
+    size = np.array([len(r.word) for r in found], np.int64)
+    end = np.cumsum(size)
+    known = tv.Interner(18)
+    order, _ = known.number(data, end - size, end, tv.span_hash(data, end - size, end))
+    tokens = np.zeros(len(found), np.int64)
+    tokens[order] = [r.tokens for r in found]
+    return Tier(known, tokens)
+
+
+def _counted(batch: pa.RecordBatch, path: str, tier: Tier, limit: int) -> Iterator[pa.RecordBatch]:
     for part in pieces(batch, "text"):
         enc, texts = pt.encoder(path), _texts(part)
         sections, of = enc.sections(texts)
         pre = pt.split(sections)
-        tokens = tier.get(pre.hash)
-        missed = np.flatnonzero(tokens < 0)
+        found = tier.known.find(pre.data, pre.start, pre.end, pre.hash)
+        tokens = tier.tokens[found] if len(tier.tokens) else np.zeros(len(found), np.int64)
+        missed = np.flatnonzero(found < 0)
         tokens[missed] = enc.count[enc.entries(pre, missed)]
         doc = np.array([i for i, _ in of], np.int64)
         n = np.bincount(doc[pre.doc], weights=tokens, minlength=len(texts)).astype(np.int64)
@@ -65,7 +96,6 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 1024) -> DataFram
 
     path names a byte-level BPE file of the tokenizers library with the pattern of pretokens. Strings of its special
     tokens inside a text count as those tokens. Null counts as empty, with no tokens. Rows come back one for one.
-    Pre-tokens are told apart by 64-bit hashes.
     """
     tier = documents.sparkSession.sparkContext.broadcast(frequent(documents, path))
     kind = documents.schema["doc_id"].dataType.simpleString()

@@ -9,7 +9,6 @@ Beside them lies the table of ids by rank. Decoding looks up four sizes by contr
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pretokens as pt
-from .common import arrow_map, column, pieces, shared_dir, written
+from .common import arrow_map, column, new_folder, pieces, written
 
 #: The id put after each document, and ids that a block holds at most, but for a longer document.
 END_ID, BLOCK_IDS = 0, 1 << 20
@@ -144,6 +143,6 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def token_digest(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read back from token files in the shared folder."""
     spark = documents.sparkSession
-    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "token-files")
     write_token_files(documents, path, folder)
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
