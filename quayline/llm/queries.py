@@ -31,7 +31,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"), both_ends=False)  # as OP2_SQL, which takes the shortest run from each line on only
+    out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", out["_n_lines"].alias("n_lines"), out["_n_removed"].alias("n_removed"))
 
 
@@ -152,17 +152,18 @@ judged9 AS (SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repe
 
 
 def _lines_ctes(documents: str) -> str:
-    """Common table expressions up to lines_done2(doc_id, text, n_lines, n_removed) over a relation of documents."""
+    """Common table expressions up to lines_done2(doc_id, text, n_lines, n_removed) over a relation of documents.
+
+    Any qualifying run is made of qualifying runs of up to three lines, so all of these are looked at.
+    """
     return rf"""
 raw2 AS (SELECT doc_id, p, l[p] AS line FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {documents} WHERE text IS NOT NULL))),
-full2 AS (SELECT doc_id, p, line, len(regexp_extract_all(line, '[^ 	-
-]+')) AS n FROM raw2 WHERE regexp_matches(line, '[^ 	-
-]')),
-ahead2 AS (SELECT doc_id, p, line, n, lead(p) OVER o AS p2, lead(line) OVER o AS line2, lead(n) OVER o AS n2, lead(p, 2) OVER o AS p3, lead(line, 2) OVER o AS line3
-  FROM full2 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
-runs2 AS (SELECT doc_id, p, CASE WHEN n >= 50 THEN [p] WHEN n + n2 >= 50 THEN [p, p2] WHEN p3 IS NOT NULL THEN [p, p2, p3] END AS places,
-  CASE WHEN n >= 50 THEN [line] WHEN n + n2 >= 50 THEN [line, line2] WHEN p3 IS NOT NULL THEN [line, line2, line3] END AS run FROM ahead2),
-later2 AS (SELECT doc_id, places, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS nth FROM runs2 WHERE run IS NOT NULL),
+full2 AS (SELECT doc_id, p, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM raw2 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+run2 AS (SELECT a.doc_id, a.p, b.p AS q, list(c.p ORDER BY c.p) AS places, list(c.line ORDER BY c.p) AS run
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM full2) a
+  JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM full2) b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 2
+  JOIN full2 c ON c.doc_id = a.doc_id AND c.p BETWEEN a.p AND b.p GROUP BY ALL HAVING count(*) = 3 OR sum(c.n) >= 50),
+later2 AS (SELECT doc_id, places, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS nth FROM run2),
 gone2 AS (SELECT DISTINCT doc_id, unnest(places) AS p FROM later2 WHERE nth > 1),
 text2 AS (SELECT raw2.doc_id, count(*) AS n_lines, count(gone2.p) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY raw2.p) FILTER (gone2.p IS NULL), '') AS text
   FROM raw2 LEFT JOIN gone2 ON raw2.doc_id = gone2.doc_id AND raw2.p = gone2.p GROUP BY raw2.doc_id),
