@@ -11,45 +11,65 @@ their members exactly. Links between groups and groups' own links give the conne
 
 The order comes from a count sketch of all shingles (counters of a fixed number, added up over partitions). It
 decides only how many candidates there are: any order that all documents share gives the same links.
+
+Shingles meet by 64-bit hashes; before two texts are linked, the words of the shingles that they share are compared.
+Equal sets are told by 128 bits, from two hashes of each word that don't depend on each other.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import arrow_map, column, cut, pieces, ragged, small_side
+from .common import arrow_map, column, cut, pieces, ragged, salted_join, small_side
 from .graph import components
 
-#: Counters of the sketch as a power of two, its chunks, and how many ways a chunk's parts are added up at first.
-SKETCH_BITS, CHUNKS, WAYS = 22, 256, 16
+#: Counters of the sketch as a power of two, its chunks, and how many partitions' parts of a chunk are added up at once.
+SKETCH_BITS, CHUNKS, FAN_IN = 22, 256, 64
 #: Minimum hashes by which nodes are grouped, and prefix tokens that a query and a group must share.
 STARS, LEAST = 3, 2
 
 
-def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, sorted, and their number; fewer words than k are one shingle."""
+@dataclass
+class Sets:
+    """The distinct shingles of some texts, by text and hash: hashes, first word of an occurrence, number for each text."""
+
+    words: tv.Words
+    hash: np.ndarray
+    word: np.ndarray
+    counts: np.ndarray
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+
+def _sets(texts: pa.Array, k: int) -> Sets:
+    """Fewer words than k are one shingle."""
     w = tv.words(texts, tv.SPACED)
     counts = w.counts
-    at = np.flatnonzero(tv.together(w.doc, k))
-    doc, hashes = [w.doc[at]], [tv.grams(w.hash, k)[at]]
+    places, hashes = [np.flatnonzero(tv.together(w.doc, k))], []
+    hashes.append(tv.grams(w.hash, k)[places[0]])
     for n in range(1, k):
-        few = np.flatnonzero(counts == n)
+        few = w.first[counts == n]
         if len(few):
-            doc.append(few)
-            hashes.append(tv.grams(w.hash, n)[w.first[few]])
-    doc, hashes = np.concatenate(doc), np.concatenate(hashes)
-    order = np.lexsort((hashes, doc))
-    doc, hashes = doc[order], hashes[order]
+            places.append(few)
+            hashes.append(tv.grams(w.hash, n)[few])
+    at, hashed = np.concatenate(places), np.concatenate(hashes)
+    doc = w.doc[at]
+    order = np.lexsort((hashed, doc))
+    at, doc, hashed = at[order], doc[order], hashed[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    return hashes[new], np.bincount(doc[new], minlength=len(texts))
+    new[1:] = (doc[1:] != doc[:-1]) | (hashed[1:] != hashed[:-1])
+    return Sets(w, hashed[new], at[new], np.bincount(doc[new], minlength=len(texts)))
 
 
 def _over(ufunc: np.ufunc, values: np.ndarray, counts: np.ndarray, empty: int) -> np.ndarray:
@@ -61,9 +81,17 @@ def _over(ufunc: np.ufunc, values: np.ndarray, counts: np.ndarray, empty: int) -
     return out
 
 
-def _keys(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """128 bits that tell sets apart."""
-    return [_over(np.add, tv.mix(hashes ^ tv.U(0x5EED)), counts, 0).view(np.int64), _over(np.bitwise_xor, tv.mix(hashes ^ tv.U(0xFACE)), counts, 0).view(np.int64)]
+def _keys(s: Sets, k: int) -> list[np.ndarray]:
+    """128 bits that tell sets apart: a sum over shingles, and a sum over the same shingles by other hashes of their words."""
+    w = s.words
+    other = tv.span_hash(w.data, w.start, w.end, seed=1)
+    size = np.minimum(w.counts, k)[s.doc]
+    again = np.zeros(len(s.hash), tv.U)
+    for n in range(1, k + 1):
+        of = np.flatnonzero(size == n)
+        if len(of):
+            again[of] = tv.grams(other, n)[s.word[of]]
+    return [_over(np.add, tv.mix(x ^ tv.U(salt)), s.counts, 0).view(np.int64) for x, salt in ((s.hash, 0x5EED), (again, 0xFACE))]
 
 
 def _counters(k: int):
@@ -74,19 +102,19 @@ def _counters(k: int):
         some = 0
         for batch in batches:
             for part in pieces(batch, "text"):
-                hashes, _ = _sets(column(part, "text"), k)
+                hashes = _sets(column(part, "text"), k).hash
                 n += np.bincount((hashes >> tv.U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(n)).astype(np.uint32)
                 some += len(hashes)
         if some:
             data = [zlib.compress(x.tobytes(), 1) for x in np.split(n, CHUNKS)]
-            way = np.full(CHUNKS, some % WAYS, np.int32)
+            way = np.full(CHUNKS, TaskContext.get().partitionId(), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(way), pa.array(data, pa.binary())], ["chunk", "way", "data"])
 
     return run
 
 
-def _added(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Sketches added up by their chunk (and way)."""
+def _added(rows: DataFrame) -> DataFrame:
+    """Sketches added up by their chunk, FAN_IN partitions' parts at once."""
 
     def add(batches: pa.Table) -> pa.Table:
         total = np.zeros((1 << SKETCH_BITS) // CHUNKS, np.uint32)
@@ -94,13 +122,16 @@ def _added(rows: DataFrame, by: list[str]) -> DataFrame:
             total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
         return pa.table({"chunk": batches.column("chunk")[:1].cast(pa.int32()), "way": batches.column("way")[:1].cast(pa.int32()), "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    return rows.groupBy(*by).applyInArrow(add, "chunk int, way int, data binary")
+    return rows.withColumn("way", F.expr(f"way div {FAN_IN}").cast("int")).groupBy("chunk", "way").applyInArrow(add, "chunk int, way int, data binary")
 
 
 def token_classes(documents: DataFrame, k: int) -> np.ndarray:
     """For each counter of the sketch of all documents' shingles four times the logarithm of its count."""
     rows = documents.select("text").mapInArrow(lambda it: _counters(k)(it), "chunk int, way int, data binary")
-    total = _added(_added(rows, ["chunk", "way"]), ["chunk"]).collect()  # CHUNKS rows at most
+    parts = documents.rdd.getNumPartitions()
+    while parts > 1:  # a tree: each level leaves a FAN_IN-th of the parts
+        rows, parts = _added(rows), -(-parts // FAN_IN)
+    total = rows.collect()  # CHUNKS rows at most
     n = np.zeros(1 << SKETCH_BITS, np.uint32)
     size = len(n) // CHUNKS
     for r in total:
@@ -110,18 +141,18 @@ def token_classes(documents: DataFrame, k: int) -> np.ndarray:
 
 def _features(batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
     for part in pieces(batch, "text"):
-        hashes, counts = _sets(column(part, "text"), k)
-        yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(counts, pa.int64()), *map(pa.array, _keys(hashes, counts))], ["doc_id", "n", "k1", "k2"])
+        s = _sets(column(part, "text"), k)
+        yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(s.counts, pa.int64()), *map(pa.array, _keys(s, k))], ["doc_id", "n", "k1", "k2"])
 
 
 def _prefixes(batch: pa.RecordBatch, k: int, percent: int, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """For each text that can link to a different one: its keys, minimum hashes, centrality and first tokens."""
     for part in pieces(batch, "text"):
-        hashes, counts = _sets(column(part, "text"), k)
-        k1, k2 = _keys(hashes, counts)
+        s = _sets(column(part, "text"), k)
+        hashes, counts, doc = s.hash, s.counts, s.doc
+        k1, k2 = _keys(s, k)
         stars = np.stack([_over(np.minimum, tv.mix(hashes ^ tv.U(r + 1)), counts, 0) for r in range(STARS)], axis=1).reshape(-1)
         kind = classes[hashes >> tv.U(64 - SKETCH_BITS)]
-        doc = np.repeat(np.arange(len(counts)), counts)
         order = np.lexsort((hashes, kind, doc))
         central = 1000 * np.bincount(doc, weights=kind, minlength=len(counts)) / np.maximum(counts, 1)
         need = -(-percent * counts // 100)
@@ -134,27 +165,54 @@ def _prefixes(batch: pa.RecordBatch, k: int, percent: int, classes: np.ndarray)
         yield rows.filter(pa.array(100 * counts >= percent * (counts + 1)))
 
 
+def _pair_sets(batch: pa.RecordBatch, k: int, percent: int) -> np.ndarray:
+    """Which pairs of texts link."""
+    a, b = _sets(column(batch, "text_a"), k), _sets(column(batch, "text_b"), k)
+    doc = np.concatenate([a.doc, b.doc])
+    hashed, word = np.concatenate([a.hash, b.hash]), np.concatenate([a.word, b.word])
+    order = np.lexsort((hashed, doc))  # stable: of two equal hashes the first is of a
+    doc, hashed, word = doc[order], hashed[order], word[order]
+    both = np.flatnonzero((doc[1:] == doc[:-1]) & (hashed[1:] == hashed[:-1]))
+    same = np.bincount(doc[both], minlength=batch.num_rows)
+    out = 100 * same >= percent * (a.counts + b.counts - same)
+    x, y = a.words, b.words
+    size = np.minimum(x.counts, k)[doc[both]]
+    out &= (a.counts > 0) & (b.counts > 0) & (np.minimum(x.counts, k) == np.minimum(y.counts, k))  # shingles of other sizes differ
+    differ = np.zeros(batch.num_rows, bool)
+    for i in range(k):
+        at = np.flatnonzero((size > i) & out[doc[both]])
+        p, q = word[both[at]] + i, word[both[at] + 1] + i
+        wrong = ~tv.same_spans(x.data, x.start[p], x.end[p], y.data, y.start[q], y.end[q])
+        differ[doc[both[at[wrong]]]] = True
+    for d in np.flatnonzero(differ).tolist():  # words that differ and share a hash: this pair is compared by its words
+        one, two = (_shingles(s.words, d, k) for s in (a, b))
+        out[d] = 100 * len(one & two) >= percent * len(one | two)
+    return out
+
+
+def _shingles(w: tv.Words, d: int, k: int) -> set[tuple[bytes, ...]]:
+    at, n = int(w.first[d]), int(w.counts[d])
+    words = [w.data[w.start[i] : w.end[i]].tobytes() for i in range(at, at + n)]
+    return {tuple(words[i : i + k]) for i in range(max(n - k + 1, 1))} if n else set()
+
+
 def _linked(batch: pa.RecordBatch, k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs of texts whose sets link."""
     for part in pieces(batch, "text_a"):
-        (a, na), (b, nb) = _sets(column(part, "text_a"), k), _sets(column(part, "text_b"), k)
-        doc = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
-        both = np.concatenate([a, b])
-        order = np.lexsort((both, doc))
-        doc, both = doc[order], both[order]
-        same = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (both[1:] == both[:-1])], minlength=len(na)) if len(doc) else np.zeros(len(na), np.int64)
-        yield part.select(["a", "b"]).filter(pa.array(100 * same >= percent * (na + nb - same)))
+        for some in pieces(part, "text_b"):
+            yield some.select(["a", "b"]).filter(pa.array(_pair_sets(some, k, percent)))
 
 
 def verified(documents: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The rows of pairs (a, b: doc_id) whose texts link, as u, v."""
+    """The rows of pairs (a, b: doc_id) whose texts link, as u, v. A document with many partners is dealt to several tasks."""
     pairs = cut(pairs.distinct())
     ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = cut(documents.select("doc_id", "text").join(small_side(ids, ids.count()), "doc_id"))
+    texts = cut(documents.select("doc_id", "text").join(small_side(ids, ids.count(), 16), "doc_id"))
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    found = arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), lambda x: _linked(x, k, percent), f"a {kind}, b {kind}")
+    both = salted_join(salted_join(pairs, left, "a"), right, "b", counted=pairs)
+    found = arrow_map(both.select("a", "b", "text_a", "text_b"), lambda x: _linked(x, k, percent), f"a {kind}, b {kind}")
     return found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
@@ -166,7 +224,7 @@ def _star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """Each node with the most central node of each of its minimum hashes, where sizes allow a link."""
     keyed = nodes.select("doc_id", "n", "central", F.posexplode("stars").alias("r", "key"))
     pivots = keyed.groupBy("r", "key").agg(F.max(F.struct("central", F.col("n").alias("pivot_n"), F.col("doc_id").alias("pivot"))).alias("p"), F.count("*").alias("members")).where("members > 1").select("r", "key", "p.pivot", "p.pivot_n")
-    return keyed.join(pivots, ["r", "key"]).where((F.col("doc_id") != F.col("pivot")) & _sizes_fit("n", "pivot_n", percent)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    return salted_join(keyed, pivots, "r", "key").where((F.col("doc_id") != F.col("pivot")) & _sizes_fit("n", "pivot_n", percent)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
 
 
 def _open_pairs(nodes: DataFrame, percent: int) -> DataFrame:
@@ -181,7 +239,7 @@ def _open_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     matrix = rows.groupBy("token", F.col("grp").alias("g"), F.col("n").alias("m")).agg(F.min("pos").alias("g_pos"))
     alike = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
     near = (F.col("pos") < F.col("n") - alike + LEAST) & (F.col("g_pos") < F.col("m") - alike + LEAST)
-    met = rows.join(matrix, "token").where((F.col("grp") > F.col("g")) & _sizes_fit("n", "m", percent) & near)
+    met = salted_join(rows, matrix, "token").where((F.col("grp") > F.col("g")) & _sizes_fit("n", "m", percent) & near)
     found = met.groupBy("doc_id", "n", "g", "m").agg(F.count("*").alias("shared"), F.min("pos").alias("first"), F.min("g_pos").alias("g_first"))
     most = F.least(F.col("n") - F.col("first"), F.col("m") - F.col("g_first"))
     groups = found.where((F.col("shared") >= F.least(F.lit(LEAST), alike)) & (most >= alike)).select(F.col("doc_id").alias("a"), "g", "m")
@@ -196,7 +254,8 @@ def similar_groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataF
     all words as one shingle if there are fewer. Documents link when 100 * intersection >= percent * union;
     component_id is the least doc_id that links reach. Null or empty texts and texts without words have an empty
     set and link with nothing. Rows that share a doc_id are one document with several texts; a null doc_id takes
-    part in nothing and has a null component. Shingles are told apart by 64-bit hashes, sets by 128 bits.
+    part in nothing and has a null component. Texts are compared by their words before they are linked; equal sets
+    are told by 128 bits.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", "text")
@@ -204,7 +263,7 @@ def similar_groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataF
     classes = docs.sparkSession.sparkContext.broadcast(token_classes(docs, k))
     nodes = cut(features.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("node")))
     prefixes = arrow_map(docs, lambda b: _prefixes(b, k, percent, classes.value), f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, stars array<bigint>, central bigint, prefix array<bigint>")
-    one = small_side(nodes.withColumnRenamed("node", "doc_id"), nodes.count())
+    one = small_side(nodes.withColumnRenamed("node", "doc_id"), nodes.count(), 96)
     rows = cut(prefixes.join(one, ["n", "k1", "k2", "doc_id"]).dropDuplicates(["n", "k1", "k2", "doc_id"]))
     stars = cut(verified(docs, _star_pairs(rows, percent), k, percent))
     groups = cut(components(stars))
@@ -224,9 +283,9 @@ def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     """
     labels = cut(similar_groups(documents, k, percent))
     out = cut(labels.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = documents.join(small_side(out, out.count()), "doc_id", "left_anti").select(documents.columns)
+    kept = documents.join(small_side(out, out.count(), 32), "doc_id", "left_anti").select(documents.columns)
     again = cut(labels.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
     if again.isEmpty():
         return kept
-    once = small_side(again, again.count())
+    once = small_side(again, again.count(), 32)
     return kept.join(once, "doc_id", "left_anti").unionByName(kept.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(documents.columns)
