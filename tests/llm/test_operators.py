@@ -18,7 +18,7 @@ from quayline.llm import html_text, licenses, pretokens, segmentation, toxicity
 from quayline.llm.common import table
 from quayline.llm.decontamination import decontaminate
 from quayline.llm.graph import components
-from quayline.llm.line_dedup import dedup_lines
+from quayline.llm.line_dedup import dedup_lines, repeated_runs
 from quayline.llm.quality import assess, kept_documents
 from quayline.llm.similarity_join import one_of_each, similar_groups
 from quayline.llm.token_counts import count_tokens
@@ -116,20 +116,19 @@ def test_decontamination(spark, docs):
 
 
 def test_line_dedup(docs):
-    lines_of = lambda t: [(i, x, len(x.split())) for i, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
+    lines_of = lambda t: [(i, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for i, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
     rows = sorted({(r.doc_id is None, r.doc_id or 0, r.text) for r in local(docs) if r.text is not None})
     gone, seen = {}, set()
     for no, d, t in rows:
         ls = lines_of(t)
         for i in range(len(ls)):
-            for size in (1, 2, 3):
-                run = ls[i : i + size]
-                if len(run) == size and (size == 3 or sum(len(re.findall(r"[^\x20\x09-\x0D]+", x[1])) for x in run) >= 50):
+            for j in range(i + 1, len(ls) + 1):
+                run = ls[i:j]
+                if len(run) >= 3 or sum(x[2] for x in run) >= 50:
                     key = tuple(x[1] for x in run)
                     if key in seen:
                         gone.setdefault((no, d, t), set()).update(x[0] for x in run)
                     seen.add(key)
-                    break
     out = dedup_lines(docs)
     assert out.columns == [*docs.columns, "_n_lines", "_n_removed"]
     expected = Counter()
@@ -140,6 +139,14 @@ def test_line_dedup(docs):
     assert Counter((r.doc_id, r.text, r.n_chars, r["_n_removed"]) for r in out.collect()) == expected and gone
 
 
+def test_repeated_runs(spark):
+    line = lambda tag, n=8: " ".join(f"{tag}{i}" for i in range(n))
+    shared = [line(x) for x in "abcde"]
+    rows = [(1, "\n".join([line("p"), *shared, line("q")])), (2, "\n".join([*shared[:4], line("r")])), (3, "\n".join([line("s"), "", line("t"), *shared[1:], *shared]))]
+    runs = {(r.doc_id, r.start, r.stop, r.from_doc, r.from_line) for r in repeated_runs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert runs == {(2, 0, 4, 1, 1), (3, 3, 7, 1, 2), (3, 7, 12, 1, 1)}
+
+
 def test_quality_counts(docs):
     expected = Counter()
     for r in local(docs):
@@ -208,16 +215,14 @@ def test_segmentations(docs):
         if not s:
             yield ()
         for i in range(1, len(s) + 1):
-            p = np.array([ord(c) for c in s[:i]], np.uint32)
-            piece = v.table.get(segmentation.tv.span_hash(p, np.array([0]), np.array([i])))[0]
-            if piece >= 0:
-                yield from ((int(piece), *rest) for rest in cuts(s[i:]))
+            if s[:i] in v.piece_id:
+                yield from ((v.piece_id[s[:i]], *rest) for rest in cuts(s[i:]))
 
     every = list(cuts("▁" + word))
     w = np.exp([sum(v.log_prob[i] for i in c) for c in every])
     p = w / w.sum()
     first, both = Counter(), Counter()
-    for f in segmentation.sample([word] * n, np.arange(n).astype(np.uint64) * np.uint64(977), v, k):
+    for f in segmentation.sample([word] * n, np.arange(n).astype(np.uint64) * np.uint64(977), segmentation.Lattices(v, 1.0), k):
         ids = [tuple(x[0].tolist()) for x in f]
         assert len(set(ids)) == k and f[0][2] > f[1][2]
         first[ids[0]] += 1
