@@ -2,16 +2,25 @@
 
 The tree builder closes elements that another start tag ends (paragraphs, list items, cells, rows, options), keeps
 raw text out of the tree, and lets end tags without a start pass. What a browser does not show is left out: the
-head, scripts, templates and the like, the hidden attribute, display:none or visibility:hidden in a style attribute
-or a simple rule, for all screens, of the page's own style sheets, and closed details but for their summary. Blocks begin on lines of
-their own, with a blank line around those that have margins; list items are marked and indented; cells of a table
-are padded to columns, unless a cell is longer than CELL, when each cell is a block. Preformatted text keeps blanks.
+head, scripts, templates and the like, what the hidden attribute, a style attribute or the page's own style sheets
+take off the screen (display) or hide (visibility, which an element inside can undo), and closed details but for
+their summary. Style rules count if they hold on every screen and their selectors are made of tags, classes and ids,
+with descendants and children; the more specific rule wins, then the later one. Images count by their alt text,
+inputs by their values.
+
+Blocks begin on lines of their own, with a blank line around those that have margins; list items are marked and
+indented, by INDENT columns at most. Cells of a table are padded to columns, its first head first and its first foot
+last; a cell's text is wrapped at WRAP columns, as its neighbours' is, and a longer word sticks out. Wide letters
+count as two columns. Preformatted text keeps blanks.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,8 +29,8 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map, column, pieces
 
-#: Elements nested deeper stay at this depth, with their text; the longest cell that is padded.
-DEPTH, CELL = 250, 80
+#: Columns at which a table's cell is wrapped, and that lines are indented by at most.
+WRAP, INDENT = 80, 80
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -58,7 +67,8 @@ _CSS_SKIPPED = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|("(?:\\.|[^"\\\n])*"|'(?
 _CSS_MARK = re.compile(r"[{};]")
 _CSS_NESTED = re.compile(r"[^;{}]*\{[^{}]*\}")
 _SCREEN = frozenset(["all", "screen", "only all", "only screen"])
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DECLARED = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
+_COMPOUND = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -67,19 +77,41 @@ class Node:
     tag: str
     attributes: dict[str, str] = field(default_factory=dict)
     children: list[Node | str] = field(default_factory=list)
+    parent: Node | None = field(default=None, repr=False, compare=False)
+    shown: bool | None = None  # whether it is visible, once known
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(raw)} if raw.strip() else {}
 
 
-def _close(stack: list[Node], ends: frozenset[str], scope: frozenset[str]) -> None:
-    """Takes elements off the stack through the outermost of ends that scope doesn't cover."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in scope:
-            break
-        if stack[i].tag in ends:
-            del stack[i:]
+class _Stack(list):
+    """The open elements, and how many there are of each tag."""
+
+    def __init__(self, root: Node) -> None:
+        super().__init__([root])
+        self.open: Counter[str] = Counter()
+        self.deepest = 1
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.open[node.tag] += 1
+        self.deepest = max(self.deepest, len(self))
+
+    def drop(self, start: int) -> None:
+        for node in self[start:]:
+            self.open[node.tag] -= 1
+        del self[start:]
+
+    def close(self, ends: frozenset[str], scope: frozenset[str]) -> None:
+        """Takes elements off through the outermost of ends that scope doesn't cover."""
+        if not any(self.open[t] for t in ends):
+            return
+        for i in range(len(self) - 1, 0, -1):
+            if self[i].tag in scope:
+                break
+            if self[i].tag in ends:
+                self.drop(i)
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -129,31 +161,31 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 at = found = shut.start() if shut else len(page)
 
 
-def parse(page: str) -> tuple[Node, list[str]]:
-    """The tree of a page, and the texts of its style sheets for screens."""
+def parse(page: str) -> tuple[Node, list[str], int]:
+    """The tree of a page, the texts of its style sheets for screens, and how deep it is."""
     root, styles = Node("#root"), []
-    stack = [root]
+    stack = _Stack(root)
 
     def start(tag: str, attributes: dict[str, str]) -> None:
         if tag in _P_ENDERS:
-            _close(stack, frozenset(["p"]), _P_SCOPE)
+            stack.close(frozenset(["p"]), _P_SCOPE)
         if tag in ENDS:
-            _close(stack, *ENDS[tag])
+            stack.close(*ENDS[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             start("tr", {})
-        node = Node(tag, attributes)
+        node = Node(tag, attributes, parent=stack[-1])
         stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < DEPTH:
-            stack.append(node)
+        if tag not in VOID:
+            stack.push(node)
 
     def end(tag: str) -> None:
         if tag == "br":
-            stack[-1].children.append(Node("br"))
-        elif any(n.tag == tag for n in stack):
+            stack[-1].children.append(Node("br", parent=stack[-1]))
+        elif stack.open[tag]:
             scope = _END_SCOPE if tag not in _END_SCOPE | {"tr", "thead", "tbody", "tfoot"} else frozenset(["table"]) - {tag}
             i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag or stack[i].tag in scope), 0)
             if i and stack[i].tag == tag:
-                del stack[i:]
+                stack.drop(i)
 
     opened, media = "", ""
     for kind, what, attributes in _tokens(page):
@@ -170,7 +202,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 styles.append(what)
         elif opened in ("textarea", "title", "xmp"):
             stack[-1].children.append(what if opened == "xmp" else html.unescape(what))
-    return root, styles
+    return root, styles, stack.deepest
 
 
 def _on_screen(media: str) -> bool:
@@ -198,28 +230,136 @@ def _css_blocks(css: str) -> Iterator[tuple[str, str]]:
         yield css[start:opened].strip(), css[opened + 1 :]
 
 
-def hiding_rules(styles: str) -> frozenset[str]:
-    """Simple selectors (tag, .class, #id) that a style sheet hides on any screen; rules under conditions are passed over."""
-    out, todo = set(), [_CSS_SKIPPED.sub(lambda m: '""' if m[1] else " ", styles)]
-    while todo:
-        for before, inside in _css_blocks(todo.pop()):
-            if before.startswith("@"):
-                at = re.fullmatch(r"@(media|layer)\b(.*)", before, re.S | re.I)
-                if at and (at[1].lower() == "layer" or _on_screen(at[2])):
-                    todo.append(inside)
-                continue
-            while (own := _CSS_NESTED.sub("", inside)) != inside:
-                inside = own
-            if _HIDES.search(inside):
-                out |= {s.strip() for s in before.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
-    return frozenset(out)
+def _declared(text: str) -> dict[str, tuple[bool, str]]:
+    """Display and visibility as declarations set them, and whether they are important."""
+    out: dict[str, tuple[bool, str]] = {}
+    for name, value, important in _DECLARED.findall(text):
+        if important or not out.get(name.lower(), (False,))[0]:
+            out[name.lower()] = bool(important), value.lower()
+    return out
 
 
-def seen(node: Node, hidden: frozenset[str]) -> bool:
-    a = node.attributes
-    if node.tag in UNSEEN or "hidden" in a or _HIDES.search(a.get("style", "")):
-        return False
-    return not hidden or not (node.tag in hidden or f"#{a.get('id')}" in hidden or any(f".{c}" in hidden for c in a.get("class", "").split()))
+@dataclass(frozen=True)
+class _Step:
+    """One element of a selector: tag, ids, classes, and whether the step before it is its parent or any ancestor."""
+
+    tag: str
+    names: frozenset[str]
+    child: bool
+
+    def fits(self, node: Node) -> bool:
+        a = node.attributes
+        own = {f".{c}" for c in a.get("class", "").split()} | {f"#{a.get('id')}"} if self.names else frozenset()
+        return self.tag in ("*", node.tag) and self.names <= own
+
+
+def _selector(text: str) -> list[_Step] | None:
+    """A selector's steps, the last first; None if it is made of other things than tags, classes, ids, descendants and children."""
+    steps, child = [], False
+    for part in text.replace(">", " > ").split():
+        m = _COMPOUND.fullmatch(part)
+        if part == ">":
+            child = True
+        elif m is None:
+            return None
+        else:
+            steps.append(_Step((m[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", m[2])), child))
+            child = False
+    return steps[::-1] if steps and not child else None
+
+
+def _matches(steps: list[_Step], node: Node) -> bool:
+    """Whether a node fits a selector. Descendants are looked for from the nearest ancestor outwards, with a step back for children."""
+    todo = [(0, node)]
+    while todo:
+        i, at = todo.pop()
+        if not steps[i].fits(at):
+            continue
+        if i + 1 == len(steps):
+            return True
+        above = at.parent
+        while above is not None:
+            todo.append((i + 1, above))
+            above = None if steps[i].child else above.parent
+    return False
+
+
+class Rules:
+    """The display and visibility rules of style sheets that hold on every screen; others are passed over."""
+
+    def __init__(self, sheets: list[str]) -> None:
+        self.by: dict[str, list[tuple[tuple[int, int, int], int, list[_Step], dict[str, tuple[bool, str]]]]] = {}
+        n = 0
+        for sheet in sheets:
+            todo = [_CSS_SKIPPED.sub(lambda m: '""' if m[1] else " ", sheet)]
+            while todo:
+                inner = []
+                for before, inside in _css_blocks(todo.pop()):
+                    if before.startswith("@"):
+                        at = re.fullmatch(r"@(media|layer)\b(.*)", before, re.S | re.I)
+                        if at and (at[1].lower() == "layer" or _on_screen(at[2])):
+                            inner.append(inside)
+                        continue
+                    while (own := _CSS_NESTED.sub("", inside)) != inside:
+                        inside = own
+                    if not (set_ := _declared(inside)):
+                        continue
+                    for one in before.split(","):
+                        if steps := _selector(one):
+                            n += 1
+                            weight = tuple(sum(sum(x[0] == mark for x in s.names) for s in steps) for mark in "#.") + (sum(s.tag != "*" for s in steps),)
+                            self.by.setdefault(min(steps[0].names, default=steps[0].tag), []).append((weight, n, steps, set_))
+                todo += inner[::-1]
+
+    def of(self, node: Node) -> dict[str, str]:
+        """Display and visibility as they are set for a node itself."""
+        a, best = node.attributes, {}
+        inline = _declared(a["style"]) if "style" in a else {}
+        found = [((1, 0, 0, 0), 0, inline)] if inline else []
+        if self.by:
+            for key in {"*", node.tag, f"#{a.get('id')}", *(f".{c}" for c in a.get("class", "").split())}:
+                found += [((0, *weight), n, set_) for weight, n, steps, set_ in self.by.get(key, ()) if _matches(steps, node)]
+        for weight, n, set_ in found:
+            for name, (important, value) in set_.items():
+                if name not in best or (important, weight, n) > best[name][0]:
+                    best[name] = (important, weight, n), value
+        return {name: value for name, (_, value) in best.items()}
+
+
+def seen(node: Node, rules: Rules) -> bool:
+    """Whether a node is on the screen at all; shown tells whether what is directly in it is visible."""
+    if node.shown is None:
+        own = rules.of(node)
+        node.shown = own["visibility"] not in ("hidden", "collapse") if own.get("visibility", "inherit") != "inherit" else node.parent is None or node.parent.shown is not False
+        if node.tag in UNSEEN or (own["display"] == "none" if "display" in own else "hidden" in node.attributes):
+            node.tag = "#unseen"
+    return node.tag != "#unseen"
+
+
+def _width(text: str) -> int:
+    """Columns of a text: wide letters take two, marks on other letters none."""
+    if text.isascii():
+        return len(text)
+    return sum(2 if unicodedata.east_asian_width(c) in "WF" else 0 if unicodedata.combining(c) else 1 for c in text)
+
+
+def _wrapped(text: str) -> list[str]:
+    """The lines of a cell, those of more than WRAP columns broken at blanks."""
+    out = []
+    for line in text.split("\n"):
+        if _width(line) <= WRAP:
+            out.append(line)
+            continue
+        now, n = [], 0
+        for word in line.split(" "):
+            w = _width(word)
+            if now and n + 1 + w > WRAP:
+                out.append(" ".join(now))
+                now, n = [], 0
+            n += w + (1 if now else 0)
+            now.append(word)
+        out.append(" ".join(now))
+    return out
 
 
 class _Lines:
@@ -252,7 +392,7 @@ class _Lines:
             if self.margin and self.done and self.done[-1]:
                 self.done.append("")
             self.margin = False
-            lead = self.indent[: len(self.indent) - len(self.marker)] + self.marker if self.marker else self.indent
+            lead = self.indent[: min(len(self.indent) - len(self.marker), INDENT)] + self.marker if self.marker else self.indent[:INDENT]
             self.done.append((lead + text).rstrip())
             self.marker = ""
 
@@ -263,10 +403,26 @@ class _Lines:
 
 def _has_cells(node: Node) -> bool:
     """Whether an element holds rows or cells of the table around it."""
-    return node.tag != "table" and any(isinstance(c, Node) and (c.tag in _GRID or _has_cells(c)) for c in node.children)
+    todo = [node]
+    while todo:
+        at = todo.pop()
+        for c in at.children if at.tag != "table" else ():
+            if isinstance(c, Node):
+                if c.tag in _GRID:
+                    return True
+                todo.append(c)
+    return False
 
 
-def _grid(node: Node, hidden: frozenset[str], rows: list[tuple[int, list[Node]]], row: list[Node] | None = None, group: int = 0) -> list[Node | str]:
+@dataclass
+class _Row:
+    """A row's cells, and which group it belongs to: its element's kind and number."""
+
+    group: tuple[str, int]
+    cells: list[Node] = field(default_factory=list)
+
+
+def _grid(node: Node, rules: Rules, rows: list[_Row], row: _Row | None = None, group: tuple[str, int] = ("", 0)) -> list[Node | str]:
     """Adds the rows below a table, with their groups, to rows; returns what is misplaced around the cells.
 
     Elements such as forms that stand between a table and its cells are looked through. Nested tables are not.
@@ -274,92 +430,107 @@ def _grid(node: Node, hidden: frozenset[str], rows: list[tuple[int, list[Node]]]
     loose: list[Node | str] = []
     for c in node.children:
         if isinstance(c, str):
-            loose.append(c)
-        elif not seen(c, hidden):
+            loose.append(c if node.shown is not False else "")
+        elif not seen(c, rules):
             continue
         elif c.tag in ("td", "th"):
             if row is None:
-                rows.append((group, row := []))
-            row.append(c)
+                rows.append(row := _Row(group))
+            row.cells.append(c)
         elif c.tag == "tr":
-            rows.append((group, new := []))
-            loose += _grid(c, hidden, rows, new, group)
+            rows.append(new := _Row(group))
+            loose += _grid(c, rules, rows, new, group)
         elif c.tag in _GRID:
-            loose += _grid(c, hidden, rows, None, id(c))
+            loose += _grid(c, rules, rows, None, (c.tag, id(c)))
         elif _has_cells(c):
-            rest = _grid(c, hidden, rows, row, group)
-            if any(isinstance(x, Node) or x.strip() for x in rest):
-                loose.append(Node(c.tag, c.attributes, rest))
+            rest = _grid(c, rules, rows, row, group)
+            if [x for x in rest if isinstance(x, Node) or x.strip()]:
+                loose.append(Node(c.tag, c.attributes, rest, c.parent, c.shown))
         else:
             loose.append(c)
     return loose
 
 
+def _in_order(rows: list[_Row]) -> list[_Row]:
+    """Rows with the first head at the top and the first foot at the bottom."""
+    first = {kind: next((r.group for r in rows if r.group[0] == kind), None) for kind in ("thead", "tfoot")}
+    return sorted(rows, key=lambda r: 0 if r.group == first["thead"] else 2 if r.group == first["tfoot"] else 1)
+
+
 def _span(cell: Node, name: str) -> int:
     """A cell's colspan or rowspan; a rowspan of 0 reaches to the end of its group."""
     n = re.match(r"\s*(\d{1,9})", cell.attributes.get(name, ""))
     return max(0 if name == "rowspan" else 1, min(int(n[1]), 1000)) if n else 1
 
 
-def _table(out: _Lines, table: Node, hidden: frozenset[str]) -> None:
-    rows: list[tuple[int, list[Node]]] = []
-    for c in _grid(table, hidden, rows):  # captions, and what is misplaced around cells
+def _table(out: _Lines, table: Node, rules: Rules) -> None:
+    rows: list[_Row] = []
+    for c in _grid(table, rules, rows):  # captions, and what is misplaced around cells
         if not isinstance(c, Node):
             out.text(c, False)
         else:
             out.block(False)
-            _render(out, c, hidden, False)
+            _render(out, c, rules, False)
     out.block(False)
-    cells = [(group, [(cell, render(cell, hidden)) for cell in row]) for group, row in rows]
-    if any(len(t) > CELL or "\n\n" in t for _, row in cells for _, t in row):
-        for _, row in cells:
-            for _, t in row:
-                for line in t.split("\n"):
-                    out.text(line, True)
-                    out.line()
-        return
-    placed: list[list[tuple[int, int, str]]] = []
+    placed: list[list[tuple[int, int, list[str]]]] = []
     widths: dict[int, int] = {}
     taken: dict[int, float] = {}  # columns that a cell from above reaches into, and for how many rows
     last = None
-    for group, row in cells:
-        if group != last:
-            taken, last = {}, group
+    for row in _in_order(rows):
+        if row.group != last:
+            taken, last = {}, row.group
         new, at = {}, 0
         placed.append([])
-        for cell, t in row:
+        for cell in row.cells:
             while at in taken:
                 at += 1
             span, down = _span(cell, "colspan"), _span(cell, "rowspan") or float("inf")
+            lines = _wrapped(render(cell, rules))
             if span == 1:
-                widths[at] = max(widths.get(at, 0), len(t.replace("\n", " ")))
-            placed[-1].append((at, span, t.replace("\n", " ")))
+                widths[at] = max(widths.get(at, 0), min(max(map(_width, lines)), WRAP))
+            placed[-1].append((at, span, lines))
             if down > 1:
                 new |= dict.fromkeys(range(at, at + span), down)
             at += span
         taken = {c: n - 1 for c, n in (taken | new).items() if n > 1}
-    for row in placed:
-        to, line = 0, []
-        for at, span, t in row:
-            line += [" " * widths.get(i, 0) for i in range(to, at)]
-            line.append(t.ljust(sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)))
-            to = at + span
-        out.text("  ".join(line), True)
-        out.line()
+    for cells in placed:
+        for i in range(max((len(lines) for _, _, lines in cells), default=0)):
+            to, line = 0, []
+            for at, span, lines in cells:
+                line += [" " * widths.get(x, 0) for x in range(to, at)]
+                text = lines[i] if i < len(lines) else ""
+                line.append(text + " " * (sum(widths.get(x, 0) for x in range(at, at + span)) + 2 * (span - 1) - _width(text)))
+                to = at + span
+            out.text("  ".join(line), True)
+            out.line()
 
 
-def _render(out: _Lines, node: Node, hidden: frozenset[str], kept: bool) -> None:
+def _own_text(node: Node) -> str:
+    """What an element without children shows: an image's alt text, an input's value."""
+    a = node.attributes
+    if node.tag == "img" or (node.tag == "input" and a.get("type", "").lower() == "image"):
+        return a.get("alt", "")
+    if node.tag == "input" and a.get("type", "").lower() not in ("hidden", "checkbox", "radio", "password", "file", "color", "range"):
+        return a.get("value") or a.get("placeholder", "")
+    return ""
+
+
+def _render(out: _Lines, node: Node, rules: Rules, kept: bool) -> None:
     """Writes a node and what is in it."""
-    if not seen(node, hidden):
+    if not seen(node, rules):
         return
     if node.tag == "br":
         out.line(True)
         return
+    if node.tag in ("img", "input"):
+        if node.shown:
+            out.text(_own_text(node), False)
+        return
     block, kept = node.tag in BLOCK, kept or node.tag in ("pre", "textarea", "xmp")
     if block:
         out.block(node.tag in SPACED)
     if node.tag == "table":
-        _table(out, node, hidden)
+        _table(out, node, rules)
     else:
         children, number, before = node.children, 0, out.indent
         if node.tag == "details" and "open" not in node.attributes:
@@ -371,17 +542,18 @@ def _render(out: _Lines, node: Node, hidden: frozenset[str], kept: bool) -> None
             number = int(start) - 1 if re.fullmatch(r"-?\d{1,9}", start) else 0
         for c in children:
             if isinstance(c, str):
-                out.text(c, kept)
-            elif c.tag == "li" and seen(c, hidden):
+                if node.shown:
+                    out.text(c, kept)
+            elif c.tag == "li" and seen(c, rules):
                 out.block(False)
                 number += 1
                 mark = f"{number}. " if node.tag == "ol" else "- "
-                out.indent, out.marker = out.indent + " " * len(mark), mark
-                _render(out, c, hidden, kept)
+                indent, out.indent, out.marker = out.indent, _deeper(out.indent, len(mark)), mark
+                _render(out, c, rules, kept)
                 out.line()
-                out.indent, out.marker = out.indent[: -len(mark)], ""
+                out.indent, out.marker = indent, ""
             else:
-                _render(out, c, hidden, kept)
+                _render(out, c, rules, kept)
         if block:
             out.line()
         out.indent = before
@@ -389,21 +561,27 @@ def _render(out: _Lines, node: Node, hidden: frozenset[str], kept: bool) -> None
         out.block(node.tag in SPACED)
 
 
-def render(node: Node, hidden: frozenset[str] = frozenset()) -> str:
+def _deeper(indent: str, n: int) -> str:
+    """An indent of n more columns; none grows far beyond what is written of it."""
+    return indent + " " * n if len(indent) <= INDENT else indent
+
+
+def render(node: Node, rules: Rules) -> str:
     """The visible text inside a node."""
     out = _Lines()
     for c in node.children:
-        if isinstance(c, str):
+        if not isinstance(c, str):
+            _render(out, c, rules, False)
+        elif node.shown is not False:
             out.text(c, False)
-        else:
-            _render(out, c, hidden, False)
     out.line()
     return "\n".join(out.done).strip("\n")
 
 
 def visible_text(page: str) -> str:
-    root, styles = parse(page)
-    return render(root, frozenset().union(*map(hiding_rules, styles)))
+    root, styles, depth = parse(page)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6 * depth + 1000))  # calls between Python functions take no stack of the machine's
+    return render(root, Rules(styles))
 
 
 def _extracted(batch: pa.RecordBatch, carried: list[str]) -> Iterator[pa.RecordBatch]:

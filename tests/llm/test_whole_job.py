@@ -117,3 +117,72 @@ def test_decontamination_tells_rows_apart(spark, tmp_path):
     for out in (clean_documents(docs, items), corpus_pipeline.decontamination(spark, docs, str(tmp_path))):
         assert out.columns == docs.columns
         assert sorted(r.item_id for r in out.collect()) == ["b", "d", "e", "f"]
+
+
+def _grid(r: random.Random) -> tuple[str, list[list[tuple[int, str]]]]:
+    """A table's markup, and for each of its rows the first column and text of each cell, by a plain map of taken places."""
+    rows, taken, out = r.randint(1, 6), set(), []
+    page = ["<table>"]
+    for y in range(rows):
+        page.append("<tr>")
+        out.append([])
+        for _ in range(r.randint(1, 4)):
+            x = next(i for i in range(100) if (y, i) not in taken)
+            wide, high = r.choice([1, 1, 1, 2, 3]), r.choice([1, 1, 1, 2])
+            if any((y, x + i) in taken for i in range(wide)):
+                wide = 1
+            taken |= {(y + j, x + i) for i in range(wide) for j in range(high)}
+            text = " ".join(r.choice(["a", "bb", "日本", "long" * 4, "x" * 90, "word"]) + str(r.randrange(10)) for _ in range(r.choice([1, 1, 2, 30])))
+            page.append(f"<td colspan={wide} rowspan={high}>{text}")
+            out[-1].append((x, wide, text))
+    return "".join(page) + "</table>", out
+
+
+def test_html_tables_are_aligned():
+    """Every cell's lines begin where its column does, whatever spans, long or wide cells lie around."""
+    import unicodedata
+
+    size = lambda t: sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in t)
+    r = random.Random(11)
+    for _ in range(400):
+        page, rows = _grid(r)
+        wrapped = lambda t: html_text._wrapped(t)
+        width: dict[int, int] = {}
+        for row in rows:
+            for x, wide, t in row:
+                if wide == 1:
+                    width[x] = max(width.get(x, 0), min(max(size(p) for p in wrapped(t)), html_text.WRAP))
+        expected = []
+        for row in rows:
+            for i in range(max(len(wrapped(t)) for _, _, t in row)):
+                line, at = "", 0
+                for x, wide, t in row:
+                    start = sum(width.get(c, 0) + 2 for c in range(x))
+                    over = max(0, at - start)
+                    line += " " * (start + over - at if over == 0 else 0)
+                    own = wrapped(t)[i] if i < len(wrapped(t)) else ""
+                    cell = sum(width.get(c, 0) for c in range(x, x + wide)) + 2 * (wide - 1)
+                    line += own + " " * (cell - size(own)) + "  "
+                    at = start + over + max(cell, size(own)) + 2
+                expected.append(line.rstrip())
+        got = html_text.visible_text(page).split("\n")
+        plain = lambda ls: ["".join(x.split()) for x in ls if x.strip()]
+        assert plain(got) == plain(expected), page
+        if all(max(size(p) for p in wrapped(t)) <= html_text.WRAP for row in rows for _, _, t in row):
+            assert [x for x in got if x] == [x for x in expected if x], page
+
+
+def test_html_selectors_and_visibility():
+    text = html_text.visible_text
+    assert text("<style>div .y{display:none} p.z{display:none} ul>li>b{visibility:hidden}</style><div>a <i class=y>no</i></div><i class=y>yes</i><p class=z>no<p>ok<ul><li><b>no</b>li<li><i><b>seen</b></i></ul>").split() == ["a", "yes", "ok", "-", "li", "-", "seen"]
+    assert text("<div style='visibility:hidden'>no <b style='visibility:visible'>shown <i>too</i></b><p>no</div>") == "shown too"
+    assert text("<style>.a{display:none} #x{display:block} .b{display:none!important}</style><p class=a>no<p class=a id=x>yes<p class=b id=x>no") == "yes"
+    assert text("<style>.a{display:none}</style><style>.a{display:block}</style><p class=a>later wins") == "later wins"
+    assert text("<p hidden>no<p hidden style='display:block'>yes") == "yes"
+    assert text("<img alt='a map'> <input type=submit value=Send><input type=hidden value=no><button>Press</button>") == "a map SendPress"
+    assert text("<table><tfoot><tr><td>foot</tfoot><thead><tr><td>head</thead><tbody><tr><td>body</table>") == "head\nbody\nfoot"
+    assert text("<table><tr><td>日本<td>1<tr><td>abc<td>2</table>") == "日本  1\nabc   2"
+    long = " ".join(["word"] * 40)
+    assert text(f"<table><tr><td>{long}<td>1<tr><td>b<td>2</table>").split("\n")[0].endswith("  1")
+    deep = text("<div>" * 20_000 + "deep" + "</div>" * 20_000)
+    assert deep == "deep" and text("<ul><li>x" * 3000).count("x") == 3000
