@@ -1,33 +1,63 @@
-"""python -m quayline build FOLDER ROOT | check FOLDER [REPORT]: exit code 1 where the contract or a critical check fails."""
+"""python -m quayline build FOLDER ROOT
+python -m quayline check FOLDER [--output FILE] [--fail-on-critical] [--baseline FILE [--tolerance PERCENT] [--update-baseline]]
+
+Exit code 0; 1 where the contract, a critical check that counts, or the gate fails; 2 for inputs that are missing.
+"""
 
 from __future__ import annotations
 
+import argparse
 import sys
 
 from .operators.contract import ContractError
-from .operators.quality_checks import report
-from .plans.build import build
+from .operators.quality_checks import baseline, gate, report
+from .plans.build import build, summary
 from .session import session
-from .sources.files import read_raw, write_json
+from .sources import store
+from .sources.files import read_raw
+
+
+def _check(spark, args: argparse.Namespace) -> int:
+    raw, sums = read_raw(spark, args.folder)
+    found = report(raw, sums)
+    if args.output:
+        store.write_json(spark, found, args.output)
+    print(found["summary"])
+    code = int(args.fail_on_critical and found["summary"]["critical_failures"] > 0)
+    if args.baseline and args.update_baseline:
+        store.write_json(spark, baseline(found), args.baseline)
+    elif args.baseline:
+        worse = gate(found, store.read_json(spark, args.baseline), args.tolerance)
+        print("\n".join(worse) or "no regressions")
+        code = code or int(bool(worse))
+    return code
 
 
 def main(args: list[str]) -> int:
-    if len(args) < 2 or args[0] not in ("build", "check"):
-        print(__doc__)
+    parser = argparse.ArgumentParser(prog="quayline", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    commands = parser.add_subparsers(dest="command", required=True)
+    one = commands.add_parser("build")
+    one.add_argument("folder")
+    one.add_argument("root")
+    two = commands.add_parser("check")
+    two.add_argument("folder")
+    two.add_argument("--output")
+    two.add_argument("--fail-on-critical", action="store_true")
+    two.add_argument("--baseline")
+    two.add_argument("--tolerance", type=float, default=10.0)
+    two.add_argument("--update-baseline", action="store_true")
+    chosen, spark = parser.parse_args(args), session()
+    try:
+        if chosen.command == "build":
+            print(summary(build(spark, chosen.folder, chosen.root)))
+            return 0
+        return _check(spark, chosen)
+    except ContractError as error:
+        print(error, file=sys.stderr)
+        return 1
+    except FileNotFoundError as error:
+        print(error, file=sys.stderr)
         return 2
-    spark = session()
-    if args[0] == "build":
-        try:
-            print(build(spark, args[1], args[2])["run_id"])
-        except ContractError as error:
-            print(error, file=sys.stderr)
-            return 1
-        return 0
-    found = report(read_raw(spark, args[1])[0])
-    if len(args) > 2:
-        write_json(found, args[2])
-    print(found["summary"])
-    return int(found["summary"]["critical_failures"] > 0)
 
 
 if __name__ == "__main__":

@@ -20,6 +20,7 @@ COUNTRY_FIXES = {"BEANR": "Belgium"}
 MAX_QUARANTINE_PERCENT = 10.0
 
 SHIPMENT_COLUMNS = ("shipment_id", "customer_id", "origin_port", "destination_port", "vessel_id", "booking_date", "planned_departure", "actual_departure", "planned_arrival", "actual_arrival", "container_count", "cargo_type", "weight_tons", "status")
+CURATED_SHIPMENT_COLUMNS = ("shipment_id", "customer_id", "origin_port", "destination_port", "route_key", "vessel_id", "booking_date", "planned_departure", "actual_departure", "planned_arrival", "actual_arrival", "container_count", "cargo_type", "weight_tons", "status", "status_raw", "actual_delay_hours", "on_time_flag", "transit_days_planned", "transit_days_actual", "booking_lead_days", "dq_flags", "_source_row")
 EVENT_COLUMNS = ("event_id", "event_timestamp", "port_code", "vessel_id", "event_type", "delay_minutes", "notes")
 PORT_COLUMNS = ("port_code", "port_name", "country", "region", "timezone", "avg_congestion_score")
 RANKING_METRICS = ("avg_delay_hours", "on_time_rate", "shipment_count", "completed_count")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,8 +69,8 @@ def first_match(*pairs: tuple[Column, str]) -> Column:
 
 
 def mapped(c: Column | str, values: dict[str, str]) -> Column:
-    """Constants by key, null without one; small fixed lists need no join."""
-    return reduce(lambda out, kv: out.when(col(c) == kv[0], F.lit(kv[1])), list(values.items())[1:], F.when(col(c) == next(iter(values)), F.lit(values[next(iter(values))])))
+    """The value of a key in a small fixed list, null without one; the key is computed once and no join is needed."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), col(c))
 
 
 def truth(c: Column) -> Column:

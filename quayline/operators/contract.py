@@ -58,7 +58,7 @@ def _shipment_counts(s: DataFrame) -> DataFrame:
 
 def _misses(rows: DataFrame, columns: list[str], ports: DataFrame) -> Column | DataFrame:
     """How many rows have a code that no port has; a null code is no miss."""
-    codes = small(ports.select("port_code"))
+    codes = small(ports.select("port_code").distinct())
     bad = F.lit(False)
     for i, name in enumerate(columns):
         rows = rows.join(codes.select(F.col("port_code").alias(f"_p{i}")), F.col(name) == F.col(f"_p{i}"), "left")

@@ -1,10 +1,14 @@
-"""From raw text rows to curated and quarantined ones: duplicates, types, reasons, repaired values, flags.
+"""From raw text rows to curated and quarantined ones.
+
+Exact copies are one group of a hash aggregate. Texts are parsed once, before the shuffle that brings versions of an id
+together. A staged table is written once (see staged_to) or computed for each reader.
 
 Ports are a dimension: they are broadcast only up to PORT_ROWS counted rows and joined by a shuffle beyond that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +49,11 @@ def first_rows(df: DataFrame, keys: list[str | Column], *order: str | Column) ->
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def without_copies(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """columns and _row_number, each combination once with its least number; nulls are equal here."""
+    return rows.groupBy(*columns).agg(F.min("_row_number").alias("_row_number"))
+
+
 def curate_ports(ports: DataFrame) -> DataFrame:
     code = norm_code("port_code")
     fix, country = mapped(code, D.COUNTRY_FIXES), blank_to_null("country")
@@ -60,39 +69,50 @@ def curate_ports(ports: DataFrame) -> DataFrame:
     )
 
 
-def stage_shipments(shipments: DataFrame, ports: DataFrame) -> DataFrame:
-    """Typed rows without exact duplicates, with quarantine_reason: the first that holds, or null."""
-    blanks = [F.col(c).isNull() for c in ("customer_id", "vessel_id", "booking_date", "planned_departure", "actual_departure", "planned_arrival", "actual_arrival", "container_count", "weight_tons")] + [blank_to_null(c).isNull() for c in ("cargo_type", "status")]
-    typed = first_rows(shipments, list(D.SHIPMENT_COLUMNS), "_row_number").select(
-        F.trim("shipment_id").alias("shipment_id"),
-        F.trim("customer_id").alias("customer_id"),
-        norm_code("origin_port").alias("origin_port"),
-        norm_code("destination_port").alias("destination_port"),
-        F.trim("vessel_id").alias("vessel_id"),
-        strict_timestamp("booking_date").alias("booking_date"),
-        strict_timestamp("planned_departure").alias("planned_departure"),
-        strict_timestamp("actual_departure").alias("actual_departure_raw"),
-        strict_timestamp("planned_arrival").alias("planned_arrival"),
-        strict_timestamp("actual_arrival").alias("actual_arrival_raw"),
-        lax_int("container_count").alias("container_count_raw"),
-        lax_double("weight_tons").alias("weight_tons_raw"),
-        F.col("cargo_type").alias("cargo_type_raw"),
-        F.col("status").alias("status_raw"),
-        "_row_number",
-        sum((b.cast("int") for b in blanks), F.lit(0)).alias("blank_field_count"),
-    )
-    ranked = typed.withColumn("id_rank", F.row_number().over(Window.partitionBy("shipment_id").orderBy("blank_field_count", "_row_number")))
+#: How each text of a shipment is read; the names with _raw are those that quarantine tables show.
+_READ: dict[str, tuple[str, Callable[[str], Column]]] = {
+    **{c: (c, F.trim) for c in ("shipment_id", "customer_id", "vessel_id")},
+    **{c: (c, norm_code) for c in ("origin_port", "destination_port")},
+    **{c: (c, strict_timestamp) for c in ("booking_date", "planned_departure", "planned_arrival")},
+    **{f"{c}_raw": (c, strict_timestamp) for c in ("actual_departure", "actual_arrival")},
+    "container_count_raw": ("container_count", lax_int),
+    "weight_tons_raw": ("weight_tons", lax_double),
+    "cargo_type_raw": ("cargo_type", F.col),
+    "status_raw": ("status", F.col),
+}
+
+
+def _empty_fields() -> Column:
+    """How many of a shipment's fields, but for its id and ports, say nothing."""
+    said = [blank_to_null(c) if c in ("cargo_type", "status") else F.col(c) for c in D.SHIPMENT_COLUMNS if c not in ("shipment_id", "origin_port", "destination_port")]
+    return F.size(F.filter(F.array(*said), lambda x: x.isNull()))
+
+
+def with_known(rows: DataFrame, ports: DataFrame, **columns: str) -> DataFrame:
+    """rows with a boolean for each named column of codes: whether a port has that code."""
     codes = small(ports.select("port_code"))
-    for side in ("origin", "destination"):
-        ranked = ranked.join(codes.select(F.col("port_code").alias(f"_{side}")), F.col(f"{side}_port") == F.col(f"_{side}"), "left")
+    for name, c in columns.items():
+        rows = rows.join(codes.select(F.col("port_code").alias("_code")), F.col(c) == F.col("_code"), "left").withColumn(name, F.col("_code").isNotNull()).drop("_code")
+    return rows
+
+
+def stage_shipments(shipments: DataFrame, ports: DataFrame) -> DataFrame:
+    """Typed rows without exact copies, with quarantine_reason: the first that holds, or null.
+
+    Of several versions of an id the one with the fewest empty fields survives, of equal ones the first.
+    """
+    rank = F.struct(_empty_fields().alias("empty"), F.col("_row_number").alias("row"))
+    rows = without_copies(shipments, D.SHIPMENT_COLUMNS).select(*(read(c).alias(name) for name, (c, read) in _READ.items()), "_row_number", rank.alias("_rank"))
+    rows = with_known(rows.withColumn("_best", F.min("_rank").over(Window.partitionBy("shipment_id"))), ports, _from="origin_port", _to="destination_port")
+    booked, leaves, arrives = F.col("booking_date"), F.col("planned_departure"), F.col("planned_arrival")
     reason = first_match(
-        (F.col("id_rank") > 1, "conflicting_duplicate_id"),
-        (F.col("_origin").isNull() | F.col("_destination").isNull(), "unknown_port_code"),
+        (F.col("_rank") > F.col("_best"), "conflicting_duplicate_id"),
+        (~(F.col("_from") & F.col("_to")), "unknown_port_code"),
         (F.col("origin_port") == F.col("destination_port"), "same_origin_destination"),
-        (F.col("booking_date").isNull() | F.col("planned_departure").isNull() | F.col("planned_arrival").isNull(), "missing_or_invalid_planned_timestamp"),
-        ((F.col("planned_arrival") <= F.col("planned_departure")) | (F.col("planned_departure") < F.col("booking_date")), "invalid_planned_sequence"),
+        (booked.isNull() | leaves.isNull() | arrives.isNull(), "missing_or_invalid_planned_timestamp"),
+        ((arrives <= leaves) | (leaves < booked), "invalid_planned_sequence"),
     )
-    return ranked.withColumn("quarantine_reason", reason).drop("_origin", "_destination")
+    return rows.select(*_READ, "_row_number", reason.alias("quarantine_reason"))
 
 
 def rederived_status(alias: Column, arrived: Column, delay: Column) -> Column:
@@ -101,72 +121,73 @@ def rederived_status(alias: Column, arrived: Column, delay: Column) -> Column:
     return F.when((alias == "CANCELLED") & arrived.isNull(), "CANCELLED").when(arrived.isNotNull() & open_, F.when(delay > D.ON_TIME_HOURS, "DELAYED").otherwise("DELIVERED")).otherwise(D.UNKNOWN_STATUS)
 
 
+def _hours(start: str, end: str, minutes: float = 60.0) -> Column:
+    return minutes_between(start, end) / F.lit(minutes)
+
+
 def curate_shipments(staged: DataFrame) -> DataFrame:
-    """The rows without a reason, repaired, with derived columns and flags."""
-    early, backwards = truth(F.col("actual_departure_raw") < F.col("booking_date")), truth(F.col("actual_arrival_raw") <= F.col("actual_departure_raw"))
-    base = staged.where("quarantine_reason IS NULL").select(
-        "*",
-        mapped(norm_code("status_raw"), D.STATUS_ALIASES).alias("_status"),
-        mapped(match_key("cargo_type_raw"), {c.lower(): c for c in D.CARGO_TYPES}).alias("_cargo"),
-        early.alias("_early"),
-        backwards.alias("_backwards"),
-        F.when(~(early | backwards), F.col("actual_departure_raw")).alias("actual_departure"),
-        F.when(~backwards, F.col("actual_arrival_raw")).alias("actual_arrival"),
-    )
-    base = base.withColumn("actual_delay_hours", minutes_between("planned_arrival", "actual_arrival") / F.lit(60.0))
-    containers, weight, cargo, delay = F.col("container_count_raw"), F.col("weight_tons_raw"), F.col("cargo_type_raw"), F.col("actual_delay_hours")
-    days = lambda a, b: minutes_between(a, b) / F.lit(1440.0)
-    return base.select(
-        "shipment_id", "customer_id", "origin_port", "destination_port",
-        F.concat("origin_port", F.lit(" → "), "destination_port").alias("route_key"),
-        "vessel_id", "booking_date", "planned_departure", "actual_departure", "planned_arrival", "actual_arrival",
-        F.when(containers.between(1, D.MAX_CONTAINERS), containers).alias("container_count"),
-        F.coalesce("_cargo", F.lit(D.UNKNOWN_CARGO)).alias("cargo_type"),
-        F.when(weight > 0, weight).alias("weight_tons"),
-        rederived_status(F.col("_status"), F.col("actual_arrival"), delay).alias("status"),
-        "status_raw", "actual_delay_hours",
-        (delay <= D.ON_TIME_HOURS).alias("on_time_flag"),
-        days("planned_departure", "planned_arrival").alias("transit_days_planned"),
-        days("actual_departure", "actual_arrival").alias("transit_days_actual"),
-        days("booking_date", "planned_departure").alias("booking_lead_days"),
-        flags(
-            (F.col("_early"), "actual_departure_before_booking"),
-            (F.col("_backwards"), "actual_arrival_before_departure"),
-            first_match((blank_to_null(cargo).isNull(), "cargo_type_missing"), (F.col("_cargo").isNull(), "cargo_type_unrecognised"), (cargo != F.col("_cargo"), "cargo_type_normalised")),
+    """The rows without a reason, repaired, with derived columns and flags.
+
+    A departure before the booking is taken out; an arrival not after the departure takes out both.
+    """
+    left, arrived = F.col("actual_departure_raw"), F.col("actual_arrival_raw")
+    rows = staged.where("quarantine_reason IS NULL").withColumns({
+        "_too_early": truth(left < F.col("booking_date")),
+        "_backwards": truth(arrived <= left),
+        "_alias": mapped(norm_code("status_raw"), D.STATUS_ALIASES),
+        "_cargo": mapped(match_key("cargo_type_raw"), {c.lower(): c for c in D.CARGO_TYPES}),
+    })
+    too_early, backwards, alias, goods = (F.col(c) for c in ("_too_early", "_backwards", "_alias", "_cargo"))
+    rows = rows.withColumns({"actual_departure": F.when(~too_early & ~backwards, left), "actual_arrival": F.when(~backwards, arrived)})
+    rows = rows.withColumn("actual_delay_hours", _hours("planned_arrival", "actual_arrival"))
+    count, weight, cargo, delay, there = (F.col(c) for c in ("container_count_raw", "weight_tons_raw", "cargo_type_raw", "actual_delay_hours", "actual_arrival"))
+    new = {
+        "route_key": F.concat("origin_port", F.lit(" → "), "destination_port"),
+        "container_count": F.when(count.between(1, D.MAX_CONTAINERS), count),
+        "cargo_type": F.coalesce(goods, F.lit(D.UNKNOWN_CARGO)),
+        "weight_tons": F.when(weight > 0, weight),
+        "status": rederived_status(alias, there, delay),
+        "on_time_flag": delay <= D.ON_TIME_HOURS,
+        "transit_days_planned": _hours("planned_departure", "planned_arrival", 1440.0),
+        "transit_days_actual": _hours("actual_departure", "actual_arrival", 1440.0),
+        "booking_lead_days": _hours("booking_date", "planned_departure", 1440.0),
+        "dq_flags": flags(
+            (too_early, "actual_departure_before_booking"),
+            (backwards, "actual_arrival_before_departure"),
+            first_match((blank_to_null(cargo).isNull(), "cargo_type_missing"), (goods.isNull(), "cargo_type_unrecognised"), (cargo != goods, "cargo_type_normalised")),
             first_match((weight.isNull(), "weight_missing"), (weight <= 0, "weight_non_positive")),
-            first_match((containers.isNull(), "container_count_missing"), (containers <= 0, "container_count_zero"), (containers > D.MAX_CONTAINERS, "container_count_outlier")),
-            first_match((F.col("_status").isNull(), "status_missing_or_unmapped"), (F.col("status_raw") != F.col("_status"), "status_normalised")),
-            (F.col("actual_arrival").isNull() & ~F.col("_status").eqNullSafe(F.lit("CANCELLED")), "no_observed_outcome"),
-        ).alias("dq_flags"),
-        F.col("_row_number").alias("_source_row"),
-    )
+            first_match((count.isNull(), "container_count_missing"), (count <= 0, "container_count_zero"), (count > D.MAX_CONTAINERS, "container_count_outlier")),
+            first_match((alias.isNull(), "status_missing_or_unmapped"), (F.col("status_raw") != alias, "status_normalised")),
+            (there.isNull() & ~truth(alias == "CANCELLED"), "no_observed_outcome"),
+        ),
+        "_source_row": F.col("_row_number"),
+    }
+    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in D.CURATED_SHIPMENT_COLUMNS))
 
 
 def stage_events(events: DataFrame, ports: DataFrame) -> DataFrame:
-    """Typed events without exact duplicates; event_key is a hash of the content, since event ids collide."""
-    kind = F.nullif(norm_code("event_type"), F.lit(""))
+    """Typed events without exact copies; event_key is a hash of the content, since event ids collide."""
     content = [F.col(c) for c in D.EVENT_COLUMNS[:-1]] + [F.coalesce("notes", F.lit(""))]
-    typed = first_rows(events, list(D.EVENT_COLUMNS), "_row_number").select(
+    rows = without_copies(events, D.EVENT_COLUMNS).select(
         F.md5(F.concat_ws("|", *content)).alias("event_key"),
         F.trim("event_id").alias("event_id"),
         strict_timestamp("event_timestamp").alias("event_timestamp"),
         norm_code("port_code").alias("port_code"),
         F.trim("vessel_id").alias("vessel_id"),
-        kind.alias("event_type"),
+        F.nullif(norm_code("event_type"), F.lit("")).alias("event_type"),
         lax_int("delay_minutes").alias("delay_minutes"),
         blank_to_null("notes").alias("notes"),
         "_row_number",
     )
-    typed = typed.withColumn("event_id_collision", F.count("*").over(Window.partitionBy("event_id")) > 1)
-    typed = typed.join(small(ports.select(F.col("port_code").alias("_port"))), F.col("port_code") == F.col("_port"), "left")
+    rows = rows.withColumn("event_id_collision", F.count("*").over(Window.partitionBy("event_id")) > 1)
     reason = first_match(
         (F.col("event_timestamp").isNull(), "unparseable_timestamp"),
         (F.col("event_type").isNull(), "missing_event_type"),
         (~F.col("event_type").isin(*D.EVENT_TYPES), "invalid_event_type"),
         (F.col("vessel_id").isin(*D.SENTINEL_VESSELS), "sentinel_vessel_id"),
-        (F.col("_port").isNull(), "unknown_port_code"),
+        (~F.col("_known"), "unknown_port_code"),
     )
-    return typed.withColumn("quarantine_reason", reason).drop("_port")
+    return with_known(rows, ports, _known="port_code").withColumn("quarantine_reason", reason).drop("_known")
 
 
 def curate_events(staged: DataFrame) -> DataFrame:
@@ -177,9 +198,25 @@ def curate_events(staged: DataFrame) -> DataFrame:
     )
 
 
-def curate(raw: Raw) -> Curated:
-    """All curated and quarantined tables, lazily; each staged frame feeds both of its outputs."""
+def staged_to(folder: str) -> Callable[[DataFrame, str], DataFrame]:
+    """A way to stage: frames are written below a folder that the cluster shares and read back, so they are computed once."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return keep
+
+
+def curate(raw: Raw, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Curated:
+    """All curated and quarantined tables; keep is what is done to the staged frames, which feed two outputs each."""
     ports = curate_ports(raw.ports)
-    shipments, events = stage_shipments(raw.shipments, ports), stage_events(raw.port_events, ports)
+    shipments, events = keep(stage_shipments(raw.shipments, ports), "shipments"), keep(stage_events(raw.port_events, ports), "port_events")
     bad = "quarantine_reason IS NOT NULL"
-    return Curated(ports, curate_shipments(shipments), shipments.where(bad).drop("id_rank", "blank_field_count"), curate_events(events), events.where(bad))
+    return Curated(ports, curate_shipments(shipments), shipments.where(bad), curate_events(events), events.where(bad))
+
+
+def lineage(curated: DataFrame, raw: DataFrame) -> DataFrame:
+    """curated rows with raw, the row that each was made of."""
+    source = raw.select(F.col("_row_number").alias("_source_row"), F.struct(*raw.columns).alias("raw"))
+    return curated.join(source, "_source_row")

@@ -1,10 +1,8 @@
-"""Features known at booking time, temporal folds, exact classification metrics, drift, and model training."""
+"""Features known at booking time, temporal folds, and exact classification metrics."""
 
 from __future__ import annotations
 
-import json
-import math
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +13,7 @@ from .curation import small
 BOOKING_INPUTS = ("origin_port", "destination_port", "cargo_type", "container_count", "weight_tons", "booking_date", "planned_departure", "planned_arrival")
 CATEGORICAL = ("origin_port", "destination_port", "cargo_type", "origin_region", "destination_region", "region_lane")
 NUMERIC = ("container_count", "weight_tons", "booking_lead_days", "transit_days_planned", "origin_congestion", "destination_congestion", "departure_month", "departure_dayofweek", "booking_dayofweek")
-#: PSI: shares below this count as this; numeric bins; categories kept by name; warn and alert levels.
-PSI_FLOOR, PSI_BINS, PSI_TOP, PSI_WARN, PSI_ALERT = 1e-4, 10, 30, 0.10, 0.25
+HISTORY = ("hist_vessel_late_rate", "hist_customer_late_rate", "hist_route_late_rate", "hist_origin_late_rate", "hist_origin_event_delay_30d", "hist_origin_delayed_events_30d", "hist_destination_event_delay_30d")
 THRESHOLD, FOLDS, FIRST_TRAIN = 0.5, 4, 0.4
 
 
@@ -43,14 +40,54 @@ def booking_features(bookings: DataFrame, ports: DataFrame, keep: tuple[str, ...
     return out.select(*keep, *(new[c].alias(c) if c in new else F.col(c) for c in CATEGORICAL + NUMERIC))
 
 
+def target(delay_hours: str = "actual_delay_hours") -> Column:
+    """1 for more than the on-time hours of delay, 0 for less, null without an arrival."""
+    return (F.col(delay_hours) > D.ON_TIME_HOURS).cast("int")
+
+
+def training_rows(shipments: DataFrame, ports: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """shipment_id, booking_date, label, the features, and those of history if given, of shipments with an outcome."""
+    done = shipments.where("actual_delay_hours IS NOT NULL")
+    out = booking_features(done.withColumn("label", target()), ports, keep=("shipment_id", "booking_date", "label"))
+    return out if history is None else out.join(history.select("shipment_id", *HISTORY), "shipment_id", "left")
+
+
+def with_position(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """rows with their position from 0 on in an order whose first column is a time or a number; nulls come first.
+
+    Rows are counted by spans of the first column (days of a time, ranges of 100,000 of a number); the count of all
+    earlier spans is added to a row's place within its own, so no task sorts the whole table.
+    """
+    kind = dict(rows.dtypes)[order[0]]
+    span = F.date_trunc("day", order[0]).cast("timestamp_ntz") if kind.startswith(("timestamp", "date")) else F.floor(F.col(order[0]) / 100_000)
+    rows = rows.withColumn("_span", span)
+    counts = rows.groupBy("_span").agg(F.count("*").alias("_n"))
+    before = Window.orderBy(F.col("_span").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_span").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_span").orderBy(*(F.col(c).asc_nulls_first() for c in order)))
+    return rows.withColumn("_place", place).join(starts, F.col("_span").eqNullSafe(F.col("_of"))).withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_span", "_of", "_start", "_place")
+
+
 def rolling_folds(rows: DataFrame, order: list[str], n_folds: int = FOLDS, first: float = FIRST_TRAIN) -> DataFrame:
-    """For each fold its number, training rows and test rows: growing beginnings and what follows, by row position."""
-    n = rows.agg(F.count("*").alias("n"))
-    start, size = F.floor(F.col("n") * F.lit(first)), F.floor((F.col("n") - F.floor(F.col("n") * F.lit(first))) / n_folds)
-    lo = start + size * F.col("fold")
-    hi = F.when(F.col("fold") == n_folds - 1, F.col("n")).otherwise(lo + size)
-    folds = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("fold"))
-    return folds.select("fold", lo.alias("train_rows"), (hi - lo).alias("test_rows"))
+    """rows once for each fold that they belong to, with fold and part (train or test).
+
+    The first share of rows, in order, is always trained on; what follows is cut into n_folds tests of equal length, and
+    each fold trains on all that comes before its test.
+    """
+    if n_folds < 1:
+        raise ValueError("n_folds must be 1 or more")
+    placed = with_position(rows, order)
+    n = rows.agg(F.count("*").alias("_all"))
+    start = F.floor(F.col("_all") * F.lit(first))
+    edge = lambda k: start + F.floor((F.col("_all") - start) * k / n_folds)
+    folds = placed.join(F.broadcast(n)).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    part = F.when(F.col("position") < edge(F.col("fold")), "train").when(F.col("position") < edge(F.col("fold") + 1), "test")
+    return folds.withColumn("part", part).where("part IS NOT NULL").select(*rows.columns, "fold", "part")
+
+
+def fold_sizes(folds: DataFrame) -> DataFrame:
+    """For each fold its number, training rows and test rows."""
+    return folds.groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("train_rows"), F.count_if(F.col("part") == "test").alias("test_rows"))
 
 
 def classification_metrics(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -104,87 +141,23 @@ def risk_band(p: Column, threshold: float = THRESHOLD) -> Column:
     return F.when(p >= threshold, "HIGH").when(p >= round(threshold - 0.15, 10), "MEDIUM").otherwise("LOW")
 
 
-def _psi(shares: DataFrame) -> DataFrame:
-    """PSI of (expected, actual) shares by bin: floored, brought back to sum 1, summed up."""
-    floored = shares.select(*(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(PSI_FLOOR)).alias(c) for c in ("expected", "actual")))
-    total = floored.agg(F.sum("expected").alias("e"), F.sum("actual").alias("a"))
-    x, y = F.col("expected") / F.col("e"), F.col("actual") / F.col("a")
-    return floored.join(F.broadcast(total)).agg(F.sum((y - x) * F.log(y / x)).alias("psi"))
-
-
-def _shares(rows: DataFrame, key: Column, name: str) -> DataFrame:
-    n = rows.agg(F.count("*").alias("n"))
-    return rows.groupBy(key.alias("bin")).agg(F.count("*").alias("k")).join(F.broadcast(n)).select("bin", (F.col("k") / F.col("n")).alias(name))
-
-
-def psi_numeric(reference: DataFrame, current: DataFrame, column: str, bins: int = PSI_BINS) -> DataFrame:
-    """PSI over bins between the reference's distinct quantiles; outer bins are open, right edges belong to their bin."""
-    steps = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    edges = reference.agg(F.array_distinct(F.percentile(column, steps)).alias("edges"))
-    place = lambda rows: rows.where(F.col(column).isNotNull()).join(F.broadcast(edges))
-    key = F.size(F.filter("edges", lambda e: e < F.col(column)))
-    return _psi(_shares(place(reference), key, "expected").join(_shares(place(current), key, "actual"), "bin", "full"))
-
-
-def psi_categorical(reference: DataFrame, current: DataFrame, column: str, top: int = PSI_TOP) -> DataFrame:
-    """PSI over the reference's most frequent values and all others together."""
-    names = reference.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_name")).count().orderBy(F.desc("count"), "_name").limit(top).select("_name")
-    kind = lambda rows: rows.where(F.col(column).isNotNull()).join(F.broadcast(names), F.col(column) == F.col("_name"), "left")
-    key = F.coalesce("_name", F.lit("__other__"))
-    return _psi(_shares(kind(reference), key, "expected").join(_shares(kind(current), key, "actual"), "bin", "full"))
+def bootstrap_interval(scores: DataFrame, rounds: int = 1000, alpha: float = 0.05, seed: int = 42) -> tuple[float, float]:
+    """Percentile interval of ROC-AUC by a Poisson bootstrap: rows are counted by (p, y) first, each count is drawn anew.
 
+    A count's draws are seeded by its score, label and the seed, so the interval doesn't depend on partitions. Rounds in
+    which one class is missing are left out.
+    """
 
-def drift_level(psi: float) -> str:
-    return "alert" if psi >= PSI_ALERT else "warn" if psi >= PSI_WARN else "ok"
+    @F.pandas_udf("array<int>")
+    def drawn(key: pd.Series, n: pd.Series) -> pd.Series:
+        import numpy as np
 
+        return pd.Series([np.random.default_rng(k & (2**63 - 1)).poisson(m, rounds).astype(np.int32) for k, m in zip(key, n, strict=True)])
 
-def bootstrap_interval(scores: DataFrame, rounds: int = 200, alpha: float = 0.05, seed: int = 42) -> tuple[float, float]:
-    """Percentile interval of ROC-AUC by a Poisson bootstrap over score histograms: rows are weighted, never collected."""
-    binned = scores.select(F.floor(F.col("p") * 1000).alias("b"), "y").select("b", "y", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r"))
-    u = (F.pmod(F.xxhash64("b", "y", "r", F.monotonically_increasing_id(), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    steps, weight = 0.0, F.lit(0)
-    for k in range(6):  # the inverse of a Poisson(1) distribution, up to 6
-        steps += math.exp(-1) / math.factorial(k)
-        weight = weight + (u > steps).cast("int")
-    counts = binned.withColumn("w", weight).groupBy("r", "b").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg"))
-    run = counts.withColumn("above", F.coalesce(F.sum("pos").over(Window.partitionBy("r").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = scores.groupBy("p", "y").agg(F.count("*").alias("n"))
+    each = counts.select("p", "y", F.posexplode(drawn(F.xxhash64("p", "y", F.lit(seed)), "n")).alias("r", "w"))
+    by = each.groupBy("r", "p").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("neg"))
+    above = Window.partitionBy("r").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
+    run = by.withColumn("above", F.coalesce(F.sum("pos").over(above), F.lit(0)))
     aucs = run.groupBy("r").agg((F.sum(F.col("neg") * (F.col("above") + F.col("pos") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
-    lo, hi = aucs.agg(F.percentile("auc", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q")).head().q
-    return lo, hi
-
-
-def train(features: DataFrame, label: str = "label", c: float = 0.1, seed: int = 42):
-    """A balanced logistic regression over encoded categories and standardised numbers, as a Spark pipeline model."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-
-    n = features.groupBy(label).count().collect()  # two rows
-    total = sum(r["count"] for r in n)
-    weights = {r[label]: total / (len(n) * r["count"]) for r in n}
-    rows = features.withColumn("_weight", F.when(F.col(label) == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0)))
-    names = [f"{x}_i" for x in CATEGORICAL]
-    stages = [
-        StringIndexer(inputCols=list(CATEGORICAL), outputCols=names, handleInvalid="keep", stringOrderType="frequencyDesc"),
-        OneHotEncoder(inputCols=names, outputCols=[f"{x}_v" for x in CATEGORICAL], handleInvalid="keep"),
-        Imputer(strategy="median", inputCols=list(NUMERIC), outputCols=[f"{x}_f" for x in NUMERIC]),
-        VectorAssembler(inputCols=[f"{x}_f" for x in NUMERIC], outputCol="_numbers"),
-        StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
-        VectorAssembler(inputCols=["_scaled", *(f"{x}_v" for x in CATEGORICAL)], outputCol="features"),
-        LogisticRegression(labelCol=label, weightCol="_weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=200),
-    ]
-    return Pipeline(stages=stages).fit(rows)
-
-
-def select_candidate(results: dict[str, dict], simple: str = "logistic") -> tuple[str, str]:
-    """The best servable candidate by mean AUC; the simple one stays if the gain is within one standard deviation."""
-    servable = {k: r for k, r in results.items() if r.get("servable", True)}
-    best = max(servable, key=lambda k: (servable[k]["mean_auc"], k))
-    gain = servable[best]["mean_auc"] - servable[simple]["mean_auc"]
-    if best != simple and gain <= servable[simple]["std_auc"]:
-        return simple, f"{best} gains {gain:.4f}, within one standard deviation"
-    return best, f"highest mean AUC {servable[best]['mean_auc']:.4f}"
-
-
-def metadata_json(name: str, metrics: dict) -> str:
-    return json.dumps({"model": name, "threshold": THRESHOLD, "features": list(CATEGORICAL + NUMERIC), "metrics": metrics}, sort_keys=True)
+    return tuple(aucs.agg(F.percentile("auc", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q")).head().q)

@@ -1,45 +1,86 @@
 """What was known at a point in time: aggregates over earlier facts of the same key, without non-equi joins.
 
-Facts and probes are put in one frame; a RANGE frame over (key, time) that ends just before a probe gives its
-aggregate. Work per key is one sort, however many facts it has.
+Facts are added up by key and instant first. A running total up to a point is what its key had in earlier spans of time
+(BUCKET long), plus what it has within the point's own span: the first is a frame over one row for each span, the second
+a frame over the rows of one key and span. So one busy key is dealt to as many tasks as it has spans. A look-back takes
+the total at its beginning from the total at its end.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKET = 86_400_000_000  # microseconds
+Measure = tuple[str, str]  # avg, count or total, and a column of facts
+
+
+def _micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def _totals_before(points: DataFrame, facts: DataFrame, values: list[str]) -> DataFrame:
+    """points (key, _us, further columns) with s_<value> and n_<value>: sum and count of the key's facts before _us."""
+    names = [f"{x}_{v}" for v in values for x in "sn"]
+    bucket = F.floor(F.col("_us") / BUCKET).alias("_bucket")
+    sums = [a for v in values for a in (F.sum(v).alias(f"s_{v}"), F.count(v).alias(f"n_{v}"))]
+    known = facts.where("key IS NOT NULL AND ts IS NOT NULL").groupBy("key", _micros("ts").alias("_us")).agg(*sums).withColumn("_bucket", bucket)
+    nothing = [F.lit(None).cast(dict(known.dtypes)[n]).alias(n) for n in names]
+    asked = points.where("key IS NOT NULL AND _us IS NOT NULL").withColumn("_bucket", bucket)
+    spans = known.select("key", "_bucket", *names).unionByName(asked.select("key", "_bucket", *nothing)).groupBy("key", "_bucket").agg(*(F.sum(n).alias(n) for n in names))
+    earlier = Window.partitionBy("key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select("key", "_bucket", *(F.sum(n).over(earlier).alias(f"_c_{n}") for n in names))
+    own = [c for c in points.columns if c not in ("key", "_us")]
+    rows = asked.select("key", "_us", "_bucket", *nothing, F.struct(*own).alias("_point")).unionByName(known.select("key", "_us", "_bucket", *names, F.lit(None).cast(asked.select(F.struct(*own).alias("p")).schema["p"].dataType).alias("_point")))
+    inner = Window.partitionBy("key", "_bucket").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
+    found = rows.select("key", "_us", "_bucket", "_point", *(F.sum(n).over(inner).alias(n) for n in names)).where("_point IS NOT NULL").join(carried, ["key", "_bucket"])
+    return found.select("key", "_us", "_point.*", *((F.coalesce(n, F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in names))
 
-def as_of(probes: DataFrame, facts: DataFrame, aggregates: dict[str, Column], days: int | None = None) -> DataFrame:
-    """probes (id, key, ts) with aggregates over the facts (key, ts, further columns) of the same key before ts.
 
-    days bounds the look-back, its first moment included. aggregates are over the columns of facts. A null key or
-    time sees nothing: averages are null, counts 0. Facts at the very time of a probe are not before it.
+def as_of(probes: DataFrame, facts: DataFrame, measures: dict[str, Measure], days: int | None = None) -> DataFrame:
+    """probes (id, key, ts) with measures over the facts (key, ts, further columns) of the same key before ts.
+
+    days bounds the look-back, its first moment included. Facts at the very time of a probe are not before it. A null key
+    or time sees nothing: averages are null, counts and totals 0. Probes that share an id, key and time are one probe.
+    Sums of doubles are those of running totals, exact for whole numbers.
     """
-    values = [c for c in facts.columns if c not in ("key", "ts")]
-    kinds = dict(facts.dtypes)
-    one = probes.select("id", "key", "ts", F.lit(True).alias("_probe"), *(F.lit(None).cast(kinds[c]).alias(c) for c in values))
-    other = facts.where("key IS NOT NULL AND ts IS NOT NULL").select(F.lit(None).cast(dict(probes.dtypes)["id"]).alias("id"), "key", "ts", F.lit(False).alias("_probe"), *values)
-    both = one.unionByName(other)
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    low = Window.unboundedPreceding if days is None else -days * 86_400_000_000
-    frame = Window.partitionBy("key").orderBy("_us").rangeBetween(low, -1)
-    out = both.withColumn("_us", micros).select("id", "key", "ts", "_probe", *(a.over(frame).alias(n) for n, a in aggregates.items()))
-    return out.where("_probe").drop("_probe")
+    values = sorted({c for _, c in measures.values()})
+    names = [f"{x}_{v}" for v in values for x in "sn"]
+    end = probes.select("key", _micros("ts").alias("_us"), "id", "ts", F.lit(1).alias("_sign"))
+    points = end if days is None else end.unionByName(end.withColumn("_us", F.col("_us") - F.lit(days * BUCKET)).withColumn("_sign", F.lit(-1)))
+    totals = _totals_before(points.distinct(), facts, values).groupBy("id", "key", "ts").agg(*(F.sum(F.col(n) * F.col("_sign")).alias(n) for n in names))
+    out = probes.alias("p").join(totals.alias("t"), reduce(lambda a, b: a & b, (F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("id", "key", "ts"))), "left")
+
+    def measure(kind: str, c: str) -> Column:
+        total, n = F.coalesce(f"t.s_{c}", F.lit(0)), F.coalesce(f"t.n_{c}", F.lit(0))
+        return {"avg": F.when(n > 0, total / n), "count": n, "total": total}[kind]
+
+    return out.select("p.id", "p.key", "p.ts", *(measure(*m).alias(name) for name, m in measures.items()))
 
 
 def history(shipments: DataFrame, events: DataFrame) -> DataFrame:
-    """shipment_id and seven features of completed shipments, each from what was known before the booking."""
+    """shipment_id and seven features of completed shipments, each from what was known before the booking.
+
+    All keys go through one pass of late rates and one of events, told apart by the key's kind.
+    """
     done = shipments.where("actual_delay_hours IS NOT NULL")
-    late = (F.col("actual_delay_hours") > 24).cast("int")
-    out = done.select("shipment_id")
-    for name, key in (("vessel", "vessel_id"), ("customer", "customer_id"), ("route", "route_key"), ("origin", "origin_port")):
-        facts = done.select(F.col(key).alias("key"), F.col("actual_arrival").alias("ts"), late.alias("late"))
-        probes = done.select(F.col("shipment_id").alias("id"), F.col(key).alias("key"), F.col("booking_date").alias("ts"))
-        found = as_of(probes, facts, {f"hist_{name}_late_rate": F.avg("late")})
-        out = out.join(found.select(F.col("id").alias("shipment_id"), f"hist_{name}_late_rate"), "shipment_id")
-    facts = events.select(F.col("port_code").alias("key"), F.col("event_timestamp").alias("ts"), "delay_minutes", (F.col("event_type") == "DELAYED").alias("delayed"))
-    for side, wanted in (("origin", {"hist_origin_event_delay_30d": F.avg("delay_minutes"), "hist_origin_delayed_events_30d": F.count_if(F.col("delayed"))}), ("destination", {"hist_destination_event_delay_30d": F.avg("delay_minutes")})):
-        probes = done.select(F.col("shipment_id").alias("id"), F.col(f"{side}_port").alias("key"), F.col("booking_date").alias("ts"))
-        out = out.join(as_of(probes, facts, wanted, 30).select(F.col("id").alias("shipment_id"), *wanted), "shipment_id")
-    return out
+    sides = {"vessel": "vessel_id", "customer": "customer_id", "route": "route_key", "origin": "origin_port"}
+    each = lambda names: F.explode(F.array(*(F.struct(F.lit(n).alias("side"), F.struct(F.lit(n).alias("kind"), F.col(c).alias("value")).alias("key")) for n, c in names.items()))).alias("k")
+    only = lambda df: df.where("k.key.value IS NOT NULL")
+    late = (F.col("actual_delay_hours") > 24).cast("int").alias("late")
+    facts = only(done.select(F.col("actual_arrival").alias("ts"), late, each(sides))).select("k.key", "ts", "late")
+    probes = done.select("shipment_id", F.col("booking_date").alias("ts"), each(sides)).select(F.struct("shipment_id", "k.side").alias("id"), "k.key", "ts")
+    rates = as_of(probes, facts, {"rate": ("avg", "late")}).select("id.*", "rate", F.lit(None).cast("double").alias("mean"), F.lit(None).cast("bigint").alias("delayed"))
+    ports = {"origin": "origin_port", "destination": "destination_port"}
+    facts = events.select(F.col("port_code").alias("key"), F.col("event_timestamp").alias("ts"), F.col("delay_minutes").cast("bigint").alias("delay_minutes"), (F.col("event_type") == "DELAYED").cast("bigint").alias("delayed"))
+    probes = done.select("shipment_id", F.col("booking_date").alias("ts"), each(ports)).select(F.struct("shipment_id", "k.side").alias("id"), F.col("k.key.value").alias("key"), "ts")
+    seen = as_of(probes, facts, {"mean": ("avg", "delay_minutes"), "delayed": ("total", "delayed")}, 30).select(F.struct("id.shipment_id", F.concat(F.lit("event_"), "id.side").alias("side")).alias("id"), "mean", "delayed").select("id.*", F.lit(None).cast("double").alias("rate"), "mean", "delayed")
+    at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    return rates.unionByName(seen).groupBy("shipment_id").agg(
+        *(at(n, "rate").alias(f"hist_{n}_late_rate") for n in sides),
+        at("event_origin", "mean").alias("hist_origin_event_delay_30d"),
+        at("event_origin", "delayed").alias("hist_origin_delayed_events_30d"),
+        at("event_destination", "mean").alias("hist_destination_event_delay_30d"),
+    )

@@ -1,11 +1,14 @@
 """Data-quality checks on raw text rows: a registry of masks, evaluated together in one scan of each table.
 
-A check is a dataset, a severity, an action, a key and a mask. Masks that need other rows (duplicates, look-ups,
-medians, the row before) use columns that prepare() adds once. Blank means null or white space only.
+A check is a dataset, a severity, an action, a mask and a weight. Exact copies are one row with their number _n, so a
+row counts _n times unless its check says otherwise. Texts are parsed once, and what masks need of other rows (versions
+of an id, look-ups, medians) are columns that prepare() adds. The order of events is that of single rows; that check has
+a frame of its own. Blank means null or white space only.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -23,35 +26,44 @@ SAMPLES, OUTLIER_ROWS, OUTLIER_SHARE = 10, 5, 0.5
 
 @dataclass(frozen=True)
 class Check:
+    """mask tells which rows are hit, weight how many raw rows one of them stands for; frame is where it is looked for."""
+
     name: str
     dataset: str
     severity: str
     action: str
     mask: Callable[[], Column]
+    weight: Callable[[], Column]
+    frame: str
 
 
 CHECKS: dict[str, Check] = {}
 KEYS = {"shipments": "shipment_id", "ports": "port_code", "port_events": "event_id"}
 
 
-def check(name: str, severity: str, action: str) -> Callable[[Callable[[], Column]], Callable[[], Column]]:
+def _each_copy() -> Column:
+    return F.col("_n")
+
+
+def check(name: str, severity: str, action: str, weight: Callable[[], Column] = _each_copy, frame: str | None = None) -> Callable[[Callable[[], Column]], Callable[[], Column]]:
     """Registers a mask under dataset.name; a name can be taken once."""
 
     def put(mask: Callable[[], Column]) -> Callable[[], Column]:
         if name in CHECKS:
             raise ValueError(f"check {name} is registered twice")
-        CHECKS[name] = Check(name, name.split(".")[0], severity, action, mask)
+        dataset = name.split(".")[0]
+        CHECKS[name] = Check(name, dataset, severity, action, mask, weight, frame or dataset)
         return mask
 
     return put
 
 
 def _ts(name: str) -> Column:
-    return strict_timestamp(name)
+    return F.col(f"_t_{name}")
 
 
 def _number(name: str) -> Column:
-    return lax_double(name)
+    return F.col(f"_d_{name}")
 
 
 def _late_hours() -> Column:
@@ -71,8 +83,8 @@ _any = lambda *c: reduce(lambda a, b: a | b, map(truth, c))
 _not = lambda c: ~truth(c)
 
 _SIMPLE: list[tuple[str, str, str, Callable[[], Column]]] = [
-    ("shipments.exact_duplicate_rows", "critical", "drop", lambda: F.col("_copy") > 1),
-    ("shipments.conflicting_duplicate_ids", "critical", "quarantine", lambda: (F.col("_copy") == 1) & (F.col("_versions") > 1)),
+    ("shipments.exact_duplicate_rows", "critical", "drop", lambda: F.col("_n") > 1),
+    ("shipments.conflicting_duplicate_ids", "critical", "quarantine", lambda: F.col("_versions") > 1),
     ("shipments.invalid_id_format", "critical", "quarantine", lambda: _any(*(_not(F.col(c).rlike(f"^{p}$")) for c, p in (("shipment_id", "SHP-[0-9]{5}"), ("customer_id", "CUST-[0-9]{4}"), ("vessel_id", "VSL-[0-9]{4}"))))),
     ("shipments.unknown_port_code", "critical", "quarantine", lambda: ~F.col("_known_origin") | ~F.col("_known_destination")),
     ("shipments.same_origin_destination", "warning", "quarantine", lambda: F.trim("origin_port") == F.trim("destination_port")),
@@ -93,10 +105,10 @@ _SIMPLE: list[tuple[str, str, str, Callable[[], Column]]] = [
     ("shipments.container_count_zero", "warning", "fix", lambda: _number("container_count") <= 0),
     ("shipments.container_count_outlier", "warning", "fix", lambda: _number("container_count") > D.MAX_CONTAINERS),
     ("ports.missing_field", "warning", "fix", lambda: _any(*(is_blank(c) for c in D.PORT_COLUMNS[1:]))),
-    ("ports.duplicate_port_code", "critical", "drop", lambda: F.col("_copy") > 1),
+    ("ports.duplicate_port_code", "critical", "drop", lambda: F.col("_later")),
     ("ports.congestion_out_of_range", "warning", "flag", lambda: ~is_blank("avg_congestion_score") & _not(_number("avg_congestion_score").between(0, 1))),
     ("ports.invalid_timezone_format", "warning", "flag", lambda: ~is_blank("timezone") & _not(F.col("timezone").rlike("^UTC[+-][0-9]{1,2}(:[0-9]{2})?$"))),
-    ("port_events.exact_duplicate_rows", "warning", "drop", lambda: F.col("_copy") > 1),
+    ("port_events.exact_duplicate_rows", "warning", "drop", lambda: F.col("_n") > 1),
     ("port_events.duplicate_event_id", "warning", "fix", lambda: F.col("_versions") > 1),
     ("port_events.missing_event_type", "warning", "quarantine", lambda: is_blank("event_type")),
     ("port_events.invalid_event_type", "warning", "quarantine", lambda: ~is_blank("event_type") & ~F.col("event_type").isin(*D.EVENT_TYPES)),
@@ -109,8 +121,9 @@ _SIMPLE: list[tuple[str, str, str, Callable[[], Column]]] = [
     ("port_events.notes_contradict_delay", "info", "none", lambda: (F.col("notes") == "Normal operations") & (_number("delay_minutes") > 0)),
     ("port_events.missing_notes", "info", "none", lambda: is_blank("notes")),
 ]
+_WEIGHTS = {"shipments.exact_duplicate_rows": lambda: F.col("_n") - 1, "port_events.exact_duplicate_rows": lambda: F.col("_n") - 1, "shipments.conflicting_duplicate_ids": lambda: F.lit(1).cast("bigint")}
 for _name, _severity, _action, _mask in _SIMPLE:
-    check(_name, _severity, _action)(_mask)
+    check(_name, _severity, _action, _WEIGHTS.get(_name, _each_copy), "event_order" if _name == "port_events.out_of_order" else None)(_mask)
 
 
 def with_previous(rows: DataFrame, value: Column, alias: str, bucket: int = 100_000) -> DataFrame:
@@ -128,38 +141,44 @@ def with_previous(rows: DataFrame, value: Column, alias: str, bucket: int = 100_
     return rows.select("*", F.lag("_v").over(inner).alias("_lag"), first.alias("_first")).join(last, "_part").withColumn(alias, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop("_v", "_part", "_carry", "_lag", "_first")
 
 
-def _copies(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    blanked = [F.coalesce(c, F.lit("")) for c in columns]
-    return rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*blanked).orderBy("_row_number")))
+def _groups(rows: DataFrame, columns: tuple[str, ...], times: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
+    """Each combination of columns once, null and empty being equal, with its number of rows and its texts parsed."""
+    alike = rows.groupBy(*(F.coalesce(c, F.lit("")).alias(c) for c in columns)).agg(F.count("*").alias("_n"))
+    return alike.select("*", *(strict_timestamp(c).alias(f"_t_{c}") for c in times), *(lax_double(c).alias(f"_d_{c}") for c in numbers))
 
 
 def prepare(raw: Raw) -> dict[str, DataFrame]:
-    """The three datasets with what masks need of other rows."""
+    """The frames that checks look at: groups of equal rows with what masks need, and events in their order."""
     codes = small(raw.ports.select(F.trim("port_code").alias("_code")).distinct())
 
     def known(rows: DataFrame, column: str, alias: str) -> DataFrame:
         return rows.join(codes, F.trim(column) == F.col("_code"), "left").withColumn(alias, F.col("_code").isNotNull()).drop("_code")
 
-    s = _copies(raw.shipments, D.SHIPMENT_COLUMNS)
-    s = s.withColumn("_versions", F.count_if(F.col("_copy") == 1).over(Window.partitionBy(F.coalesce("shipment_id", F.lit("")))))
-    s = known(known(s, "origin_port", "_known_origin"), "destination_port", "_known_destination")
+    s = _groups(raw.shipments, D.SHIPMENT_COLUMNS, _TIMES, ("weight_tons", "container_count"))
     s = s.withColumn("_transit", seconds_between(_ts("planned_departure"), _ts("planned_arrival")) / F.lit(86400.0))
-    medians = s.groupBy("origin_port", "destination_port").agg(F.percentile("_transit", F.lit(0.5)).alias("_route_median"), F.count("_transit").alias("_route_rows"))
+    s = s.withColumn("_versions", F.count("*").over(Window.partitionBy("shipment_id")))
+    s = known(known(s, "origin_port", "_known_origin"), "destination_port", "_known_destination")
+    medians = s.groupBy("origin_port", "destination_port").agg(F.percentile("_transit", F.lit(0.5), F.col("_n")).alias("_route_median"), F.sum(F.when(F.col("_transit").isNotNull(), F.col("_n"))).alias("_route_rows"))
     s = s.join(medians, ["origin_port", "destination_port"], "left")
-    p = raw.ports.withColumn("_copy", F.row_number().over(Window.partitionBy(F.coalesce("port_code", F.lit(""))).orderBy("_row_number")))
-    e = _copies(raw.port_events, D.EVENT_COLUMNS)
-    e = e.withColumn("_versions", F.count_if(F.col("_copy") == 1).over(Window.partitionBy(F.coalesce("event_id", F.lit("")))))
-    e = with_previous(known(e, "port_code", "_known_port"), _ts("event_timestamp"), "_before")
-    return {"shipments": s, "ports": p, "port_events": e}
+    code = Window.partitionBy(F.coalesce("port_code", F.lit(""))).orderBy("_row_number")
+    p = raw.ports.select("*", F.lit(1).cast("bigint").alias("_n"), (F.row_number().over(code) > 1).alias("_later"), lax_double("avg_congestion_score").alias("_d_avg_congestion_score"))
+    e = _groups(raw.port_events, D.EVENT_COLUMNS, ("event_timestamp",), ("delay_minutes",))
+    e = known(e.withColumn("_versions", F.count("*").over(Window.partitionBy("event_id"))), "port_code", "_known_port")
+    order = raw.port_events.select("event_id", "_row_number", F.lit(1).cast("bigint").alias("_n"), strict_timestamp("event_timestamp").alias("_t_event_timestamp"))
+    return {"shipments": s, "ports": p, "port_events": e, "event_order": with_previous(order, _ts("event_timestamp"), "_before")}
+
+
+def _hits(c: Check) -> Column:
+    return F.coalesce(F.sum(F.when(truth(c.mask()), c.weight())), F.lit(0)).cast("bigint")
 
 
 def mask_counts(raw: Raw) -> DataFrame:
-    """check, rows_total, rows_affected of every check; one aggregation for each dataset."""
+    """check, rows_total, rows_affected of every check; one aggregation for each frame."""
     parts = []
     for name, rows in prepare(raw).items():
-        own = [c for c in CHECKS.values() if c.dataset == name]
-        counts = rows.agg(F.count("*").alias("_n"), *(F.count_if(truth(c.mask())).alias(f"c{i}") for i, c in enumerate(own)))
-        each = F.explode(F.array(*(F.struct(F.lit(c.name).alias("check"), F.col("_n").alias("rows_total"), F.col(f"c{i}").alias("rows_affected")) for i, c in enumerate(own))))
+        own = [c for c in CHECKS.values() if c.frame == name]
+        counts = rows.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("_all"), *(_hits(c).alias(f"c{i}") for i, c in enumerate(own)))
+        each = F.explode(F.array(*(F.struct(F.lit(c.name).alias("check"), F.col("_all").alias("rows_total"), F.col(f"c{i}").alias("rows_affected")) for i, c in enumerate(own))))
         parts.append(counts.select(each.alias("x")).select("x.*"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -167,28 +186,67 @@ def mask_counts(raw: Raw) -> DataFrame:
 def samples(raw: Raw, name: str) -> DataFrame:
     """The first SAMPLES distinct keys, in text order, that a check hits."""
     c = CHECKS[name]
-    return prepare(raw)[c.dataset].where(truth(c.mask())).select(F.col(KEYS[c.dataset]).alias("sample_key")).distinct().orderBy("sample_key").limit(SAMPLES)
+    return prepare(raw)[c.frame].where(truth(c.mask())).select(F.col(KEYS[c.dataset]).alias("sample_key")).distinct().orderBy("sample_key").limit(SAMPLES)
+
+
+def _all_samples(frames: dict[str, DataFrame], names: list[str]) -> dict[str, list[str]]:
+    """Sample keys of many checks: one pass of each frame; at most SAMPLES keys a check come to the driver."""
+    out: dict[str, list[str]] = {n: [] for n in names}
+    for frame, rows in frames.items():
+        own = [CHECKS[n] for n in names if CHECKS[n].frame == frame]
+        if own:
+            hit = F.explode(F.array_compact(F.array(*(F.when(truth(c.mask()), F.lit(c.name)) for c in own)))).alias("check")
+            keys = rows.select(hit, F.coalesce(F.col(KEYS[own[0].dataset]), F.lit("")).alias("key")).distinct()
+            first = F.row_number().over(Window.partitionBy("check").orderBy("key"))
+            for r in keys.withColumn("_r", first).where(F.col("_r") <= SAMPLES).orderBy("check", "key").collect():
+                out[r.check].append(r.key)
+    return out
 
 
-def report(raw: Raw) -> dict:
-    """Results of all checks and a summary; a check that can't run is an error and stops no other."""
-    results, found = [], {}
+def report(raw: Raw, sources: dict[str, str] | None = None) -> dict:
+    """Results of all checks with sample keys, a summary, and how long it took; sources names the inputs' fingerprints.
+
+    A check that can't run is an error and stops no other, whether its mask fails or what its frame needs.
+    """
+    began, results, found, error_of = time.monotonic(), [], {}, {}
     try:
-        found = {r.check: (r.rows_total, r.rows_affected, None) for r in mask_counts(raw).collect()}
+        frames = prepare(raw)
+        found = {r.check: (r.rows_total, r.rows_affected) for r in mask_counts(raw).collect()}
     except Exception:  # one bad check fails the fused scan: then each runs alone
-        prepared = prepare(raw)
         for c in CHECKS.values():
             try:
-                r = prepared[c.dataset].agg(F.count("*").alias("n"), F.count_if(truth(c.mask())).alias("k")).head()
-                found[c.name] = (r.n, r.k, None)
+                r = prepare(raw)[c.frame].agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), _hits(c).alias("k")).head()
+                found[c.name] = (r.n, r.k)
             except Exception as error:
-                found[c.name] = (0, 0, str(error).splitlines()[0])
+                error_of[c.name] = str(error).splitlines()[0]
+    failed = [n for n, (_, k) in found.items() if k]
+    try:
+        keys = _all_samples(frames if not error_of else prepare(raw), failed)
+    except Exception:  # the same for samples
+        keys = {}
     for c in CHECKS.values():
-        n, k, error = found[c.name]
-        status = "error" if error else "fail" if k else "pass"
-        results.append({"check_name": c.name, "dataset": c.dataset, "severity": c.severity, "action": c.action, "rows_total": n, "rows_affected": k, "pct_affected": round(100.0 * k / n, 3) if n else 0.0, "status": status, "error": error})
+        n, k = found.get(c.name, (0, 0))
+        status = "error" if c.name in error_of else "fail" if k else "pass"
+        results.append({"check_name": c.name, "dataset": c.dataset, "severity": c.severity, "action": c.action, "rows_total": n, "rows_affected": k, "pct_affected": round(100.0 * k / n, 3) if n else 0.0, "status": status, "error": error_of.get(c.name), "sample_keys": keys.get(c.name, [])})
     tally = {s: sum(r["status"] == s for r in results) for s in ("pass", "fail", "error")}
-    return {"checks": results, "summary": tally | {"total": len(results), "critical_failures": sum(r["status"] == "fail" and r["severity"] == "critical" for r in results)}}
+    return {"checks": results, "summary": tally | {"total": len(results), "critical_failures": sum(r["status"] == "fail" and r["severity"] == "critical" for r in results)}, "sources": sources or {}, "seconds": round(time.monotonic() - began, 3)}
+
+
+def baseline(report: dict) -> dict[str, int]:
+    """Rows hit by each check that could run: what later reports are held against."""
+    return {c["check_name"]: c["rows_affected"] for c in sorted(report["checks"], key=lambda c: c["check_name"]) if c["status"] != "error"}
+
+
+def gate(report: dict, base: dict[str, int], tolerance_percent: float = 10.0) -> list[str]:
+    """What got worse: checks that can't run, new ones that hit, and those that hit more than the tolerance allows."""
+    out = []
+    for c in report["checks"]:
+        name, now, before = c["check_name"], c["rows_affected"], base.get(c["check_name"], 0)
+        if c["status"] == "error":
+            out.append(f"{name}: {c['error']}")
+        elif now > before * (1 + tolerance_percent / 100):
+            out.append(f"{name}: {now} rows after {before}")
+    return out
 
 
 def regressions(current: DataFrame, baseline: DataFrame, tolerance_percent: float = 10.0) -> DataFrame:
@@ -198,18 +256,50 @@ def regressions(current: DataFrame, baseline: DataFrame, tolerance_percent: floa
     return joined.where(F.col("rows_affected") > limit).select("check", "rows_affected", "baseline_rows")
 
 
+#: The share of values that must parse for a type to be inferred, and distinct values up to which the top ones are told.
+PARSED, FEW, TOP = 0.95, 30, 5
+
+
 def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """column, rows, blanks, distinct, numeric share of non-blank values, min, median and max of the numbers."""
+    """For each column: rows, blanks, distinct, numeric_share, min, median, max, inferred_type, unparseable, first_time, last_time.
+
+    A column is empty, numeric or timestamp if PARSED of its non-blank values are, else string; unparseable counts the rest.
+    min, median and max are those of values that are numbers. One aggregation for all columns.
+    """
     out = []
     for c in columns:
         text = F.when(~is_blank(c), F.trim(F.col(c)))
-        v = lax_double(text)
-        out.append(F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(text.isNull()).alias("blanks"), F.count_distinct(text).alias("distinct"), (F.count(v) / F.nullif(F.count(text), F.lit(0))).alias("numeric_share"), F.min(v).alias("min"), F.percentile(v, F.lit(0.5)).alias("median"), F.max(v).alias("max")).alias(f"p_{c}"))
+        v, t = lax_double(text), strict_timestamp(text)
+        out.append(
+            F.struct(
+                F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(text.isNull()).alias("blanks"), F.count_distinct(text).alias("distinct"),
+                (F.count(v) / F.nullif(F.count(text), F.lit(0))).alias("numeric_share"), F.min(v).alias("min"), F.percentile(v, F.lit(0.5)).alias("median"), F.max(v).alias("max"),
+                F.count(text).alias("said"), F.count(v).alias("numbers"), F.count(t).alias("times"), F.min(t).alias("first_time"), F.max(t).alias("last_time"),
+            ).alias(f"p_{c}")
+        )
     one = rows.agg(*out)
-    return one.select(F.explode(F.array(*one.columns)).alias("x")).select("x.*")
-
-
-def top_values(rows: DataFrame, column: str, n: int = 5) -> DataFrame:
+    x = one.select(F.explode(F.array(*(f"`{n}`" for n in one.columns))).alias("x")).select("x.*")
+    enough = lambda n: F.col(n) >= PARSED * F.col("said")
+    kind = F.when(F.col("said") == 0, "empty").when(enough("numbers"), "numeric").when(enough("times"), "timestamp").otherwise("string")
+    lost = F.when(kind == "numeric", F.col("said") - F.col("numbers")).when(kind == "timestamp", F.col("said") - F.col("times"))
+    return x.select("column", "rows", "blanks", "distinct", "numeric_share", "min", "median", "max", kind.alias("inferred_type"), lost.alias("unparseable"), "first_time", "last_time")
+
+
+def dataset_profile(rows: DataFrame, columns: list[str]) -> dict:
+    """Rows, columns, exact copies, and the profiles, with the top values of columns of few distinct ones."""
+    total, once = rows.count(), rows.select(*columns).distinct().count()
+    profiles = {r.column: r.asDict() for r in column_profile(rows, columns).collect()}
+    few = [c for c, p in profiles.items() if 0 < p["distinct"] <= FEW]
+    if few:
+        each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.when(~is_blank(c), F.trim(F.col(c))).alias("value")) for c in few)))
+        found = rows.select(each.alias("x")).where("x.value IS NOT NULL").groupBy("x.column", "x.value").agg(F.count("*").alias("n")).collect()  # FEW values a column
+        for c in few:
+            own = sorted((r for r in found if r.column == c), key=lambda r: (-r.n, r.value))[:TOP]
+            profiles[c]["top_values"] = {r.value: r.n for r in own}
+    return {"rows": total, "columns": len(columns), "exact_duplicate_rows": total - once, "column_profiles": profiles}
+
+
+def top_values(rows: DataFrame, column: str, n: int = TOP) -> DataFrame:
     """The most frequent values, ties in text order, with their share."""
     total = rows.agg(F.count("*").alias("_n"))
     return rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows")).join(F.broadcast(total)).select("value", "rows", (F.col("rows") / F.col("_n")).alias("share")).orderBy(F.desc("rows"), "value").limit(n)

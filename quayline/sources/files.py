@@ -1,85 +1,100 @@
-"""Reading raw CSV files as text with lineage, and writing runs that become current all at once."""
+"""Reading raw CSV files as text with lineage, runs that become current all at once, and logs of interactions."""
 
 from __future__ import annotations
 
-import hashlib
+import fcntl
 import json
-import os
 import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import domain as D
 from ..operators.curation import Raw
+from ..operators.fingerprint import fingerprint
+from . import store
 
 FILES = {"shipments": D.SHIPMENT_COLUMNS, "port_events": D.EVENT_COLUMNS, "ports": D.PORT_COLUMNS}
 
 
-def sha256(path: str | Path, chunk: int = 1 << 20) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(chunk):
-            h.update(block)
-    return h.hexdigest()
-
-
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """All columns as text (empty is null) with _row_number from 1 in file order, before any shuffle."""
+    """All columns as text (empty is null) with _row_number from 1 on, by file, then place.
+
+    A split of a file is read by one task, so a row's place in it is its number less the split's least; the rows of all
+    earlier splits come from a table of one row a split.
+    """
     schema = StructType([StructField(c, StringType()) for c in columns])
     rows = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("enforceSchema", False).csv(path)
-    out = StructType([*schema.fields, StructField("_row_number", LongType(), False)])
-    return spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), out)
+    rows = rows.select("*", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_file", "_block", "_least", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return rows.join(splits, ["_file", "_block"]).select(*columns, (F.col("_start") + F.col("_id") - F.col("_least") + 1).alias("_row_number"))
 
 
 def read_raw(spark: SparkSession, folder: str | Path) -> tuple[Raw, dict[str, str]]:
-    """The three raw tables of a folder with lineage columns, and their files' checksums; missing files stop it first."""
-    paths = {n: Path(folder) / f"{n}.csv" for n in FILES}
-    if missing := [str(p) for p in paths.values() if not p.exists()]:
+    """The three raw tables of a folder with lineage columns, and the fingerprints of their rows; missing files stop it first."""
+    paths = {n: f"{str(folder).rstrip('/')}/{n}.csv" for n in FILES}
+    if missing := [p for p in paths.values() if not store.exists(spark, p)]:
         raise FileNotFoundError(f"missing inputs: {missing}")
-    sums, now = {p.name: sha256(p) for p in paths.values()}, datetime.now(UTC).replace(tzinfo=None)
-    tables = {n: read_csv(spark, str(p), FILES[n]).withColumns({"_source_file": F.lit(p.name), "_source_sha256": F.lit(sums[p.name]), "_ingested_at": F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")}) for n, p in paths.items()}
+    now = datetime.now(UTC).replace(tzinfo=None)
+    texts = {n: read_csv(spark, p, FILES[n]) for n, p in paths.items()}
+    sums = {f"{n}.csv": fingerprint(df) for n, df in texts.items()}
+    tables = {n: df.withColumns({"_source_file": F.lit(f"{n}.csv"), "_source_sha256": F.lit(sums[f"{n}.csv"]), "_ingested_at": F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")}) for n, df in texts.items()}
     return Raw(**tables), sums
 
 
-def write_run(tables: dict[str, DataFrame], root: str | Path) -> tuple[str, Path]:
-    """Writes tables as Parquet under a new run folder; nothing points at it yet."""
+def new_run(root: str | Path) -> tuple[str, str]:
+    """The name and folder of a run; nothing points at it yet."""
     run = f"{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-    folder = Path(root) / f"run={run}"
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(str(folder / name))
-    return run, folder
+    return run, f"{str(root).rstrip('/')}/run={run}"
 
 
-def publish(root: str | Path, run: str) -> None:
+def publish(spark: SparkSession, root: str | Path, run: str) -> None:
     """Makes a run the current one by replacing the pointer file in one step."""
-    new = Path(root) / f".CURRENT-{uuid.uuid4().hex}"
-    new.write_text(run)
-    os.replace(new, Path(root) / "CURRENT")
+    store.write_text(spark, f"{root}/CURRENT", run)
+
+
+def current_run(spark: SparkSession, root: str | Path) -> str:
+    return store.read_text(spark, f"{root}/CURRENT").strip()
 
 
 def current(spark: SparkSession, root: str | Path) -> dict[str, DataFrame]:
     """The tables of the current run."""
-    folder = Path(root) / f"run={(Path(root) / 'CURRENT').read_text().strip()}"
-    return {p.name: spark.read.parquet(str(p)) for p in sorted(folder.iterdir()) if p.is_dir()}
+    folder = f"{root}/run={current_run(spark, root)}"
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in store.folders(spark, folder) if not name.startswith("_")}
 
 
-def write_json(value: dict, path: str | Path) -> None:
-    """A small report, replaced in one step."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    new = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
-    new.write_text(json.dumps(value, indent=2, sort_keys=True))
-    os.replace(new, path)
+class Reports:
+    """Reads a report, and reads it again only when its file has changed; a missing or broken one is None."""
+
+    def __init__(self, spark: SparkSession, path: str | Path) -> None:
+        self.spark, self.path, self._at, self._value = spark, str(path), None, None
+
+    def get(self) -> dict | None:
+        at = store.modified(self.spark, self.path)
+        if at is None or at != self._at:
+            try:
+                self._value = None if at is None else store.read_json(self.spark, self.path)
+            except ValueError:
+                self._value = None
+            self._at = at
+        return self._value
 
 
 def append_jsonl(record: dict, folder: str | Path) -> Path:
-    """Appends a record to the file of the current UTC day."""
+    """Appends a record to the local log of the current UTC day, one writer at a time."""
     path = Path(folder) / f"{datetime.now(UTC):%Y-%m-%d}.jsonl"
     path.parent.mkdir(parents=True, exist_ok=True)
     with path.open("a") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
         f.write(json.dumps(record | {"ts": datetime.now(UTC).isoformat()}, sort_keys=True) + "\n")
     return path
+
+
+def read_log(spark: SparkSession, folder: str | Path) -> DataFrame:
+    """All records of a log's folder."""
+    return spark.read.json(f"{folder}/*.jsonl")
