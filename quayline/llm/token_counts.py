@@ -83,7 +83,8 @@ def _counted(batch: pa.RecordBatch, path: str, tier: Tier, limit: int) -> Iterat
         found = tier.known.find(pre.data, pre.start, pre.end, pre.hash)
         tokens = tier.tokens[found] if len(tier.tokens) else np.zeros(len(found), np.int64)
         missed = np.flatnonzero(found < 0)
-        tokens[missed] = enc.count[enc.entries(pre, missed)]
+        own = enc.entries(pre, missed)  # before enc.count is looked at: new entries may move it
+        tokens[missed] = enc.count[own]
         doc = np.array([i for i, _ in of], np.int64)
         n = np.bincount(doc[pre.doc], weights=tokens, minlength=len(texts)).astype(np.int64)
         n += np.bincount(doc, weights=[s >= 0 for _, s in of], minlength=len(texts)).astype(np.int64)

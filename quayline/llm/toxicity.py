@@ -1,9 +1,11 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton in folded text.
 
 Folding lower-cases and replaces letters of other scripts that look like Latin ones, digits, and signs between
-letters that stand for letters. Accents stay: they tell words apart in most languages. A lexicon entry is a whole word or the beginning of words; its weight is a log ratio of
-document shares in labelled rows. Matches inside an exception phrase don't count. The weights' sum is divided by
-the logarithm of the text's length, and a logistic curve, fitted on the same labelled rows, makes it a score.
+letters that stand for letters. Accents stay: they tell words apart in most languages. A lexicon entry is a whole word
+or the beginning of longer words; its weight is the log ratio of its occurrences a toxic and a clean labelled row (REPEATS
+a row at most). Entries are chosen greedily, until toxic rows have MATCHES each. Matches inside an exception phrase don't
+count. The weights' sum is divided by the logarithm of the text's length, and a logistic curve, fitted on the same
+labelled rows, makes it a score.
 """
 
 from __future__ import annotations
@@ -25,10 +27,8 @@ from .common import arrow_map, column, pieces
 
 #: Labelled rows that are learned from at most (those of the least hashes of doc_id).
 FIT_ROWS = 20_000
-#: A term's least support and log ratio to become a candidate, and the toxic rows that an entry must add.
-SUPPORT, RATIO, GAIN = 8, 1.5, 4
-#: Candidate terms that reach the driver at most, those of the most weight over all toxic rows first.
-CANDIDATES = 20_000
+#: The toxic rows that a candidate is in at least, its least log ratio, occurrences that count in a row, matches that a toxic row should have, and those that an entry must add.
+SUPPORT, RATIO, REPEATS, MATCHES, GAIN = 8, 1.5, 3, 4, 8
 STEM = range(3, 9)
 THRESHOLD = 0.3
 
@@ -58,13 +58,15 @@ def fold(text: str) -> str:
     return _SIGN.sub(lambda m: SIGNS[m[0]], text)
 
 
-def terms(text: str) -> set[str]:
-    """The words of a folded text, marked by a space, and their beginnings."""
-    out = set()
-    for w in set(_WORD.findall(text)):
+def terms(text: str) -> Counter[str]:
+    """The words of a folded text, marked by a space, and the beginnings of longer words, with their occurrences."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(_WORD.findall(text)).items():
         if len(w) > 2:
-            out.add(w + " ")
-            out.update(w[:k] for k in STEM if k < len(w))
+            out[w + " "] += n
+            for k in STEM:
+                if k < len(w):
+                    out[w[:k]] += n
     return out
 
 
@@ -125,36 +127,40 @@ def _texts(part: pa.RecordBatch) -> list[str]:
 
 
 def _term_counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    """For each term its counted occurrences in clean and in toxic rows, and the toxic rows that have it."""
+    clean, toxic, rows = Counter(), Counter(), Counter()
     for text, y in zip(_texts(batch), column(batch, "toxic").to_pylist(), strict=True):
-        counts[y].update(terms(fold(text)))
-    names = list(counts[0] | counts[1])
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in counts)], ["term", "n0", "n1"])
+        for t, n in terms(fold(text)).items():
+            (toxic if y else clean)[t] += min(n, REPEATS)
+            rows[t] += y
+    names = list(clean | toxic)
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in (clean, toxic, rows))], ["term", "n0", "n1", "rows"])
 
 
 def _incidence(batch: pa.RecordBatch, wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays([pa.array([sorted(terms(fold(t)) & wanted) for t in _texts(batch)], pa.list_(pa.string()))], ["terms"])
+    found = [{t: n for t, n in terms(fold(x)).items() if t in wanted} for x in _texts(batch)]
+    yield pa.RecordBatch.from_arrays([pa.array([sorted(f.items()) for f in found], pa.map_(pa.string(), pa.int32()))], ["terms"])
 
 
 def _sums(batch: pa.RecordBatch, lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([lexicon.sum(t) for t in _texts(batch)], pa.float64()), column(batch, "toxic")], ["x", "toxic"])
 
 
-def _chosen(docs: list[list[str]], weight: dict[str, float]) -> list[str]:
-    """Greedy cover: terms of the most weight over toxic rows that have not two matches yet, GAIN of them at least; of equal ones the longest."""
-    need = [2] * len(docs)
-    where: dict[str, list[int]] = {}
+def _chosen(docs: list[dict[str, int]], weight: dict[str, float]) -> list[str]:
+    """Greedy cover: terms of the most weight over occurrences in toxic rows that have not MATCHES yet, GAIN of them at least; of equal ones the longest."""
+    need = [MATCHES] * len(docs)
+    where: dict[str, list[tuple[int, int]]] = {}
     for i, ts in enumerate(docs):
-        for t in ts:
-            where.setdefault(t, []).append(i)
+        for t, n in ts.items():
+            where.setdefault(t, []).append((i, n))
     out: list[str] = []
     while where:
-        gain = {t: sum(need[i] > 0 for i in rows) for t, rows in where.items()}
+        gain = {t: sum(min(max(need[i], 0), n) for i, n in rows) for t, rows in where.items()}
         best = max(where, key=lambda t: (round(gain[t] * weight[t], 6), len(t), t))
         if gain[best] < GAIN:
             break
-        for i in where[best]:
-            need[i] -= 1
+        for i, n in where[best]:
+            need[i] -= n
         out.append(best)
         a = best.strip()
         where = {t: r for t, r in where.items() if not (t.strip().startswith(a) or a.startswith(t.strip())) and gain[t] >= GAIN}
@@ -179,10 +185,11 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, fl
 def learn(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
     """A lexicon from the labelled rows that are not held out; at most rows of them, those of the least hashes.
 
-    labels: doc_id, toxic; a doc_id with several labels counts as toxic if one says so. Rows with null are left
-    out. Without toxic rows the lexicon is empty and all scores are 0. Only text and toxic are looked at.
+    labels: doc_id, toxic; a doc_id with several labels counts as toxic if one says so. Rows with null, or with a label
+    that is neither 0 nor 1, are left out. Without toxic rows the lexicon is empty and all scores are near 0. Only text and
+    toxic are looked at. What comes to the driver is bounded by rows: candidate terms and each toxic row's own of them.
     """
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     fit = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic").persist()
     try:
         totals = {r.toxic: r["count"] for r in fit.groupBy("toxic").count().collect()}
@@ -190,10 +197,10 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexi
         if not n1:
             return Lexicon({})
         ratio = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
-        counted = arrow_map(fit, _term_counts, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).select("term", "n1", ratio.alias("w"))
-        weight = {r.term: r.w for r in counted.where((F.col("n1") >= SUPPORT) & (F.col("w") >= RATIO)).orderBy(F.desc(F.col("n1") * F.col("w")), "term").limit(CANDIDATES).collect()}
+        counted = arrow_map(fit, _term_counts, "term string, n0 bigint, n1 bigint, rows bigint").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "rows"))).select("term", "rows", ratio.alias("w"))
+        weight = {r.term: r.w for r in counted.where((F.col("rows") >= SUPPORT) & (F.col("w") >= RATIO)).collect()}
         wanted = frozenset(weight)
-        toxic = [r.terms for r in arrow_map(fit.where("toxic = 1").select("text"), lambda b: _incidence(b, wanted), "terms array<string>").collect()]
+        toxic = [r.terms for r in arrow_map(fit.where("toxic = 1").select("text"), lambda b: _incidence(b, wanted), "terms map<string,int>").collect()]
         lexicon = Lexicon({t: weight[t] for t in sorted(_chosen(toxic, weight))})
         points = arrow_map(fit, lambda b: _sums(b, lexicon), "x double, toxic int").collect()
         lexicon.slope, lexicon.offset = _curve(np.array([p.x for p in points]), np.array([float(p.toxic) for p in points]))

@@ -66,6 +66,17 @@ def test_twins_are_not_the_same(spark):
     assert {r.doc_id: r.licenses for r in found} == {i: "" for i in range(len(PAIRS))} | {100: "L3"}
 
 
+def test_counts_of_many_distinct_words(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(d, " ".join(f"w{d}x{i}" for i in range(25_000))) for d in range(3)]
+    t = Tokenizer.from_file(BPE)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    expected = {d: len(t.encode(x, add_special_tokens=False).ids) for d, x in rows}
+    assert {r.doc_id: r.n_tokens for r in count_tokens(docs, BPE).collect()} == expected
+    assert {r.doc_id: r.n_tokens - 1 for r in token_digest(docs, BPE).collect()} == expected
+
+
 def test_license_occurrences_are_all_told(spark):
     name, text = licenses.TEMPLATES[3]
     short = licenses.TEMPLATES[0]
