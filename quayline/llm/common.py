@@ -51,7 +51,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder; release() removes it."""
+    """A path of its own in the shared folder; release() removes it, of a session all by release(spark, written_since(0))."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     return path
@@ -64,18 +64,22 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """A point in the sequence of folders written so far, for release()."""
+def written_since(n: int) -> list[str]:
+    """The folders written after the first n."""
+    return _written[n:]
+
+
+def n_written() -> int:
     return len(_written)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Removes the folders written since a mark. Frames that still read them can't be used any more."""
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders that were written for a query's own use. Frames that still read them can't be used any more."""
     jvm = spark._jvm
-    for path in _written[since:]:
+    for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    del _written[since:]
+    _written[:] = [p for p in _written if p not in set(paths)]
 
 
 def small_side(df: DataFrame, rows: int, width: int = 64) -> DataFrame:

@@ -74,11 +74,11 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """(per row: doc_id, _h, n_words; per run found: doc_id, _h, item_id, start, stop in words).
 
     documents: doc_id, text; benchmark: item_id, text; other columns are ignored. Null and empty texts have no
-    words and no runs; items without id or words are left out; items of fewer than window words are one window.
-    Rows with the same id and text share their runs; repeated items count once. Empty tables give empty runs.
+    words and no runs; items without words have no windows; items of fewer than window words are one window; an item
+    without id is an item, whose id is empty text. Rows with the same id and text share their runs; repeated items count once. Empty tables give empty runs.
     """
     spark = documents.sparkSession
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    items = benchmark.select("item_id", "text").where("text is not null").distinct()
     short = sorted(r.n for r in arrow_map(items.select("text"), _lengths, "n bigint").where((F.col("n") > 0) & (F.col("n") < window)).distinct().collect())
     fps = cut(arrow_map(items, lambda b: _candidates(b, ["item_id"], window, gram, short, None, True), f"item_id {items.schema['item_id'].dataType.simpleString()}, n_words bigint, cand {_CAND}").select("item_id", F.explode("cand").alias("c")).select("item_id", "c.*").withColumnRenamed("pos", "item_pos"))
     bitmap = spark.sparkContext.broadcast(_bitmap(fps))
@@ -113,7 +113,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     rows, runs = find_overlaps(documents, benchmark, window, gram)
     words = runs.select("doc_id", "_h", F.explode(F.sequence("start", F.col("stop") - 1)).alias("at")).distinct().groupBy("doc_id", "_h").agg(F.count("*").alias("n_hit"))
-    items = runs.select("doc_id", "_h", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id", "_h").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    items = runs.select("doc_id", "_h", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")).distinct().groupBy("doc_id", "_h").agg(F.array_sort(F.collect_list("item")).alias("items"))
     out = rows.alias("r").join(words.alias("w"), same_row("r", "w"), "left").join(items.alias("i"), same_row("r", "i"), "left")
     n = F.coalesce("w.n_hit", F.lit(0).cast("bigint"))
     return out.select("r.doc_id", "r.n_words", n.alias("n_hit"), F.coalesce(F.size("i.items"), F.lit(0)).cast("bigint").alias("n_items"), F.sha2(F.coalesce(F.array_join("i.items", ","), F.lit("")), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
@@ -124,4 +124,4 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WI
     _, runs = find_overlaps(documents, benchmark, window, gram)
     found = cut(runs.select("doc_id", "_h").distinct())
     rows = keyed(documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row"), "doc_id", "text"), "text")
-    return rows.alias("d").join(small_side(found, found.count()).alias("o"), same_row("d", "o"), "left_anti").select("_row.*")
+    return rows.alias("d").join(small_side(found, found.count(), 32).alias("o"), same_row("d", "o"), "left_anti").select("_row.*")
