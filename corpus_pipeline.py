@@ -2,17 +2,16 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)). A stage's rows are written as Parquet and read again as the
 next one's docs. All but the last return the columns of docs. Nulls, empty texts, ties, repeated rows, empty tables
-and further columns are treated as the operators say.
+and further columns are treated as the operators say. What a stage writes for itself is removed once its rows are written.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayline.llm.common import shared_dir, table
+from quayline.llm.common import n_written, new_folder, release, table, written_since
 from quayline.llm.decontamination import clean_documents
 from quayline.llm.line_dedup import dedup_lines
 from quayline.llm.quality import kept_documents
@@ -59,10 +58,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the table documents, each written to the shared folder and read again; the last one's rows stay there."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+        begun, place = n_written(), new_folder(spark, f"pipeline-{i}")
+        stage(spark, docs, sf_dir).write.parquet(place)
+        docs = spark.read.parquet(place)
+        release(spark, before + [p for p in written_since(begun) if p != place])
+        before = [place]
     return docs
