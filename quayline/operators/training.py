@@ -120,7 +120,7 @@ def cross_validate(rows: DataFrame, candidate: Candidate, order: list[str] | Non
     return {"folds": found, "summary": {m: {"mean": round(statistics.fmean(v), 4) if v else None, "std": round(statistics.pstdev(v), 4) if v else None} for m, v in values.items()}}
 
 
-def permutation_test(rows: DataFrame, candidate: Candidate, observed_auc: float, permutations: int = PERMUTATIONS, seed: int = SEED) -> dict:
+def permutation_test(rows: DataFrame, candidate: Candidate, observed_auc: float, permutations: int = PERMUTATIONS, n_folds: int = L.FOLDS, seed: int = SEED) -> dict:
     """How often labels dealt at random do as well: p = (1 + cases at or above the observed AUC) / (1 + permutations).
 
     Labels are put in the order of a hash of the seed, the round and the row's id, and given to the rows in their order.
@@ -131,7 +131,7 @@ def permutation_test(rows: DataFrame, candidate: Candidate, observed_auc: float,
         for i in range(permutations):
             dealt = L.with_position(placed.select("label", F.floor(F.xxhash64("shipment_id", F.lit(seed), F.lit(i)) / 2**40).alias("_key"), F.xxhash64("shipment_id", F.lit(i)).alias("_tie")), ["_key", "_tie"])
             mixed = placed.drop("label").join(dealt.select("position", "label"), "position").drop("position")
-            aucs.append(cross_validate(mixed, candidate)["summary"]["roc_auc"]["mean"])
+            aucs.append(cross_validate(mixed, candidate, n_folds=n_folds)["summary"]["roc_auc"]["mean"])
     finally:
         placed.unpersist()
     return {"observed_auc": round(observed_auc, 4), "null_auc_mean": round(statistics.fmean(aucs), 4), "p_value": round((1 + sum(a >= observed_auc for a in aucs)) / (1 + len(aucs)), 4), "permutations": permutations}
@@ -148,7 +148,7 @@ def select_candidate(results: dict[str, dict], candidates: dict[str, Candidate]
     return best.name, f"highest mean {metric} {value(best):.4f}"
 
 
-def train(rows: DataFrame, candidates: dict[str, Candidate] = CANDIDATES, permutations: int = PERMUTATIONS, rounds: int = 1000) -> Trained:
+def train(rows: DataFrame, candidates: dict[str, Candidate] = CANDIDATES, permutations: int = PERMUTATIONS, rounds: int = 1000, n_folds: int = L.FOLDS) -> Trained:
     """Compares candidates on all rows but the last TEST_SHARE, fits the chosen one on them, and tests it on the last ones.
 
     rows are those of learning.training_rows. metadata has the candidate table, the choice, test metrics with an interval,
@@ -159,7 +159,7 @@ def train(rows: DataFrame, candidates: dict[str, Candidate] = CANDIDATES, permut
     split = int(n * (1 - TEST_SHARE))
     dev, test = placed.where(F.col("position") < split).drop("position").persist(), placed.where(F.col("position") >= split).drop("position")
     try:
-        results = {name: cross_validate(dev, c) for name, c in candidates.items()}
+        results = {name: cross_validate(dev, c, n_folds=n_folds) for name, c in candidates.items()}
         name, reason = select_candidate(results, candidates)
         model = fit(dev, candidates[name])
         scored = model.scores(test).select(F.col("label").alias("y"), "p").persist()
@@ -172,7 +172,7 @@ def train(rows: DataFrame, candidates: dict[str, Candidate] = CANDIDATES, permut
             "data": {"rows": n, "dev": bounds.n, "booking_date_min": str(bounds.a), "booking_date_max": str(bounds.z)},
             "test": L.classification_metrics(scored).head().asDict(), "interval": list(L.bootstrap_interval(scored, rounds)),
             "thresholds": [r.asDict() for r in L.threshold_table(scored).collect()], "calibration": [r.asDict() for r in L.calibration_bins(scored).orderBy("bin").collect()],
-            "permutation": permutation_test(dev, candidates[name], auc, permutations) if permutations else None,
+            "permutation": permutation_test(dev, candidates[name], auc, permutations, n_folds) if permutations else None,
             "monitoring": drift.reference(model.scores(dev), (*candidates[name].numbers, drift.SCORE), L.CATEGORICAL),
         }
         scored.unpersist()

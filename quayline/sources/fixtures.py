@@ -55,8 +55,7 @@ FROM events
 
 def _some_twice(sql: str, columns: tuple[str, ...], every: int) -> str:
     """The rows of a query, and again those whose number is a multiple of every, with a number further on."""
-    names = ", ".join(columns)
-    return f"SELECT {names}, _row_number FROM ({sql}) a UNION ALL SELECT {names}, _row_number + 900000000000000000 AS _row_number FROM ({sql}) b WHERE _row_number % {every} = 0"
+    return f"SELECT {', '.join(columns)}, _row_number + again AS _row_number FROM ({sql}) a CROSS JOIN (SELECT CAST(0 AS BIGINT) AS again UNION ALL SELECT 900000000000000000 AS again) b WHERE again = 0 OR _row_number % {every} = 0"
 
 
 SHIPMENTS_SQL = _some_twice(_SHIPMENTS_ONCE, D.SHIPMENT_COLUMNS, 23)

@@ -121,12 +121,14 @@ def test_model_from_training_to_monitoring(spark, ports, shipments, tmp_path):
     none = spark.createDataFrame([], "port_code string, event_timestamp timestamp_ntz, delay_minutes int, event_type string")
     rows = L.training_rows(shipments, ports, history(shipments, none)).cache()
     assert rows.count() == 240 and rows.agg(F.avg("label").alias("r")).head().r > 0.4
-    few = {n: M.CANDIDATES[n] for n in ("prior", "logistic")} | {"boosted": M.Candidate("boosted", M.boosted(5), complexity=2), "logistic_history": M.CANDIDATES["logistic_history"]}
-    model = M.train(rows, few, permutations=2, rounds=100)
+    few = {n: M.CANDIDATES[n] for n in ("prior", "logistic")}
+    model = M.train(rows, few, permutations=0, rounds=50, n_folds=1)
     meta = model.metadata
-    assert model.name in ("logistic", "boosted") and meta["test"]["roc_auc"] > 0.85 and meta["candidates"]["prior"]["roc_auc"]["mean"] == 0.5
-    assert meta["permutation"]["p_value"] == pytest.approx(1 / 3, abs=1e-3) and set(meta["candidates"]) == set(few)
-    assert "| logistic_history |" in M.model_card(meta | {"version": "7"})
+    for candidate in (M.Candidate("boosted", M.boosted(2)), M.CANDIDATES["logistic_history"]):
+        assert M.cross_validate(rows, candidate, n_folds=1)["summary"]["roc_auc"]["mean"] > 0.85
+    assert M.permutation_test(rows, few["logistic"], 0.95, 1, 1)["p_value"] == 0.5
+    assert model.name == "logistic" and meta["test"]["roc_auc"] > 0.85 and meta["candidates"]["prior"]["roc_auc"]["mean"] == 0.5
+    assert meta["permutation"] is None and set(meta["candidates"]) == set(few) and "| logistic |" in M.model_card(meta | {"version": "7"})
     folder = str(tmp_path / "model")
     with pytest.raises(M.ModelError):
         M.load(spark, folder)
@@ -147,5 +149,5 @@ def test_model_from_training_to_monitoring(spark, ports, shipments, tmp_path):
         M.load(spark, folder)
     results = {"logistic": 0.60, "boosted": 0.61, "logistic_history": 0.9, "prior": 0.95}
     summary = lambda v, std=0.02: {"summary": {"average_precision": {"mean": v, "std": std}}}
-    assert M.select_candidate({k: summary(v) for k, v in results.items()}, few)[0] == "logistic"
-    assert M.select_candidate({k: summary(v) for k, v in (results | {"boosted": 0.7}).items()}, few)[0] == "boosted"
+    assert M.select_candidate({k: summary(v) for k, v in results.items()})[0] == "logistic"
+    assert M.select_candidate({k: summary(v) for k, v in (results | {"boosted": 0.7}).items()})[0] == "boosted"
