@@ -87,7 +87,7 @@ class Matcher:
 
     def __init__(self, templates: tuple[tuple[str, str], ...], bands: int) -> None:
         w = tv.words(pa.array([t for _, t in templates], pa.string()), tv.ALNUM)
-        self.bands, self.words = bands, w
+        self.bands, self.words, self.data = bands, w, np.concatenate([w.data, np.zeros(8, np.uint8)])
         self.most = [max(n - SHINGLE + 1, 1) * 5 // 4 for n in w.counts.tolist()]  # places of an occurrence with some words put in
         self.classes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         self.at: dict[int, np.ndarray] = {}  # for each template the first word of each of its shingles
@@ -101,7 +101,7 @@ class Matcher:
 
     def find(self, w: tv.Words) -> list[tuple[int, int, int, int, int]]:
         """(text, template, shingles at the best place, first word, last word + 1) of each window that holds CONTAINED of a template."""
-        out = []
+        out, data = [], np.concatenate([w.data, np.zeros(8, np.uint8)])
         first, counts = w.first, w.counts
         for k in sorted({k for k, _ in self.classes}):
             hashes, there = _shingles(w, k)
@@ -130,7 +130,7 @@ class Matcher:
                     a = int(begins[c][i])
                     d = int(w.doc[a])
                     z = min(a + (3 << c), int(first[d] + counts[d]) - k + 1)
-                    here = self._same(w, a, hashes[a:z], t, s, k)
+                    here = self._same(w, data, a, hashes[a:z], t, s, k)
                     todo = [here]
                     while todo:  # the best stretch, then what lies on both sides of it
                         here = todo.pop()
@@ -143,14 +143,14 @@ class Matcher:
                         todo += [here[here < i], here[here > j]]
         return out
 
-    def _same(self, w: tv.Words, a: int, hashes: np.ndarray, t: int, s: np.ndarray, k: int) -> np.ndarray:
+    def _same(self, w: tv.Words, data: np.ndarray, a: int, hashes: np.ndarray, t: int, s: np.ndarray, k: int) -> np.ndarray:
         """The places from word a on whose shingles are the template's."""
         place = np.minimum(np.searchsorted(s, hashes), len(s) - 1)
         here = np.flatnonzero(s[place] == hashes)
         same, own = np.ones(len(here), bool), self.words
         for x in range(k):
             p, q = a + here + x, self.at[t][place[here]] + x
-            same &= tv.same_spans(w.data, w.start[p], w.end[p], own.data, own.start[q], own.end[q])
+            same &= tv.same_spans(data, w.start[p], w.end[p], self.data, own.start[q], own.end[q], (True, True))
         return here[same]
 
 

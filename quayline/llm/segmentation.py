@@ -33,8 +33,8 @@ from .common import arrow_map, column, pieces
 from .pretokens import byte_places
 
 SAMPLES, ALPHA = 3, 1.0
-#: Bytes of text that are sampled at once, and characters of words whose lattices a worker keeps before it starts anew.
-LATTICE_BYTES, KEPT = 1_500_000, 2_500_000
+#: Bytes of text that are sampled at once, and characters of words whose lattices a worker keeps; beyond them it forgets those met once.
+LATTICE_BYTES, KEPT = 1_500_000, 1_000_000
 #: Words of more characters are taken one by one, in plain Python, where others go side by side; words of more are cut at pairs of characters.
 LONG, CUT = 256, 48
 BLANK, LITERAL = 0x2581, 0x10FFFF  # the vocabulary's blank; what a blank sign in a text itself is taken for
@@ -159,7 +159,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.states, self.edges = tv.Interner(), 0, 0
+        self.words, self.states, self.edges, self.hits = tv.Interner(), 0, 0, np.zeros(1 << 12, np.int64)
         self.base, self.offset, self.stop = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.length, self.piece = np.zeros(1 << 15, np.uint8), np.zeros(1 << 15, np.int32)
         self.log_share, self.upto = np.zeros(1 << 15), np.zeros(1 << 15)
@@ -167,7 +167,7 @@ class Lattices:
     def place(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each word of texts its first state, and its text."""
         if self.states > KEPT:
-            self.clear()
+            self._forget()
         marked = "".join([" " + t if t else "" for t in texts])
         ends = np.cumsum([len(t) + 1 if t else 0 for t in texts])
         points = np.frombuffer(marked.encode("utf-32-le"), np.uint32)
@@ -181,8 +181,33 @@ class Lattices:
         number, fresh = self.words.number(data, at[start], at[stop], tv.span_hash(data, at[start], at[stop]))
         if len(fresh):
             self._add(points, start[fresh], stop[fresh], n)
+        self.hits = tv.room(self.hits, self.words.n)
+        self.hits[: self.words.n] += np.bincount(number, minlength=self.words.n)
         return self.base[number], np.searchsorted(ends, start, side="right")
 
+    def _forget(self) -> None:
+        """Keeps the words that were met more than once, if they take no more than half of the room."""
+        kept = np.flatnonzero(self.hits[: self.words.n] > 1)
+        base = self.base[kept]
+        size = self.stop[base] - base
+        old = self.words, self.offset, self.length, self.piece, self.log_share, self.upto
+        self.clear()
+        if 2 * size.sum() > KEPT or not len(kept):
+            return
+        words, offset, length, piece, log_share, upto = old
+        start, end = words.span(kept)
+        self.words.number(words.data, start, end, tv.span_hash(words.data, start, end))
+        order, _ = self.words.number(words.data, start, end, tv.span_hash(words.data, start, end))
+        kept_in_order = np.argsort(order)
+        base, size = base[kept_in_order], size[kept_in_order].astype(np.int64)
+        states = tv.spread(base.astype(np.int64), size)
+        edges = tv.spread(offset[base].astype(np.int64), (offset[base + size] - offset[base]).astype(np.int64))
+        self.base, first = np.cumsum(size) - size, np.cumsum(size) - size
+        self.offset = np.concatenate([[0], np.cumsum(offset[states + 1] - offset[states])]).astype(np.int32)
+        self.stop = np.repeat(first + size, size).astype(np.int32)
+        self.length, self.piece, self.log_share, self.upto = length[edges], piece[edges], log_share[edges], upto[edges]
+        self.states, self.edges, self.hits = len(states), len(edges), np.ones(len(kept), np.int64)
+
     def _add(self, points: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> None:
         """Lattices of new words, which are numbered from n on."""
         size = stop - start

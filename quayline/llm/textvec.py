@@ -51,15 +51,15 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return out
 
 
-def same_spans(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray, slack: bool = False) -> np.ndarray:
-    """Whether spans of some bytes a equal those of b, byte by byte; slack tells that b has eight bytes beyond all spans."""
+def same_spans(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray, slack: tuple[bool, bool] = (False, False)) -> np.ndarray:
+    """Whether spans of some bytes a equal those of b, byte by byte; slack tells whether a and b have eight bytes beyond all spans."""
     size = a_end - a_start
     out = size == b_end - b_start
     for i in np.flatnonzero(out & (size > LONG)).tolist():
         out[i] = np.array_equal(a[a_start[i] : a_end[i]], b[b_start[i] : b_end[i]])
     live = np.flatnonzero(out & (size <= LONG) & (size > 0))
     at, to, left = a_start[live], b_start[live], size[live]
-    ours, theirs = _eights(a), _eights(b, slack)
+    ours, theirs = _eights(a, slack[0]), _eights(b, slack[1])
     while len(live):
         same = ((ours[at] ^ theirs[to]) & _FIRST_BYTES[np.minimum(left, 8)]) == 0
         out[live[~same]] = False
@@ -144,7 +144,7 @@ class Interner:
                 found[missed] = self.n + of
                 fresh.append(first)
                 self._add(data, start[first], end[first])
-            same = same_spans(data, start[todo], end[todo], self.data, *self.span(found), slack=True)
+            same = same_spans(data, start[todo], end[todo], self.data, *self.span(found), slack=(False, True))
             out[todo[same]] = found[same]
             todo, key = todo[~same], mix(key[~same] ^ U(_SEED))  # spans that share a hash go on to another one
         return out, np.concatenate(fresh) if fresh else np.zeros(0, np.int64)
@@ -157,17 +157,17 @@ class Interner:
         while len(todo):
             found = self.table.get(key)
             todo, key, found = (x[found >= 0] for x in (todo, key, found))
-            same = same_spans(data, start[todo], end[todo], self.data, *self.span(found), slack=True)
+            same = same_spans(data, start[todo], end[todo], self.data, *self.span(found), slack=(False, True))
             out[todo[same]] = found[same]
             todo, key = todo[~same], mix(key[~same] ^ U(_SEED))
         return out
 
 
 def room(values: np.ndarray, n: int) -> np.ndarray:
-    """values, or a copy with room for n that is at least twice as long."""
+    """values, or a copy with room for n that is at least a quarter longer."""
     if n <= len(values):
         return values
-    out = np.zeros(max(n, 2 * len(values)), values.dtype)
+    out = np.zeros(max(n, 5 * len(values) // 4), values.dtype)
     out[: len(values)] = values
     return out
 

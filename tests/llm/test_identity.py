@@ -160,3 +160,19 @@ def test_inclusion_is_finite():
     assert segmentation.log_inclusion(-1e6, 0.0) == -1e6 and segmentation.log_inclusion(0.0, -float("inf")) == 0.0
     for x in (-39.9, -40.1, -1.0, 3.0):
         assert segmentation.log_inclusion(x, 0.0) == pytest.approx(float(np.log(-np.expm1(-np.exp(x)))), abs=1e-9)
+
+
+def test_forgotten_lattices_change_nothing(monkeypatch):
+    """Samples are the same however little a worker keeps."""
+    v = segmentation.vocabulary(PIECES)
+    texts = [" ".join(f"word{i * j % 97} other{j}{i}" for j in range(20)) for i in range(60)]
+    seeds = tv.mix(np.arange(60).astype(np.uint64))
+
+    def run(kept, step):
+        monkeypatch.setattr(segmentation, "KEPT", kept)
+        lat, out = segmentation.Lattices(v, 1.0), []
+        for a in range(0, 60, step):
+            out += [[(x[0].tobytes(), *x[1:]) for x in f] for f in segmentation.sample(texts[a : a + step], seeds[a : a + step], lat)]
+        return out
+
+    assert run(10**9, 60) == run(3000, 7) == run(10, 5)
