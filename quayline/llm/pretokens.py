@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from dataclasses import dataclass
 from functools import cache
 
@@ -17,16 +16,20 @@ import numpy as np
 
 from . import textvec as tv
 
-#: Unicode's White_Space.
-WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-
-
 @cache
 def classes() -> np.ndarray:
-    """0 for blanks, 1 for letters, 2 for numbers, 3 for all else, by code point."""
-    kinds = {"L": 1, "N": 2}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], 3) for c in range(0x110000)), np.uint8, 0x110000)
-    out[WHITE] = 0
+    """0 for blanks, 1 for letters, 2 for numbers, 3 for all else, by code point, as the tokenizer libraries' own Unicode tables have them.
+
+    Python's tables may be of an older Unicode version than those of the pattern engine that the libraries share.
+    """
+    import tiktoken
+
+    plain = {bytes([b]): b for b in range(256)}
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = np.full(0x110000, 3, np.uint8)
+    for kind, pattern in enumerate((r"\s", r"\p{L}", r"\p{N}")):
+        found = bytes(tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=plain, special_tokens={}).encode_ordinary(every)).decode()
+        out[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
