@@ -15,6 +15,7 @@ from .line_dedup import dedup_lines
 from .quality import assess
 from .segmentation import sample_digest
 from .similarity_join import similar_groups
+from .spelling import variants_of_documents
 from .token_counts import count_tokens
 from .token_files import token_digest
 from .toxicity import score_toxicity
@@ -68,6 +69,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants_of_documents(table(spark, sf_dir, "documents"), drop_in=199)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
     "op10_html_text": op10_html_text,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -195,9 +201,34 @@ OP3_SQL = f"WITH RECURSIVE {_groups_ctes('documents', 3, 90)} SELECT * FROM labe
 
 OP9_SQL = f"WITH {_quality_ctes('documents')} SELECT * FROM judged9"
 
+#: CRC-32 byte by byte; near words share what is left of them without one letter, or one is what is left of the other.
+OP12_SQL = r"""
+WITH RECURSIVE crc12 AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) x(i))),
+run12 AS (SELECT doc_id, w, count(*) AS n FROM (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY ALL),
+hex12 AS (SELECT doc_id, w, n, hex(encode(concat(doc_id, ':', w))) AS x FROM run12),
+byte12 AS (SELECT doc_id, w, n, list_transform(range(length(x) // 2), lambda k: CAST(concat('0x', substr(x, CAST(2 * k + 1 AS INT), 2)) AS BIGINT)) AS b FROM hex12),
+sum12 AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, t[1 + (xor(c, y) & 255)])), 4294967295) AS h FROM byte12, crc12),
+word12 AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT n, CASE WHEN h % 199 = 0 THEN concat(substr(w, 1, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS word FROM sum12)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less12 AS (SELECT word, p, concat(substr(word, 1, p - 1), substr(word, p + 1)) AS v FROM (SELECT word, unnest(generate_series(1, length(word))) AS p FROM word12)),
+near12 AS (SELECT a.word, b.word AS other FROM less12 a JOIN less12 b ON a.v = b.v AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM less12 a JOIN word12 b ON a.v = b.word UNION SELECT b.word, a.word FROM less12 a JOIN word12 b ON a.v = b.word),
+best12 AS (SELECT near12.word, count(*) AS n_near, min({'m': -o.n, 'w': o.word}) AS best FROM near12 JOIN word12 o ON o.word = other GROUP BY near12.word),
+form12 AS (SELECT word, CASE WHEN -best.m >= 5 * n THEN best.w END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 5 * n THEN -best.m END AS form_n
+  FROM word12 LEFT JOIN best12 USING (word)),
+walk12 AS (SELECT word, word AS place FROM word12 UNION ALL SELECT walk12.word, form FROM walk12 JOIN form12 ON form12.word = place WHERE form IS NOT NULL)
+SELECT form12.word, form12.form, place AS root, form12.n, form12.n_near, form12.form_n
+FROM form12 JOIN walk12 USING (word) JOIN form12 e ON e.word = place WHERE e.form IS NULL
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op3_ngram_jaccard_join": OP3_SQL,
     "op7_decontamination": OP7_SQL,
     "op9_quality": OP9_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
