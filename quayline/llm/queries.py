@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import bpe_digest
+from .collocations import collocations
 from .common import table
 from .decontamination import decontaminate
 from .html_text import extract_text
@@ -69,6 +70,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants_of_documents(table(spark, sf_dir, "documents"), drop_in=199)
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
     "op10_html_text": op10_html_text,
+    "op11_collocations": op11_collocations,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -201,6 +207,25 @@ OP3_SQL = f"WITH RECURSIVE {_groups_ctes('documents', 3, 90)} SELECT * FROM labe
 
 OP9_SQL = f"WITH {_quality_ctes('documents')} SELECT * FROM judged9"
 
+#: Phrases of one to three words by language, every cut of each as a row of its own.
+OP11_SQL = r"""
+WITH word11 AS (SELECT lang, list_transform(string_split_regex(t, '[.,;:!?\n-\r]'), lambda p: regexp_extract_all(p, '[^ \t]+')) AS pieces FROM (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+piece11 AS (SELECT lang, unnest(pieces) AS w FROM word11),
+total11 AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece11 GROUP BY lang),
+gram11 AS (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM piece11, range(1, 4) x(k) WHERE len(w) >= k),
+f11 AS (SELECT lang, k, array_to_string(w[p : p + k - 1], ' ') AS phrase, count(*) AS f FROM gram11 GROUP BY ALL HAVING count(*) >= 10),
+candidate11 AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f11 WHERE k > 1),
+cut11 AS (SELECT lang, k, phrase, w, a, c, array_to_string(w[1 : c], ' ') AS head, array_to_string(w[c + 1 :], ' ') AS rest FROM (SELECT *, unnest(generate_series(1, k - 1)) AS c FROM candidate11)),
+score11 AS (SELECT cut11.lang, cut11.k, cut11.phrase, cut11.w, a, x.f AS l, y.f AS r, CAST(a AS HUGEINT) * a * 1000000 // (CAST(x.f AS HUGEINT) * y.f) AS score, c
+  FROM cut11 JOIN f11 x ON x.lang = cut11.lang AND x.phrase = head JOIN f11 y ON y.lang = cut11.lang AND y.phrase = rest),
+low11 AS (SELECT * FROM score11 QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inner11 AS (SELECT DISTINCT lang, array_to_string(w[i : i + 1], ' ') AS phrase, max(a) OVER (PARTITION BY lang, array_to_string(w[i : i + 1], ' ')) AS longer
+  FROM (SELECT *, unnest([1, 2]) AS i FROM low11 WHERE k = 3))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM low11 LEFT JOIN inner11 USING (lang, phrase) JOIN total11 USING (lang) WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000
+"""
+
 #: CRC-32 byte by byte; near words share what is left of them without one letter, or one is what is left of the other.
 OP12_SQL = r"""
 WITH RECURSIVE crc12 AS (SELECT list(v ORDER BY i) AS t FROM (
@@ -230,5 +255,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": OP3_SQL,
     "op7_decontamination": OP7_SQL,
     "op9_quality": OP9_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_spelling_variants": OP12_SQL,
 }
