@@ -1,15 +1,17 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
-Templates are sets of 5-word shingles (one shingle of all words if they are fewer). Templates whose number of
-shingles m is between 2**c and 2**(c+1) are looked for in windows of 3 * 2**c shingles, one every 2**c, so that a
-window covers any occurrence whole. A window that holds a share CONTAINED of a template's shingles has a Jaccard
-similarity of CONTAINED / (4 - CONTAINED) or more with it, whatever m; with BANDS bands of one minimum hash each
-the chance that all bands miss is below (1 - 0.25) ** BANDS, 1e-4. What the bands bring up is compared with the
+Templates are sets of 5-word shingles (one shingle of all words if they are fewer). An occurrence is a stretch of up
+to 5/4 of a template that holds a share CONTAINED of its shingles. Templates whose number of shingles m is between 2**c
+and 2**(c+1) are looked for in windows of WIDE * 2**c shingles, one every 2**c: stretches of (WIDE - 1) * 2**c, more
+than 5/4 of any of them, lie whole in a window. Such a window has a Jaccard similarity of CONTAINED / (1 + WIDE -
+CONTAINED), 0.19, or more with the template, whatever m; with BANDS bands of one minimum hash each the chance that all
+bands miss is below (1 - 0.19) ** BANDS, MISSED. What the bands bring up is compared with the
 template's shingles within the window, word by word; only the exact containment decides. Every occurrence is told.
 """
 
 from __future__ import annotations
 
+import math
 import pkgutil
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import arrow_map, column, pieces
 
-SHINGLE, BANDS, CONTAINED = 5, 32, 0.8
+SHINGLE, CONTAINED, WIDE, MISSED = 5, 0.8, 4, 1e-4
+BANDS = math.ceil(math.log(MISSED) / math.log(1 - CONTAINED / (1 + WIDE - CONTAINED)))
 #: Bytes of text whose bands are taken at once: their arrays stay in a core's cache.
 SCAN_BYTES = 300_000
 
@@ -112,7 +115,7 @@ class Matcher:
             for c, finer in zip(kinds, [None, *kinds], strict=False):  # blocks are made of the next finer class's
                 steps[c] = begins[c] if finer is None else np.searchsorted(begins[finer], begins[c])
                 doc = w.doc[begins[c]]
-                same[c] = [doc[far:] == doc[: max(len(doc) - far, 0)] for far in (1, 2)]  # windows of three blocks of the same text
+                same[c] = [doc[far:] == doc[: max(len(doc) - far, 0)] for far in range(1, WIDE)]  # windows of blocks of the same text
             met: dict[int, set[tuple[int, int]]] = {c: set() for c in kinds}
             for b in range(self.bands if len(begins[kinds[0]]) else 0):
                 block = _band(hashes, b)
@@ -129,7 +132,7 @@ class Matcher:
                     t, s = self.classes[k, c][j]
                     a = int(begins[c][i])
                     d = int(w.doc[a])
-                    z = min(a + (3 << c), int(first[d] + counts[d]) - k + 1)
+                    z = min(a + (WIDE << c), int(first[d] + counts[d]) - k + 1)
                     here = self._same(w, data, a, hashes[a:z], t, s, k)
                     todo = [here]
                     while todo:  # the best stretch, then what lies on both sides of it
