@@ -268,27 +268,38 @@ def _selector(text: str) -> list[_Step] | None:
     return steps[::-1] if steps and not child else None
 
 
-def _matches(steps: list[_Step], node: Node) -> bool:
-    """Whether a node fits a selector. Descendants are looked for from the nearest ancestor outwards, with a step back for children."""
-    todo = [(0, node)]
-    while todo:
-        i, at = todo.pop()
-        if not steps[i].fits(at):
-            continue
-        if i + 1 == len(steps):
-            return True
-        above = at.parent
-        while above is not None:
-            todo.append((i + 1, above))
-            above = None if steps[i].child else above.parent
-    return False
+class _Selector:
+    """A selector's steps, the last first, and what is known of the nodes that were looked at: each node is looked at once.
+
+    Of a node it is kept, as bits, which steps fit it with all that they ask of the nodes above it, and which ones fit it
+    or a node above it.
+    """
+
+    def __init__(self, steps: list[_Step]) -> None:
+        self.steps, self.known = steps, {}
+
+    def matches(self, node: Node) -> bool:
+        todo, at = [], node
+        while at is not None and id(at) not in self.known:
+            todo.append(at)
+            at = at.parent
+        own, near = self.known[id(at)] if at is not None else (0, 0)
+        for at in reversed(todo):
+            fits = 0
+            for i, step in enumerate(self.steps):
+                above = i + 1 == len(self.steps) or (own if step.child else near) >> (i + 1) & 1
+                if above and step.fits(at):
+                    fits |= 1 << i
+            own, near = fits, near | fits
+            self.known[id(at)] = own, near
+        return bool(own & 1)
 
 
 class Rules:
     """The display and visibility rules of style sheets that hold on every screen; others are passed over."""
 
     def __init__(self, sheets: list[str]) -> None:
-        self.by: dict[str, list[tuple[tuple[int, int, int], int, list[_Step], dict[str, tuple[bool, str]]]]] = {}
+        self.by: dict[str, list[tuple[tuple[int, int, int], int, _Selector, dict[str, tuple[bool, str]]]]] = {}
         n = 0
         for sheet in sheets:
             todo = [_CSS_SKIPPED.sub(lambda m: '""' if m[1] else " ", sheet)]
@@ -308,7 +319,7 @@ class Rules:
                         if steps := _selector(one):
                             n += 1
                             weight = tuple(sum(sum(x[0] == mark for x in s.names) for s in steps) for mark in "#.") + (sum(s.tag != "*" for s in steps),)
-                            self.by.setdefault(min(steps[0].names, default=steps[0].tag), []).append((weight, n, steps, set_))
+                            self.by.setdefault(min(steps[0].names, default=steps[0].tag), []).append((weight, n, _Selector(steps), set_))
                 todo += inner[::-1]
 
     def of(self, node: Node) -> dict[str, str]:
@@ -318,7 +329,7 @@ class Rules:
         found = [((1, 0, 0, 0), 0, inline)] if inline else []
         if self.by:
             for key in {"*", node.tag, f"#{a.get('id')}", *(f".{c}" for c in a.get("class", "").split())}:
-                found += [((0, *weight), n, set_) for weight, n, steps, set_ in self.by.get(key, ()) if _matches(steps, node)]
+                found += [((0, *weight), n, set_) for weight, n, selector, set_ in self.by.get(key, ()) if selector.matches(node)]
         for weight, n, set_ in found:
             for name, (important, value) in set_.items():
                 if name not in best or (important, weight, n) > best[name][0]:
@@ -401,17 +412,18 @@ class _Lines:
         self.margin |= spaced
 
 
-def _has_cells(node: Node) -> bool:
-    """Whether an element holds rows or cells of the table around it."""
-    todo = [node]
-    while todo:
-        at = todo.pop()
-        for c in at.children if at.tag != "table" else ():
+def _holders(table: Node) -> set[int]:
+    """The elements (by id) between a table and its cells that hold rows or cells of it."""
+    nodes, holds = [(table, 0)], [False]
+    for i, (node, _) in enumerate(nodes):
+        for c in node.children if node.tag not in ("td", "th") and (node.tag != "table" or not i) else ():
             if isinstance(c, Node):
-                if c.tag in _GRID:
-                    return True
-                todo.append(c)
-    return False
+                nodes.append((c, i))
+                holds.append(False)
+    for i in range(len(nodes) - 1, 0, -1):
+        node, above = nodes[i]
+        holds[above] |= holds[i] or node.tag in _GRID
+    return {id(node) for (node, _), held in zip(nodes, holds, strict=True) if held}
 
 
 @dataclass
@@ -422,7 +434,7 @@ class _Row:
     cells: list[Node] = field(default_factory=list)
 
 
-def _grid(node: Node, rules: Rules, rows: list[_Row], row: _Row | None = None, group: tuple[str, int] = ("", 0)) -> list[Node | str]:
+def _grid(node: Node, rules: Rules, holders: set[int], rows: list[_Row], row: _Row | None = None, group: tuple[str, int] = ("", 0)) -> list[Node | str]:
     """Adds the rows below a table, with their groups, to rows; returns what is misplaced around the cells.
 
     Elements such as forms that stand between a table and its cells are looked through. Nested tables are not.
@@ -439,11 +451,11 @@ def _grid(node: Node, rules: Rules, rows: list[_Row], row: _Row | None = None, g
             row.cells.append(c)
         elif c.tag == "tr":
             rows.append(new := _Row(group))
-            loose += _grid(c, rules, rows, new, group)
+            loose += _grid(c, rules, holders, rows, new, group)
         elif c.tag in _GRID:
-            loose += _grid(c, rules, rows, None, (c.tag, id(c)))
-        elif _has_cells(c):
-            rest = _grid(c, rules, rows, row, group)
+            loose += _grid(c, rules, holders, rows, None, (c.tag, id(c)))
+        elif id(c) in holders:
+            rest = _grid(c, rules, holders, rows, row, group)
             if [x for x in rest if isinstance(x, Node) or x.strip()]:
                 loose.append(Node(c.tag, c.attributes, rest, c.parent, c.shown))
         else:
@@ -458,14 +470,15 @@ def _in_order(rows: list[_Row]) -> list[_Row]:
 
 
 def _span(cell: Node, name: str) -> int:
-    """A cell's colspan or rowspan; a rowspan of 0 reaches to the end of its group."""
+    """A cell's colspan (up to 1000) or rowspan (up to 65534), as browsers read them; a rowspan of 0 reaches to the end of its group."""
     n = re.match(r"\s*(\d{1,9})", cell.attributes.get(name, ""))
-    return max(0 if name == "rowspan" else 1, min(int(n[1]), 1000)) if n else 1
+    least, most = (0, 65_534) if name == "rowspan" else (1, 1000)
+    return max(least, min(int(n[1]), most)) if n else 1
 
 
 def _table(out: _Lines, table: Node, rules: Rules) -> None:
     rows: list[_Row] = []
-    for c in _grid(table, rules, rows):  # captions, and what is misplaced around cells
+    for c in _grid(table, rules, _holders(table), rows):  # captions, and what is misplaced around cells
         if not isinstance(c, Node):
             out.text(c, False)
         else:
