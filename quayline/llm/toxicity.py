@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -107,8 +109,15 @@ class Lexicon:
                 continue
             if whole and stop < len(folded) and (folded[stop].isalnum() or folded[stop] == "_"):
                 continue
-            (spared if weight is None else found).append((start, stop, weight))
-        return [m for m in found if not any(a <= m[0] and m[1] <= b for a, b, _ in spared)]
+            (spared if weight is None else found).append((start, stop, weight or 0.0))
+        spared.sort()
+        starts, reach = [a for a, _, _ in spared], list(accumulate((b for _, b, _ in spared), max))  # how far those up to each go
+
+        def free(start: int, stop: int) -> bool:
+            before = bisect_right(starts, start)
+            return not before or reach[before - 1] < stop
+
+        return [m for m in found if free(m[0], m[1])]
 
     def sum(self, text: str) -> float:
         folded = fold(text)
