@@ -153,11 +153,12 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([cut(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
 
-def dedup_lines(documents: DataFrame, lines: int = LINES, words: int = WORDS) -> DataFrame:
-    """documents with all their columns, text without later repeated runs, and _n_lines and _n_removed.
+def shortened(documents: DataFrame, lines: int = LINES, words: int = WORDS) -> DataFrame:
+    """row, n_lines, n_removed: all columns of documents in a struct, with text without later repeated runs, and its lines' numbers.
 
     Every row stays, with an empty text if all its lines went; a null text stays null, with no lines. An n_chars
-    column, if there is one, follows the new text. An empty table stays empty. See repeated_lines.
+    column, if there is one, follows the new text. Columns may have any names. An empty table stays empty. See
+    repeated_lines.
     """
     gone = written(repeated_lines(documents, lines, words), "repeated")
     rows = keyed(documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row"), "doc_id", "text"), "text").alias("d")
@@ -166,5 +167,12 @@ def dedup_lines(documents: DataFrame, lines: int = LINES, words: int = WORDS) ->
     text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(_without(F.when(F.col("g.gone").isNotNull(), F.col("d.text")), F.col("g.gone")))
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("bigint")}
     columns = [new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in documents.columns]
-    counts = out.select("_row", text.alias("_text"), F.coalesce(F.size(F.split("d.text", "\n")), F.lit(0)).cast("bigint").alias("_n_lines"), F.coalesce(F.size("g.gone"), F.lit(0)).cast("bigint").alias("_n_removed"))
-    return counts.select(*columns, "_n_lines", "_n_removed")
+    counts = out.select("_row", text.alias("_text"), F.coalesce(F.size(F.split("d.text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("g.gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    return counts.select(F.struct(*columns).alias("row"), "n_lines", "n_removed")
+
+
+def dedup_lines(documents: DataFrame, lines: int = LINES, words: int = WORDS) -> DataFrame:
+    """documents with all their columns, as shortened has them, and _n_lines and _n_removed in place of any columns of these names."""
+    out = shortened(documents, lines, words)
+    kept = [F.col(f"row.`{c}`").alias(c) for c in documents.columns if c not in ("_n_lines", "_n_removed")]
+    return out.select(*kept, F.col("n_lines").alias("_n_lines"), F.col("n_removed").alias("_n_removed"))

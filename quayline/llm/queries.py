@@ -12,7 +12,7 @@ from .common import table
 from .decontamination import decontaminate
 from .html_text import extract_text
 from .licenses import license_report
-from .line_dedup import dedup_lines
+from .line_dedup import shortened
 from .quality import assess
 from .segmentation import sample_digest
 from .similarity_join import similar_groups
@@ -34,8 +34,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "text", out["_n_lines"].alias("n_lines"), out["_n_removed"].alias("n_removed"))
+    return shortened(table(spark, sf_dir, "documents")).select("row.doc_id", "row.text", "n_lines", "n_removed")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +167,6 @@ judged9 AS (SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repe
 
 
 
-
 def _lines_ctes(documents: str) -> str:
     """Common table expressions up to lines_done2(doc_id, text, n_lines, n_removed) over a relation of documents.
 
