@@ -18,6 +18,7 @@ Equal sets are told by 128 bits, from two hashes of each word that don't depend
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +37,8 @@ from .graph import components
 SKETCH_BITS, CHUNKS, FAN_IN = 22, 256, 64
 #: Minimum hashes by which nodes are grouped, and prefix tokens that a query and a group must share.
 STARS, LEAST = 3, 2
+#: How many times as many members of a group are met in each round of opening as in the one before.
+MORE = 16
 
 
 @dataclass
@@ -227,24 +230,64 @@ def _star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     return salted_join(keyed, pivots, "r", "key").where((F.col("doc_id") != F.col("pivot")) & _sizes_fit("n", "pivot_n", percent)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
 
 
-def _open_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a query and a member of a group that qualifies; nodes: doc_id, n, grp, prefix.
+def _meetings(nodes: DataFrame, percent: int) -> DataFrame:
+    """Queries with the groups that qualify; nodes: doc_id, n, grp, prefix. Returns a, grp, g, m (the members' set size), most.
 
     Sets of sizes n and m link if they share alike = ceil(percent * (n + m) / (100 + percent)) shingles or more. Then they
-    share LEAST within the first n - alike + LEAST of one and m - alike + LEAST of the other.
+    share LEAST within the first n - alike + LEAST of one and m - alike + LEAST of the other. most bounds their overlap.
     """
     rows = nodes.select("doc_id", "n", "grp", F.posexplode("prefix").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 <> g2").select("token")
-    rows = cut(rows.join(shared, "token"))
+    rows = cut(salted_join(rows, shared, "token"))
     matrix = rows.groupBy("token", F.col("grp").alias("g"), F.col("n").alias("m")).agg(F.min("pos").alias("g_pos"))
     alike = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
     near = (F.col("pos") < F.col("n") - alike + LEAST) & (F.col("g_pos") < F.col("m") - alike + LEAST)
     met = salted_join(rows, matrix, "token").where((F.col("grp") > F.col("g")) & _sizes_fit("n", "m", percent) & near)
-    found = met.groupBy("doc_id", "n", "g", "m").agg(F.count("*").alias("shared"), F.min("pos").alias("first"), F.min("g_pos").alias("g_first"))
+    found = met.groupBy("doc_id", "n", "grp", "g", "m").agg(F.count("*").alias("shared"), F.min("pos").alias("first"), F.min("g_pos").alias("g_first"))
     most = F.least(F.col("n") - F.col("first"), F.col("m") - F.col("g_first"))
-    groups = found.where((F.col("shared") >= F.least(F.lit(LEAST), alike)) & (most >= alike)).select(F.col("doc_id").alias("a"), "g", "m")
-    members = nodes.select(F.col("doc_id").alias("b"), F.col("grp").alias("g"), F.col("n").alias("m"))
-    return groups.join(members, ["g", "m"]).select("a", "b")
+    return found.where((F.col("shared") >= F.least(F.lit(LEAST), alike)) & (most >= alike)).select(F.col("doc_id").alias("a"), "grp", "g", "m", most.alias("most"))
+
+
+def _opened(docs: DataFrame, nodes: DataFrame, meetings: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between members of different groups, one at least for each pair of groups that has any.
+
+    A member's round is told by its hash and its group's number of members of its size: MORE**r of them, about, are in the
+    rounds up to r. Pairs of groups that a round links drop out of the next ones; all others go on until every pair of
+    a query and a member was compared.
+    """
+    kind = nodes.schema["doc_id"].dataType.simpleString()
+    links = nodes.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
+    left = cut(meetings)
+    if left.isEmpty():
+        return links
+    members = nodes.select("doc_id", F.col("grp").alias("g"), F.col("n").alias("m"))
+    sizes = cut(members.groupBy("g", "m").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("b"))).alias("one")).select("g", "m", "c", "one.b"))
+    best = F.max(F.struct("most", "m", "a")).alias("x")
+    for by in (["grp", "g"], ["a", "grp", "g"]):
+        found = left.groupBy(*by).agg(best).select("grp", "g", "x.a", "x.m")
+        left, links = _round(docs, salted_join(found, sizes.select("g", "m", "b"), "g", "m"), left, links, k, percent)
+    chance = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
+    several = sizes.where("c > 1").select("g", "m", "c")
+    level = F.greatest(F.ceil(F.log(F.col("c") * chance) / math.log(MORE)), F.lit(1)).cast("int")
+    ranked = cut(salted_join(members, several, "g", "m").select("g", "m", F.col("doc_id").alias("b"), level.alias("level")))
+    last = ranked.agg(F.max("level")).head()[0] or 0
+    alone = sizes.where("c = 1").select("g", "m", "b", F.lit(1).alias("level"))
+    for r in range(1, max(last, 1) + 1):
+        if left.isEmpty():
+            break
+        now = ranked.where(F.col("level") == r)
+        left, links = _round(docs, salted_join(left.select("a", "grp", "g", "m"), (now.unionByName(alone) if r == 1 else now).select("g", "m", F.col("b").cast(kind)), "g", "m"), left, links, k, percent)
+    return links
+
+
+def _round(docs: DataFrame, met: DataFrame, left: DataFrame, links: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(what is left of the meetings once pairs of met (a, b, grp, g) are compared, links and the new ones)."""
+    met = cut(met.select("a", "b", "grp", "g"))
+    new = cut(verified(docs, met.select("a", "b"), k, percent))
+    if new.isEmpty():
+        return left, links
+    done = cut(met.join(new, (F.col("a") == F.col("u")) & (F.col("b") == F.col("v"))).select("grp", "g").distinct())
+    return cut(left.join(small_side(done, done.count(), 32), ["grp", "g"], "left_anti")), links.unionByName(new)
 
 
 def similar_groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -268,7 +311,7 @@ def similar_groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataF
     stars = cut(verified(docs, _star_pairs(rows, percent), k, percent))
     groups = cut(components(stars))
     grouped = cut(rows.join(groups, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), "prefix"))
-    links = verified(docs, _open_pairs(grouped, percent), k, percent)
+    links = _opened(docs, grouped, _meetings(grouped, percent), k, percent)
     mapped = cut(features.join(nodes, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")))
     several = mapped.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id")
     own = mapped.join(several, "doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
@@ -283,9 +326,10 @@ def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     """
     labels = cut(similar_groups(documents, k, percent))
     out = cut(labels.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = documents.join(small_side(out, out.count(), 32), "doc_id", "left_anti").select(documents.columns)
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    kept = documents.join(small_side(out, out.count(), 32), "doc_id", "left_anti").select(columns)
     again = cut(labels.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
     if again.isEmpty():
         return kept
     once = small_side(again, again.count(), 32)
-    return kept.join(once, "doc_id", "left_anti").unionByName(kept.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(documents.columns)
+    return kept.join(once, "doc_id", "left_anti").unionByName(kept.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(columns)
