@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quayline.llm.common import n_written, new_folder, release, table, written_since
 from quayline.llm.decontamination import clean_documents
-from quayline.llm.line_dedup import dedup_lines
+from quayline.llm.line_dedup import shortened
 from quayline.llm.quality import kept_documents
 from quayline.llm.queries import vocabulary
 from quayline.llm.segmentation import sample_digest
@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines; every document stays, with n_chars of its new text."""
-    return dedup_lines(docs).select(docs.columns)
+    return shortened(docs).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
