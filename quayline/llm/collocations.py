@@ -30,7 +30,7 @@ from .automata import Bound, CountTransducer, added_up, cuts, symbol_table, unio
 from .common import column, pieces, written
 
 #: N-grams and words that a task holds before it hands on a transducer; words of a range; ranges, beyond which they are sliced.
-SHARD, SHARD_WORDS, RANGE_WORDS, MOST_RANGES = 1_500_000, 400_000, 1_000_000, 16_384
+SHARD, SHARD_WORDS, RANGE_WORDS, MOST_RANGES = 1_000_000, 400_000, 600_000, 16_384
 #: Bits of the filter of frequent n-grams, 8 MB; frequent words that bounds are taken from, for each range.
 BITS, SAMPLE = 1 << 26, 32
 _CUTS = {*b".,;:!?", *range(0x0A, 0x0E)}
