@@ -7,7 +7,9 @@ as rows (token, group, set size), the union of the tokens of each group's member
 that come first in a global order, rare ones first: two sets that link share LEAST of those or more. A query set
 meets only the groups that hold such tokens of it; a bound on its overlap with any member follows from its first
 token found there, and only groups whose bound reaches the threshold are opened, when the query is compared with
-their members exactly. Links between groups and groups' own links give the connected components.
+their members exactly. One link between two groups joins them, so where groups are large they are opened in rounds:
+first the best query of each pair of groups meets one member, then each query one member of each group, then more
+members each time, and what is linked goes no further. Links between groups and groups' own links give the components.
 
 The order comes from a count sketch of all shingles (counters of a fixed number, added up over partitions). It
 decides only how many candidates there are: any order that all documents share gives the same links.
@@ -37,8 +39,8 @@ from .graph import components
 SKETCH_BITS, CHUNKS, FAN_IN = 22, 256, 64
 #: Minimum hashes by which nodes are grouped, and prefix tokens that a query and a group must share.
 STARS, LEAST = 3, 2
-#: How many times as many members of a group are met in each round of opening as in the one before.
-MORE = 16
+#: Pairs for each node up to which groups are opened at once; how many times as many members are met in each round as in the one before.
+EACH, MORE = 4, 16
 
 
 @dataclass
@@ -238,7 +240,7 @@ def _meetings(nodes: DataFrame, percent: int) -> DataFrame:
     """
     rows = nodes.select("doc_id", "n", "grp", F.posexplode("prefix").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 <> g2").select("token")
-    rows = cut(salted_join(rows, shared, "token"))
+    rows = cut(rows.join(shared, "token"))  # one row a token on the other side: Spark splits a token of many rows
     matrix = rows.groupBy("token", F.col("grp").alias("g"), F.col("n").alias("m")).agg(F.min("pos").alias("g_pos"))
     alike = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
     near = (F.col("pos") < F.col("n") - alike + LEAST) & (F.col("g_pos") < F.col("m") - alike + LEAST)
@@ -251,7 +253,8 @@ def _meetings(nodes: DataFrame, percent: int) -> DataFrame:
 def _opened(docs: DataFrame, nodes: DataFrame, meetings: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (u, v) between members of different groups, one at least for each pair of groups that has any.
 
-    A member's round is told by its hash and its group's number of members of its size: MORE**r of them, about, are in the
+    Where all pairs of queries and members are no more than EACH times the nodes, they are compared at once. Else a
+    member's round is told by its hash and its group's number of members of its size: MORE**r of them, about, are in the
     rounds up to r. Pairs of groups that a round links drop out of the next ones; all others go on until every pair of
     a query and a member was compared.
     """
@@ -262,6 +265,9 @@ def _opened(docs: DataFrame, nodes: DataFrame, meetings: DataFrame, k: int, perc
         return links
     members = nodes.select("doc_id", F.col("grp").alias("g"), F.col("n").alias("m"))
     sizes = cut(members.groupBy("g", "m").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("b"))).alias("one")).select("g", "m", "c", "one.b"))
+    pairs = left.groupBy("g", "m").agg(F.count("*").alias("q")).join(sizes, ["g", "m"]).agg(F.sum(F.col("q") * F.col("c").cast("decimal(38,0)"))).head()[0]
+    if pairs <= EACH * nodes.count():
+        return verified(docs, salted_join(left, members.withColumnRenamed("doc_id", "b"), "g", "m").select("a", "b"), k, percent)
     best = F.max(F.struct("most", "m", "a")).alias("x")
     for by in (["grp", "g"], ["a", "grp", "g"]):
         found = left.groupBy(*by).agg(best).select("grp", "g", "x.a", "x.m")

@@ -123,6 +123,7 @@ def test_groups_are_opened_in_rounds(spark, monkeypatch, more):
 def test_rounds_lose_no_link(spark, monkeypatch, more):
     """Groups between which only few pairs link, against all pairs."""
     monkeypatch.setattr(similarity_join, "MORE", more)
+    monkeypatch.setattr(similarity_join, "EACH", 0)
     r = random.Random(6)
     texts = []
     for g in range(6):
