@@ -211,7 +211,11 @@ def staged_to(folder: str) -> Callable[[DataFrame, str], DataFrame]:
 def curate(raw: Raw, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Curated:
     """All curated and quarantined tables; keep is what is done to the staged frames, which feed two outputs each."""
     ports = curate_ports(raw.ports)
-    shipments, events = keep(stage_shipments(raw.shipments, ports), "shipments"), keep(stage_events(raw.port_events, ports), "port_events")
+    return from_staged(ports, keep(stage_shipments(raw.shipments, ports), "shipments"), keep(stage_events(raw.port_events, ports), "port_events"))
+
+
+def from_staged(ports: DataFrame, shipments: DataFrame, events: DataFrame) -> Curated:
+    """All tables from curated ports and staged shipments and events."""
     bad = "quarantine_reason IS NOT NULL"
     return Curated(ports, curate_shipments(shipments), shipments.where(bad), curate_events(events), events.where(bad))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import learning as L
+from .quantiles import percentiles
 
 #: Shares below this count as this; numeric bins; categories kept by name; warn and alert levels.
 FLOOR, BINS, TOP, WARN, ALERT = 1e-4, 10, 30, 0.10, 0.25
@@ -53,9 +54,10 @@ def _edges(rows: DataFrame, columns: list[str], bins: int) -> dict[str, list[flo
     """The inner edges of each column's bins: its distinct quantiles but for the least and the greatest; None without two of them."""
     if not columns:
         return {}
-    steps = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    r = rows.agg(*(F.array_sort(F.array_distinct(F.percentile(c, steps))).alias(f"q{i}") for i, c in enumerate(columns))).head()
-    return {c: None if r[f"q{i}"] is None or len(r[f"q{i}"]) < 2 else list(r[f"q{i}"][1:-1]) for i, c in enumerate(columns)}
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns)))
+    found = percentiles(rows.select(each.alias("x")).select("x.*"), ["column"], "v", [i / bins for i in range(bins + 1)]).collect()
+    q = {r.column: sorted(set(r.q)) for r in found}
+    return {c: q[c][1:-1] if len(q.get(c, ())) > 1 else None for c in columns}
 
 
 def _categories(rows: DataFrame, columns: list[str]) -> DataFrame:

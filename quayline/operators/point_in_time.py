@@ -8,8 +8,6 @@ the total at its beginning from the total at its end.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,25 +37,31 @@ def _totals_before(points: DataFrame, facts: DataFrame, values: list[str]) -> Da
     return found.select("key", "_us", "_point.*", *((F.coalesce(n, F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in names))
 
 
-def as_of(probes: DataFrame, facts: DataFrame, measures: dict[str, Measure], days: int | None = None) -> DataFrame:
+def as_of(probes: DataFrame, facts: DataFrame, measures: dict[str, Measure | tuple[str, str, int | None]], days: int | None = None) -> DataFrame:
     """probes (id, key, ts) with measures over the facts (key, ts, further columns) of the same key before ts.
 
-    days bounds the look-back, its first moment included. Facts at the very time of a probe are not before it. A null key
-    or time sees nothing: averages are null, counts and totals 0. Probes that share an id, key and time are one probe.
-    Sums of doubles are those of running totals, exact for whole numbers.
+    days, or a measure's own, bounds the look-back, its first moment included; all look-backs go through one pass, each
+    as a point of its own. Facts at the very time of a probe are not before it. A null key or time sees nothing:
+    averages are null, counts and totals 0. Probes that share an id, key and time each come back. Sums of doubles are
+    those of running totals, exact for whole numbers.
     """
-    values = sorted({c for _, c in measures.values()})
-    names = [f"{x}_{v}" for v in values for x in "sn"]
-    end = probes.select("key", _micros("ts").alias("_us"), "id", "ts", F.lit(1).alias("_sign"))
-    points = end if days is None else end.unionByName(end.withColumn("_us", F.col("_us") - F.lit(days * BUCKET)).withColumn("_sign", F.lit(-1)))
-    totals = _totals_before(points.distinct(), facts, values).groupBy("id", "key", "ts").agg(*(F.sum(F.col(n) * F.col("_sign")).alias(n) for n in names))
-    out = probes.alias("p").join(totals.alias("t"), reduce(lambda a, b: a & b, (F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("id", "key", "ts"))), "left")
-
-    def measure(kind: str, c: str) -> Column:
-        total, n = F.coalesce(f"t.s_{c}", F.lit(0)), F.coalesce(f"t.n_{c}", F.lit(0))
-        return {"avg": F.when(n > 0, total / n), "count": n, "total": total}[kind]
-
-    return out.select("p.id", "p.key", "p.ts", *(measure(*m).alias(name) for name, m in measures.items()))
+    asked = {name: (m[0], m[1], m[2] if len(m) > 2 else days) for name, m in measures.items()}
+    values, spans = sorted({c for _, c, _ in asked.values()}), sorted({d for _, _, d in asked.values() if d is not None})
+    once = probes.groupBy("id", "key", "ts").agg(F.count("*").alias("_times"))
+    points = once.select("key", "id", "ts", "_times", F.explode(F.array(*(F.lit(d) for d in (0, *spans)))).alias("_back")).withColumn("_us", _micros("ts") - F.col("_back").cast("bigint") * F.lit(BUCKET))
+    totals = _totals_before(points.select("key", "_us", "id", "ts", "_times", "_back"), facts, values)
+    wanted = sorted({(x, c, d) for kind, c, d in asked.values() for x in "sn" if x == "n" or kind != "count"}, key=str)
+    at = lambda x, c, d: F.sum(F.when(F.col("_back") == d, F.col(f"{x}_{c}")))
+    sums = [(at(x, c, 0) if d is None else at(x, c, 0) - at(x, c, d)).alias(f"{x}_{c}_{d}") for x, c, d in wanted]
+    found = totals.groupBy("id", "key", "ts", "_times").agg(*sums)
+    unseen = once.where("key IS NULL OR ts IS NULL").select("id", "key", "ts", "_times", *(F.lit(0).cast(dict(found.dtypes)[f"{x}_{c}_{d}"]).alias(f"{x}_{c}_{d}") for x, c, d in wanted))
+    out = found.unionByName(unseen).withColumn("_time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
+
+    def measure(kind: str, c: str, d: int | None) -> Column:
+        n = F.col(f"n_{c}_{d}")
+        return n if kind == "count" else F.col(f"s_{c}_{d}") if kind == "total" else F.when(n > 0, F.col(f"s_{c}_{d}") / n)
+
+    return out.select("id", "key", "ts", *(measure(*m).alias(name) for name, m in asked.items()))
 
 
 def history(shipments: DataFrame, events: DataFrame) -> DataFrame:

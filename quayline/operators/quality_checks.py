@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .. import domain as D
 from ..functions.columns import is_blank, lax_double, mapped, norm_code, seconds_between, strict_timestamp, truth
+from ..sources.scratch import kept
 from .curation import Raw, small
+from .quantiles import counted_values, percentiles, percentiles_of
 
 #: Samples of keys in a result; a route's shipments from which on its median counts, and how far off it a transit may be.
 SAMPLES, OUTLIER_ROWS, OUTLIER_SHARE = 10, 5, 0.5
@@ -155,14 +157,17 @@ def prepare(raw: Raw) -> dict[str, DataFrame]:
         return rows.join(codes, F.trim(column) == F.col("_code"), "left").withColumn(alias, F.col("_code").isNotNull()).drop("_code")
 
     s = _groups(raw.shipments, D.SHIPMENT_COLUMNS, _TIMES, ("weight_tons", "container_count"))
-    s = s.withColumn("_transit", seconds_between(_ts("planned_departure"), _ts("planned_arrival")) / F.lit(86400.0))
+    s = kept(s.withColumn("_transit", seconds_between(_ts("planned_departure"), _ts("planned_arrival")) / F.lit(86400.0)))
     s = s.withColumn("_versions", F.count("*").over(Window.partitionBy("shipment_id")))
     s = known(known(s, "origin_port", "_known_origin"), "destination_port", "_known_destination")
-    medians = s.groupBy("origin_port", "destination_port").agg(F.percentile("_transit", F.lit(0.5), F.col("_n")).alias("_route_median"), F.sum(F.when(F.col("_transit").isNotNull(), F.col("_n"))).alias("_route_rows"))
-    s = s.join(medians, ["origin_port", "destination_port"], "left")
+    route = ["origin_port", "destination_port"]
+    transits = kept(counted_values(s, route, "_transit", "_n"))
+    medians = percentiles_of(transits, route, [0.5]).select(*route, F.col("q")[0].alias("_route_median"))
+    medians = medians.join(transits.groupBy(*route).agg(F.sum("n").alias("_route_rows")), route)
+    s = s.join(small(medians), route, "left")
     code = Window.partitionBy(F.coalesce("port_code", F.lit(""))).orderBy("_row_number")
     p = raw.ports.select("*", F.lit(1).cast("bigint").alias("_n"), (F.row_number().over(code) > 1).alias("_later"), lax_double("avg_congestion_score").alias("_d_avg_congestion_score"))
-    e = _groups(raw.port_events, D.EVENT_COLUMNS, ("event_timestamp",), ("delay_minutes",))
+    e = kept(_groups(raw.port_events, D.EVENT_COLUMNS, ("event_timestamp",), ("delay_minutes",)))
     e = known(e.withColumn("_versions", F.count("*").over(Window.partitionBy("event_id"))), "port_code", "_known_port")
     order = raw.port_events.select("event_id", "_row_number", F.lit(1).cast("bigint").alias("_n"), strict_timestamp("event_timestamp").alias("_t_event_timestamp"))
     return {"shipments": s, "ports": p, "port_events": e, "event_order": with_previous(order, _ts("event_timestamp"), "_before")}
@@ -264,21 +269,25 @@ def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     """For each column: rows, blanks, distinct, numeric_share, min, median, max, inferred_type, unparseable, first_time, last_time.
 
     A column is empty, numeric or timestamp if PARSED of its non-blank values are, else string; unparseable counts the rest.
-    min, median and max are those of values that are numbers. One aggregation for all columns.
+    min, median and max are those of values that are numbers. One aggregation for all columns, and one selection of ranks
+    for all medians.
     """
-    out = []
+    out, numbers = [], []
     for c in columns:
         text = F.when(~is_blank(c), F.trim(F.col(c)))
         v, t = lax_double(text), strict_timestamp(text)
+        numbers.append(F.struct(F.lit(c).alias("column"), v.alias("v")))
         out.append(
             F.struct(
                 F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(text.isNull()).alias("blanks"), F.count_distinct(text).alias("distinct"),
-                (F.count(v) / F.nullif(F.count(text), F.lit(0))).alias("numeric_share"), F.min(v).alias("min"), F.percentile(v, F.lit(0.5)).alias("median"), F.max(v).alias("max"),
+                (F.count(v) / F.nullif(F.count(text), F.lit(0))).alias("numeric_share"), F.min(v).alias("min"), F.max(v).alias("max"),
                 F.count(text).alias("said"), F.count(v).alias("numbers"), F.count(t).alias("times"), F.min(t).alias("first_time"), F.max(t).alias("last_time"),
             ).alias(f"p_{c}")
         )
     one = rows.agg(*out)
     x = one.select(F.explode(F.array(*(f"`{n}`" for n in one.columns))).alias("x")).select("x.*")
+    long = rows.select(F.explode(F.array(*numbers)).alias("x")).select("x.*")
+    x = x.join(F.broadcast(percentiles(long, ["column"], "v", [0.5]).select("column", F.col("q")[0].alias("median"))), "column", "left")
     enough = lambda n: F.col(n) >= PARSED * F.col("said")
     kind = F.when(F.col("said") == 0, "empty").when(enough("numbers"), "numeric").when(enough("times"), "timestamp").otherwise("string")
     lost = F.when(kind == "numeric", F.col("said") - F.col("numbers")).when(kind == "timestamp", F.col("said") - F.col("times"))

@@ -3,32 +3,49 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import domain as D
+from ..sources.scratch import kept
 from .curation import small
-
-
-def _outcomes() -> list[Column]:
-    late = F.col("actual_delay_hours")
-    return [
-        F.count("*").alias("shipment_count"),
-        F.count(late).alias("completed_count"),
-        F.count_if(F.col("status") == "CANCELLED").alias("cancelled_count"),
-        F.avg(late).alias("avg_delay_hours"),
-        F.percentile(late, F.lit(0.5)).alias("median_delay_hours"),
-        F.percentile(late, F.lit(0.9)).alias("p90_delay_hours"),
-        F.avg(F.col("on_time_flag").cast("double")).alias("on_time_rate"),
-        F.min("planned_departure").alias("first_planned_departure"),
-        F.max("planned_departure").alias("last_planned_departure"),
-    ]
+from .quantiles import percentiles_of
+
+
+def _outcomes(shipments: DataFrame, keys: list[str], percentiles: bool = True) -> DataFrame:
+    """Exact statistics of each group, one row of zero counts if there are no keys and no rows.
+
+    Rows are added up by delay first, so a route with most of all rows is a few values by the time it is one group, and
+    its percentiles are selected by rank.
+    """
+    late, dep = F.col("actual_delay_hours"), F.col("planned_departure")
+    parts = shipments.groupBy(*keys, "actual_delay_hours").agg(
+        F.count("*").alias("n"), F.count_if(F.col("status") == "CANCELLED").alias("cancelled"), F.count("on_time_flag").alias("judged"), F.count_if(F.col("on_time_flag")).alias("on_time"), F.min(dep).alias("first"), F.max(dep).alias("last")
+    )
+    parts = kept(parts) if percentiles else parts
+    done = F.sum(F.when(late.isNotNull(), F.col("n")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    stats = parts.groupBy(*keys).agg(
+        zero(F.sum("n")).alias("shipment_count"), zero(done).alias("completed_count"), zero(F.sum("cancelled")).alias("cancelled_count"),
+        (F.sum(late * F.col("n")) / done).alias("avg_delay_hours"), (F.sum("on_time") / F.nullif(F.sum("judged"), F.lit(0))).alias("on_time_rate"), zero(F.sum("on_time")).alias("on_time_count"),
+        F.min("first").alias("first_planned_departure"), F.max("last").alias("last_planned_departure"),
+    )
+    if not percentiles:
+        return stats
+    q = percentiles_of(parts.where(late.isNotNull()).select(*keys, late.cast("double").alias("value"), "n"), keys, [0.5, 0.9])
+    same = reduce(lambda a, b: a & b, (F.col(f"s.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys), F.lit(True))
+    return stats.alias("s").join(q.alias("q"), same, "left").select("s.*", F.get("q.q", F.lit(0)).alias("median_delay_hours"), F.get("q.q", F.lit(1)).alias("p90_delay_hours"))
+
+
+_ROUTE = ["origin_port", "destination_port", "route_key"]
+_STATS = ["shipment_count", "completed_count", "cancelled_count", "avg_delay_hours", "median_delay_hours", "p90_delay_hours", "on_time_rate", "first_planned_departure", "last_planned_departure"]
 
 
 def route_stats(shipments: DataFrame) -> DataFrame:
     """Exact statistics of each route; the on-time rate is over completed shipments."""
-    return shipments.groupBy("origin_port", "destination_port", "route_key").agg(*_outcomes())
+    return _outcomes(shipments, _ROUTE).select(*_ROUTE, *_STATS)
 
 
 def _quarter(c: str = "planned_departure") -> list[Column]:
@@ -37,10 +54,9 @@ def _quarter(c: str = "planned_departure") -> list[Column]:
 
 
 def route_quarterly_stats(shipments: DataFrame) -> DataFrame:
-    keys = ["origin_port", "destination_port", "route_key", "year", "quarter", "period"]
-    keep = {"shipment_count", "completed_count", "avg_delay_hours", "on_time_rate"}
+    keys = [*_ROUTE, "year", "quarter", "period"]
     rows = shipments.select("*", *_quarter())
-    return rows.groupBy(*keys).agg(*_outcomes()).select(*keys, *sorted(keep))
+    return _outcomes(rows, keys, percentiles=False).select(*keys, "avg_delay_hours", "completed_count", "on_time_rate", "shipment_count")
 
 
 def port_daily_activity(events: DataFrame) -> DataFrame:
@@ -63,7 +79,7 @@ def single_route_stats(shipments: DataFrame, origin: str, destination: str, date
     """One row, with zero counts for a route without shipments; bounds are on planned_departure, the last day included."""
     rows = shipments.where((F.col("origin_port") == origin) & (F.col("destination_port") == destination))
     rows = _between(rows, "planned_departure", date_from, date_to)
-    return rows.agg(*_outcomes(), F.count_if(F.col("on_time_flag")).alias("on_time_count"))
+    return _outcomes(rows, []).select(*_STATS, "on_time_count")
 
 
 def _between(rows: DataFrame, column: str, date_from: date | None, date_to: date | None) -> DataFrame:
@@ -87,7 +103,7 @@ def route_rankings(shipments: DataFrame, metric: str = "avg_delay_hours", descen
     """The top routes by a metric of all data or one quarter; ties by completed_count, then route_key."""
     if metric not in D.RANKING_METRICS:
         raise ValueError(f"unsupported ranking metric: {metric}")
-    rows = route_quarterly_stats(shipments).where(F.col("period") == period) if period else route_stats(shipments)
+    rows = route_quarterly_stats(shipments).where(F.col("period") == period) if period else _outcomes(shipments, _ROUTE, percentiles=False)
     order = F.col(metric).desc_nulls_last() if descending else F.col(metric).asc_nulls_last()
     columns = ["route_key", "origin_port", "destination_port", "shipment_count", "completed_count", "avg_delay_hours", "on_time_rate"]
     return rows.where(F.col("completed_count") >= min_completed).select(columns).orderBy(order, F.col("completed_count").desc(), "route_key").limit(limit)

@@ -105,7 +105,7 @@ BOTH = f"{SHIPMENTS}, {EVENTS.removeprefix(PORTS + ', ')}"
 #: Statistics of a group of shipments.
 STATS = """count(*) AS shipment_count, count(actual_delay_hours) AS completed_count, CAST(coalesce(sum(CAST(status = 'CANCELLED' AS INT)), 0) AS BIGINT) AS cancelled_count,
 round(sum(actual_delay_hours) / nullif(count(actual_delay_hours), 0), 4) AS avg_delay_hours, round(quantile_cont(actual_delay_hours, [0.5, 0.9])[1], 4) AS median_delay_hours,
-round(quantile_cont(actual_delay_hours, [0.5, 0.9])[2], 4) AS p90_delay_hours, round(sum(CAST(on_time_flag AS INT)) / nullif(count(on_time_flag), 0), 4) AS on_time_rate,
+round(quantile_cont(actual_delay_hours, [0.5, 0.9])[2], 4) AS p90_delay_hours, sum(CAST(on_time_flag AS INT)) / nullif(count(on_time_flag), 0) AS on_time_rate,
 arg_min(planned_departure, planned_departure) AS first_planned_departure, arg_max(planned_departure, planned_departure) AS last_planned_departure"""
 
 
@@ -220,11 +220,11 @@ def _damaged(table: str, changes: dict[str, str], lost: str, again: str) -> str:
 CONTRACT = query(f"{BOTH}, bad_s AS MATERIALIZED ({_damaged('curated', *X.DAMAGED_SHIPMENTS)}), bad_e AS MATERIALIZED ({_damaged('curated_e', *X.DAMAGED_EVENTS)}), bad_p AS MATERIALIZED ({_damaged('ports', *X.DAMAGED_PORTS)})", " UNION ALL ".join(f"SELECT '{n}' AS rule, CAST(({sql}) AS BIGINT) AS violations" for n, sql in RULES.items()))
 
 # ---------------------------------------------------------------------------------------------------------- what was known
-_PAST = lambda key: f"(SELECT round(avg(CAST(p.actual_delay_hours > 24 AS INT)), 4) FROM done p WHERE p.{key} = s.{key} AND p.actual_arrival < s.booking_date)"
+_PAST = lambda key: f"(SELECT avg(CAST(p.actual_delay_hours > 24 AS INT)) FROM done p WHERE p.{key} = s.{key} AND p.actual_arrival < s.booking_date)"
 _MONTH = lambda what, side: f"(SELECT {what} FROM curated_e e WHERE e.port_code = s.{side}_port AND e.event_timestamp < s.booking_date AND e.event_timestamp >= s.booking_date - INTERVAL 30 DAY)"
 HISTORY = query(
     f"{BOTH}, done AS MATERIALIZED (SELECT * FROM curated WHERE actual_delay_hours IS NOT NULL)",
     f"""SELECT shipment_id, {_PAST('vessel_id')} AS hist_vessel_late_rate, {_PAST('customer_id')} AS hist_customer_late_rate, {_PAST('route_key')} AS hist_route_late_rate, {_PAST('origin_port')} AS hist_origin_late_rate,
-    {_MONTH('round(avg(e.delay_minutes), 4)', 'origin')} AS hist_origin_event_delay_30d, {_MONTH("count(*) FILTER (e.event_type = 'DELAYED')", 'origin')} AS hist_origin_delayed_events_30d,
-    {_MONTH('round(avg(e.delay_minutes), 4)', 'destination')} AS hist_destination_event_delay_30d FROM done s""",
+    {_MONTH('avg(e.delay_minutes)', 'origin')} AS hist_origin_event_delay_30d, {_MONTH("count(*) FILTER (e.event_type = 'DELAYED')", 'origin')} AS hist_origin_delayed_events_30d,
+    {_MONTH('avg(e.delay_minutes)', 'destination')} AS hist_destination_event_delay_30d FROM done s""",
 )

@@ -92,14 +92,26 @@ def damaged(c: Curated) -> Curated:
     return Curated(broken(c.ports, *DAMAGED_PORTS), broken(c.shipments, *DAMAGED_SHIPMENTS), c.quarantined_shipments, broken(c.port_events, *DAMAGED_EVENTS), c.quarantined_events)
 
 
+#: Tables that grow: where they are one file of one row group, a scan is one task, and what follows would be too.
+_LARGE = ("lineitem", "orders", "events")
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Registers test tables as views."""
+    """Registers test tables as views. Large ones of fewer splits than there are cores are dealt out to all."""
+    cores = spark.sparkContext.defaultParallelism
     for n in names:
-        spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+        rows = spark.read.parquet(f"{sf_dir}/{n}.parquet")
+        if n in _LARGE and rows.rdd.getNumPartitions() < cores:
+            rows = rows.repartition(cores)
+        rows.createOrReplaceTempView(n)
+
+
+#: The test tables that raw ones are made of.
+INPUTS = ("nation", "region", "lineitem", "orders", "customer", "supplier", "part", "events")
 
 
 def raw(spark: SparkSession, sf_dir: str) -> Raw:
-    tables(spark, sf_dir, "nation", "region", "lineitem", "orders", "customer", "supplier", "part", "events")
+    tables(spark, sf_dir, *INPUTS)
     return Raw(shipments=spark.sql(SHIPMENTS_SQL), port_events=spark.sql(EVENTS_SQL), ports=spark.sql(PORTS_SQL))
 
 

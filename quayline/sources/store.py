@@ -68,3 +68,34 @@ def write_json(spark: SparkSession, value: object, path: str) -> None:
 
 def read_json(spark: SparkSession, path: str) -> object:
     return json.loads(read_text(spark, path))
+
+
+def create(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file that must not be there yet; of several writers at once one gets True.
+
+    That holds on stores that make a file at most once (HDFS, local disks, object stores with conditional puts).
+    """
+    from py4j.protocol import Py4JJavaError
+
+    where, files = _place(spark, path)
+    try:
+        out = files.create(where, False)
+    except Py4JJavaError:
+        if files.exists(where):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def files_below(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of the last change) of a file, or of all files in a folder and below, in text order."""
+    where, files = _place(spark, path)
+    out, found = [], files.listFiles(where, True)
+    while found.hasNext():
+        one = found.next()
+        out.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    return sorted(out)

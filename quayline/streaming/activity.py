@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import truth
+from ..sources.scratch import shared_folder
 
 CONTENT = ("event_id", "ts", "user_id", "event_type", "value", "props")
 
@@ -59,18 +60,6 @@ def run_to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
     return latest(spark, f"{folder}/table", stream)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where the master is local and nothing is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        conf = tempfile.mkdtemp(prefix="spark-")
-    return conf.rstrip("/")
-
-
 def upsert_batch(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges a batch into a table by keys: the newest version of a key replaces older ones.
 
