@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -124,10 +126,19 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.Re
         for batch in batches:
             if batch.num_rows:
                 yield from function(batch)
+            batch = None
+        tidy()
 
     return df.mapInArrow(mapped, schema)
 
 
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the machine: workers live on, idle or with another operator's task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import arrow_map, column, cut, pieces, ragged, salted_join, small_side
+from .common import arrow_map, column, cut, pieces, ragged, salted_join, small_side, tidy
 from .graph import components
 
 #: Counters of the sketch as a power of two, its chunks, and how many partitions' parts of a chunk are added up at once.
@@ -114,6 +114,8 @@ def _counters(k: int):
             data = [zlib.compress(x.tobytes(), 1) for x in np.split(n, CHUNKS)]
             way = np.full(CHUNKS, TaskContext.get().partitionId(), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(way), pa.array(data, pa.binary())], ["chunk", "way", "data"])
+        del n
+        tidy()
 
     return run
 
