@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
 
 
 def col(c: Column | str) -> Column:
@@ -31,7 +31,7 @@ def match_key(c: Column | str) -> Column:
 
 
 def lax_double(c: Column | str) -> Column:
-    """The number that a text is, or null; Spark's own suffixes (1.5d) are no numbers."""
+    """The number that a text is, inf and nan among them, or null; Spark's own suffixes (1.5d) are no numbers."""
     text = F.trim(col(c))
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +69,26 @@ def with_position(rows: DataFrame, order: list[str], name: str = "position") ->
     return rows.withColumn("_place", place).join(starts, F.col("_span").eqNullSafe(F.col("_of"))).withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_span", "_of", "_start", "_place")
 
 
+#: Rows of a span that one task sorts, and ranges of scores whose draws one task adds up.
+SPAN_ROWS, RANGES = 100_000, 200
+
+
+def with_random_position(rows: DataFrame, by: str, n: int, *seed: int, span_rows: int = SPAN_ROWS) -> DataFrame:
+    """rows with position: a permutation of 0 to n - 1, n being their number, drawn from a hash of by and seed.
+
+    Ranges of the hash are spans of about span_rows rows each, however many rows there are; a span's first position is
+    the number of rows in the spans before it. Rows with equal hashes are in the order of by, of equal by in no order.
+    """
+    spans = max(-(-n // span_rows), 1)
+    h = F.xxhash64(F.col(by), *(F.lit(s) for s in seed))
+    rows = rows.withColumn("_h", h).withColumn("_span", F.floor(F.pmod(F.shiftrightunsigned("_h", 20), F.lit(1 << 44)) / F.lit(float(1 << 44)) * spans))
+    counts = rows.groupBy("_span").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))  # a row a span
+    starts = counts.select("_span", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_span").orderBy("_h", by))
+    return rows.withColumn("_place", place).join(starts, "_span").withColumn("position", F.col("_start") + F.col("_place") - 1).drop("_h", "_span", "_start", "_place")
+
+
 def rolling_folds(rows: DataFrame, order: list[str], n_folds: int = FOLDS, first: float = FIRST_TRAIN) -> DataFrame:
     """rows once for each fold that they belong to, with fold and part (train or test).
 
@@ -141,23 +162,33 @@ def risk_band(p: Column, threshold: float = THRESHOLD) -> Column:
     return F.when(p >= threshold, "HIGH").when(p >= round(threshold - 0.15, 10), "MEDIUM").otherwise("LOW")
 
 
+def _drawn(rows: pa.Table, rounds: int) -> pa.Table:
+    """For each round a range's positives, negatives and the area that they make within it; rows: range, p, key, pos, neg."""
+    order = np.argsort(-np.asarray(rows.column("p")), kind="stable")
+    pos, neg, key = (np.asarray(rows.column(c))[order] for c in ("pos", "neg", "key"))
+    above, below, area = np.zeros(rounds), np.zeros(rounds), np.zeros(rounds)
+    for p, n, k in zip(pos.tolist(), neg.tolist(), key.tolist(), strict=True):
+        draw = np.random.default_rng(k & (2**63 - 1))
+        more, fewer = draw.poisson(p, rounds), draw.poisson(n, rounds)
+        area += fewer * (above + more / 2)
+        above += more
+        below += fewer
+    return pa.table({"range": np.full(rounds, rows.column("range")[0].as_py(), np.int64), "r": np.arange(rounds), "pos": above, "neg": below, "area": area})
+
+
 def bootstrap_interval(scores: DataFrame, rounds: int = 1000, alpha: float = 0.05, seed: int = 42) -> tuple[float, float]:
     """Percentile interval of ROC-AUC by a Poisson bootstrap: rows are counted by (p, y) first, each count is drawn anew.
 
-    A count's draws are seeded by its score, label and the seed, so the interval doesn't depend on partitions. Rounds in
-    which one class is missing are left out.
+    Scores are dealt to RANGES ranges of as many distinct ones; a task draws for its range, in all rounds, and hands on
+    three sums a round, so what is shuffled are ranges times rounds, whatever the number of scores. A score's draws are
+    seeded by it and the seed, so the interval doesn't depend on partitions. Rounds in which one class is missing are
+    left out.
     """
-
-    @F.pandas_udf("array<int>")
-    def drawn(key: pd.Series, n: pd.Series) -> pd.Series:
-        import numpy as np
-
-        return pd.Series([np.random.default_rng(k & (2**63 - 1)).poisson(m, rounds).astype(np.int32) for k, m in zip(key, n, strict=True)])
-
-    counts = scores.groupBy("p", "y").agg(F.count("*").alias("n"))
-    each = counts.select("p", "y", F.posexplode(drawn(F.xxhash64("p", "y", F.lit(seed)), "n")).alias("r", "w"))
-    by = each.groupBy("r", "p").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("neg"))
-    above = Window.partitionBy("r").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
-    run = by.withColumn("above", F.coalesce(F.sum("pos").over(above), F.lit(0)))
-    aucs = run.groupBy("r").agg((F.sum(F.col("neg") * (F.col("above") + F.col("pos") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    by = scores.groupBy("p").agg(F.sum(F.col("y").cast("bigint")).alias("pos"), (F.count("*") - F.sum(F.col("y").cast("bigint"))).alias("neg"))
+    bounds = by.agg(F.array_distinct(F.percentile_approx("p", F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 10_000)).alias("_bounds"))
+    dealt = by.join(F.broadcast(bounds)).select(F.size(F.filter("_bounds", lambda b: b <= F.col("p"))).cast("bigint").alias("range"), "p", F.xxhash64("p", F.lit(seed)).alias("key"), "pos", "neg")
+    parts = dealt.groupBy("range").applyInArrow(lambda t: _drawn(t, rounds), "range bigint, r bigint, pos double, neg double, area double")
+    above = F.coalesce(F.sum("pos").over(Window.partitionBy("r").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    run = parts.select("r", "pos", "neg", (F.col("area") + F.col("neg") * above).alias("area"))
+    aucs = run.groupBy("r").agg((F.sum("area") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
     return tuple(aucs.agg(F.percentile("auc", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q")).head().q)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import domain as D
+from ..sources.layout import after
 from ..sources.scratch import kept
 from .curation import small
 from .quantiles import percentiles_of
@@ -114,29 +115,58 @@ def latest_complete_period(shipments: DataFrame) -> str | None:
     return row.period if row else None
 
 
-def shipment_page(shipments: DataFrame, filters: dict[str, str] | None = None, date_from: date | None = None, date_to: date | None = None, sort: str = "booking_date", descending: bool = True, page: int = 1, page_size: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(the page's rows, one row with total); equality filters and a range of planned_departure, the last day included."""
+def _check_page(filters: dict[str, str] | None, date_from: date | None, date_to: date | None, sort: str, page: int, page_size: int) -> None:
     if sort not in D.SORT_COLUMNS:
         raise ValueError(f"unsupported sort column: {sort}")
     if not 1 <= page_size <= 100 or page < 1:
         raise ValueError("page must be 1 or more and page_size from 1 to 100")
     if date_from is not None and date_to is not None and date_from > date_to:
         raise ValueError("date_from is after date_to")
-    allowed = {"origin_port", "destination_port", "status", "cargo_type"}
-    if unknown := set(filters or {}) - allowed:
+    if unknown := set(filters or {}) - {"origin_port", "destination_port", "status", "cargo_type"}:
         raise ValueError(f"unsupported filters: {sorted(unknown)}")
-    rows = shipments
+
+
+def _filtered(shipments: DataFrame, filters: dict[str, str] | None) -> DataFrame:
     for c, v in (filters or {}).items():
-        rows = rows.where(F.col(c) == v)
-    rows = _between(rows, "planned_departure", date_from, date_to)
+        shipments = shipments.where(F.col(c) == v)
+    return shipments
+
+
+def shipment_page(shipments: DataFrame, filters: dict[str, str] | None = None, date_from: date | None = None, date_to: date | None = None, sort: str = "booking_date", descending: bool = True, page: int = 1, page_size: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(the page's rows, one row with total); equality filters and a range of planned_departure, the last day included."""
+    _check_page(filters, date_from, date_to, sort, page, page_size)
+    rows = _between(_filtered(shipments, filters), "planned_departure", date_from, date_to)
     order = F.col(sort).desc_nulls_last() if descending else F.col(sort).asc_nulls_last()
     return rows.orderBy(order, "shipment_id").offset((page - 1) * page_size).limit(page_size), rows.agg(F.count("*").alias("total"))
 
 
+def next_page(shipments: DataFrame, cursor: tuple | None, filters: dict[str, str] | None = None, date_from: date | None = None, date_to: date | None = None, sort: str = "booking_date", descending: bool = True, page_size: int = 20) -> DataFrame:
+    """The page after a cursor, (sort value, shipment_id) of the last row of the page before it; the first page without one.
+
+    Work doesn't depend on how far on the page is: page_size rows of each partition come together, never those before it.
+    """
+    _check_page(filters, date_from, date_to, sort, 1, page_size)
+    rows = _between(_filtered(shipments, filters), "planned_departure", date_from, date_to)
+    if cursor is not None:
+        rows = rows.where(after([(sort, descending), ("shipment_id", False)], cursor))
+    order = F.col(sort).desc_nulls_last() if descending else F.col(sort).asc_nulls_last()
+    return rows.orderBy(order, "shipment_id").limit(page_size)
+
+
 def shipment_lookup(shipments: DataFrame, ports: DataFrame, shipment_id: str) -> DataFrame:
     """A curated shipment with its ports, by its id in any case and padding."""
     return shipments_enriched(shipments.where(F.col("shipment_id") == shipment_id.strip().upper()), ports).limit(1)
 
 
+def shipment_details(shipments: DataFrame, ports: DataFrame) -> DataFrame:
+    """Curated shipments with each port as a struct: port_code, port_name, country, region, avg_congestion_score."""
+    out, ports = shipments.drop("_source_row"), small(ports)
+    fields = ("port_code", "port_name", "country", "region", "avg_congestion_score")
+    for side in ("origin", "destination"):
+        port = ports.select(F.col("port_code").alias("_code"), F.struct(*fields).alias(side))
+        out = out.join(port, F.col(f"{side}_port") == F.col("_code")).drop("_code")
+    return out
+
+
 def known_ports(ports: DataFrame, codes: list[str]) -> DataFrame:
     return ports.where(F.col("port_code").isin(codes)).select("port_code")

@@ -13,17 +13,17 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import drift
 from . import learning as L
+from .categories import RareCategories
 
 #: Rows that a category needs to count by its own name, the share of last rows that is kept for the test, and shuffles of labels.
 MIN_ROWS, TEST_SHARE, PERMUTATIONS, SEED = 10, 0.15, 20, 42
-RARE = "infrequent"
 METRICS = ("precision", "recall", "f1", "roc_auc", "average_precision", "brier")
 
 
@@ -73,13 +73,6 @@ class Trained:
         return scored.select(*features.columns, "p")
 
 
-def _rare(rows: DataFrame) -> dict[str, list[str]]:
-    """For each categorical column the names of fewer than MIN_ROWS rows."""
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("name")) for c in L.CATEGORICAL)))
-    found = rows.select(each.alias("x")).groupBy("x.column", "x.name").agg(F.count("*").alias("n")).where((F.col("n") < MIN_ROWS) & F.col("name").isNotNull()).collect()
-    return {c: sorted(r.name for r in found if r.column == c) for c in L.CATEGORICAL}
-
-
 def fit(rows: DataFrame, candidate: Candidate) -> Trained:
     """A candidate fitted on rows (features and label); classes weigh the same, missing numbers are medians, rare categories are one."""
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
@@ -88,12 +81,10 @@ def fit(rows: DataFrame, candidate: Candidate) -> Trained:
         return Trained(candidate.name, None, {"rate": counts.get(1, 0) / total if total else 0.0})
     weight = {y: total / (len(counts) * n) for y, n in counts.items()}
     weighted = rows.withColumn("_weight", F.when(F.col("label") == 1, weight.get(1, 1.0)).otherwise(weight.get(0, 1.0)))
-    quoted = lambda names: ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names)
-    grouped = ", ".join(f"CASE WHEN {c} IN ({quoted(names)}) THEN '{RARE}' ELSE {c} END AS {c}_g" if names else f"{c} AS {c}_g" for c, names in _rare(rows).items())
     known = rows.agg(*(F.count(c).alias(c) for c in candidate.numbers if c in rows.columns)).head().asDict()
     numbers = [c for c, n in known.items() if n]  # a column without any value tells nothing
     stages = [
-        SQLTransformer(statement=f"SELECT *, {grouped} FROM __THIS__"),
+        RareCategories(inputCols=list(L.CATEGORICAL), outputCols=[f"{c}_g" for c in L.CATEGORICAL], minRows=MIN_ROWS),
         StringIndexer(inputCols=[f"{c}_g" for c in L.CATEGORICAL], outputCols=[f"{c}_i" for c in L.CATEGORICAL], handleInvalid="keep", stringOrderType="frequencyDesc"),
         OneHotEncoder(inputCols=[f"{c}_i" for c in L.CATEGORICAL], outputCols=[f"{c}_v" for c in L.CATEGORICAL], handleInvalid="keep"),
         Imputer(strategy="median", inputCols=numbers, outputCols=[f"{c}_f" for c in numbers]),
@@ -124,12 +115,13 @@ def permutation_test(rows: DataFrame, candidate: Candidate, observed_auc: float,
     """How often labels dealt at random do as well: p = (1 + cases at or above the observed AUC) / (1 + permutations).
 
     Labels are put in the order of a hash of the seed, the round and the row's id, and given to the rows in their order.
+    Hashes are even, so their ranges, as many as rows need, are spans of about the same number of rows.
     """
     placed = L.with_position(rows, ["booking_date", "shipment_id"]).persist()
-    aucs = []
+    n, aucs = placed.count(), []
     try:
         for i in range(permutations):
-            dealt = L.with_position(placed.select("label", F.floor(F.xxhash64("shipment_id", F.lit(seed), F.lit(i)) / 2**40).alias("_key"), F.xxhash64("shipment_id", F.lit(i)).alias("_tie")), ["_key", "_tie"])
+            dealt = L.with_random_position(placed.select("label", "shipment_id"), "shipment_id", n, seed, i)
             mixed = placed.drop("label").join(dealt.select("position", "label"), "position").drop("position")
             aucs.append(cross_validate(mixed, candidate, n_folds=n_folds)["summary"]["roc_auc"]["mean"])
     finally:

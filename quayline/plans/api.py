@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import serving as S
 from ..operators import training as M
 from ..sources.files import current, current_run
+from ..sources.layout import SortedTable
 
 #: Characters that a tool's result may have (longer lists lose their last items), and rows that tools may ask for.
 RESULT_CHARS, PAGE_ROWS, RANKED_ROWS = 6000, 25, 20
@@ -32,6 +33,7 @@ class Api:
         self._model: M.Trained | None = None
         self.tables = current(spark, root)
         self.shipments, self.port_table = self.tables["curated.shipments"], self.tables["curated.ports"]
+        self.by_id = SortedTable(spark, f"{root}/run={current_run(spark, root)}/curated.shipments")
 
     @staticmethod
     def _rows(df: DataFrame) -> list[dict]:
@@ -65,7 +67,7 @@ class Api:
         if (shipment_id is None) == (booking is None):
             raise ValueError("give shipment_id or booking")
         if shipment_id is not None:
-            rows = self.shipments.where(F.col("shipment_id") == shipment_id.strip().upper()).limit(1)
+            rows = self.by_id.where_key(shipment_id.strip().upper()).limit(1)
             if rows.isEmpty():
                 raise NotFound(f"shipment {shipment_id}")
         else:
@@ -97,7 +99,7 @@ class Api:
         return self._rows(self.port_table.drop("dq_flags").orderBy("port_code"))
 
     def shipment(self, shipment_id: str) -> dict:
-        rows = self._rows(S.shipment_lookup(self.shipments, self.port_table, shipment_id))
+        rows = self._rows(S.shipment_lookup(self.by_id.where_key(shipment_id.strip().upper()), self.port_table, shipment_id))
         if not rows:
             raise NotFound(f"shipment {shipment_id}")
         return rows[0]

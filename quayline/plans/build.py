@@ -14,6 +14,11 @@ from ..operators.curation import Curated, curate, staged_to
 from ..operators.fingerprint import combined, fingerprint
 from ..sources import store
 from ..sources.files import new_run, publish, read_raw
+from ..sources.layout import write_sorted
+
+
+#: What the files of a run's tables are sorted by, so that look-ups open few of them.
+SORTED_BY = {"curated.ports": "port_code", "curated.shipments": "shipment_id", "curated.port_events": "event_key", "quarantine.shipments": "shipment_id", "quarantine.port_events": "event_key"}
 
 
 def build(spark: SparkSession, folder: str | Path, root: str | Path, max_quarantine_percent: float = D.MAX_QUARANTINE_PERCENT) -> dict:
@@ -29,7 +34,7 @@ def build(spark: SparkSession, folder: str | Path, root: str | Path, max_quarant
         tables = {"curated.ports": c.ports, "curated.shipments": c.shipments, "curated.port_events": c.port_events, "quarantine.shipments": c.quarantined_shipments, "quarantine.port_events": c.quarantined_events}
         back = {}
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{place}/{name}")
+            write_sorted(df, f"{place}/{name}", [SORTED_BY[name]], bloom=(SORTED_BY[name],))
             back[name] = spark.read.parquet(f"{place}/{name}")
         done = Curated(back["curated.ports"], back["curated.shipments"], back["quarantine.shipments"], back["curated.port_events"], back["quarantine.port_events"])
         rules = assert_valid(raw, done, max_quarantine_percent)

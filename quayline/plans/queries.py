@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +19,16 @@ from ..operators import learning as L
 from ..operators import quality_checks as Q
 from ..operators import serving as S
 from ..operators import text_guard as T
+from ..operators.categories import RareCategories
 from ..operators.contract import violations
 from ..operators.point_in_time import as_of, history
 from ..operators.quantiles import counted_values, percentiles_of
 from ..sources import fixtures as X
-from ..sources.scratch import kept
+from ..sources.keyed import KeyedTable
+from ..sources.layout import SortedTable, write_sorted
+from ..sources.scratch import kept, shared_folder
 from ..sources.staging import code_key, staged
-from ..streaming import activity
+from ..streaming import activity, late
 from . import oracle as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -476,3 +480,88 @@ def stream_dedup_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over a feed that delivers some events two or three times."""
     out = activity.run_to_table(activity.daily(activity.with_replays(activity.read_events(spark, sf_dir))), spark)
     return out.select(F.to_date("w.start").alias("event_date"), "event_type", "event_count", "error_count")
+
+
+# ------------------------------------------------------------------------------------------- layout, merges and late rows
+@query(O.query(O.SHIPMENTS, "SELECT shipment_id, route_key, status, planned_departure FROM curated WHERE shipment_id IN ('SHP-7-3', 'SHP-1-1', 'SHP-2-1', 'SHP-3-2', 'NONE')"))
+def sorted_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-ups that open the files of a sorted table which can have the ids."""
+    ids = ("SHP-7-3", "SHP-1-1", "SHP-2-1", "SHP-3-2", "NONE")
+    return _by_id(spark, sf_dir).where_key(*ids).select("shipment_id", "route_key", "status", "planned_departure")
+
+
+@query(O.query(O.SHIPMENTS, "SELECT shipment_id, route_key FROM curated ORDER BY shipment_id LIMIT 50 OFFSET (SELECT count(*) // 100 * 50 FROM curated)"))
+def sorted_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page in the middle of all shipments, by the counts of a sorted table's files."""
+    table = _by_id(spark, sf_dir)
+    return table.page(table.whole.count() // 100 + 1, 50).select("shipment_id", "route_key")
+
+
+def _by_id(spark: SparkSession, sf_dir: str) -> SortedTable:
+    folder = f"{shared_folder(spark)}/by-id-{uuid.uuid4().hex}"
+    rows = curated(spark, sf_dir).shipments
+    n = rows.count()
+    write_sorted(rows, folder, ["shipment_id"], max(n // 20, 1), ("shipment_id",), n)
+    return SortedTable(spark, folder)
+
+
+@query(O.query(O.SHIPMENTS, "SELECT shipment_id, booking_date, status FROM curated WHERE status = 'DELAYED' ORDER BY booking_date DESC NULLS LAST, shipment_id LIMIT 20 OFFSET 40"))
+def seek_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page, each found by the last row of the one before it."""
+    rows, cursor = curated(spark, sf_dir).shipments, None
+    for _ in range(2):
+        last = S.next_page(rows, cursor, {"status": "DELAYED"}).tail(1)
+        cursor = (last[0].booking_date, last[0].shipment_id) if last else cursor
+    return S.next_page(rows, cursor, {"status": "DELAYED"}).select("shipment_id", "booking_date", "status")
+
+
+@query(O.query(O.SHIPMENTS, "SELECT shipment_id, o.port_code AS origin_code, o.region AS origin_region, d.port_name AS destination_name, round(d.avg_congestion_score, 4) AS destination_congestion FROM curated JOIN ports o ON o.port_code = origin_port JOIN ports d ON d.port_code = destination_port"))
+def shipment_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipments with their ports as structs."""
+    c = curated(spark, sf_dir)
+    out = S.shipment_details(c.shipments, c.ports)
+    return rounded(out.select("shipment_id", F.col("origin.port_code").alias("origin_code"), F.col("origin.region").alias("origin_region"), F.col("destination.port_name").alias("destination_name"), F.col("destination.avg_congestion_score").alias("destination_congestion")))
+
+
+@query("""WITH b AS (SELECT user_id, event_id % 4 AS batch, count(*) AS n, max(ts) AS last_ts, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events WHERE user_id % 3 <> event_id % 4 OR event_id % 4 = 0 GROUP BY ALL)
+SELECT user_id, CAST(batch AS BIGINT) AS batch, n, last_ts, CAST(cents AS BIGINT) AS cents FROM b QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY batch DESC) = 1""")
+def keyed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches of sums by user merged one after the other, the third one twice: each user's last one stays."""
+    table = KeyedTable(spark, f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}", ["user_id"], 8)
+    rows = X.table(spark, sf_dir, "events").withColumn("batch", (F.col("event_id") % 4).cast("bigint")).where("user_id % 3 <> batch OR batch = 0")
+    sums = rows.groupBy("user_id", "batch").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
+    for batch in (0, 1, 2, 2, 3):
+        table.merge(sums.where(F.col("batch") == batch), batch)
+    return table.read()
+
+
+#: A feed in batches by time, some rows one batch later than most, some delivered again.
+_DELIVERED = """(SELECT event_id, ts, event_type, day(ts) // 8 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS batch FROM events
+UNION ALL SELECT event_id, ts, event_type, day(ts) // 8 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END + 1 FROM events WHERE event_id % 7 = 0)"""
+
+
+@query(f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY batch) AS nth FROM {_DELIVERED}), g AS (SELECT event_type, batch, max(ts) AS top FROM d GROUP BY ALL),
+k AS (SELECT event_type, batch, max(top) OVER (PARTITION BY event_type ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM g)
+SELECT event_id, event_type, CASE WHEN ts < top - INTERVAL 10 DAY THEN 'late' WHEN nth > 1 THEN 'replay' ELSE 'kept' END AS verdict, coalesce(ts < top, false) AS out_of_order FROM d JOIN k USING (event_type, batch)""")
+def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All delivered rows of a feed in batches, told apart by a stateful operator: kept, replays and late ones."""
+    folder = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    X.tables(spark, sf_dir, "events")
+    fed = spark.sql(f"SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type, batch FROM {_DELIVERED.replace('day(ts) // 8', 'day(ts) div 8')}").repartition("batch")
+    fed = kept(fed)
+    for batch in range(6):  # each file is a batch of the stream
+        fed.where(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(fed.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = late.sorted_out(stream, "event_type", ("event_id", "ts", "event_type"), lateness=timedelta(days=10))
+    done = out.writeStream.foreachBatch(late.sides(f"{folder}/out")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return late.read_sides(spark, f"{folder}/out").select("event_id", "event_type", "verdict", "out_of_order")
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), t AS (SELECT CASE WHEN n >= 12 THEN CAST(e.user_id AS VARCHAR) ELSE 'infrequent' END AS name, e.event_id FROM events e JOIN c USING (user_id))
+SELECT name, count(*) AS n FROM t GROUP BY name""")
+def rare_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of fewer than 12 events as one, by a fitted estimator."""
+    rows = X.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"))
+    model = RareCategories(inputCols=["user"], outputCols=["name"], minRows=12).fit(rows)
+    return model.transform(rows).groupBy("name").agg(F.count("*").alias("n"))

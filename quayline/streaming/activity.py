@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import truth
+from ..sources.keyed import KeyedTable
 from ..sources.scratch import shared_folder
 
 CONTENT = ("event_id", "ts", "user_id", "event_type", "value", "props")
@@ -60,32 +61,23 @@ def run_to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
     return latest(spark, f"{folder}/table", stream)
 
 
-def upsert_batch(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges a batch into a table by keys: the newest version of a key replaces older ones.
+def upsert_batch(folder: str, keys: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges a batch into a KeyedTable: the newest version of a key replaces older ones.
 
-    Versions are folders: a batch reads the version before its own and writes its own, so a batch that is repeated after a
-    failure does the same again. The version before the last one is removed.
+    Only buckets that the batch touches are written; a batch that is repeated after a failure changes nothing.
     """
-    from ..sources import store
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, before = batch.sparkSession, f"{folder}/version={number - 1}"
-        if store.exists(spark, f"{before}/_SUCCESS"):
-            old = spark.read.schema(batch.schema).parquet(before)
-            batch = batch.unionByName(old.join(batch.select(*keys).distinct(), keys, "left_anti"))
-        batch.write.mode("overwrite").parquet(f"{folder}/version={number}")
-        store.remove(spark, f"{folder}/version={number - 2}")
+        table = KeyedTable(batch.sparkSession, folder, keys, buckets)
+        table.merge(batch, number)
+        table.vacuum()
 
     return write
 
 
 def latest(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
     """The last version of an upserted table; without any, no rows."""
-    from ..sources import store
-
-    versions = sorted(int(v.split("=")[1]) for v in store.folders(spark, folder)) if store.exists(spark, folder) else []
-    done = [v for v in versions if store.exists(spark, f"{folder}/version={v}/_SUCCESS")]
-    return spark.read.schema(like.schema).parquet(f"{folder}/version={done[-1]}") if done else spark.createDataFrame([], like.schema)
+    return KeyedTable(spark, folder, []).read(schema=like.schema)
 
 
 def split_batch(valid_to: str, quarantine_to: str, reason: Column, checks: dict[str, Column] | None = None, counts_to: str | None = None) -> Callable[[DataFrame, int], None]:
