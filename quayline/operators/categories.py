@@ -9,7 +9,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultP
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .curation import small
+from ..sources.scratch import kept
+from .curation import PORT_ROWS
 
 RARE = "infrequent"
 
@@ -35,7 +36,7 @@ class RareCategories(_Columns, Estimator, DefaultParamsReadable, DefaultParamsWr
     def _fit(self, rows: DataFrame) -> RareCategoriesModel:
         each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("name")) for c in self.getOrDefault(self.inputCols))))
         names = rows.select(each.alias("x")).where("x.name IS NOT NULL").groupBy("x.column", "x.name").agg(F.count("*").alias("n")).where(F.col("n") >= self.getOrDefault(self.minRows))
-        model = RareCategoriesModel(names.select("column", "name").persist())
+        model = RareCategoriesModel(kept(names.select("column", "name")))
         return self._copyValues(model)
 
 
@@ -45,10 +46,12 @@ class RareCategoriesModel(_Columns, Model, MLReadable, MLWritable):
     def __init__(self, names: DataFrame | None = None) -> None:
         super().__init__()
         self.names = names
+        self.few = names is not None and names.limit(PORT_ROWS + 1).count() <= PORT_ROWS
 
     def _transform(self, rows: DataFrame) -> DataFrame:
         for c, out in self._io():
-            own = small(self.names.where(F.col("column") == c).select(F.col("name").alias("_name")))
+            own = self.names.where(F.col("column") == c).select(F.col("name").alias("_name"))
+            own = F.broadcast(own) if self.few else own
             new = F.when(F.col(c).isNotNull(), F.coalesce("_name", F.lit(RARE)))
             rows = rows.join(own, F.col(c) == F.col("_name"), "left").withColumn(out, new).drop("_name")
         return rows

@@ -134,3 +134,24 @@ def test_text_guard(spark):
     prices = spark.createDataFrame([("m", 3.0, 15.0, 0.3)], "model string, input double, output double, cached double")
     usage = spark.createDataFrame([("m", 1000, 100, 400), ("other", 1, 1, 0)], "model string, input_tokens int, output_tokens int, cached_tokens int")
     assert [r.cost_usd for r in T.token_cost(usage, prices).orderBy("model").collect()] == [pytest.approx((600 * 3 + 400 * 0.3 + 100 * 15) / 1e6), None]
+
+
+def test_commands_of_models(spark, tmp_path, monkeypatch, capsys):
+    """What train and monitor call, and the exit code that tells to train again."""
+    tables = {"curated.shipments": spark.range(1), "curated.ports": spark.range(1), "curated.port_events": spark.range(1)}
+    monkeypatch.setattr(cli, "current", lambda s, root: tables)
+    monkeypatch.setattr(cli, "history", lambda a, b: None)
+    monkeypatch.setattr(cli.L, "training_rows", lambda *a: spark.range(3))
+    asked = []
+    model = cli.M.Trained("logistic", None, {"reason": "best"})
+    monkeypatch.setattr(cli.M, "train", lambda rows, **k: asked.append((rows.count(), k)) or model)
+    monkeypatch.setattr(cli.M, "model_card", lambda meta: f"card {meta['version']}")
+    folder, card = str(tmp_path / "model"), str(tmp_path / "card.md")
+    assert cli.main(["train", "root", folder, "--version", "9", "--permutations", "0", "--rounds", "5", "--card", card]) == 0
+    assert asked == [(3, {"permutations": 0, "rounds": 5})] and store.read_text(spark, card) == "card 9" and "logistic: best" in capsys.readouterr().out
+    assert cli.M.load(spark, folder).metadata["version"] == "9"
+    for retrain, code in ((True, 3), (False, 0)):
+        monkeypatch.setattr(cli.M, "monitor", lambda m, s, p, a, b, d, retrain=retrain: {"retrain": retrain, "reasons": ["drift"] * retrain, "window": [a, b, d]})
+        out = str(tmp_path / "monitor.json")
+        assert cli.main(["monitor", "root", folder, "--last-days", "30", "--output", out]) == code and store.read_json(spark, out)["window"] == [None, None, 30]
+    assert cli.main(["monitor", "root", str(tmp_path / "none"), "--last-days", "3"]) == 2
