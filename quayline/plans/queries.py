@@ -206,19 +206,23 @@ def quarantine_reasons_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(c.quarantined_shipments, "shipments").unionByName(one(c.quarantined_events, "port_events"))
 
 
-@query("""SELECT v, CAST(i AS BIGINT) AS i, d FROM (SELECT DISTINCT v, TRY_CAST(v AS INTEGER) AS i, TRY_CAST(v AS DOUBLE) AS d FROM (
-SELECT CASE l_linenumber WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS STRING) WHEN 2 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), '.5') WHEN 3 THEN '1e3' WHEN 4 THEN ' 7 ' WHEN 5 THEN 'x' WHEN 6 THEN '' ELSE NULL END AS v FROM lineitem))""")
+#: Each customer's balance, in ways that are numbers and ways that are none.
+_LAX = "CASE c_custkey % 7 WHEN 0 THEN CAST(c_acctbal AS STRING) WHEN 1 THEN concat('  ', CAST(c_acctbal AS STRING), ' ') WHEN 2 THEN concat(CAST(c_acctbal AS STRING), 'd') WHEN 3 THEN concat(CAST(c_custkey AS STRING), 'e2') WHEN 4 THEN c_name WHEN 5 THEN '' ELSE concat('+', CAST(c_custkey AS STRING), '.5') END"
+
+
+@query(f"SELECT c_custkey, CAST(TRY_CAST(v AS INTEGER) AS BIGINT) AS i, TRY_CAST(v AS DOUBLE) AS d FROM (SELECT c_custkey, trim({_LAX}) AS v FROM customer)")
 def lax_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    X.tables(spark, sf_dir, "lineitem")
-    v = spark.sql("SELECT DISTINCT CASE l_linenumber WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS STRING) WHEN 2 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), '.5') WHEN 3 THEN '1e3' WHEN 4 THEN ' 7 ' WHEN 5 THEN 'x' WHEN 6 THEN '' ELSE NULL END AS v FROM lineitem")
-    return v.select("v", lax_int("v").cast("bigint").alias("i"), lax_double("v").alias("d"))
+    v = X.table(spark, sf_dir, "customer").select("c_custkey", F.expr(_LAX).alias("v"))
+    return v.select("c_custkey", lax_int("v").cast("bigint").alias("i"), lax_double("v").alias("d"))
+
 
+#: Each order's date, padded, unpadded with a time made of its keys, with a T, and with a zone.
+_STRICT = "CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS STRING) WHEN 1 THEN concat(CAST(year(o_orderdate) AS STRING), '-', CAST(month(o_orderdate) AS STRING), '-', CAST(day(o_orderdate) AS STRING), ' ', CAST(o_orderkey % 24 AS STRING), ':', CAST(o_custkey % 60 AS STRING), ':', CAST(o_orderkey % 60 AS STRING)) WHEN 2 THEN replace(CAST(o_orderdate AS STRING), ' ', 'T') ELSE concat(CAST(o_orderdate AS STRING), ' UTC') END"
 
-@query("""SELECT o_orderkey, TRY_STRPTIME(v, '%Y-%m-%d %H:%M:%S') AS ts FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS STRING) WHEN 1 THEN '2025-1-2 3:4:5' WHEN 2 THEN '2025-01-02T03:04:05' ELSE 'never' END AS v FROM orders)""")
+
+@query(f"SELECT o_orderkey, TRY_STRPTIME(v, '%Y-%m-%d %H:%M:%S') AS ts FROM (SELECT o_orderkey, {_STRICT} AS v FROM orders)")
 def strict_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = X.table(spark, sf_dir, "orders")
-    v = F.expr("CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS STRING) WHEN 1 THEN '2025-1-2 3:4:5' WHEN 2 THEN '2025-01-02T03:04:05' ELSE 'never' END")
-    return o.select("o_orderkey", strict_timestamp(v).alias("ts"))
+    return X.table(spark, sf_dir, "orders").select("o_orderkey", strict_timestamp(F.expr(_STRICT)).alias("ts"))
 
 
 @query("SELECT event_id, date_diff('minute', TIMESTAMP '2024-01-01', ts) AS minutes, round(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6, 3) AS seconds FROM events")
@@ -467,12 +471,14 @@ def grounding_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.grounding(rows).select("conv_id", "turn", "cited", "grounded"))
 
 
-@query("SELECT role, round(sum(length(text) * 3.0 + turn * 1.5) / 1e6, 6) AS cost_usd FROM conversations WHERE role = 'user' GROUP BY role")
+@query("""SELECT role, conv_id, round(sum(CASE role WHEN 'user' THEN (length(text) - least(length(text), turn * 20)) * 3.0 + least(length(text), turn * 20) * 0.3 + turn * 15.0
+WHEN 'assistant' THEN (length(text) - least(length(text), turn * 20)) * 0.8 + least(length(text), turn * 20) * 0.1 + turn * 4.0 END) / 1e6, 8) AS cost_usd FROM conversations GROUP BY role, conv_id""")
 def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usage = X.table(spark, sf_dir, "conversations").where("role = 'user'").select("role", F.col("role").alias("model"), F.length("text").alias("input_tokens"), F.lit(0).alias("output_tokens"), F.lit(0).alias("cached_tokens"), "turn")
-    usage = usage.withColumn("output_tokens", F.col("turn"))
-    prices = spark.createDataFrame([("user", 3.0, 1.5, 0.3)], "model string, input double, output double, cached double")
-    return rounded(T.token_cost(usage, prices).groupBy("role").agg(F.sum("cost_usd").alias("cost_usd")), 6)
+    """What each role of each conversation costs: two priced models, cached tokens, and roles without a price."""
+    n = F.length("text")
+    usage = X.table(spark, sf_dir, "conversations").select("role", "conv_id", F.col("role").alias("model"), n.alias("input_tokens"), F.col("turn").alias("output_tokens"), F.least(n, F.col("turn") * 20).alias("cached_tokens"))
+    prices = spark.createDataFrame([("user", 3.0, 15.0, 0.3), ("assistant", 0.8, 4.0, 0.1)], "model string, input double, output double, cached double")
+    return rounded(T.token_cost(usage, prices).groupBy("role", "conv_id").agg(F.sum("cost_usd").alias("cost_usd")), 8)
 
 
 @query("SELECT CAST(ts AS DATE) AS event_date, event_type, count(*) AS event_count, count(*) FILTER (event_type = 'error') AS error_count FROM events GROUP BY ALL")

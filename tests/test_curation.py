@@ -139,3 +139,10 @@ def test_casts(spark):
     d = spark.createDataFrame([(datetime(2031, 1, 1, 0, 0, 59), datetime(2031, 1, 1, 0, 1, 0))], "a timestamp_ntz, b timestamp_ntz")
     assert d.select(minutes_between("a", "b").alias("m")).head().m == 1
     assert d.select(F.lit(1)).count() == 1
+
+
+def test_texts_that_are_numbers(spark):
+    texts = ["1.5", " -2 ", "inf", "-Infinity", "NaN", "1.5d", "1_0", "", "x", None, "1e3", "99999999999"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(lax_double("t").alias("d"), lax_int("t").alias("i")).collect()
+    assert [None if r.d is None else str(r.d) for r in rows] == ["1.5", "-2.0", "inf", "-inf", "nan", None, None, None, None, None, "1000.0", "99999999999.0"]
+    assert [r.i for r in rows] == [2, -2, None, None, None, None, None, None, None, None, 1000, None]

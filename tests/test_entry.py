@@ -25,7 +25,7 @@ def plain(v):
     return float(v) if type(v).__name__ == "Decimal" else v.isoformat() if isinstance(v, (datetime.date, datetime.datetime)) else v
 
 
-@pytest.mark.parametrize("name", ["shipment_curated", "event_quarantine", "route_rankings", "dq_mask_counts", "event_lookback_3d", "psi_numeric_ties", "psi_categorical_nulls", "classification_metrics", "stream_dedup_daily", "lax_casts", "contract_violations", "dq_all_checks", "shipment_history", "route_stats", "column_profile", "fold_members", "route_quarterly_stats", "route_rankings_quarter_asc", "single_route_stats", "empty_route_stats", "history_features", "dq_transit_outlier", "sorted_lookup", "sorted_deep_page", "seek_page", "shipment_details", "keyed_merge", "late_rows", "rare_categories"])
+@pytest.mark.parametrize("name", ["shipment_curated", "event_quarantine", "route_rankings", "dq_mask_counts", "event_lookback_3d", "psi_numeric_ties", "psi_categorical_nulls", "classification_metrics", "stream_dedup_daily", "lax_casts", "strict_timestamps", "token_cost", "contract_violations", "dq_all_checks", "shipment_history", "route_stats", "column_profile", "fold_members", "route_quarterly_stats", "route_rankings_quarter_asc", "single_route_stats", "empty_route_stats", "history_features", "dq_transit_outlier", "sorted_lookup", "sorted_deep_page", "seek_page", "shipment_details", "keyed_merge", "late_rows", "rare_categories"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
