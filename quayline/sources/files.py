@@ -53,13 +53,37 @@ def new_run(root: str | Path) -> tuple[str, str]:
     return run, f"{str(root).rstrip('/')}/run={run}"
 
 
-def publish(spark: SparkSession, root: str | Path, run: str) -> None:
-    """Makes a run the current one by replacing the pointer file in one step."""
-    store.write_text(spark, f"{root}/CURRENT", run)
+class PublishConflict(RuntimeError):
+    """Another run was published since the version that this one builds on."""
+
+
+def versions(spark: SparkSession, root: str | Path) -> list[int]:
+    """The numbers of published versions, in order."""
+    folder = f"{root}/versions"
+    names = [p.rsplit("/", 1)[1] for p, _, _ in store.files_below(spark, folder)] if store.exists(spark, folder) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def publish(spark: SparkSession, root: str | Path, run: str, after: int | None = None) -> int:
+    """Makes a run the current one: a small file under the next version's number, which only one publisher can make.
+
+    With after, the version that the publisher builds on (0 for none), it raises PublishConflict if there is a newer one;
+    else it takes the next free number. Readers see the run before or this one, on any store that store.create works on.
+    """
+    while True:
+        number = (versions(spark, root) or [0])[-1] + 1
+        if after is not None and number != after + 1:
+            raise PublishConflict(f"version {number - 1} was published after {after}")
+        if store.create(spark, f"{root}/versions/{number:08d}", run):
+            return number
 
 
 def current_run(spark: SparkSession, root: str | Path) -> str:
-    return store.read_text(spark, f"{root}/CURRENT").strip()
+    """The run of the last version; raises FileNotFoundError if none was published."""
+    known = versions(spark, root)
+    if not known:
+        raise FileNotFoundError(f"nothing is published in {root}")
+    return store.read_text(spark, f"{root}/versions/{known[-1]:08d}").strip()
 
 
 def current(spark: SparkSession, root: str | Path) -> dict[str, DataFrame]:

@@ -45,20 +45,31 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(where.toString(), wholetext=True).head().value
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file beside its place and moves it there in one step, over what was there."""
-    jvm = spark._jvm
-    where, files = _place(spark, path)
-    new = jvm.org.apache.hadoop.fs.Path(where.getParent(), f"_{where.getName()}.{uuid.uuid4().hex}")
-    out = files.create(new, True)
+def _write(files, where, text: str, over: bool) -> None:
+    out = files.create(where, over)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+
+
+def _moved(spark: SparkSession, where, files, text: str, over: bool) -> None:
+    """Writes a small file beside its place and moves it there in one step; whether over what was there, Hadoop sees to."""
+    jvm = spark._jvm
+    new = jvm.org.apache.hadoop.fs.Path(where.getParent(), f"_{where.getName()}.{uuid.uuid4().hex}")
+    _write(files, new, text, True)
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE if over else jvm.org.apache.hadoop.fs.Options.Rename.NONE
     full = files.makeQualified(where)
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(full.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(files.makeQualified(new), full, over)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(full.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(files.makeQualified(new), full, how)
+    finally:
+        files.delete(new, False)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside its place and moves it there in one step, over what was there."""
+    _moved(spark, *_place(spark, path), text, True)
 
 
 def write_json(spark: SparkSession, value: object, path: str) -> None:
@@ -70,25 +81,31 @@ def read_json(spark: SparkSession, path: str) -> object:
     return json.loads(read_text(spark, path))
 
 
+#: File systems on which a file appears when it is opened, not when it is whole, but is renamed in one step.
+_RENAMED = ("file", "hdfs", "viewfs")
+
+
 def create(spark: SparkSession, path: str, text: str) -> bool:
-    """Writes a small file that must not be there yet; of several writers at once one gets True.
+    """Writes a small file that must not be there yet and that appears whole; of several writers at once one gets True.
 
-    That holds on stores that make a file at most once (HDFS, local disks, object stores with conditional puts).
+    By a rename that replaces nothing on HDFS and local disks, by a put that replaces nothing on object stores that have it.
     """
     from py4j.protocol import Py4JJavaError
 
     where, files = _place(spark, path)
+    if files.exists(where):
+        return False
     try:
-        out = files.create(where, False)
+        if files.getUri().getScheme() in _RENAMED:
+            files.mkdirs(where.getParent())
+            _moved(spark, where, files, text, False)
+        else:
+            _write(files, where, text, False)
+        return True
     except Py4JJavaError:
         if files.exists(where):
             return False
         raise
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-    return True
 
 
 def files_below(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:

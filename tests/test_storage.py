@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quayline.operators.categories import RareCategories, RareCategoriesModel
 from quayline.operators.serving import next_page
-from quayline.sources import layout, staging, store
+from quayline.sources import files, layout, staging, store
 from quayline.sources.keyed import Conflict, KeyedTable
 from quayline.streaming import late
 
@@ -123,3 +123,26 @@ def test_rare_categories_are_saved_with_their_names(spark, tmp_path):
     again = RareCategoriesModel.load(str(tmp_path / "m"))
     new = spark.createDataFrame([("often", "never"), ("n1", None)], "a string, b string")
     assert [tuple(r) for r in again.transform(new).select("x", "y").orderBy("x").collect()] == [("infrequent", None), ("often", "infrequent")]
+
+
+def test_of_two_publishers_one_wins(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "root")
+    with pytest.raises(FileNotFoundError):
+        files.current_run(spark, root)
+    assert files.publish(spark, root, "a") == 1 and files.current_run(spark, root) == "a"
+    assert files.publish(spark, root, "b", after=1) == 2
+    with pytest.raises(files.PublishConflict):
+        files.publish(spark, root, "late", after=1)
+    real = files.versions
+    seen = iter([[1], real(spark, root)])  # both publishers have read the versions before either made one
+    monkeypatch.setattr(files, "versions", lambda *a: next(seen))
+    assert files.publish(spark, root, "c") == 3
+    monkeypatch.setattr(files, "versions", real)
+    assert files.current_run(spark, root) == "c" and real(spark, root) == [1, 2, 3]
+    monkeypatch.setattr(store, "create", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+    with pytest.raises(OSError, match="crash"):
+        files.publish(spark, root, "lost")
+    assert files.current_run(spark, root) == "c"
+    monkeypatch.undo()
+    assert not store.create(spark, f"{root}/versions/00000003", "other") and store.read_text(spark, f"{root}/versions/00000003") == "c"
+    assert [p for p, _, _ in store.files_below(spark, root) if "/_" in p] == []
