@@ -7,8 +7,6 @@ import time
 
 import numpy as np
 import pyarrow as pa
-import pytest
-
 import corpus_pipeline as P
 from quayline.llm import html_text, licenses, similarity_join, toxicity
 from quayline.llm import textvec as tv
@@ -104,10 +102,8 @@ def near_copies(n: int, base: list[str], tag: str) -> list[str]:
     return [" ".join([*base, f"{tag}{i}"]) for i in range(n)]
 
 
-@pytest.mark.parametrize("more", [16, 2])
-def test_groups_are_opened_in_rounds(spark, monkeypatch, more):
+def test_groups_are_opened_in_rounds(spark, monkeypatch):
     """Two large groups of near copies that link through any pair: hardly more pairs are compared than there are documents."""
-    monkeypatch.setattr(similarity_join, "MORE", more)
     seen: list[int] = []
     first = similarity_join._round
     monkeypatch.setattr(similarity_join, "_round", lambda docs, met, *rest: (seen.append(met.count()), first(docs, met, *rest))[1])
@@ -119,10 +115,9 @@ def test_groups_are_opened_in_rounds(spark, monkeypatch, more):
     assert found == {0} and sum(seen) < 10 * len(texts)
 
 
-@pytest.mark.parametrize("more", [16, 2])
-def test_rounds_lose_no_link(spark, monkeypatch, more):
+def test_rounds_lose_no_link(spark, monkeypatch):
     """Groups between which only few pairs link, against all pairs."""
-    monkeypatch.setattr(similarity_join, "MORE", more)
+    monkeypatch.setattr(similarity_join, "MORE", 3)
     monkeypatch.setattr(similarity_join, "EACH", 0)
     r = random.Random(6)
     texts = []
