@@ -34,6 +34,8 @@ def staged(spark: SparkSession, name: str, inputs: list[str], code: str, make: C
     key = hashlib.sha256(f"{inputs_key(spark, inputs)} {code}".encode()).hexdigest()[:32]
     home = f"{shared_folder(spark)}/staged/{name}-{hashlib.sha256(repr(inputs).encode()).hexdigest()[:16]}"
     mark = f"{home}/{key}.txt"
+    if store.exists(spark, mark) and not store.exists(spark, store.read_text(spark, mark)):  # somebody cleared the folder
+        store.remove(spark, mark)
     if not store.exists(spark, mark):
         place = f"{home}/{key}-{uuid.uuid4().hex}"
         for table, df in make().items():

@@ -93,6 +93,8 @@ def test_staged_tables_are_reused_until_inputs_change(spark, tmp_path):
     spark.range(3).write.mode("append").parquet(source)
     assert get().count() == 8 and len(made) == 2 and get().count() == 8 and len(made) == 2
     assert get("2").count() == 8 and len(made) == 3
+    store.remove(spark, get("2").inputFiles()[0].rsplit("/", 2)[0])
+    assert get("2").count() == 8 and len(made) == 4
 
 
 def test_late_rows_are_told(spark, tmp_path):
