@@ -43,9 +43,9 @@ def lax_int(c: Column | str) -> Column:
 
 def strict_timestamp(c: Column | str) -> Column:
     """A text of the form y-m-d h:m:s as a timestamp without time zone, or null; fields may be unpadded."""
-    text = F.trim(col(c))
-    whole = text.rlike(r"^[0-9]{1,4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$")
-    return F.when(whole, F.try_to_timestamp(text, F.lit("y-M-d H:m:s"))).cast("timestamp_ntz")
+    text, rest = F.trim(col(c)), "-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\\z"
+    by_pattern = F.try_to_timestamp(text, F.lit("y-M-d H:m:s")).cast("timestamp_ntz")  # slow, and only needed for years that a cast reads in another way
+    return F.when(text.rlike(f"^[1-9][0-9]{{3}}{rest}"), text.try_cast("timestamp_ntz")).when(text.rlike(f"^[0-9]{{1,4}}{rest}"), by_pattern)
 
 
 def minutes_between(a: Column | str, b: Column | str) -> Column:
@@ -73,5 +73,11 @@ def mapped(c: Column | str, values: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), col(c))
 
 
+def content_key(*columns: str) -> Column:
+    """128 bits of the SHA-256 of texts, each with its length before it, so that no two lists of texts read alike; null is none of them."""
+    each = (F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in columns)
+    return F.substring(F.unhex(F.sha2(F.concat(*each), 256)), 1, 16)
+
+
 def truth(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))

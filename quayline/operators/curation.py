@@ -1,7 +1,6 @@
 """From raw text rows to curated and quarantined ones.
 
-Exact copies are one group of a hash aggregate. Texts are parsed once, before the shuffle that brings versions of an id
-together. A staged table is written once (see staged_to) or computed for each reader.
+Versions of an id and exact copies among them come together in one shuffle and one sort; texts are parsed once after it. A staged table is written once (see staged_to) or computed for each reader.
 
 Ports are a dimension: they are broadcast only up to PORT_ROWS counted rows and joined by a shuffle beyond that.
 """
@@ -19,6 +18,9 @@ from ..functions.columns import blank_to_null, first_match, flags, lax_double, l
 
 PORT_ROWS = 100_000
 
+#: Rows that a task sorts or adds up.
+PARTITION_ROWS = 200_000
+
 
 @dataclass(frozen=True)
 class Raw:
@@ -44,7 +46,7 @@ def small(df: DataFrame, most: int = PORT_ROWS) -> DataFrame:
 
 
 def first_rows(df: DataFrame, keys: list[str | Column], *order: str | Column) -> DataFrame:
-    """The first row of each key; equal keys include nulls."""
+    """The first row of each key; equal keys include nulls. Rows dealt by some of the keys already are not shuffled again."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
@@ -96,14 +98,26 @@ def with_known(rows: DataFrame, ports: DataFrame, **columns: str) -> DataFrame:
     return rows
 
 
-def stage_shipments(shipments: DataFrame, ports: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, number: int | None, *by: str) -> DataFrame:
+    """rows dealt by columns: to as many partitions as that number of rows needs, or as the cluster's settings say.
+
+    A task then holds PARTITION_ROWS rows however many there are, so it doesn't spill or grow as tables do.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(*by) if number is None else rows.repartition(max(-(-number // PARTITION_ROWS), min(cores, number // 1000), 1), *by)
+
+
+def stage_shipments(shipments: DataFrame, ports: DataFrame, number: int | None = None) -> DataFrame:
     """Typed rows without exact copies, with quarantine_reason: the first that holds, or null.
 
-    Of several versions of an id the one with the fewest empty fields survives, of equal ones the first.
+    Of several versions of an id the one with the fewest empty fields survives, of equal ones the first. number is how
+    many rows there are, if known.
     """
     rank = F.struct(_empty_fields().alias("empty"), F.col("_row_number").alias("row"))
-    rows = without_copies(shipments, D.SHIPMENT_COLUMNS).select(*(read(c).alias(name) for name, (c, read) in _READ.items()), "_row_number", rank.alias("_rank"))
-    rows = with_known(rows.withColumn("_best", F.min("_rank").over(Window.partitionBy("shipment_id"))), ports, _from="origin_port", _to="destination_port")
+    once = first_rows(dealt(shipments.withColumn("_id", F.trim("shipment_id")), number, "_id"), ["_id", *D.SHIPMENT_COLUMNS], "_row_number")
+    best = once.select("*", F.min(rank).over(Window.partitionBy("_id")).alias("_best"), rank.alias("_rank"))
+    rows = best.select(*(read(c).alias(name) for name, (c, read) in _READ.items()), "_row_number", "_rank", "_best")
+    rows = with_known(rows, ports, _from="origin_port", _to="destination_port")
     booked, leaves, arrives = F.col("booking_date"), F.col("planned_departure"), F.col("planned_arrival")
     reason = first_match(
         (F.col("_rank") > F.col("_best"), "conflicting_duplicate_id"),

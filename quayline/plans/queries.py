@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import domain as D
 from ..functions import columns
-from ..functions.columns import blank_to_null, lax_double, lax_int, match_key, minutes_between, norm_code, seconds_between, strict_timestamp
+from ..functions.columns import blank_to_null, content_key, lax_double, lax_int, match_key, minutes_between, norm_code, seconds_between, strict_timestamp
 from ..operators import curation as C
 from ..operators import drift
 from ..operators import learning as L
@@ -70,7 +70,7 @@ def curated(spark: SparkSession, sf_dir: str) -> C.Curated:
     inputs = [f"{sf_dir}/{t}.parquet" for t in X.INPUTS]
     raw = raw_tables(spark, sf_dir)
     ports = C.curate_ports(raw.ports)
-    both = staged(spark, "curated", inputs, code_key(X, D, C, columns), lambda: {"ports": ports, "shipments": C.stage_shipments(raw.shipments, ports), "port_events": C.stage_events(raw.port_events, ports)})
+    both = staged(spark, "curated", inputs, code_key(X, D, C, columns), lambda: {"ports": ports, "shipments": C.stage_shipments(raw.shipments, ports, raw.shipments.count()), "port_events": C.stage_events(raw.port_events, ports)})
     return C.from_staged(both["ports"], both["shipments"], both["port_events"])
 
 
@@ -253,7 +253,7 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(O.query(O.SHIPMENTS, "SELECT (SELECT count(*) FROM rs) AS raw_rows, (SELECT count(*) FROM once) AS distinct_rows, (SELECT count(*) FROM curated) AS curated_rows, (SELECT count(*) FROM verdicts) AS quarantined_rows"))
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, c = raw_tables(spark, sf_dir), curated(spark, sf_dir)
-    counts = (("raw_rows", raw.shipments), ("distinct_rows", raw.shipments.select(*D.SHIPMENT_COLUMNS).distinct()), ("curated_rows", c.shipments), ("quarantined_rows", c.quarantined_shipments))
+    counts = (("raw_rows", raw.shipments), ("distinct_rows", raw.shipments.select(content_key(*D.SHIPMENT_COLUMNS)).distinct()), ("curated_rows", c.shipments), ("quarantined_rows", c.quarantined_shipments))
     return reduce(lambda a, b: a.join(F.broadcast(b)), [df.agg(F.count("*").alias(n)) for n, df in counts])
 
 
