@@ -1,9 +1,10 @@
 """Data-quality checks on raw text rows: a registry of masks, evaluated together in one scan of each table.
 
-A check is a dataset, a severity, an action, a mask and a weight. Exact copies are one row with their number _n, so a
-row counts _n times unless its check says otherwise. Texts are parsed once, and what masks need of other rows (versions
-of an id, look-ups, medians) are columns that prepare() adds. The order of events is that of single rows; that check has
-a frame of its own. Blank means null or white space only.
+A check is a dataset, a severity, an action, a mask, a weight and a frame. Masks of one row look at raw rows as they are
+read, so no row's texts are shuffled; texts are parsed once, and look-ups and medians are columns that prepare() adds.
+Checks of copies and versions have a frame of ids: each with its rows _n and the different ones among them, _versions,
+told apart by a digest. The order of events is that of single rows; that check has a frame of its own too. Blank means
+null or white space only.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import domain as D
-from ..functions.columns import is_blank, lax_double, mapped, norm_code, seconds_between, strict_timestamp, truth
+from ..functions.columns import content_key, is_blank, lax_double, mapped, norm_code, seconds_between, strict_timestamp, truth
 from ..sources.scratch import kept
 from .curation import Raw, small
 from .quantiles import counted_values, percentiles, percentiles_of
@@ -85,7 +86,7 @@ _any = lambda *c: reduce(lambda a, b: a | b, map(truth, c))
 _not = lambda c: ~truth(c)
 
 _SIMPLE: list[tuple[str, str, str, Callable[[], Column]]] = [
-    ("shipments.exact_duplicate_rows", "critical", "drop", lambda: F.col("_n") > 1),
+    ("shipments.exact_duplicate_rows", "critical", "drop", lambda: F.col("_n") > F.col("_versions")),
     ("shipments.conflicting_duplicate_ids", "critical", "quarantine", lambda: F.col("_versions") > 1),
     ("shipments.invalid_id_format", "critical", "quarantine", lambda: _any(*(_not(F.col(c).rlike(f"^{p}$")) for c, p in (("shipment_id", "SHP-[0-9]{5}"), ("customer_id", "CUST-[0-9]{4}"), ("vessel_id", "VSL-[0-9]{4}"))))),
     ("shipments.unknown_port_code", "critical", "quarantine", lambda: ~F.col("_known_origin") | ~F.col("_known_destination")),
@@ -110,7 +111,7 @@ _SIMPLE: list[tuple[str, str, str, Callable[[], Column]]] = [
     ("ports.duplicate_port_code", "critical", "drop", lambda: F.col("_later")),
     ("ports.congestion_out_of_range", "warning", "flag", lambda: ~is_blank("avg_congestion_score") & _not(_number("avg_congestion_score").between(0, 1))),
     ("ports.invalid_timezone_format", "warning", "flag", lambda: ~is_blank("timezone") & _not(F.col("timezone").rlike("^UTC[+-][0-9]{1,2}(:[0-9]{2})?$"))),
-    ("port_events.exact_duplicate_rows", "warning", "drop", lambda: F.col("_n") > 1),
+    ("port_events.exact_duplicate_rows", "warning", "drop", lambda: F.col("_n") > F.col("_versions")),
     ("port_events.duplicate_event_id", "warning", "fix", lambda: F.col("_versions") > 1),
     ("port_events.missing_event_type", "warning", "quarantine", lambda: is_blank("event_type")),
     ("port_events.invalid_event_type", "warning", "quarantine", lambda: ~is_blank("event_type") & ~F.col("event_type").isin(*D.EVENT_TYPES)),
@@ -123,9 +124,11 @@ _SIMPLE: list[tuple[str, str, str, Callable[[], Column]]] = [
     ("port_events.notes_contradict_delay", "info", "none", lambda: (F.col("notes") == "Normal operations") & (_number("delay_minutes") > 0)),
     ("port_events.missing_notes", "info", "none", lambda: is_blank("notes")),
 ]
-_WEIGHTS = {"shipments.exact_duplicate_rows": lambda: F.col("_n") - 1, "port_events.exact_duplicate_rows": lambda: F.col("_n") - 1, "shipments.conflicting_duplicate_ids": lambda: F.lit(1).cast("bigint")}
+_copies = lambda: F.col("_n") - F.col("_versions")
+_WEIGHTS = {"shipments.exact_duplicate_rows": _copies, "port_events.exact_duplicate_rows": _copies, "shipments.conflicting_duplicate_ids": lambda: F.col("_versions")}
+_FRAMES = {"shipments.exact_duplicate_rows": "shipment_ids", "shipments.conflicting_duplicate_ids": "shipment_ids", "port_events.exact_duplicate_rows": "event_ids", "port_events.duplicate_event_id": "event_ids", "port_events.out_of_order": "event_order"}
 for _name, _severity, _action, _mask in _SIMPLE:
-    check(_name, _severity, _action, _WEIGHTS.get(_name, _each_copy), "event_order" if _name == "port_events.out_of_order" else None)(_mask)
+    check(_name, _severity, _action, _WEIGHTS.get(_name, _each_copy), _FRAMES.get(_name))(_mask)
 
 
 def with_previous(rows: DataFrame, value: Column, alias: str, bucket: int = 100_000) -> DataFrame:
@@ -143,22 +146,31 @@ def with_previous(rows: DataFrame, value: Column, alias: str, bucket: int = 100_
     return rows.select("*", F.lag("_v").over(inner).alias("_lag"), first.alias("_first")).join(last, "_part").withColumn(alias, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop("_v", "_part", "_carry", "_lag", "_first")
 
 
-def _groups(rows: DataFrame, columns: tuple[str, ...], times: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
-    """Each combination of columns once, null and empty being equal, with its number of rows and its texts parsed."""
-    alike = rows.groupBy(*(F.coalesce(c, F.lit("")).alias(c) for c in columns)).agg(F.count("*").alias("_n"))
-    return alike.select("*", *(strict_timestamp(c).alias(f"_t_{c}") for c in times), *(lax_double(c).alias(f"_d_{c}") for c in numbers))
+def _texts(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns of single rows (_n), null and empty being equal."""
+    return rows.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns), F.lit(1).cast("bigint").alias("_n"))
+
+
+def _ids(texts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Each id, the first of columns, with _n, its rows, and _versions, the different ones among them."""
+    versions = texts.groupBy(columns[0], content_key(*columns[1:]).alias("_content")).agg(F.sum("_n").alias("_n"))
+    return versions.groupBy(columns[0]).agg(F.sum("_n").alias("_n"), F.count("*").alias("_versions"))
+
+
+def _parsed(texts: DataFrame, times: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
+    return texts.select("*", *(strict_timestamp(c).alias(f"_t_{c}") for c in times), *(lax_double(c).alias(f"_d_{c}") for c in numbers))
 
 
 def prepare(raw: Raw) -> dict[str, DataFrame]:
-    """The frames that checks look at: groups of equal rows with what masks need, and events in their order."""
+    """The frames that checks look at: rows with what masks need, ids with their versions, and events in their order."""
     codes = small(raw.ports.select(F.trim("port_code").alias("_code")).distinct())
 
     def known(rows: DataFrame, column: str, alias: str) -> DataFrame:
         return rows.join(codes, F.trim(column) == F.col("_code"), "left").withColumn(alias, F.col("_code").isNotNull()).drop("_code")
 
-    s = _groups(raw.shipments, D.SHIPMENT_COLUMNS, _TIMES, ("weight_tons", "container_count"))
-    s = kept(s.withColumn("_transit", seconds_between(_ts("planned_departure"), _ts("planned_arrival")) / F.lit(86400.0)))
-    s = s.withColumn("_versions", F.count("*").over(Window.partitionBy("shipment_id")))
+    texts, event_texts = _texts(raw.shipments, D.SHIPMENT_COLUMNS), _texts(raw.port_events, D.EVENT_COLUMNS)
+    s = _parsed(texts, _TIMES, ("weight_tons", "container_count"))
+    s = s.withColumn("_transit", seconds_between(_ts("planned_departure"), _ts("planned_arrival")) / F.lit(86400.0))
     s = known(known(s, "origin_port", "_known_origin"), "destination_port", "_known_destination")
     route = ["origin_port", "destination_port"]
     transits = kept(counted_values(s, route, "_transit", "_n"))
@@ -167,10 +179,9 @@ def prepare(raw: Raw) -> dict[str, DataFrame]:
     s = s.join(small(medians), route, "left")
     code = Window.partitionBy(F.coalesce("port_code", F.lit(""))).orderBy("_row_number")
     p = raw.ports.select("*", F.lit(1).cast("bigint").alias("_n"), (F.row_number().over(code) > 1).alias("_later"), lax_double("avg_congestion_score").alias("_d_avg_congestion_score"))
-    e = kept(_groups(raw.port_events, D.EVENT_COLUMNS, ("event_timestamp",), ("delay_minutes",)))
-    e = known(e.withColumn("_versions", F.count("*").over(Window.partitionBy("event_id"))), "port_code", "_known_port")
+    e = known(_parsed(event_texts, ("event_timestamp",), ("delay_minutes",)), "port_code", "_known_port")
     order = raw.port_events.select("event_id", "_row_number", F.lit(1).cast("bigint").alias("_n"), strict_timestamp("event_timestamp").alias("_t_event_timestamp"))
-    return {"shipments": s, "ports": p, "port_events": e, "event_order": with_previous(order, _ts("event_timestamp"), "_before")}
+    return {"shipments": s, "shipment_ids": _ids(texts, D.SHIPMENT_COLUMNS), "ports": p, "port_events": e, "event_ids": _ids(event_texts, D.EVENT_COLUMNS), "event_order": with_previous(order, _ts("event_timestamp"), "_before")}
 
 
 def _hits(c: Check) -> Column:

@@ -38,3 +38,13 @@ def test_tasks_hold_as_many_rows_however_many_there_are(spark):
 def test_texts_are_told_apart_by_their_lengths(spark):
     rows = spark.createDataFrame([("a", "bc"), ("ab", "c"), ("1:a", "bc"), (None, "bc"), ("", "bc"), ("-", "bc"), ("a", "bc")], "x string, y string")
     assert rows.select(queries.content_key("x", "y")).distinct().count() == 6
+
+
+def test_masks_of_rows_need_no_shuffle_of_texts(spark):
+    rows = [{}, {}, {"weight_tons": "-1"}, {"shipment_id": "SHP-00002", "cargo_type": ""}]
+    frames = Q.prepare(raw(spark, rows, [{}, {}, {"event_id": "EVT-2"}, {"notes": ""}]))
+    assert not [x for x in exchanges(frames["shipments"].drop("_route_rows", "_route_median")) if "weight_tons" in x]
+    assert len(exchanges(frames["shipment_ids"])) == 2 and not [x for x in exchanges(frames["shipment_ids"]) if "weight_tons" in x]
+    ids = {x.shipment_id: (x._n, x._versions) for x in frames["shipment_ids"].collect()}
+    assert ids == {SHIPMENT["shipment_id"]: (3, 2), "SHP-00002": (1, 1)}
+    assert {x.event_id: (x._n, x._versions) for x in frames["event_ids"].collect()} == {"EVT-510001": (3, 2), "EVT-2": (1, 1)}
