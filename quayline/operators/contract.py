@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import domain as D
-from ..functions.columns import minutes_between, truth
+from ..functions.columns import content_key, minutes_between, truth
 from .curation import Curated, Raw, small
 
 SHIPMENT_RULES: dict[str, str] = {
@@ -52,8 +52,14 @@ def _shipment_counts(s: DataFrame) -> DataFrame:
             status.isin("DELAYED", "DELIVERED") & delay.isNull(),
         ),
     }
-    unique = F.count("*") - F.count_distinct("shipment_id") + F.count_if(c("shipment_id").isNull())
-    return s.agg(unique.alias("pk_shipments_unique"), *(F.count_if(x).alias(n) for n, x in bad.items()), (F.count("*") == 0).cast("bigint").alias("curated_not_empty"))
+    return s.agg(*(F.count_if(x).alias(n) for n, x in bad.items()), (F.count("*") == 0).cast("bigint").alias("curated_not_empty"))
+
+
+def _repeated_ids(s: DataFrame) -> DataFrame:
+    """Rows less the ids among them, rows without an id counted once more. Apart from the other rules, whose counts no id carries."""
+    ids = s.groupBy("shipment_id").agg(F.count("*").alias("n"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return ids.agg((zero("n") - F.count("shipment_id") + zero(F.when(F.col("shipment_id").isNull(), F.col("n")))).alias("pk_shipments_unique"))
 
 
 def _misses(rows: DataFrame, columns: list[str], ports: DataFrame) -> Column | DataFrame:
@@ -78,10 +84,10 @@ def violations(raw: Raw, curated: Curated, max_quarantine_percent: float = D.MAX
     s, e, p = curated.shipments, curated.port_events, curated.ports
     ports = p.agg((F.count("*") - F.count_distinct("port_code")).alias("pk_ports_unique"), F.count_if(_any(F.col("country").isNull(), F.col("region").isNull(), F.col("avg_congestion_score").isNull())).alias("ports_complete"))
     events = e.agg((F.count("*") - F.count_distinct("event_key")).alias("pk_events_unique"))
-    parts = [_long(_shipment_counts(s)), _long(ports), _long(events), one("fk_shipment_ports", _misses(s, ["origin_port", "destination_port"], p)), one("fk_event_ports", _misses(e, ["port_code"], p))]
+    parts = [_long(_repeated_ids(s)), _long(_shipment_counts(s)), _long(ports), _long(events), one("fk_shipment_ports", _misses(s, ["origin_port", "destination_port"], p)), one("fk_event_ports", _misses(e, ["port_code"], p))]
     count = lambda df, name: df.agg(F.count("*").alias(name))
     for name, rows, columns, kept, bad in (("reconcile_shipments", raw.shipments, D.SHIPMENT_COLUMNS, s, curated.quarantined_shipments), ("reconcile_port_events", raw.port_events, D.EVENT_COLUMNS, e, curated.quarantined_events)):
-        sums = count(rows.select(*columns).distinct(), "d").join(F.broadcast(count(kept, "k"))).join(F.broadcast(count(bad, "q")))
+        sums = count(rows.select(content_key(*columns)).distinct(), "d").join(F.broadcast(count(kept, "k"))).join(F.broadcast(count(bad, "q")))
         parts.append(one(name, sums.select(F.abs(F.col("d") - F.col("k") - F.col("q")).alias("n"))))
     share = count(curated.quarantined_shipments, "q").join(F.broadcast(count(raw.shipments, "n")))
     parts.append(one("quarantine_ratio", share.select(F.when(F.col("q") * 100.0 / F.greatest("n", F.lit(1)) > F.lit(float(max_quarantine_percent)), F.col("q")).otherwise(0).alias("n"))))

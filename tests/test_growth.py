@@ -48,3 +48,11 @@ def test_masks_of_rows_need_no_shuffle_of_texts(spark):
     ids = {x.shipment_id: (x._n, x._versions) for x in frames["shipment_ids"].collect()}
     assert ids == {SHIPMENT["shipment_id"]: (3, 2), "SHP-00002": (1, 1)}
     assert {x.event_id: (x._n, x._versions) for x in frames["event_ids"].collect()} == {"EVT-510001": (3, 2), "EVT-2": (1, 1)}
+
+
+def test_contract_counts_ids_apart_from_its_rules(spark):
+    """Each id used to carry the counts of all rules through a shuffle."""
+    ids = spark.createDataFrame([("a",), ("a",), ("a",), ("b",), (None,), (None,)], "shipment_id string")
+    assert contract._repeated_ids(ids).head().pk_shipments_unique == 6 - 2 + 2 and contract._repeated_ids(ids.limit(0)).head().pk_shipments_unique == 0
+    shipments = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in ((c, "timestamp_ntz" if c.startswith(("booking_date", "planned", "actual_dep", "actual_arr")) else "boolean" if c == "on_time_flag" else "double" if c.startswith(("weight", "transit", "actual_delay")) else "int" if c == "container_count" else "string") for c in D.CURATED_SHIPMENT_COLUMNS)))
+    assert not exchanges(contract._shipment_counts(shipments))
