@@ -507,7 +507,7 @@ def _by_id(spark: SparkSession, sf_dir: str) -> SortedTable:
     folder = f"{shared_folder(spark)}/by-id-{uuid.uuid4().hex}"
     rows = curated(spark, sf_dir).shipments
     n = rows.count()
-    write_sorted(rows, folder, ["shipment_id"], max(n // 20, 1), ("shipment_id",), n)
+    write_sorted(rows, folder, ["shipment_id"], min(max(n // 20, 1), C.PARTITION_ROWS), ("shipment_id",), n)
     return SortedTable(spark, folder)
 
 

@@ -56,3 +56,12 @@ def test_contract_counts_ids_apart_from_its_rules(spark):
     assert contract._repeated_ids(ids).head().pk_shipments_unique == 6 - 2 + 2 and contract._repeated_ids(ids.limit(0)).head().pk_shipments_unique == 0
     shipments = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in ((c, "timestamp_ntz" if c.startswith(("booking_date", "planned", "actual_dep", "actual_arr")) else "boolean" if c == "on_time_flag" else "double" if c.startswith(("weight", "transit", "actual_delay")) else "int" if c == "container_count" else "string") for c in D.CURATED_SHIPMENT_COLUMNS)))
     assert not exchanges(contract._shipment_counts(shipments))
+
+
+def test_files_of_a_sorted_table_grow_in_number(spark, monkeypatch):
+    """Their number was 20, whatever the number of rows."""
+    made = []
+    monkeypatch.setattr(C, "PARTITION_ROWS", 50)
+    monkeypatch.setattr(queries, "write_sorted", lambda df, folder, keys, rows, *a: (made.append(rows), layout.write_sorted(df, folder, keys, rows, *a)))
+    queries.QUERIES["sorted_lookup"](spark, "/root/testdata/sf0.001").collect()
+    assert made == [50]
