@@ -327,7 +327,7 @@ def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = X.table(spark, sf_dir, "orders")
     facts = X.table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("key"), F.col("l_shipdate").alias("ts"), "l_quantity")
     probes = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("ts"))
-    out = as_of(probes, facts, {"mean_before": ("avg", "l_quantity", None), "n_30d": ("count", "l_quantity", 30)})
+    out = as_of(probes, facts, {"mean_before": ("avg", "l_quantity", None), "n_30d": ("count", "l_quantity", 30)}, number=X.table(spark, sf_dir, "lineitem").count() + 2 * o.count())
     return rounded(out.select(F.col("id").alias("o_orderkey"), "mean_before", "n_30d"))
 
 

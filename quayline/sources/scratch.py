@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,10 @@ def kept(df: DataFrame) -> DataFrame:
     """The same rows, computed once and checkpointed, so that lost executors lose none of them."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept_table(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and written as compressed columns: for many rows, of which kept() writes each whole."""
+    folder = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

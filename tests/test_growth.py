@@ -65,3 +65,15 @@ def test_files_of_a_sorted_table_grow_in_number(spark, monkeypatch):
     monkeypatch.setattr(queries, "write_sorted", lambda df, folder, keys, rows, *a: (made.append(rows), layout.write_sorted(df, folder, keys, rows, *a)))
     queries.QUERIES["sorted_lookup"](spark, "/root/testdata/sf0.001").collect()
     assert made == [50]
+
+
+def test_equal_moments_are_asked_once(spark):
+    """Every row that asked used to go through all shuffles and frames by itself."""
+    from quayline.operators import point_in_time as P
+
+    many = spark.range(50).select(F.lit("k").alias("key"), F.lit("2031-01-05 00:00:00").cast("timestamp_ntz").alias("ts"))
+    facts = spark.createDataFrame([("k", "2031-01-01 00:00:00", 3), ("k", "2031-01-04 00:00:00", 4)], "key string, at string, v int").select("key", F.col("at").cast("timestamp_ntz").alias("ts"), "v")
+    known = P._known_at(many, facts, {"n": ("count", "v", 2), "s": ("total", "v", None)}, None, 100).collect()
+    assert [(x.key, x.n, x.s) for x in known] == [("k", 1, 7)]
+    out = P.as_of(many.withColumn("id", F.lit(1)), facts, {"n": ("count", "v", 2)}, number=100)
+    assert out.count() == 50 and {x.n for x in out.collect()} == {1}
