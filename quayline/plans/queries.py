@@ -26,7 +26,7 @@ from ..operators.quantiles import counted_values, percentiles_of
 from ..sources import fixtures as X
 from ..sources.keyed import KeyedTable
 from ..sources.layout import SortedTable, write_sorted
-from ..sources.scratch import kept, shared_folder
+from ..sources.scratch import kept, kept_table, shared_folder
 from ..sources.staging import code_key, staged
 from ..streaming import activity, late
 from . import oracle as O
@@ -553,14 +553,12 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All delivered rows of a feed in batches, told apart by a stateful operator: kept, replays and late ones."""
     folder = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
     X.tables(spark, sf_dir, "events")
-    fed = spark.sql(f"SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type, batch FROM {_DELIVERED.replace('day(ts) // 8', 'day(ts) div 8')}").repartition("batch")
-    fed = kept(fed)
-    for batch in range(6):  # each file is a batch of the stream
-        fed.where(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(fed.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    out = late.sorted_out(stream, "event_type", ("event_id", "ts", "event_type"), lateness=timedelta(days=10))
-    done = out.writeStream.foreachBatch(late.sides(f"{folder}/out")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    done.awaitTermination()
+    fed = kept_table(spark.sql(f"SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type, batch FROM {_DELIVERED.replace('day(ts) // 8', 'day(ts) div 8')}"))
+    for batch in range(6):  # the stream takes all files of a batch at once, then stops
+        fed.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(fed.drop("batch").schema).parquet(f"{folder}/in")
+        out = late.sorted_out(stream, "event_type", ("event_id", "ts", "event_type"), lateness=timedelta(days=10))
+        out.writeStream.foreachBatch(late.sides(f"{folder}/out")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return late.read_sides(spark, f"{folder}/out").select("event_id", "event_type", "verdict", "out_of_order")
 
 

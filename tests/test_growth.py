@@ -77,3 +77,14 @@ def test_equal_moments_are_asked_once(spark):
     assert [(x.key, x.n, x.s) for x in known] == [("k", 1, 7)]
     out = P.as_of(many.withColumn("id", F.lit(1)), facts, {"n": ("count", "v", 2)}, number=100)
     assert out.count() == 50 and {x.n for x in out.collect()} == {1}
+
+
+def test_all_buckets_of_a_value_learn_its_greatest_time():
+    """A value was one key of state, so five values were five tasks."""
+    import pyarrow as pa
+
+    from quayline.streaming import late
+
+    rows = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "_us": [5, 9, 7], "_by": ["a", "a", "b"], "_part": pa.array([3, 4, 5], pa.int32()), "_marker": [False] * 3})
+    first, *told = late._told_to_all(iter([rows]))
+    assert first.num_rows == 3 and {(r["_by"], r["_us"], r["_part"]) for b in told for r in b.to_pylist() if r["_marker"]} == {(v, us, i) for v, us in (("a", 9), ("b", 7)) for i in range(late.BUCKETS)}
