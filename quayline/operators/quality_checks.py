@@ -189,9 +189,11 @@ def _hits(c: Check) -> Column:
 
 
 def mask_counts(raw: Raw) -> DataFrame:
-    """check, rows_total, rows_affected of every check; one aggregation for each frame."""
-    parts = []
-    for name, rows in prepare(raw).items():
+    """check, rows_total, rows_affected of every check; one aggregation for each frame. A check without a frame is an error."""
+    parts, frames = [], prepare(raw)
+    if lost := [c.name for c in CHECKS.values() if c.frame not in frames]:
+        raise ValueError(f"no frame for {', '.join(lost)}")
+    for name, rows in frames.items():
         own = [c for c in CHECKS.values() if c.frame == name]
         counts = rows.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("_all"), *(_hits(c).alias(f"c{i}") for i, c in enumerate(own)))
         each = F.explode(F.array(*(F.struct(F.lit(c.name).alias("check"), F.col("_all").alias("rows_total"), F.col(f"c{i}").alias("rows_affected")) for i, c in enumerate(own))))

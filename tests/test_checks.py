@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quayline import domain as D
 from quayline.operators import quality_checks as Q
+from quayline.plans.queries import QUERIES
 
 SHIPMENTS = {
     "exact_duplicate_rows": ([{}, {}, {}], 2), "conflicting_duplicate_ids": ([{}, {"weight_tons": "3"}, {"weight_tons": "3"}], 2), "invalid_id_format": ([{"customer_id": "C-2200"}], 1),
@@ -86,6 +87,20 @@ def test_a_broken_check_stops_no_other(spark):
     assert any(x.startswith("shipments.broken: ") for x in Q.gate(report, {}))
 
 
+def test_no_check_is_left_out(spark):
+    """The query showed 13 of the checks, and one whose frame isn't made was passed over and told as passed."""
+    assert sorted(r.check for r in QUERIES["dq_mask_counts"](spark, "/root/testdata/sf0.001").collect()) == sorted(Q.CHECKS)
+    Q.check("customers.unknown", "info", "none")(lambda: F.lit(True))
+    try:
+        with pytest.raises(ValueError, match="customers.unknown"):
+            Q.mask_counts(raw(spark, ports=SOUND))
+        report = Q.report(raw(spark, [{"cargo_type": ""}], ports=SOUND))
+    finally:
+        del Q.CHECKS["customers.unknown"]
+    by = {c["check_name"]: c["status"] for c in report["checks"]}
+    assert by["customers.unknown"] == "error" and by["shipments.cargo_type_missing"] == "fail" and report["summary"]["error"] == 1
+
+
 def test_regressions(spark):
     base = spark.createDataFrame([("a", 100), ("b", 0)], "check string, rows_affected bigint")
     found = lambda *rows: {r.check for r in Q.regressions(spark.createDataFrame(list(rows), "check string, rows_affected bigint"), base).collect()}
